@@ -134,3 +134,70 @@ s AS (SELECT q.query_id, p.id, list_cosine_similarity(p.vector, q.v) AS score
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rnk
       FROM s WHERE score IS NOT NULL AND NOT isnan(score))
 SELECT query_id, CAST(rnk AS BIGINT) AS rank, id, round(score, 6) AS score FROM r WHERE rnk <= 5"""
+
+# ---------------------------------------------------------------- statistics
+
+ORACLE["eval_average_row"] = duckdb_with("latencies") + """
+SELECT query, round(latency_seconds, 6) AS latency_seconds FROM latencies
+UNION ALL
+SELECT 'AVERAGE', round(avg(latency_seconds), 6) FROM latencies HAVING count(latency_seconds) > 0"""
+
+ORACLE["latency_stats"] = duckdb_with("latencies") + """,
+r AS (SELECT latency_seconds AS v, row_number() OVER (ORDER BY latency_seconds) AS rn,
+             count(*) OVER () AS m FROM latencies WHERE latency_seconds IS NOT NULL),
+cuts AS (SELECT * FROM (VALUES ('p95', 19, 20), ('p99', 99, 100)) t(name, i, n)),
+k AS (SELECT name, i, n, m, v, rn,
+             least(greatest(CAST(floor(i * (m + 1) / n) AS BIGINT), 1), m - 1) AS j
+      FROM r CROSS JOIN cuts),
+q AS (SELECT name,
+             (max(CASE WHEN rn = j THEN v END) * (max(n) - max(i * (m + 1) - j * n))
+              + max(CASE WHEN rn = j + 1 THEN v END) * max(i * (m + 1) - j * n)) / max(n) AS value
+      FROM k WHERE rn IN (j, j + 1) GROUP BY name)
+SELECT 'count' AS metric, CAST(count(latency_seconds) AS DOUBLE) AS value FROM latencies
+UNION ALL SELECT 'mean', round(avg(latency_seconds), 6) FROM latencies
+UNION ALL SELECT name, round(value, 6) FROM q"""
+
+ORACLE["latency_p95_index"] = duckdb_with("latencies") + """,
+r AS (SELECT latency_seconds AS v, row_number() OVER (ORDER BY latency_seconds) AS rn,
+             count(*) OVER () AS m FROM latencies WHERE latency_seconds IS NOT NULL)
+SELECT CAST(max(m) AS BIGINT) AS n,
+       round(max(CASE WHEN rn = least(CAST(floor(m * 0.95::DOUBLE) AS BIGINT), m - 1) + 1 THEN v END), 6) AS p95
+FROM r"""
+
+# ---------------------------------------------------------------- sessions
+
+SESS = duckdb_with("session_events") + """,
+lr AS (SELECT session_id, ts AS r_ts, event_id AS r_id FROM (
+         SELECT *, row_number() OVER (PARTITION BY app, user_id, session_id ORDER BY ts DESC, event_id DESC) AS k
+         FROM session_events WHERE is_reset) WHERE k = 1),
+lc AS (SELECT session_id, ts AS c_ts, event_id AS c_id FROM (
+         SELECT *, row_number() OVER (PARTITION BY app, user_id, session_id ORDER BY ts DESC, event_id DESC) AS k
+         FROM session_events WHERE is_clear) WHERE k = 1),
+cur AS (SELECT e.* FROM session_events e LEFT JOIN lr USING (session_id)
+        WHERE lr.r_ts IS NULL OR e.ts > lr.r_ts OR (e.ts = lr.r_ts AND e.event_id >= lr.r_id))
+"""
+
+
+def _fold(src: str) -> str:
+    return f"""
+SELECT session_id, state_key, round(state_value, 6) AS state_value FROM (
+  SELECT *, row_number() OVER (PARTITION BY app, user_id, session_id, state_key
+                               ORDER BY ts DESC, event_id DESC) AS k
+  FROM {src} WHERE state_key IS NOT NULL) WHERE k = 1"""
+
+
+ORACLE["session_state"] = SESS + _fold("session_events")
+ORACLE["session_reset"] = SESS + _fold("cur")
+ORACLE["session_history"] = SESS + "SELECT session_id, event_id, author FROM cur"
+ORACLE["session_clear_history"] = SESS + """
+SELECT session_id, event_id, author FROM cur LEFT JOIN lc USING (session_id)
+WHERE NOT is_clear AND (lc.c_ts IS NULL OR cur.ts > lc.c_ts OR (cur.ts = lc.c_ts AND cur.event_id > lc.c_id))"""
+
+ORACLE["turn_pairs"] = """
+WITH u AS (SELECT conv_id, turn, lead(turn) OVER (PARTITION BY conv_id ORDER BY turn) AS nxt
+           FROM conversations WHERE role = 'user')
+SELECT u.conv_id, u.turn AS user_turn,
+       (SELECT min(a.turn) FROM conversations a
+        WHERE a.conv_id = u.conv_id AND a.role = 'assistant' AND a.turn > u.turn
+          AND (u.nxt IS NULL OR a.turn < u.nxt)) AS assistant_turn
+FROM u"""

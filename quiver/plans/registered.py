@@ -258,3 +258,65 @@ def knn_filtered(spark, sf):
     qs = embedding_queries(spark, sf).withColumn("grp", label_group(F.col("label")))
     res = knn.knn_search(pts, qs, k=5, metric="Cosine", group_match=("grp", "groups"))
     return _flat_knn(res)
+
+
+# ---------------------------------------------------------------- statistics
+
+from quiver.operators import sessions, stats  # noqa: E402
+
+
+@register
+def eval_average_row(spark, sf):
+    out = stats.with_average_row(view(spark, sf, "latencies"))
+    return out.select("query", F.round("latency_seconds", 6).alias("latency_seconds"))
+
+
+@register
+def latency_stats(spark, sf):
+    out = stats.latency_stats(view(spark, sf, "latencies"))
+    return out.select("metric", F.round("value", 6).alias("value"))
+
+
+@register
+def latency_p95_index(spark, sf):
+    out = stats.p95_nearest_index(view(spark, sf, "latencies"))
+    return out.select("n", F.round("p95", 6).alias("p95"))
+
+
+# ---------------------------------------------------------------- sessions
+
+
+def _state_rows(df: DataFrame) -> DataFrame:
+    return df.select("session_id", "state_key", F.round("state_value", 6).alias("state_value"))
+
+
+@register
+def session_state(spark, sf):
+    """A6 + N1: last write per key over all events of each session."""
+    return _state_rows(sessions.session_state(view(spark, sf, "session_events"), honour_reset=False))
+
+
+@register
+def session_reset(spark, sf):
+    """State of the current incarnation (events from the last reset on)."""
+    return _state_rows(sessions.session_state(view(spark, sf, "session_events")))
+
+
+@register
+def session_history(spark, sf):
+    """History since the last reset, in (ts, event_id) order."""
+    h = sessions.session_history(view(spark, sf, "session_events"), honour_clear=False)
+    return h.select("session_id", "event_id", "author")
+
+
+@register
+def session_clear_history(spark, sf):
+    """History after the last clear marker (state untouched)."""
+    h = sessions.session_history(view(spark, sf, "session_events"), honour_clear=True)
+    return h.select("session_id", "event_id", "author")
+
+
+@register
+def turn_pairs(spark, sf):
+    """Each user turn with the first assistant turn before the next user turn."""
+    return sessions.first_reply(table(spark, sf, "conversations"))
