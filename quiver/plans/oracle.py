@@ -201,3 +201,120 @@ SELECT u.conv_id, u.turn AS user_turn,
         WHERE a.conv_id = u.conv_id AND a.role = 'assistant' AND a.turn > u.turn
           AND (u.nxt IS NULL OR a.turn < u.nxt)) AS assistant_turn
 FROM u"""
+
+# ---------------------------------------------------------------- enrichment
+
+from quiver.operators import enrich as _en  # noqa: E402
+from quiver.plans.registered import PROMPT_TEMPLATE, PROMPT_VALUES  # noqa: E402
+
+
+def _lit(s: str) -> str:
+    return "'" + s.replace("'", "''") + "'"
+
+
+def _rx(col: str, pattern: str) -> str:
+    return f"regexp_matches({col}, {_lit(pattern)})"
+
+
+def _topic(col: str) -> str:
+    arms = " ".join(
+        f"WHEN {_rx(col, _en._topic_pattern(terms))} THEN {_lit(name)}" for name, terms in _en.MODERATION_LEXICON
+    )
+    return f"CASE {arms} END"
+
+
+def _band(v: str, bands) -> str:
+    arms = " ".join(f"WHEN {v} < {b} THEN {_lit(name)}" for b, name in bands)
+    return f"CASE WHEN {v} IS NULL THEN NULL {arms} ELSE {_lit(_en.TOP_BAND)} END"
+
+
+def _route(col: str) -> str:
+    size = f"TRY_CAST(regexp_extract({col}, {_lit(_en.SIZE)}, 1) AS INTEGER)"
+    age = f"TRY_CAST(regexp_extract({col}, {_lit(_en.AGE)}, 1) AS INTEGER)"
+    word = f"CASE WHEN {_rx(col, _en.BABY)} THEN '50_98' WHEN {_rx(col, _en.TEEN)} THEN {_lit(_en.TOP_BAND)} END"
+    band = f"coalesce({_band(size, _en.SIZE_BANDS)}, {_band(age, _en.AGE_BANDS)}, {word})"
+    gender = (f"CASE WHEN {_rx(col, _en.BOY)} THEN 'boy' WHEN {_rx(col, _en.GIRL)} THEN 'girl' "
+              f"WHEN {_rx(col, _en.KIDS)} THEN 'girl' END")
+    return (f"CASE WHEN {col} IS NULL THEN {_lit(_en.DEFAULT_GROUP)} "
+            f"WHEN {gender} IS NOT NULL THEN {gender} || '_' || coalesce({band}, '92_140') "
+            f"WHEN {_rx(col, _en.MEN)} THEN 'men' ELSE {_lit(_en.DEFAULT_GROUP)} END")
+
+
+def _expand_base(col: str) -> str:
+    b = col
+    for p in _en.STRIP_PATTERNS:
+        b = f"regexp_replace({b}, {_lit(p)}, ' ', 'g')"
+    b = f"regexp_replace({b}, '\\s+', ' ', 'g')"
+    return f"regexp_replace({b}, '^\\s+|\\s+$', '', 'g')"
+
+
+def _expand(base: str, n: int = _en.NUM_QUERIES) -> str:
+    facets = "[" + ", ".join(_lit(f) for f in _en.FACETS) + "]"
+    return (f"CASE WHEN {base} IS NULL OR {base} = '' THEN []::VARCHAR[] ELSE "
+            f"list_concat([{base}], list_transform({facets}, lambda f: {base} || ' ' || f))[1:{n}] END")
+
+
+ENRICH = duckdb_with("user_queries") + """,
+uq AS (SELECT query_id, user_queries, lower(user_queries) AS lq FROM user_queries),
+cq AS (SELECT query_id, regexp_replace(user_queries, '^\\s+|\\s+$', '', 'g') AS query FROM user_queries),
+cl AS (SELECT query_id, query, lower(query) AS lq FROM cq WHERE query IS NOT NULL AND query <> '')
+"""
+
+ORACLE["clean_queries"] = ENRICH + "SELECT query_id, query FROM cl"
+ORACLE["moderate_queries"] = ENRICH + f"""
+SELECT query_id, ({_topic('lq')}) IS NOT NULL AS block, {_topic('lq')} AS topic FROM uq"""
+ORACLE["route_queries"] = ENRICH + f"SELECT query_id, {_route('lq')} AS \"group\" FROM uq"
+ORACLE["expand_queries"] = ENRICH + f"""
+SELECT query_id, array_to_string(q, '|') AS queries FROM (
+  SELECT query_id, {_expand('base')} AS q FROM (SELECT query_id, {_expand_base('lq')} AS base FROM uq))"""
+
+_PIPE = ENRICH + f""",
+e AS (SELECT query_id, ({_topic('lq')}) AS topic, {_route('lq')} AS grp,
+             {_expand(_expand_base('lq'))} AS q FROM cl)
+"""
+ORACLE["pipeline_parallel"] = _PIPE + """
+SELECT query_id, topic IS NOT NULL AS block, topic, array_to_string(q, '|') AS queries, grp AS "group" FROM e"""
+ORACLE["pipeline_gated"] = _PIPE + """
+SELECT query_id, topic IS NOT NULL AS block, topic,
+       CASE WHEN topic IS NULL THEN array_to_string(q, '|') END AS queries,
+       CASE WHEN topic IS NULL THEN grp END AS "group" FROM e"""
+ORACLE["merge_enrichments"] = _PIPE + """
+SELECT query_id, topic IS NOT NULL AS block,
+       CASE WHEN len(q) > 0 THEN array_to_string(q, '|') END AS queries,
+       CASE WHEN topic IS NULL THEN grp END AS "group" FROM e"""
+
+_prompt = "p"
+_expr = _lit(PROMPT_TEMPLATE)
+for _k, _v in PROMPT_VALUES.items():
+    _expr = f"replace({_expr}, {_lit('{' + _k + '}')}, {_lit(str(_v))})"
+_expr = f"replace({_expr}, '{{query}}', query)"
+ORACLE["render_prompt"] = ENRICH + f"SELECT query_id, {_expr} AS prompt FROM cl"
+
+RESP = duckdb_with("responses") + """,
+rv AS (SELECT query_id, response, CASE WHEN json_valid(response) THEN response END AS js FROM responses),
+rp AS (SELECT *, coalesce(json_type(js) = 'OBJECT'
+                 AND coalesce(json_type(js, '$.block') IN ('BOOLEAN', 'NULL'), true)
+                 AND coalesce(json_type(js, '$.queries') IN ('ARRAY', 'NULL'), true)
+                 AND coalesce(json_type(js, '$.group') IN ('VARCHAR', 'NULL'), true), false) AS ok
+       FROM rv),
+pr AS (SELECT query_id, response, ok,
+              CASE WHEN ok THEN TRY_CAST(json_extract(js, '$.block') AS BOOLEAN) END AS block,
+              CASE WHEN ok THEN TRY_CAST(json_extract(js, '$.queries') AS VARCHAR[]) END AS queries,
+              CASE WHEN ok THEN json_extract_string(js, '$.group') END AS grp,
+              CASE WHEN ok THEN json_extract_string(js, '$.error') END AS error,
+              CASE WHEN NOT ok THEN response END AS raw_response
+       FROM rp)
+"""
+ORACLE["json_response_parse"] = RESP + """
+SELECT query_id, block, array_to_string(queries, '|') AS queries, grp AS "group", error, raw_response FROM pr"""
+_GROUPS_SQL = "[" + ", ".join(_lit(g) for g in GROUPS) + "]"
+ORACLE["validate_outputs"] = RESP + f""",
+st AS (SELECT *, CASE WHEN raw_response IS NOT NULL OR response IS NULL THEN 'bad_json'
+                      WHEN error IS NOT NULL THEN 'error'
+                      WHEN grp IS NOT NULL AND NOT list_contains({_GROUPS_SQL}, grp) THEN 'bad_enum'
+                      ELSE 'ok' END AS status FROM pr)
+SELECT query_id, status,
+       CASE WHEN status = 'ok' THEN coalesce(block, false) END AS block,
+       CASE WHEN status = 'ok' THEN array_to_string(coalesce(queries, []::VARCHAR[]), '|') END AS queries,
+       CASE WHEN status = 'ok' THEN coalesce(grp, 'ladies') END AS "group"
+FROM st"""

@@ -320,3 +320,110 @@ def session_clear_history(spark, sf):
 def turn_pairs(spark, sf):
     """Each user turn with the first assistant turn before the next user turn."""
     return sessions.first_reply(table(spark, sf, "conversations"))
+
+
+# ---------------------------------------------------------------- enrichment
+
+from quiver.functions.text import render  # noqa: E402
+from quiver.operators import enrich  # noqa: E402
+
+# Session parameters of the evaluation (reference config and
+# test fixture) and our prompt text with the reference's placeholders.
+PROMPT_TEMPLATE = (
+    "Expand the shopper query into {num_queries} search queries for a store in "
+    "{country_name}; today is {cur_date}. Query: {query}"
+)
+PROMPT_VALUES = {"num_queries": 6, "country_name": "United Kingdom", "cur_date": "2024-01-01"}
+
+
+def _queries(spark, sf) -> DataFrame:
+    return enrich.clean_queries(view(spark, sf, "user_queries"), "user_queries").select("query_id", "query")
+
+
+def _joined(col: str) -> F.Column:
+    return F.array_join(col, "|").alias(col)
+
+
+@register
+def clean_queries(spark, sf):
+    return _queries(spark, sf)
+
+
+@register
+def moderate_queries(spark, sf):
+    uq = view(spark, sf, "user_queries")
+    block, topic = enrich.moderation(F.col("user_queries"))
+    return uq.select("query_id", block.alias("block"), topic.alias("topic"))
+
+
+@register
+def route_queries(spark, sf):
+    uq = view(spark, sf, "user_queries")
+    return uq.select("query_id", enrich.route(F.col("user_queries")).alias("group"))
+
+
+@register
+def expand_queries(spark, sf):
+    uq = view(spark, sf, "user_queries")
+    return uq.select("query_id", F.array_join(enrich.expand(F.col("user_queries")), "|").alias("queries"))
+
+
+@register
+def json_response_parse(spark, sf):
+    p = enrich.parse_response(view(spark, sf, "responses"))
+    return p.select("query_id", "block", _joined("queries"), "group", "error", "raw_response")
+
+
+@register
+def validate_outputs(spark, sf):
+    v = enrich.validate_outputs(view(spark, sf, "responses"))
+    return v.select("query_id", "status", "block", _joined("queries"), "group")
+
+
+def _pipeline(spark, sf, gated: bool) -> DataFrame:
+    e = enrich.enrich(_queries(spark, sf), "query", gated=gated)
+    return e.select("query_id", "block", "topic", _joined("queries"), "group")
+
+
+@register
+def pipeline_parallel(spark, sf):
+    return _pipeline(spark, sf, gated=False)
+
+
+@register
+def pipeline_gated(spark, sf):
+    return _pipeline(spark, sf, gated=True)
+
+
+@register
+def merge_enrichments(spark, sf):
+    """Three branch tables produced apart, merged on query_id."""
+    q = _queries(spark, sf)
+    text = F.col("query")
+    block, _ = enrich.moderation(text)
+    mod = q.select("query_id", block.alias("block"))
+    exp = q.select("query_id", enrich.expand(text).alias("queries")).filter(F.size("queries") > 0)
+    rte = q.filter(~block).select("query_id", enrich.route(text).alias("group"))
+    merged = enrich.merge_branches(q.select("query_id"), "query_id", mod, exp, rte)
+    return merged.select("query_id", "block", _joined("queries"), "group")
+
+
+@register
+def render_prompt(spark, sf):
+    q = _queries(spark, sf)
+    values = dict(PROMPT_VALUES, query=F.col("query"))
+    return q.select("query_id", render(PROMPT_TEMPLATE, values).alias("prompt"))
+
+
+@register
+def sample_queries(spark, sf):
+    """Repeatable sample of k=3 warm-up queries without replacement."""
+    q = _queries(spark, sf)
+    return q.orderBy(F.xxhash64("query_id", F.lit(42)), "query_id").limit(3)
+
+
+@register
+def evaluate_batch(spark, sf):
+    """Clean -> answer (rules backend, timed per query) -> parse -> AVERAGE row."""
+    out = enrich.evaluate_batch(view(spark, sf, "user_queries"), "user_queries")
+    return out.select("query", "latency_seconds", "block", _joined("queries"), "group", "error", "raw_response")
