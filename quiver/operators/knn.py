@@ -114,12 +114,13 @@ def _group_mask(batch: pa.RecordBatch, groups: list[str], qgroup_idx: np.ndarray
 
 
 _GROUPS = "__point_groups"
+_BUCKET = "__point_bucket"
 
 
 def _make_scorer(bc, metric: str, k: int, higher: bool, id_col: str, vec_col: str,
                  passthrough: Sequence[str], out_schema: pa.Schema, dim: int):
     def scorer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        qids, Q, groups, qgroup_idx = bc.value
+        qids, Q, groups, qgroup_idx, probes = bc.value
         qnorm = np.sqrt(np.einsum("ij,ij->i", Q, Q))
         pending: list[pa.Table] = []
         pending_rows = 0
@@ -131,6 +132,12 @@ def _make_scorer(bc, metric: str, k: int, higher: bool, id_col: str, vec_col: st
             S = _scores(metric, P, Q, qnorm)
             if groups is not None:
                 S[~_group_mask(batch, groups, qgroup_idx)] = np.nan
+            if probes is not None:
+                bucket = batch.column(_BUCKET).to_numpy(zero_copy_only=False).astype(np.int64)
+                inside = (bucket >= 0) & (bucket < probes.shape[1])
+                mask = np.zeros(S.shape, dtype=bool)
+                mask[:, inside] = probes[:, bucket[inside]]
+                S[~mask] = np.nan
             r, c = _select(S, k, higher)
             sc = _exact_refine(metric, P, Q, r, c) if metric == "Euclid" else S[r, c]
             cols = {
@@ -152,10 +159,13 @@ def _make_scorer(bc, metric: str, k: int, higher: bool, id_col: str, vec_col: st
     return scorer
 
 
-def _query_block(queries: DataFrame, qid: str, qvec: str, dim: int, qgroup: str | None):
+def _query_block(queries: DataFrame, qid: str, qvec: str, dim: int, qgroup: str | None,
+                 qprobe: str | None = None):
     cols = [F.col(qid).cast("long").alias("q"), F.col(qvec).alias("v")]
     if qgroup:
         cols.append(F.col(qgroup).cast("string").alias("g"))
+    if qprobe:
+        cols.append(F.col(qprobe).cast("array<int>").alias("p"))
     tbl = queries.select(*cols).toArrow()
     qids = tbl.column("q").to_numpy() if tbl.num_rows else np.zeros(0, np.int64)
     if tbl.num_rows:
@@ -163,22 +173,32 @@ def _query_block(queries: DataFrame, qid: str, qvec: str, dim: int, qgroup: str
         Q = Q.astype(np.float64).reshape(-1, dim)
     else:
         Q = np.zeros((0, dim))
+    probes = None
+    if qprobe:
+        lists = tbl.column("p").to_pylist()
+        width = 1 + max((max(x) for x in lists if x), default=0)
+        probes = np.zeros((len(lists), width), dtype=bool)
+        for i, x in enumerate(lists):
+            probes[i, [b for b in (x or []) if b >= 0]] = True
     if not qgroup:
-        return qids, Q, None, None
+        return qids, Q, None, None, probes
     g = tbl.column("g").to_pylist()
     groups = sorted({x for x in g if x is not None})
     pos = {x: i for i, x in enumerate(groups)}
     idx = np.array([pos[x] if x is not None else -1 for x in g], dtype=np.int64)
-    return qids, Q, groups, idx
+    return qids, Q, groups, idx, probes
 
 
 def _score_chunk(points: DataFrame, queries: DataFrame, k: int, metric: str, higher: bool,
                  id_col: str, vec_col: str, qid: str, qvec: str, passthrough: list[str],
-                 dim: int, qgroup: str | None, pgroups: str | None) -> DataFrame:
+                 dim: int, qgroup: str | None, pgroups: str | None,
+                 qprobe: str | None = None, pbucket: str | None = None) -> DataFrame:
     spark = points.sparkSession
-    block = _query_block(queries, qid, qvec, dim, qgroup)
+    block = _query_block(queries, qid, qvec, dim, qgroup, qprobe)
     bc = spark.sparkContext.broadcast(block)
     extra = [F.col(pgroups).alias(_GROUPS)] if qgroup else []
+    if qprobe:
+        extra.append(F.col(pbucket).cast("int").alias(_BUCKET))
     src = points.select(F.col(id_col).cast("long").alias(id_col), vec_col, *passthrough, *extra)
     fields = [
         T.StructField("query_id", T.LongType()),
@@ -220,6 +240,7 @@ def knn_search(
     filter: Column | None = None,
     passthrough: Sequence[str] = (),
     group_match: tuple[str, str] | None = None,
+    probe_match: tuple[str, str] | None = None,
     max_broadcast_bytes: int = DEFAULT_MAX_BROADCAST_BYTES,
 ) -> DataFrame:
     """Top-``k`` points per query, best first: ``query_id, rank, id, score, *passthrough``.
@@ -232,6 +253,9 @@ def knn_search(
     ``group_match=(query_col, point_array_col)`` restricts each query to the
     points whose array contains the query's value (a per-query payload
     filter, applied before ranking; a NULL query value means no restriction).
+    ``probe_match=(query_array_col, point_bucket_col)`` scores a point for a
+    query only if the point's bucket is in the query's probe list (used by
+    the bucketed approximate search).
     """
     if k <= 0:
         raise ValueError("k must be positive")
@@ -250,8 +274,9 @@ def knn_search(
     points = points.filter(F.col(vector_col).isNotNull() & (F.size(vector_col) == dim))
     passthrough = [c for c in passthrough if c not in (id_col, vector_col)]
     qgroup, pgroups = group_match or (None, None)
+    qprobe, pbucket = probe_match or (None, None)
     args = (k, metric, higher, id_col, vector_col, query_id_col, query_vector_col,
-            list(passthrough), dim, qgroup, pgroups)
+            list(passthrough), dim, qgroup, pgroups, qprobe, pbucket)
     block_bytes = n * dim * 8
     if block_bytes <= max_broadcast_bytes:
         return _score_chunk(points, queries, *args)

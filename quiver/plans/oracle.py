@@ -318,3 +318,63 @@ SELECT query_id, status,
        CASE WHEN status = 'ok' THEN array_to_string(coalesce(queries, []::VARCHAR[]), '|') END AS queries,
        CASE WHEN status = 'ok' THEN coalesce(grp, 'ladies') END AS "group"
 FROM st"""
+
+# ---------------------------------------------------------------- embeddings, quantization
+
+from quiver.operators.embed import TEXT_DIM  # noqa: E402
+from quiver.plans.registered import QUANTILE  # noqa: E402
+
+
+def _weights(src: str, key: str, dim: int = TEXT_DIM) -> str:
+    """Signed hashed term counts ``key, bucket, w`` of a (key, text) source."""
+    return f"""
+SELECT {key} AS key, h % {dim} AS bucket, sum(1 - 2 * ((h // {dim}) % 2)) AS w FROM (
+  SELECT {key}, ('0x' || substr(md5(tok), 1, 8))::BIGINT AS h FROM (
+    SELECT {key}, unnest(regexp_split_to_array(lower(text), '[^\\p{{L}}\\p{{N}}]+')) AS tok FROM {src})
+  WHERE tok <> '')
+GROUP BY 1, 2 HAVING sum(1 - 2 * ((h // {dim}) % 2)) <> 0"""
+
+
+ORACLE["embed_text"] = f"""
+WITH w AS ({_weights('documents', 'doc_id')}),
+n AS (SELECT key, sqrt(sum(w * w)) AS nrm FROM w GROUP BY key),
+s AS (SELECT w.key, count(*) AS n_nonzero, round(sqrt(sum((w / nrm) * (w / nrm))), 6) AS norm,
+             round(sum((w / nrm) * (bucket + 1)), 6) AS wsum
+      FROM w JOIN n USING (key) GROUP BY w.key)
+SELECT d.doc_id, CAST(len(regexp_extract_all(lower(d.text), '[\\p{{L}}\\p{{N}}]+')) AS BIGINT) AS n_tokens,
+       s.n_nonzero, s.norm, s.wsum
+FROM documents d LEFT JOIN s ON s.key = d.doc_id"""
+
+ORACLE["benchmark_search"] = f"""
+WITH dw AS ({_weights('documents', 'doc_id')}),
+qw AS ({_weights('benchmark', 'item_id')}),
+dn AS (SELECT key, sqrt(sum(w * w)) AS nrm FROM dw GROUP BY key),
+qn AS (SELECT key, sqrt(sum(w * w)) AS nrm FROM qw GROUP BY key),
+dot AS (SELECT qw.key AS query_id, dw.key AS id, sum(qw.w * dw.w) AS d
+        FROM qw JOIN dw USING (bucket) GROUP BY 1, 2),
+s AS (SELECT q.key AS query_id, p.key AS id, coalesce(dot.d, 0) / (q.nrm * p.nrm) AS score
+      FROM qn q CROSS JOIN dn p LEFT JOIN dot ON dot.query_id = q.key AND dot.id = p.key),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rnk FROM s)
+SELECT query_id, CAST(rnk AS BIGINT) AS rank, id, round(score, 6) AS score FROM r WHERE rnk <= 5"""
+
+_P_LO = (1 - QUANTILE) / 2
+_P_HI = 1 - (1 - QUANTILE) / 2
+ORACLE["quantize_int8"] = f"""
+WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings),
+c AS (SELECT unnest(v) AS x FROM e),
+r AS (SELECT x, row_number() OVER (ORDER BY x) AS rn FROM c),
+m AS (SELECT count(*) AS m FROM c),
+p AS (SELECT CAST('{_P_LO!r}' AS DOUBLE) * (m - 1) AS plo, CAST('{_P_HI!r}' AS DOUBLE) * (m - 1) AS phi, m FROM m),
+b AS (SELECT
+  max(CASE WHEN rn = floor(plo) + 1 THEN x END)
+    + (max(CASE WHEN rn = least(floor(plo) + 2, m) THEN x END) - max(CASE WHEN rn = floor(plo) + 1 THEN x END))
+      * (plo - floor(plo)) AS lo,
+  max(CASE WHEN rn = floor(phi) + 1 THEN x END)
+    + (max(CASE WHEN rn = least(floor(phi) + 2, m) THEN x END) - max(CASE WHEN rn = floor(phi) + 1 THEN x END))
+      * (phi - floor(phi)) AS hi
+  FROM r, p GROUP BY plo, phi, m)
+SELECT vec_id AS id,
+       array_to_string(list_transform(v, lambda x:
+         CAST(floor((least(greatest(x, b.lo), b.hi) - b.lo) / (b.hi - b.lo) * 255 + 0.5) AS INTEGER)), ',') AS codes,
+       round(b.lo, 6) AS lo, round(b.hi, 6) AS hi
+FROM e, b"""

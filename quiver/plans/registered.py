@@ -427,3 +427,97 @@ def evaluate_batch(spark, sf):
     """Clean -> answer (rules backend, timed per query) -> parse -> AVERAGE row."""
     out = enrich.evaluate_batch(view(spark, sf, "user_queries"), "user_queries")
     return out.select("query", "latency_seconds", "block", _joined("queries"), "group", "error", "raw_response")
+
+
+# ---------------------------------------------------------------- embeddings, quantization, ANN
+
+from quiver.operators import ann, embed, quantize  # noqa: E402
+
+
+def doc_embeddings(spark, sf, dim: int = embed.TEXT_DIM) -> DataFrame:
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    return embed.embed_text(docs, "text", dim=dim, id_col="doc_id")
+
+
+@register
+def embed_text(spark, sf):
+    """K6: hashed 768-d embedding of every whole document (summarised per doc)."""
+    e = doc_embeddings(spark, sf)
+    comps = e.select("doc_id", F.posexplode("embedding").alias("i", "x"))
+    summary = comps.groupBy("doc_id").agg(
+        F.count_if(F.col("x") != 0).alias("n_nonzero"),
+        F.round(F.sqrt(F.sum(F.col("x") * F.col("x"))), 6).alias("norm"),
+        F.round(F.sum(F.col("x") * (F.col("i") + 1)), 6).alias("wsum"),
+    )
+    docs = table(spark, sf, "documents").select(
+        "doc_id", F.regexp_count(F.lower("text"), F.lit(r"[\p{L}\p{N}]+")).cast("long").alias("n_tokens")
+    )
+    return docs.join(summary, "doc_id", "left")
+
+
+@register
+def benchmark_search(spark, sf):
+    """K6 + K1: benchmark passages embedded as queries, top-5 documents by cosine."""
+    pts = doc_embeddings(spark, sf).select(F.col("doc_id").alias("id"), F.col("embedding").alias("vector"))
+    bench = table(spark, sf, "benchmark").select("item_id", "text")
+    qs = embed.embed_text(bench, "text", dim=embed.TEXT_DIM, id_col="item_id").select(
+        F.col("item_id").alias("query_id"), F.col("embedding").alias("vector")
+    )
+    return _flat_knn(knn.knn_search(pts, qs, k=5, metric="Cosine"))
+
+
+QUANTILE = 0.99
+
+
+@register
+def quantize_int8(spark, sf):
+    """K3: int8 codes of every embedding with bounds at the central 99 %."""
+    pts = embedding_points(spark, sf)
+    q, b = quantize.quantize(pts, "vector", quantile=QUANTILE)
+    return q.select(
+        "id",
+        F.array_join(F.transform("codes", lambda c: c.cast("int") + 128), ",").alias("codes"),
+        F.round(F.lit(b.lo), 6).alias("lo"),
+        F.round(F.lit(b.hi), 6).alias("hi"),
+    )
+
+
+@register
+def knn_quantized_rerank(spark, sf):
+    """K5: search on codes (k x 4 candidates), exact re-rank on the floats."""
+    pts = embedding_points(spark, sf)
+    q, b = quantize.quantize(pts, "vector", quantile=QUANTILE)
+    res = quantize.knn_quantized(q, embedding_queries(spark, sf), b, k=10, metric="Cosine")
+    return _flat_knn(res)
+
+
+def _ivf(spark, sf):
+    pts = embedding_points(spark, sf)
+    index, assigned = ann.build_ivf(pts, "vector", metric="Cosine", nlist=16, seed=7)
+    return index, assigned
+
+
+@register
+def ann_bucketed(spark, sf):
+    """K4: IVF search, 16 buckets, 4 probed, k=10."""
+    index, assigned = _ivf(spark, sf)
+    return _flat_knn(ann.ann_search(index, assigned, embedding_queries(spark, sf), k=10, nprobe=4))
+
+
+@register
+def ann_recall(spark, sf):
+    """K4 check: recall@10 of the IVF search against the exact search."""
+    index, assigned = _ivf(spark, sf)
+    qs = embedding_queries(spark, sf)
+    approx = ann.ann_search(index, assigned, qs, k=10, nprobe=4)
+    exact = knn.knn_search(embedding_points(spark, sf), qs, k=10, metric="Cosine")
+    return ann.recall_at_k(approx, exact)
+
+
+@register
+def synthetic_vectors(spark, sf):
+    """K8: a synthetic 64-d query per benchmark item, top-3 embeddings (benchmark job)."""
+    qs = table(spark, sf, "benchmark").select(
+        F.col("item_id").alias("query_id"), embed.synthetic_vector(F.col("item_id"), 64, seed=1).alias("vector")
+    )
+    return _flat_knn(knn.knn_search(embedding_points(spark, sf), qs, k=3, metric="Cosine"))
