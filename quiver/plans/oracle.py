@@ -378,3 +378,8 @@ SELECT vec_id AS id,
          CAST(floor((least(greatest(x, b.lo), b.hi) - b.lo) / (b.hi - b.lo) * 255 + 0.5) AS INTEGER)), ',') AS codes,
        round(b.lo, 6) AS lo, round(b.hi, 6) AS hi
 FROM e, b"""
+
+# ---------------------------------------------------------------- streaming twins (same answers as batch)
+
+ORACLE["stream_upsert"] = ORACLE["upsert_insert_absent"]
+ORACLE["stream_session_state"] = ORACLE["session_state"]

@@ -521,3 +521,33 @@ def synthetic_vectors(spark, sf):
         F.col("item_id").alias("query_id"), embed.synthetic_vector(F.col("item_id"), 64, seed=1).alias("vector")
     )
     return _flat_knn(knn.knn_search(embedding_points(spark, sf), qs, k=3, metric="Cosine"))
+
+
+# ---------------------------------------------------------------- streaming twins
+
+from quiver.session import scratch_path  # noqa: E402
+from quiver.streaming import jobs  # noqa: E402
+
+
+@register
+def stream_upsert(spark, sf):
+    """The 'new' orders arrive as 4 files, loaded insert-if-absent by a
+    stream into a collection holding the 'old' orders; equals upsert_insert_absent."""
+    old, new = _upsert_inputs(spark, sf)
+    target = scratch_path(spark, "stream-target")
+    old.write.mode("overwrite").parquet(target)
+    src = jobs.stage_files(new, 4, "stream-source")
+    jobs.stream_upsert(spark, src, new.schema, target, files_per_trigger=1)
+    out = spark.read.parquet(target)
+    return out.select("id", "version", F.round("price", 6).alias("price"))
+
+
+@register
+def stream_session_state(spark, sf):
+    """Session events arrive as 4 files in arbitrary order; the streamed
+    state equals the batch fold (session_state)."""
+    ev = view(spark, sf, "session_events")
+    src = jobs.stage_files(ev, 4, "stream-events")
+    out_dir = scratch_path(spark, "stream-state")
+    jobs.stream_session_state(spark, src, ev.schema, out_dir, files_per_trigger=1)
+    return _state_rows(jobs.read_session_state(spark, out_dir))
