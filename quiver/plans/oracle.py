@@ -383,3 +383,29 @@ FROM e, b"""
 
 ORACLE["stream_upsert"] = ORACLE["upsert_insert_absent"]
 ORACLE["stream_session_state"] = ORACLE["session_state"]
+
+# ---------------------------------------------------------------- files, composite
+
+ORACLE["csv_required_column"] = duckdb_with("user_queries") + "SELECT query_id, user_queries FROM user_queries"
+
+ORACLE["retrieve_for_queries"] = EXTRACT + f""",
+uqv AS ({duckdb_with("user_queries")[5:].split(" AS (", 1)[1].rsplit(")", 1)[0]}),
+cl AS (SELECT query_id, q AS query, lower(q) AS lq FROM (
+         SELECT query_id, regexp_replace(user_queries, '^\\s+|\\s+$', '', 'g') AS q FROM uqv)
+       WHERE q IS NOT NULL AND q <> ''),
+e AS (SELECT query_id, {_route('lq')} AS grp, {_expand(_expand_base('lq'))} AS ex
+      FROM cl WHERE ({_topic('lq')}) IS NULL),
+x AS (SELECT query_id, grp, unnest(ex) AS text, generate_subscripts(ex, 1) - 1 AS pos FROM e),
+xq AS (SELECT query_id * 16 + pos AS eq_id, query_id, grp, text FROM x),
+qw AS ({_weights('xq', 'eq_id', 64)}),
+qn AS (SELECT key, sqrt(sum(w * w)) AS nrm FROM qw GROUP BY key),
+pv AS (SELECT id, unnest(vector) AS x, generate_subscripts(vector, 1) - 1 AS bucket FROM pts),
+pn AS (SELECT id, sqrt(list_sum(list_transform(vector, lambda v: v * v))) AS nrm, groups FROM pts),
+dot AS (SELECT qw.key AS eq_id, pv.id, sum(qw.w * pv.x) AS d FROM qw JOIN pv USING (bucket) GROUP BY 1, 2),
+s AS (SELECT xq.query_id, xq.eq_id, pn.id, dot.d / (qn.nrm * pn.nrm) AS score
+      FROM xq JOIN qn ON qn.key = xq.eq_id JOIN pn ON list_contains(pn.groups, xq.grp)
+      JOIN dot ON dot.eq_id = xq.eq_id AND dot.id = pn.id),
+r1 AS (SELECT *, row_number() OVER (PARTITION BY eq_id ORDER BY score DESC, id) AS k1 FROM s),
+b AS (SELECT query_id, id, max(score) AS score FROM r1 WHERE k1 <= 5 GROUP BY 1, 2),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rnk FROM b)
+SELECT query_id, CAST(rnk AS BIGINT) AS rank, id, round(score, 6) AS score FROM r WHERE rnk <= 5"""

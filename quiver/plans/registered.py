@@ -10,10 +10,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quiver.operators import knn, labels, points
+from quiver.operators import collection, knn, labels, points
 from quiver.sources.sql import load_sql
 from quiver.sources.tables import table
 from quiver.sources.views import view
@@ -148,16 +148,7 @@ def validate_vectors(spark, sf):
 @register
 def collection_info(spark, sf):
     """Count, distinct ids, width range and zero vectors of the collection."""
-    pts = point_table(spark, sf)
-    v = F.col("vectors")["image"]
-    sq = F.aggregate(v, F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double"))
-    return pts.agg(
-        F.count(F.lit(1)).alias("points_count"),
-        F.countDistinct("id").alias("distinct_ids"),
-        F.min(F.size(v)).cast("long").alias("min_dim"),
-        F.max(F.size(v)).cast("long").alias("max_dim"),
-        F.count_if(sq == 0).alias("zero_vectors"),
-    )
+    return collection.info(point_table(spark, sf))
 
 
 def _orders_points(spark, sf, version: str, cond) -> DataFrame:
@@ -551,3 +542,51 @@ def stream_session_state(spark, sf):
     out_dir = scratch_path(spark, "stream-state")
     jobs.stream_session_state(spark, src, ev.schema, out_dir, files_per_trigger=1)
     return _state_rows(jobs.read_session_state(spark, out_dir))
+
+
+# ---------------------------------------------------------------- files
+
+from pyspark.sql import types as T  # noqa: E402
+
+from quiver.sources import files  # noqa: E402
+
+
+@register
+def csv_required_column(spark, sf):
+    """S3: the user-query table written as CSV, read back by column name with
+    the required ``user_queries`` column checked (blank/padded text kept)."""
+    path = scratch_path(spark, "user-queries-csv")
+    files.write_csv(view(spark, sf, "user_queries"), path)
+    df = files.read_csv_required(spark, path, {"query_id": T.LongType(), "user_queries": T.StringType()})
+    return df.select("query_id", "user_queries")
+
+
+# ---------------------------------------------------------------- composite (not in the reference)
+
+
+@register
+def retrieve_for_queries(spark, sf):
+    """Composition of the reference's parts that its code never wires together:
+    moderate (blocked queries get nothing) -> route -> expand -> embed each
+    expansion (hashed, 64-d) -> kNN over the loaded points restricted to the
+    routed group -> best score per (query, point) -> top 5 per query."""
+    q = _queries(spark, sf)
+    text = F.col("query")
+    block, _ = enrich.moderation(text)
+    kept = q.filter(~block).select("query_id", enrich.route(text).alias("grp"), enrich.expand(text).alias("ex"))
+    expanded = kept.select(
+        "query_id", "grp", F.posexplode("ex").alias("pos", "text")
+    ).withColumn("eq_id", F.col("query_id") * 16 + F.col("pos"))
+    emb = embed.embed_text(expanded, "text", dim=64, id_col="eq_id")
+    qs = emb.select(F.col("eq_id").alias("query_id"), F.col("embedding").alias("vector"), "grp")
+    pts = point_table(spark, sf).select(
+        "id", F.col("vectors")["image"].alias("vector"), F.col("payload.group").alias("groups")
+    )
+    hits = knn.knn_search(pts, qs, k=5, metric="Cosine", group_match=("grp", "groups"))
+    best = (
+        hits.withColumn("query_id", F.floor(F.col("query_id") / 16).cast("long"))
+        .groupBy("query_id", "id").agg(F.max("score").alias("score"))
+    )
+    w = Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc("id"))
+    top = best.withColumn("rank", F.row_number().over(w).cast("long")).filter(F.col("rank") <= 5)
+    return _flat_knn(top)
