@@ -2,7 +2,8 @@
 
 * :func:`read_csv_required` – header CSV read by column *name* with no
   schema inference; a missing path or a missing required column raises before
-  any data is read (only the header line is inspected).
+  any data is read (only the header line is inspected).  Leading/trailing
+  white space is kept; an empty cell reads as NULL (like a missing cell).
 * :func:`write_results` – the evaluation sink: an empty result writes nothing
   (warning), otherwise the folder is overwritten; parent folders are created by
   the writer.  The reference writes a spreadsheet; the spreadsheet library is
