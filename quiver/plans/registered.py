@@ -427,7 +427,7 @@ from quiver.operators import ann, embed, quantize  # noqa: E402
 
 def doc_embeddings(spark, sf, dim: int = embed.TEXT_DIM) -> DataFrame:
     docs = table(spark, sf, "documents").select("doc_id", "text")
-    return embed.embed_text(docs, "text", dim=dim, id_col="doc_id")
+    return embed.embed_text(docs, "text", dim=dim, id_col="doc_id", hash_method="md5")
 
 
 @register
@@ -451,7 +451,7 @@ def benchmark_search(spark, sf):
     """K6 + K1: benchmark passages embedded as queries, top-5 documents by cosine."""
     pts = doc_embeddings(spark, sf).select(F.col("doc_id").alias("id"), F.col("embedding").alias("vector"))
     bench = table(spark, sf, "benchmark").select("item_id", "text")
-    qs = embed.embed_text(bench, "text", dim=embed.TEXT_DIM, id_col="item_id").select(
+    qs = embed.embed_text(bench, "text", dim=embed.TEXT_DIM, id_col="item_id", hash_method="md5").select(
         F.col("item_id").alias("query_id"), F.col("embedding").alias("vector")
     )
     return _flat_knn(knn.knn_search(pts, qs, k=5, metric="Cosine"))
@@ -577,7 +577,7 @@ def retrieve_for_queries(spark, sf):
     expanded = kept.select(
         "query_id", "grp", F.posexplode("ex").alias("pos", "text")
     ).withColumn("eq_id", F.col("query_id") * 16 + F.col("pos"))
-    emb = embed.embed_text(expanded, "text", dim=64, id_col="eq_id")
+    emb = embed.embed_text(expanded, "text", dim=64, id_col="eq_id", hash_method="md5")
     qs = emb.select(F.col("eq_id").alias("query_id"), F.col("embedding").alias("vector"), "grp")
     pts = point_table(spark, sf).select(
         "id", F.col("vectors")["image"].alias("vector"), F.col("payload.group").alias("groups")
