@@ -13,6 +13,8 @@ Skew: no operator sorts or collects a whole session in one task.  Marker
 positions are partial+final aggregates joined back on the session key (AQE
 splits a hot session's partition); the state fold is a ``max_by`` aggregate
 per (session, key); history is returned as rows with their order key.
+The ``(ts, event_id)`` order is packed into one decimal column so these
+aggregates run hash-based instead of sort-based.
 """
 
 from __future__ import annotations
@@ -20,11 +22,23 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quiver.functions.keys import event_order_key
+
 KEYS = ["app", "user_id", "session_id"]
 
 
+def _with_seq(events: DataFrame) -> DataFrame:
+    """Add ``_seq``: the (ts, event_id) order packed in one decimal, so the
+    marker and fold aggregates run as hash aggregates (see functions.keys)."""
+    if "_seq" in events.columns:
+        return events
+    return events.withColumn(
+        "_seq", event_order_key(F.col("ts"), F.col("event_id"), events.schema["ts"].dataType)
+    )
+
+
 def _seq() -> F.Column:
-    return F.struct(F.col("ts"), F.col("event_id"))
+    return F.col("_seq")
 
 
 def _markers(events: DataFrame) -> DataFrame:
@@ -36,16 +50,18 @@ def _markers(events: DataFrame) -> DataFrame:
 
 def since_reset(events: DataFrame) -> DataFrame:
     """Events of the current session incarnation (from the last reset on)."""
+    events = _with_seq(events)
     m = _markers(events).select(*KEYS, "last_reset")
     return (
         events.join(m, on=KEYS, how="inner")
         .filter(F.col("last_reset").isNull() | (_seq() >= F.col("last_reset")))
         .drop("last_reset")
-    )
+    )  # keeps _seq for the fold that usually follows
 
 
 def fold_state(events: DataFrame) -> DataFrame:
     """Last value per (session, key); ``max_by`` is map-side combined."""
+    events = _with_seq(events)
     return (
         events.filter(F.col("state_key").isNotNull())
         .groupBy(*KEYS, "state_key")
@@ -68,6 +84,7 @@ def session_state_map(events: DataFrame) -> DataFrame:
 def session_history(events: DataFrame, honour_clear: bool = True) -> DataFrame:
     """A7 + N4: event rows since the last reset and after the last clear,
     with their order key ``(ts, event_id)``; clear markers are not history."""
+    events = _with_seq(events)
     m = _markers(events)
     out = events.join(m, on=KEYS, how="inner").filter(
         F.col("last_reset").isNull() | (_seq() >= F.col("last_reset"))
@@ -76,7 +93,7 @@ def session_history(events: DataFrame, honour_clear: bool = True) -> DataFrame:
         out = out.filter(
             (F.col("last_clear").isNull() | (_seq() > F.col("last_clear"))) & ~F.col("is_clear")
         )
-    return out.drop("last_reset", "last_clear")
+    return out.drop("last_reset", "last_clear", "_seq")
 
 
 def lookup(sessions: DataFrame, state: DataFrame) -> DataFrame:
