@@ -95,26 +95,52 @@ def reduce_topk(tbl: pa.Table, k: int, higher: bool, id_col: str, qcol: str = "q
     return tbl.take(pa.array(np.sort(keep)))
 
 
-def _group_mask(batch: pa.RecordBatch, groups: list[str], qgroup_idx: np.ndarray) -> np.ndarray:
-    """(queries x rows) mask: the query's group occurs in the point's group list.
-
-    ``qgroup_idx`` is -1 for a query without a group (no restriction)."""
+def _group_rows(batch: pa.RecordBatch, groups: list[str]) -> list[np.ndarray]:
+    """For each query group, the rows of the batch whose group list holds it."""
     import pyarrow.compute as pc
 
     lists = batch.column(_GROUPS)
-    n = batch.num_rows
     flat = lists.flatten()
     parents = pc.list_parent_indices(lists).to_numpy(zero_copy_only=False)
-    allowed = np.zeros((len(groups) + 1, n), dtype=bool)
-    allowed[-1, :] = True
-    for gi, g in enumerate(groups):
+    out = []
+    for g in groups:
         hit = pc.fill_null(pc.equal(flat, pa.scalar(g, flat.type)), False)
-        allowed[gi, parents[hit.to_numpy(zero_copy_only=False)]] = True
-    return allowed[qgroup_idx]
+        out.append(np.unique(parents[hit.to_numpy(zero_copy_only=False)]))
+    return out
 
 
 _GROUPS = "__point_groups"
 _BUCKET = "__point_bucket"
+# Score entries (queries x points) computed at once in a task: 2^22 doubles = 32 MiB.
+SCORE_TILE = 1 << 22
+
+
+def _blocks(batch: pa.RecordBatch, nq: int, groups, qgroup_idx, probes):
+    """``(query indices, point rows)`` pairs that need scoring in one batch.
+
+    Only pairs that can be answers are scored: a query meets the points of its
+    payload group only (P7) and the points of the buckets it probes only (K4),
+    so filtered and approximate searches do proportionally less work."""
+    row_sets = [(np.arange(nq), np.arange(batch.num_rows))]
+    if probes is not None:
+        bucket = batch.column(_BUCKET).fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
+        order = np.argsort(bucket, kind="stable")
+        cuts = np.flatnonzero(np.diff(bucket[order])) + 1
+        row_sets = []
+        for rows in np.split(order, cuts):
+            b = bucket[rows[0]]
+            if 0 <= b < probes.shape[1]:
+                row_sets.append((np.flatnonzero(probes[:, b]), rows))
+    if groups is None:
+        yield from row_sets
+        return
+    members = _group_rows(batch, groups)
+    for qs, rows in row_sets:
+        qg = qgroup_idx[qs]
+        for gi in range(-1, len(groups)):
+            sel = qs[qg == gi]
+            if len(sel):
+                yield sel, rows if gi < 0 else np.intersect1d(rows, members[gi], assume_unique=True)
 
 
 def _make_scorer(bc, metric: str, k: int, higher: bool, id_col: str, vec_col: str,
@@ -129,26 +155,32 @@ def _make_scorer(bc, metric: str, k: int, higher: bool, id_col: str, vec_col: st
                 continue
             flat = batch.column(vec_col).flatten()
             P = flat.to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
-            S = _scores(metric, P, Q, qnorm)
-            if groups is not None:
-                S[~_group_mask(batch, groups, qgroup_idx)] = np.nan
-            if probes is not None:
-                bucket = batch.column(_BUCKET).to_numpy(zero_copy_only=False).astype(np.int64)
-                inside = (bucket >= 0) & (bucket < probes.shape[1])
-                mask = np.zeros(S.shape, dtype=bool)
-                mask[:, inside] = probes[:, bucket[inside]]
-                S[~mask] = np.nan
-            r, c = _select(S, k, higher)
-            sc = _exact_refine(metric, P, Q, r, c) if metric == "Euclid" else S[r, c]
+            hit_q, hit_r, hit_s = [], [], []
+            for qsel, rows in _blocks(batch, len(qids), groups, qgroup_idx, probes):
+                if len(qsel) == 0 or len(rows) == 0:
+                    continue
+                Pb = P[rows]
+                step = max(1, SCORE_TILE // len(rows))
+                for t in range(0, len(qsel), step):
+                    qt = qsel[t : t + step]
+                    S = _scores(metric, Pb, Q[qt], qnorm[qt])
+                    r, c = _select(S, k, higher)
+                    hit_q.append(qt[r])
+                    hit_r.append(rows[c])
+                    hit_s.append(_exact_refine(metric, Pb, Q[qt], r, c) if metric == "Euclid" else S[r, c])
+            if not hit_q:
+                continue
+            qi, ri = np.concatenate(hit_q), np.concatenate(hit_r)
+            take = pa.array(ri)
             cols = {
-                "query_id": pa.array(qids[r], pa.int64()),
-                id_col: batch.column(id_col).take(pa.array(c)),
-                "score": pa.array(sc, pa.float64()),
+                "query_id": pa.array(qids[qi], pa.int64()),
+                id_col: batch.column(id_col).take(take),
+                "score": pa.array(np.concatenate(hit_s), pa.float64()),
             }
             for name in passthrough:
-                cols[name] = batch.column(name).take(pa.array(c))
+                cols[name] = batch.column(name).take(take)
             pending.append(pa.table(cols, schema=out_schema))
-            pending_rows += len(r)
+            pending_rows += len(qi)
             if pending_rows > 8 * len(qids) * k + 65536:
                 pending = [reduce_topk(pa.concat_tables(pending), k, higher, id_col)]
                 pending_rows = pending[0].num_rows

@@ -13,10 +13,13 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.functions import arrow_udf
 
-from quiver.functions.vectors import check_metric, score
+from quiver.functions.vectors import check_metric, list_array, lists, score
 from quiver.operators.knn import knn_search
 from quiver.operators.stats import percentiles_inclusive
 
@@ -35,29 +38,46 @@ def fit_bounds(points: DataFrame, vector_col: str = "vector", quantile: float =
     return Bounds(got[p_lo], got[p_hi])
 
 
-def codes(vector: F.Column, b: Bounds) -> F.Column:
-    """0..255 integer codes (as int) of a vector column."""
+def _code_values(x: np.ndarray, b: Bounds) -> np.ndarray:
+    """0..255 codes: clamp into the bounds, scale, round half up."""
     span = b.hi - b.lo
     if span <= 0:
-        return F.transform(vector, lambda x: F.lit(0))
-    lo, hi = F.lit(b.lo), F.lit(b.hi)
-    return F.transform(
-        vector,
-        lambda x: F.floor((F.least(F.greatest(x.cast("double"), lo), hi) - lo) / F.lit(span) * 255 + 0.5).cast("int"),
-    )
+        return np.zeros(len(x), dtype=np.int64)
+    return np.floor((np.minimum(np.maximum(x, b.lo), b.hi) - b.lo) / span * 255 + 0.5).astype(np.int64)
+
+
+def codes(vector: F.Column, b: Bounds) -> F.Column:
+    """``array<int>`` of 0..255 codes of a vector column (one numpy pass per
+    Arrow batch)."""
+
+    def to_codes(v: pa.Array) -> pa.Array:
+        x, off, null = lists(v)
+        return list_array(_code_values(x, b), off, null, pa.int32())
+
+    return arrow_udf(to_codes, "array<int>")(vector)
 
 
 def quantize(points: DataFrame, vector_col: str = "vector", out_col: str = "codes",
              bounds: Bounds | None = None, quantile: float = 0.99) -> tuple[DataFrame, Bounds]:
     """Add ``out_col array<tinyint>`` (code - 128); returns the frame and the bounds."""
     b = bounds or fit_bounds(points, vector_col, quantile)
-    stored = F.transform(codes(F.col(vector_col), b), lambda c: (c - 128).cast("tinyint"))
-    return points.withColumn(out_col, stored), b
+
+    def to_stored(v: pa.Array) -> pa.Array:
+        x, off, null = lists(v)
+        return list_array((_code_values(x, b) - 128).astype(np.int8), off, null, pa.int8())
+
+    return points.withColumn(out_col, arrow_udf(to_stored, "array<tinyint>")(F.col(vector_col))), b
 
 
 def dequantize(stored: F.Column, b: Bounds) -> F.Column:
+    """Code midpoints back in the vector space (``array<double>``)."""
     span = b.hi - b.lo
-    return F.transform(stored, lambda c: F.lit(b.lo) + (c.cast("double") + 128) / 255 * F.lit(span))
+
+    def decode(v: pa.Array) -> pa.Array:
+        x, off, null = lists(v)
+        return list_array(b.lo + (x + 128) / 255 * span, off, null)
+
+    return arrow_udf(decode, "array<double>")(stored)
 
 
 def knn_quantized(points: DataFrame, queries: DataFrame, b: Bounds, k: int = 10, metric: str = "Cosine",
