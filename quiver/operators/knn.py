@@ -12,8 +12,11 @@ Plan shape::
   to the shared checkpoint folder (exact, bounded driver memory).
 * No pair table is ever built: each task emits at most ``k`` rows per query
   (plus exact ties), so the shuffle carries ``queries x k x tasks`` rows no
-  matter how many points there are, and the final window per query sees a
-  bounded number of candidates.
+  matter how many points there are.  On a scan of many tasks a first pass
+  over a 1 % sample gives each query a score bound that the full pass must
+  beat, which cuts the shuffle to about ``queries x k x 100`` rows (exact).
+* Only (query, point) pairs that can be answers are scored: per payload group
+  and per probed bucket, in tiles of bounded size.
 * The payload filter runs before scoring (a filter after top-k would change
   the answer) and is pushed into the parquet scan when it is a plain
   predicate.
@@ -36,6 +39,9 @@ from quiver.functions.vectors import check_metric
 from quiver.session import scratch_path
 
 DEFAULT_MAX_BROADCAST_BYTES = 256 << 20
+# Sampled bound: used from this many scan tasks on, with this share of points.
+BOUND_MIN_TASKS = 1000
+BOUND_FRACTION = 0.01
 
 
 def _scores(metric: str, P: np.ndarray, Q: np.ndarray, qnorm: np.ndarray) -> np.ndarray:
@@ -143,10 +149,20 @@ def _blocks(batch: pa.RecordBatch, nq: int, groups, qgroup_idx, probes):
                 yield sel, rows if gi < 0 else np.intersect1d(rows, members[gi], assume_unique=True)
 
 
+def _within(score: np.ndarray, bound: np.ndarray, higher: bool) -> np.ndarray:
+    """Candidates that can still be in the query's top k: not worse than the
+    k-th best score of a sample of the points (``bound``; NaN = no bound).
+    Compared on final scores; a small slack keeps ties up to rounding."""
+    slack = 1e-9 * (1.0 + np.abs(bound))
+    with np.errstate(invalid="ignore"):
+        worse = score < bound - slack if higher else score > bound + slack
+    return ~worse
+
+
 def _make_scorer(bc, metric: str, k: int, higher: bool, id_col: str, vec_col: str,
                  passthrough: Sequence[str], out_schema: pa.Schema, dim: int):
     def scorer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        qids, Q, groups, qgroup_idx, probes = bc.value
+        qids, Q, groups, qgroup_idx, probes, bound = bc.value
         qnorm = np.sqrt(np.einsum("ij,ij->i", Q, Q))
         pending: list[pa.Table] = []
         pending_rows = 0
@@ -165,9 +181,13 @@ def _make_scorer(bc, metric: str, k: int, higher: bool, id_col: str, vec_col: st
                     qt = qsel[t : t + step]
                     S = _scores(metric, Pb, Q[qt], qnorm[qt])
                     r, c = _select(S, k, higher)
+                    sc = _exact_refine(metric, Pb, Q[qt], r, c) if metric == "Euclid" else S[r, c]
+                    if bound is not None:
+                        keep = _within(sc, bound[qt[r]], higher)
+                        r, c, sc = r[keep], c[keep], sc[keep]
                     hit_q.append(qt[r])
                     hit_r.append(rows[c])
-                    hit_s.append(_exact_refine(metric, Pb, Q[qt], r, c) if metric == "Euclid" else S[r, c])
+                    hit_s.append(sc)
             if not hit_q:
                 continue
             qi, ri = np.concatenate(hit_q), np.concatenate(hit_r)
@@ -192,7 +212,7 @@ def _make_scorer(bc, metric: str, k: int, higher: bool, id_col: str, vec_col: st
 
 
 def _query_block(queries: DataFrame, qid: str, qvec: str, dim: int, qgroup: str | None,
-                 qprobe: str | None = None):
+                 qprobe: str | None = None, bounds: tuple[np.ndarray, np.ndarray] | None = None):
     cols = [F.col(qid).cast("long").alias("q"), F.col(qvec).alias("v")]
     if qgroup:
         cols.append(F.col(qgroup).cast("string").alias("g"))
@@ -212,21 +232,28 @@ def _query_block(queries: DataFrame, qid: str, qvec: str, dim: int, qgroup: str
         probes = np.zeros((len(lists), width), dtype=bool)
         for i, x in enumerate(lists):
             probes[i, [b for b in (x or []) if b >= 0]] = True
+    bound = None
+    if bounds is not None and len(bounds[0]) and len(qids):
+        order = np.argsort(bounds[0])
+        bq, bv = bounds[0][order], bounds[1][order]
+        at = np.minimum(np.searchsorted(bq, qids), len(bq) - 1)
+        bound = np.where(bq[at] == qids, bv[at], np.nan)
     if not qgroup:
-        return qids, Q, None, None, probes
+        return qids, Q, None, None, probes, bound
     g = tbl.column("g").to_pylist()
     groups = sorted({x for x in g if x is not None})
     pos = {x: i for i, x in enumerate(groups)}
     idx = np.array([pos[x] if x is not None else -1 for x in g], dtype=np.int64)
-    return qids, Q, groups, idx, probes
+    return qids, Q, groups, idx, probes, bound
 
 
 def _score_chunk(points: DataFrame, queries: DataFrame, k: int, metric: str, higher: bool,
                  id_col: str, vec_col: str, qid: str, qvec: str, passthrough: list[str],
                  dim: int, qgroup: str | None, pgroups: str | None,
-                 qprobe: str | None = None, pbucket: str | None = None) -> DataFrame:
+                 qprobe: str | None = None, pbucket: str | None = None,
+                bounds: tuple[np.ndarray, np.ndarray] | None = None) -> DataFrame:
     spark = points.sparkSession
-    block = _query_block(queries, qid, qvec, dim, qgroup, qprobe)
+    block = _query_block(queries, qid, qvec, dim, qgroup, qprobe, bounds)
     bc = spark.sparkContext.broadcast(block)
     extra = [F.col(pgroups).alias(_GROUPS)] if qgroup else []
     if qprobe:
@@ -253,6 +280,20 @@ def _score_chunk(points: DataFrame, queries: DataFrame, k: int, metric: str, hig
     )
 
 
+def _sample_bounds(sample: DataFrame, queries: DataFrame, args: tuple, k: int,
+                   higher: bool) -> tuple[np.ndarray, np.ndarray]:
+    """``(query ids, k-th best score)`` of the queries that have k answers
+    in ``sample`` (one number per query: bounded like the query block)."""
+    top = _score_chunk(sample, queries, *args)
+    kth = F.min("score") if higher else F.max("score")
+    tbl = (
+        top.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"), kth.alias("b"))
+        .filter(F.col("n") >= k).select("query_id", "b").toArrow()
+    )
+    return (tbl.column("query_id").to_numpy(zero_copy_only=False),
+            tbl.column("b").to_numpy(zero_copy_only=False).astype(np.float64))
+
+
 def _arrow_field(field: T.StructField) -> pa.Field:
     from pyspark.sql.pandas.types import to_arrow_type
 
@@ -274,6 +315,7 @@ def knn_search(
     group_match: tuple[str, str] | None = None,
     probe_match: tuple[str, str] | None = None,
     max_broadcast_bytes: int = DEFAULT_MAX_BROADCAST_BYTES,
+    bound_fraction: float | str | None = "auto",
 ) -> DataFrame:
     """Top-``k`` points per query, best first: ``query_id, rank, id, score, *passthrough``.
 
@@ -288,6 +330,13 @@ def knn_search(
     ``probe_match=(query_array_col, point_bucket_col)`` scores a point for a
     query only if the point's bucket is in the query's probe list (used by
     the bucketed approximate search).
+
+    ``bound_fraction``: before the full pass, search a seeded sample of this
+    share of the points; the k-th best sample score of a query is a bound no
+    true top-k score can be worse than, so the full pass ships only points
+    that beat it – about ``k / fraction`` candidates per query instead of
+    ``k`` per scan task.  Exact.  ``"auto"`` uses 1 % when the point scan has
+    at least ``BOUND_MIN_TASKS`` partitions; ``None`` never samples.
     """
     if k <= 0:
         raise ValueError("k must be positive")
@@ -309,9 +358,18 @@ def knn_search(
     qprobe, pbucket = probe_match or (None, None)
     args = (k, metric, higher, id_col, vector_col, query_id_col, query_vector_col,
             list(passthrough), dim, qgroup, pgroups, qprobe, pbucket)
+    if bound_fraction == "auto":
+        bound_fraction = BOUND_FRACTION if points.rdd.getNumPartitions() >= BOUND_MIN_TASKS else None
+
+    def search(qs: DataFrame) -> DataFrame:
+        bounds = None
+        if bound_fraction:
+            bounds = _sample_bounds(points.sample(fraction=bound_fraction, seed=17), qs, args, k, higher)
+        return _score_chunk(points, qs, *args, bounds=bounds)
+
     block_bytes = n * dim * 8
     if block_bytes <= max_broadcast_bytes:
-        return _score_chunk(points, queries, *args)
+        return search(queries)
     # Exact answer for a query set above the broadcast bound: hash chunks of
     # bounded size scored in turn; each chunk's result is written to the shared
     # checkpoint folder so no chunk is held twice and lost executors only redo
@@ -321,7 +379,7 @@ def knn_search(
     key = F.pmod(F.xxhash64(F.col(query_id_col)), F.lit(chunks))
     paths = []
     for c in range(chunks):
-        part = _score_chunk(points, queries.filter(key == c), *args)
+        part = search(queries.filter(key == c))
         path = scratch_path(spark, f"knn-chunk{c}")
         part.write.mode("overwrite").parquet(path)
         paths.append(path)

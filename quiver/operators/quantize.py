@@ -82,22 +82,29 @@ def dequantize(stored: F.Column, b: Bounds) -> F.Column:
 
 def knn_quantized(points: DataFrame, queries: DataFrame, b: Bounds, k: int = 10, metric: str = "Cosine",
                   oversample: int = 4, id_col: str = "id", codes_col: str = "codes",
-                  vector_col: str = "vector", query_vector_col: str = "vector") -> DataFrame:
+                  vector_col: str = "vector", query_vector_col: str = "vector",
+                  max_broadcast_bytes: int = 64 << 20) -> DataFrame:
     """K5: top ``k * oversample`` per query on dequantized codes (narrow scan),
     then exact scores on the original vectors of those candidates only.
 
-    The candidate set is bounded by ``queries x k x oversample`` rows; the
-    join back to the originals is an equi-join on id (AQE broadcasts the
-    candidates when they are small, runtime filters prune the scan).
+    The candidate set is bounded by ``queries x k x oversample`` rows; when
+    that bound (16 bytes a row) and the query vectors (8 bytes a component)
+    fit ``max_broadcast_bytes`` they are broadcast, so the originals are
+    fetched by a map-side hash join and the point table is never shuffled.
+    Beyond the bound both joins are ordinary shuffle joins.
     """
     higher = check_metric(metric)
+    shape = queries.agg(F.count(F.lit(1)).alias("n"), F.max(F.size(query_vector_col)).alias("d")).first()
+    n, dim = shape["n"] or 0, shape["d"] or 0
     approx_pts = points.select(id_col, dequantize(F.col(codes_col), b).alias("_dq"))
     cand = knn_search(approx_pts, queries, k=k * oversample, metric=metric, id_col=id_col,
                       vector_col="_dq", query_vector_col=query_vector_col)
     cand = cand.select("query_id", id_col)
     qv = queries.select("query_id", F.col(query_vector_col).alias("_qv"))
-    # Join order: candidates (small) pick their originals first, then meet
-    # their query vector; AQE broadcasts whichever side is small at runtime.
+    if n * k * oversample * 16 <= max_broadcast_bytes:
+        cand = F.broadcast(cand)
+    if n * dim * 8 <= max_broadcast_bytes:
+        qv = F.broadcast(qv)
     exact = (
         points.select(id_col, vector_col)
         .join(cand, id_col)

@@ -105,3 +105,53 @@ def test_quantization_error_within_one_step(spark):
         for x, y in zip(r["vector"], r["dq"]):
             if b.lo <= x <= b.hi:
                 assert abs(x - y) <= step / 2 + 1e-12
+
+
+@pytest.mark.parametrize("metric", ["Cosine", "Dot", "Euclid", "Manhattan"])
+def test_sampled_bound_is_exact(spark, metric):
+    """The sample bound only removes candidates that cannot be in the top k."""
+    rng = np.random.default_rng(11)
+    P = rng.normal(size=(400, 6))
+    P[10] = P[11]  # tie
+    Q = rng.normal(size=(9, 6))
+    pts = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(P)], "id long, vector array<double>")
+    qs = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(Q)], "query_id long, vector array<double>")
+    got = {}
+    for r in knn.knn_search(pts.repartition(7), qs, k=5, metric=metric, bound_fraction=0.3).collect():
+        got.setdefault(r["query_id"], []).append((r["rank"], r["id"]))
+    want = _brute(P, Q, metric, 5)
+    assert {q: [i for _, i in sorted(v)] for q, v in got.items()} == want
+
+
+def test_sampled_bound_with_groups_and_vector_functions(spark):
+    """Group-filtered search with a bound equals the unbounded search, and the
+    Arrow pair scorer agrees with numpy (NULL and width mismatch -> NULL)."""
+    from quiver.functions.vectors import l2_normalize, score
+
+    rng = np.random.default_rng(2)
+    groups = ["a", "b", "c"]
+    rows = [(i, rng.normal(size=4).tolist(), [groups[i % 3]] + (["b"] if i % 5 == 0 else [])) for i in range(300)]
+    pts = spark.createDataFrame(rows, "id long, vector array<double>, groups array<string>")
+    qs = spark.createDataFrame(
+        [(i, rng.normal(size=4).tolist(), groups[i % 3] if i % 4 else None) for i in range(12)],
+        "query_id long, vector array<double>, grp string",
+    )
+    args = dict(k=4, group_match=("grp", "groups"))
+    a = sorted(tuple(r) for r in knn.knn_search(pts.repartition(4), qs, bound_fraction=None, **args).collect())
+    b = sorted(tuple(r) for r in knn.knn_search(pts.repartition(4), qs, bound_fraction=0.25, **args).collect())
+    assert a == b and len(a) == 48
+
+    pairs = spark.createDataFrame(
+        [([3.0, 4.0], [3.0, 4.0]), ([1.0, 0.0], [0.0, 0.0]), (None, [1.0]), ([1.0, 2.0], [1.0])],
+        "a array<double>, b array<double>",
+    )
+    out = pairs.select(
+        score("Cosine", F.col("a"), F.col("b")).alias("c"), score("Euclid", F.col("a"), F.col("b")).alias("e"),
+        score("Manhattan", F.col("a"), F.col("b")).alias("m"), score("Dot", F.col("a"), F.col("b")).alias("d"),
+        l2_normalize(F.col("a")).alias("u"),
+    ).collect()
+    assert out[0]["c"] == pytest.approx(1.0) and out[0]["d"] == pytest.approx(25.0) and out[0]["e"] == 0.0
+    assert out[0]["u"] == pytest.approx([0.6, 0.8])
+    assert out[1]["c"] is None and out[1]["m"] == pytest.approx(1.0)
+    assert out[2]["c"] is None and out[2]["u"] is None
+    assert out[3]["e"] is None and out[3]["d"] is None
