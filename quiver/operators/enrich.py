@@ -388,6 +388,9 @@ def evaluate_batch(df: DataFrame, text_col: str,
                     "response": [r[1] for r in res],
                 })
 
-    answered = cleaned.mapInPandas(fn, schema)
+    # The answers feed both the rows and the AVERAGE row: write them once to
+    # the shared checkpoint folder so the calls (timed, maybe not repeatable)
+    # run once and the average describes exactly the rows returned.
+    answered = cleaned.mapInPandas(fn, schema).checkpoint(eager=True)
     parsed = parse_response(answered).drop("response")
     return with_average_row(parsed)

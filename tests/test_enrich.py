@@ -1,6 +1,9 @@
 """Enrichment rules, schema checks and the model backend (FIXTURES part A)."""
 
 import json
+import time
+
+import pytest
 
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -99,3 +102,19 @@ def test_evaluate_batch(spark):
     assert set(by) == {"blue dress", "boom", "AVERAGE"}
     assert by["boom"]["error"] == "ERROR: model down"
     assert by["blue dress"]["group"] == "ladies" and by["AVERAGE"]["latency_seconds"] >= 0
+
+
+def test_evaluate_batch_average_matches_rows(spark):
+    """Calls run once: the AVERAGE row is the mean of the latencies returned,
+    even for a backend whose timing differs on every call."""
+    import random
+
+    def backend(q):
+        time.sleep(random.random() / 200)
+        return '{"block": false, "queries": [], "group": "men"}'
+
+    df = spark.createDataFrame([(f"q{i}",) for i in range(40)], "user_queries string").repartition(4)
+    rows = enrich.evaluate_batch(df, "user_queries", backend=backend).collect()
+    lat = [r["latency_seconds"] for r in rows if r["query"] != "AVERAGE"]
+    avg = [r["latency_seconds"] for r in rows if r["query"] == "AVERAGE"]
+    assert len(lat) == 40 and avg == [pytest.approx(sum(lat) / 40, abs=1e-12)]
