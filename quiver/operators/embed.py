@@ -27,6 +27,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quiver.sources.tables import spread
+
 TOKEN_SPLIT = r"[^\p{L}\p{N}]+"
 TEXT_DIM = 768
 MULTIMODAL_DIM = 1408
@@ -52,7 +54,7 @@ def term_weights(df: DataFrame, id_col: str, text_col: str, dim: int, hash_metho
     Split, explode and drop empty tokens with plain expressions (whole-stage
     codegen); a higher-order ``filter`` lambda would run interpreted."""
     h = token_hash(F.col("tok"), hash_method)
-    exploded = df.select(
+    exploded = spread(df).select(
         F.col(id_col), F.explode(F.split(F.lower(F.col(text_col)), TOKEN_SPLIT)).alias("tok")
     ).filter(F.col("tok") != "")
     signed = exploded.select(

@@ -37,10 +37,12 @@ from pyspark.sql import types as T
 
 from quiver.functions.vectors import check_metric
 from quiver.session import scratch_path
+from quiver.sources.tables import input_files
 
 DEFAULT_MAX_BROADCAST_BYTES = 256 << 20
-# Sampled bound: used from this many scan tasks on, with this share of points.
-BOUND_MIN_TASKS = 1000
+# Sampled bound: used from this many input files (each at least one scan
+# task) on, with this share of points.
+BOUND_MIN_FILES = 1000
 BOUND_FRACTION = 0.01
 
 
@@ -335,8 +337,8 @@ def knn_search(
     share of the points; the k-th best sample score of a query is a bound no
     true top-k score can be worse than, so the full pass ships only points
     that beat it – about ``k / fraction`` candidates per query instead of
-    ``k`` per scan task.  Exact.  ``"auto"`` uses 1 % when the point scan has
-    at least ``BOUND_MIN_TASKS`` partitions; ``None`` never samples.
+    ``k`` per scan task.  Exact.  ``"auto"`` uses 1 % when the points are
+    read from at least ``BOUND_MIN_FILES`` files; ``None`` never samples.
     """
     if k <= 0:
         raise ValueError("k must be positive")
@@ -359,7 +361,7 @@ def knn_search(
     args = (k, metric, higher, id_col, vector_col, query_id_col, query_vector_col,
             list(passthrough), dim, qgroup, pgroups, qprobe, pbucket)
     if bound_fraction == "auto":
-        bound_fraction = BOUND_FRACTION if points.rdd.getNumPartitions() >= BOUND_MIN_TASKS else None
+        bound_fraction = BOUND_FRACTION if input_files(points) >= BOUND_MIN_FILES else None
 
     def search(qs: DataFrame) -> DataFrame:
         bounds = None

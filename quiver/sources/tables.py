@@ -24,3 +24,22 @@ def register_tables(spark: SparkSession, sf_dir: str) -> None:
     """Register every table as a temporary view for ``spark.sql``."""
     for name in TABLES:
         table(spark, sf_dir, name).createOrReplaceTempView(name)
+
+
+def input_files(df: DataFrame) -> int:
+    """Number of files the frame reads (from the plan; no job runs)."""
+    return len(df.inputFiles())
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Round-robin a frame read from fewer files than the cluster has cores.
+
+    Used before CPU-heavy per-row work (tokenising whole texts, scoring
+    vectors): a small or single-file input would otherwise run in one task.
+    A frame read from at least as many files as there are cores is returned
+    unchanged, so a large scan is never shuffled for this.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if input_files(df) >= cores:
+        return df
+    return df.repartition(cores)

@@ -75,38 +75,51 @@ STATE_SCHEMA = T.StructType([
 
 
 _FOLD_COLS = ["state_key", "state_value", "ts", "event_id"]
+# A chunk larger than this is first reduced to one row per key (vectorised).
+_REDUCE_ROWS = 512
 
 
 def _latest(df: pd.DataFrame) -> pd.DataFrame:
-    """The last write per key by ``(ts, event_id)`` (vectorised)."""
+    """The last write per key by ``(ts, event_id)``."""
     return df.sort_values(["state_key", "ts", "event_id"], kind="stable").drop_duplicates(
         "state_key", keep="last"
     )
 
 
 def _fold(key: tuple, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """Merge a session's new events into its state.  Each Arrow chunk is
-    reduced to one row per key as it arrives, so memory is bounded by the
-    session's key count however many events a hot session brings."""
+    """Merge a session's new events into its state.  A large Arrow chunk (a
+    hot session) is reduced to one row per key with pandas before the merge,
+    so the Python steps per chunk are bounded by the key count; memory is
+    bounded by the key count as well."""
     (session_id,) = key
-    best = pd.DataFrame({c: pd.Series(dtype=t) for c, t in
-                         zip(_FOLD_COLS, ["object", "float64", "datetime64[ns]", "int64"])})
+    best: dict[str, tuple[float, pd.Timestamp, int]] = {}
     if state.exists:
         keys, values, ts, eids = state.get
-        best = pd.DataFrame({"state_key": keys, "state_value": values,
-                             "ts": pd.to_datetime(list(ts)), "event_id": eids})
+        for k, v, t, e in zip(keys, values, ts, eids):
+            best[k] = (v, pd.Timestamp(t), int(e))
     for pdf in pdfs:
         pdf = pdf.loc[pdf["state_key"].notna(), _FOLD_COLS]
-        if len(pdf):
-            best = _latest(pd.concat([best, _latest(pdf)], ignore_index=True))
-    best = best.sort_values("state_key")
+        if len(pdf) > _REDUCE_ROWS:
+            pdf = _latest(pdf)
+        for k, v, t, e in zip(pdf["state_key"], pdf["state_value"], pdf["ts"], pdf["event_id"]):
+            t, e = pd.Timestamp(t), int(e)
+            cur = best.get(k)
+            if cur is None or (t, e) > (cur[1], cur[2]):
+                best[k] = (v, t, e)
+    keys = sorted(best)
     state.update((
-        best["state_key"].tolist(),
-        best["state_value"].astype(float).tolist(),
-        [t.to_pydatetime() for t in best["ts"]],
-        best["event_id"].astype("int64").tolist(),
+        keys,
+        [float(best[k][0]) for k in keys],
+        [best[k][1].to_pydatetime() for k in keys],
+        [best[k][2] for k in keys],
     ))
-    yield best.assign(session_id=session_id)[["session_id", *_FOLD_COLS]]
+    yield pd.DataFrame({
+        "session_id": [session_id] * len(keys),
+        "state_key": keys,
+        "state_value": [best[k][0] for k in keys],
+        "ts": [best[k][1] for k in keys],
+        "event_id": [best[k][2] for k in keys],
+    })
 
 
 def stream_session_state(spark: SparkSession, source_dir: str, schema: T.StructType, out_dir: str,
