@@ -140,8 +140,9 @@ def expand(text: Column, num_queries: int = NUM_QUERIES) -> Column:
     for p in STRIP_PATTERNS:
         base = F.regexp_replace(base, p, " ")
     base = strip(F.regexp_replace(base, r"\s+", " "))
-    variants = F.transform(F.array(*[F.lit(f) for f in FACETS]), lambda f: F.concat(base, F.lit(" "), f))
-    full = F.concat(F.array(base), variants)
+    # Plain expressions (no lambda): codegen evaluates ``base`` once per row.
+    variants = [F.concat(base, F.lit(" " + f)) for f in FACETS[: max(num_queries - 1, 0)]]
+    full = F.array(base, *variants)
     return F.when(base.isNull() | (base == ""), F.array().cast("array<string>")).otherwise(
         F.slice(full, 1, num_queries)
     )

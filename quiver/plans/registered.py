@@ -578,7 +578,10 @@ def retrieve_for_queries(spark, sf):
         "query_id", "grp", F.posexplode("ex").alias("pos", "text")
     ).withColumn("eq_id", F.col("query_id") * 16 + F.col("pos"))
     emb = embed.embed_text(expanded, "text", dim=64, id_col="eq_id", hash_method="md5")
-    qs = emb.select(F.col("eq_id").alias("query_id"), F.col("embedding").alias("vector"), "grp")
+    # The query side is read twice by the search (size check, query block):
+    # materialise it once in the shared checkpoint folder (with a model
+    # backend this also keeps non-repeatable answers fixed).
+    qs = emb.select(F.col("eq_id").alias("query_id"), F.col("embedding").alias("vector"), "grp").checkpoint()
     pts = point_table(spark, sf).select(
         "id", F.col("vectors")["image"].alias("vector"), F.col("payload.group").alias("groups")
     )
