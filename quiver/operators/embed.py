@@ -127,13 +127,26 @@ def _embed_with_backend(df, text_col, dim, out_col, backend):
     return df.mapInPandas(fn, schema)
 
 
-def synthetic_vector(key: Column, dim: int, seed: int = 0) -> Column:
+def synthetic_vector(key: Column, dim: int, seed: int = 0, hash_method: str = "xxhash64") -> Column:
     """K8: ``dim`` values uniform in [-1, 1) derived from ``key`` and ``seed``.
 
     Hash based, so the same key gives the same vector whatever the
-    partitioning or re-execution (``rand()`` depends on the partition)."""
-    scale = float(1 << 53)
-    return F.transform(
-        F.sequence(F.lit(1), F.lit(dim)),
-        lambda i: (F.pmod(F.xxhash64(key, i, F.lit(seed)), F.lit(1 << 53)).cast("double") / scale) * 2 - 1,
-    )
+    partitioning or re-execution (``rand()`` depends on the partition).
+    ``md5`` (52 bits of the MD5 of ``key-i-seed``) gives vectors any SQL
+    engine reproduces; ``xxhash64`` is faster."""
+    if hash_method == "md5":
+        scale = float(1 << 52)
+
+        def value(i: Column) -> Column:
+            text = F.concat_ws("-", key.cast("string"), i.cast("string"), F.lit(str(seed)))
+            return F.conv(F.substring(F.md5(text), 1, 13), 16, 10).cast("long").cast("double") / scale * 2 - 1
+
+    elif hash_method == "xxhash64":
+        scale = float(1 << 53)
+
+        def value(i: Column) -> Column:
+            return (F.pmod(F.xxhash64(key, i, F.lit(seed)), F.lit(1 << 53)).cast("double") / scale) * 2 - 1
+
+    else:
+        raise ValueError("hash_method must be 'md5' or 'xxhash64'")
+    return F.transform(F.sequence(F.lit(1), F.lit(dim)), value)

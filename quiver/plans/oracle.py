@@ -379,6 +379,17 @@ SELECT vec_id AS id,
        round(b.lo, 6) AS lo, round(b.hi, 6) AS hi
 FROM e, b"""
 
+# K8: the md5-derived synthetic vector of every benchmark item, top 3 embeddings.
+ORACLE["synthetic_vectors"] = """
+WITH q AS (SELECT item_id AS query_id, list_transform(range(1, 65), lambda i:
+             CAST(('0x' || substring(md5(CAST(item_id AS VARCHAR) || '-' || CAST(i AS VARCHAR) || '-1'), 1, 13))
+                  AS BIGINT) / 4503599627370496.0 * 2 - 1) AS v FROM benchmark),
+e AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings),
+s AS (SELECT q.query_id, e.vec_id AS id, list_cosine_similarity(e.v, q.v) AS score FROM e, q),
+top AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rnk
+        FROM s WHERE score IS NOT NULL AND NOT isnan(score))
+SELECT query_id, CAST(rnk AS BIGINT) AS rank, id, round(score, 6) AS score FROM top WHERE rnk <= 3"""
+
 # K5: top k*4 on the dequantized codes (code midpoints), exact re-rank on the floats.
 ORACLE["knn_quantized_rerank"] = ORACLE["quantize_int8"].split("SELECT vec_id AS id,")[0].rstrip() + """,
 dq AS (SELECT vec_id AS id, list_transform(v, lambda x: b.lo

@@ -509,7 +509,8 @@ def ann_recall(spark, sf):
 def synthetic_vectors(spark, sf):
     """K8: a synthetic 64-d query per benchmark item, top-3 embeddings (benchmark job)."""
     qs = table(spark, sf, "benchmark").select(
-        F.col("item_id").alias("query_id"), embed.synthetic_vector(F.col("item_id"), 64, seed=1).alias("vector")
+        F.col("item_id").alias("query_id"),
+        embed.synthetic_vector(F.col("item_id"), 64, seed=1, hash_method="md5").alias("vector"),
     )
     return _flat_knn(knn.knn_search(embedding_points(spark, sf), qs, k=3, metric="Cosine"))
 

@@ -34,3 +34,19 @@ def test_synthetic_repeatable(spark):
     assert a == b
     vals = np.array([x for r in a for x in r["v"]])
     assert vals.min() >= -1 and vals.max() < 1 and len(set(vals)) == len(vals)
+
+
+def test_synthetic_vectors_repeatable_and_uniform(spark):
+    from pyspark.sql import functions as F
+
+    from quiver.operators import embed
+
+    ids = spark.range(200).withColumnRenamed("id", "k")
+    for method in ("md5", "xxhash64"):
+        col = embed.synthetic_vector(F.col("k"), 16, seed=5, hash_method=method).alias("v")
+        a = [r["v"] for r in ids.select(col).orderBy(F.col("v")[0]).collect()]
+        b = [r["v"] for r in ids.repartition(7).select(col).orderBy(F.col("v")[0]).collect()]
+        assert a == b  # same key, same vector, whatever the partitioning
+        flat = np.array(a).ravel()
+        assert len(flat) == 3200 and flat.min() >= -1 and flat.max() < 1
+        assert abs(flat.mean()) < 0.05 and len(set(flat.tolist())) == 3200
