@@ -379,6 +379,10 @@ SELECT vec_id AS id,
        round(b.lo, 6) AS lo, round(b.hi, 6) AS hi
 FROM e, b"""
 
+# The 3 queries with the smallest md5 key of (query_id, seed).
+ORACLE["sample_queries"] = ENRICH + """
+SELECT query_id, query FROM cl ORDER BY md5(CAST(query_id AS VARCHAR) || '-42'), query_id LIMIT 3"""
+
 # K8: the md5-derived synthetic vector of every benchmark item, top 3 embeddings.
 ORACLE["synthetic_vectors"] = """
 WITH q AS (SELECT item_id AS query_id, list_transform(range(1, 65), lambda i:

@@ -408,9 +408,11 @@ def render_prompt(spark, sf):
 
 @register
 def sample_queries(spark, sf):
-    """Repeatable sample of k=3 warm-up queries without replacement."""
+    """Repeatable sample of k=3 warm-up queries without replacement: the
+    3 smallest md5 keys of (query_id, seed) – a per-task top-3, then a merge."""
     q = _queries(spark, sf)
-    return q.orderBy(F.xxhash64("query_id", F.lit(42)), "query_id").limit(3)
+    key = F.md5(F.concat_ws("-", F.col("query_id").cast("string"), F.lit("42")))
+    return q.orderBy(key, "query_id").limit(3)
 
 
 @register
