@@ -383,6 +383,23 @@ FROM e, b"""
 ORACLE["sample_queries"] = ENRICH + """
 SELECT query_id, query FROM cl ORDER BY md5(CAST(query_id AS VARCHAR) || '-42'), query_id LIMIT 3"""
 
+# Load job: the collection after an insert-if-absent load and a re-run with
+# changed payloads equals the first load.
+ORACLE["load_collection"] = EXTRACT + """
+SELECT id, array_to_string(groups, ',') AS groups, CAST(len(vector) AS BIGINT) AS n_dims FROM pts"""
+
+# Every customer's session state; unknown sessions -> no keys.
+ORACLE["session_lookup"] = SESS + """,
+st AS (SELECT session_id, state_key, state_value FROM (
+         SELECT *, row_number() OVER (PARTITION BY app, user_id, session_id, state_key
+                                      ORDER BY ts DESC, event_id DESC) AS k
+         FROM cur WHERE state_key IS NOT NULL) WHERE k = 1),
+agg AS (SELECT session_id, count(*) AS n, string_agg(state_key, ',' ORDER BY state_key) AS keys,
+               sum(state_value) AS total FROM st GROUP BY session_id)
+SELECT CAST(c.c_custkey AS VARCHAR) AS session_id, CAST(coalesce(agg.n, 0) AS BIGINT) AS n_keys,
+       coalesce(agg.keys, '') AS keys, round(coalesce(agg.total, 0.0), 6) AS total
+FROM customer c LEFT JOIN agg ON agg.session_id = CAST(c.c_custkey AS VARCHAR)"""
+
 # K8: the md5-derived synthetic vector of every benchmark item, top 3 embeddings.
 ORACLE["synthetic_vectors"] = """
 WITH q AS (SELECT item_id AS query_id, list_transform(range(1, 65), lambda i:

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quiver.operators import collection, knn, labels, points
+from quiver.session import scratch_path
 from quiver.sources.sql import load_sql
 from quiver.sources.tables import table
 from quiver.sources.views import view
@@ -206,6 +207,27 @@ def count_filtered(spark, sf):
     return points.count_points(point_table(spark, sf), points.group_filter("men"))
 
 
+@register
+def load_collection(spark, sf):
+    """The load job end to end (C1, P4/P5, S5, C2): create the collection with
+    its vector spec if absent, load the validated points insert-if-absent,
+    run the load again with changed payloads (existing ids stay unchanged),
+    and read the current version back."""
+    path = scratch_path(spark, "collection")
+    spec = {"image": (64, "Cosine")}
+    collection.create(spark, path, "products", spec, quantized=True)
+    good, _ = points.quarantine_bad_rows(point_table(spark, sf), spec)
+    batch = good.select(*collection.POINT_SCHEMA.fieldNames())
+    collection.load(spark, path, batch)
+    changed = batch.withColumn("payload", F.struct(F.array(F.lit("changed")).alias("group")))
+    collection.load(spark, path, changed)
+    cur = collection.current(spark, path)
+    return cur.select(
+        "id", F.array_join("payload.group", ",").alias("groups"),
+        F.size(F.col("vectors")["image"]).cast("long").alias("n_dims"),
+    )
+
+
 # ---------------------------------------------------------------- kNN
 
 
@@ -307,6 +329,25 @@ def session_clear_history(spark, sf):
     return h.select("session_id", "event_id", "author")
 
 
+@register
+def session_lookup(spark, sf):
+    """State of every customer's session; sessions without events get
+    the empty state ({} -> 0 keys)."""
+    asked = table(spark, sf, "customer").select(
+        F.lit("shop").alias("app"),
+        F.col("c_custkey").cast("string").alias("user_id"),
+        F.col("c_custkey").cast("string").alias("session_id"),
+    )
+    state = sessions.session_state(view(spark, sf, "session_events"))
+    got = sessions.lookup(asked, state)
+    return got.select(
+        "session_id",
+        F.size("state").cast("long").alias("n_keys"),
+        F.array_join(F.array_sort(F.map_keys("state")), ",").alias("keys"),
+        F.round(F.aggregate(F.map_values("state"), F.lit(0.0), lambda a, x: a + x), 6).alias("total"),
+    )
+
+
 @register
 def turn_pairs(spark, sf):
     """Each user turn with the first assistant turn before the next user turn."""
@@ -519,7 +560,6 @@ def synthetic_vectors(spark, sf):
 
 # ---------------------------------------------------------------- streaming twins
 
-from quiver.session import scratch_path  # noqa: E402
 from quiver.streaming import jobs  # noqa: E402
 
 
