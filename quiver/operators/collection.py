@@ -2,13 +2,19 @@
 
 A collection is a folder with
 
-* ``_spec/``   one row: ``name, vectors map<string, struct<size, distance>>,
-               quantized`` – what :func:`quiver.operators.points.validate_vectors`
-               checks every write against;
-* ``v=<n>/``   immutable versions of the points; a load writes the next
-               version in full (existing ∪ new) and the newest complete
-               version is current.  A failed or lost write leaves the previous
-               version untouched; re-running a load is idempotent by id.
+* ``_spec/``      one row: ``name, vectors map<string, struct<size, distance>>,
+                  quantized`` – what :func:`quiver.operators.points.validate_vectors`
+                  checks every write against;
+* ``full=<n>/``   a complete set of points (written by create and by
+                  overwrite loads);
+* ``delta=<n>/``  the points an insert-if-absent load added (only the fresh
+                  ids, so a load costs O(new rows), not O(collection)).
+
+The current collection is the newest committed ``full`` version plus every
+later committed ``delta`` (a folder counts once its ``_SUCCESS`` marker
+exists).  A failed or lost write leaves the previous state untouched; ids are
+unique across the parts by construction, and re-running a load is idempotent
+by id.
 
 Existence checks, listing and deletion use the Spark catalog / filesystem as
 they are (``spark.catalog``, ``DROP``); they are not rebuilt here.
@@ -21,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quiver.functions.vectors import check_metric
-from quiver.operators.points import upsert
+from quiver.operators.points import dedupe_by_id, upsert
 
 POINT_SCHEMA = T.StructType([
     T.StructField("id", T.LongType()),
@@ -62,7 +68,7 @@ def create(spark: SparkSession, path: str, name: str, vectors: dict[str, tuple[i
         [(name, {k: (s, m) for k, (s, m) in vectors.items()}, quantized)], SPEC_SCHEMA
     )
     spec.coalesce(1).write.mode("ignore").parquet(path.rstrip("/") + "/_spec")
-    spark.createDataFrame([], POINT_SCHEMA).write.mode("ignore").parquet(path.rstrip("/") + "/v=0")
+    spark.createDataFrame([], POINT_SCHEMA).write.mode("ignore").parquet(path.rstrip("/") + "/full=0")
     return True
 
 
@@ -71,30 +77,42 @@ def spec(spark: SparkSession, path: str) -> dict[str, tuple[int, str]]:
     return {k: (v["size"], v["distance"]) for k, v in row["vectors"].items()}
 
 
-def _versions(spark: SparkSession, path: str) -> list[int]:
+def _parts(spark: SparkSession, path: str) -> list[tuple[int, str, str]]:
+    """Committed parts ``(n, kind, folder)`` in version order."""
     fs, p = _fs(spark, path)
     out = []
     for st in fs.listStatus(p):
         name = st.getPath().getName()
-        if name.startswith("v=") and fs.exists(st.getPath().suffix("/_SUCCESS")):
-            out.append(int(name[2:]))
+        kind, _, n = name.partition("=")
+        if kind in ("full", "delta") and n.isdigit() and fs.exists(st.getPath().suffix("/_SUCCESS")):
+            out.append((int(n), kind, f"{path.rstrip('/')}/{name}"))
     return sorted(out)
 
 
 def current(spark: SparkSession, path: str) -> DataFrame:
-    v = _versions(spark, path)[-1]
-    return spark.read.schema(POINT_SCHEMA).parquet(f"{path.rstrip('/')}/v={v}")
+    """The newest full version and the deltas written after it."""
+    parts = _parts(spark, path)
+    base = max(i for i, (_, kind, _) in enumerate(parts) if kind == "full")
+    folders = [folder for _, _, folder in parts[base:]]
+    return spark.read.schema(POINT_SCHEMA).parquet(*folders)
 
 
 def load(spark: SparkSession, path: str, new_points: DataFrame, check_existing: bool = True) -> int:
-    """Write the next version = current ∪ new (insert-if-absent) or
-    current overwritten by new (``check_existing=False``).  Returns the version."""
-    latest = _versions(spark, path)[-1]
+    """Load ``new_points``; returns the version number written.
+
+    ``check_existing=True`` (insert-if-absent, the reference's default) writes
+    a delta with the ids not yet present – the anti join reads only the id
+    column of the collection.  ``False`` (overwrite by id) writes a full
+    version: the collection with those ids replaced."""
+    nxt = _parts(spark, path)[-1][0] + 1
     existing = current(spark, path)
-    mode = "insert_absent" if check_existing else "overwrite"
-    merged = upsert(existing, new_points.select(*POINT_SCHEMA.fieldNames()), mode=mode)
-    nxt = latest + 1
-    merged.write.mode("overwrite").parquet(f"{path.rstrip('/')}/v={nxt}")
+    new_points = new_points.select(*POINT_SCHEMA.fieldNames())
+    if check_existing:
+        fresh = dedupe_by_id(new_points).join(existing.select("id"), on="id", how="left_anti")
+        fresh.write.mode("overwrite").parquet(f"{path.rstrip('/')}/delta={nxt}")
+    else:
+        merged = upsert(existing, new_points, mode="overwrite")
+        merged.write.mode("overwrite").parquet(f"{path.rstrip('/')}/full={nxt}")
     return nxt
 
 

@@ -85,3 +85,27 @@ def test_collection_lifecycle(spark):
     assert cur.count() == 1
     info = collection.info(cur).first()
     assert (info["points_count"], info["min_dim"], info["zero_vectors"]) == (1, 2, 0)
+
+
+def test_collection_delta_and_full_versions(spark):
+    """Insert-if-absent loads append only fresh ids (delta); an overwrite load
+    writes a full version; the current view is the last full + later deltas."""
+    path = scratch_path(spark, "coll-versions")
+    collection.create(spark, path, "c", {"image": (2, "Dot")})
+
+    def pts(rows):
+        return spark.createDataFrame([(i, {"image": v}, ([g],)) for i, v, g in rows], collection.POINT_SCHEMA)
+
+    def state():
+        return sorted((r["id"], r["payload"]["group"][0]) for r in collection.current(spark, path).collect())
+
+    collection.load(spark, path, pts([(1, [1.0, 0.0], "a"), (2, [0.0, 1.0], "a")]))
+    collection.load(spark, path, pts([(2, [5.0, 5.0], "b"), (3, [1.0, 1.0], "b")]))  # 2 kept, 3 added
+    assert state() == [(1, "a"), (2, "a"), (3, "b")]
+    v = collection.load(spark, path, pts([(1, [2.0, 2.0], "c")]), check_existing=False)
+    assert collection._parts(spark, path)[-1][:2] == (v, "full")
+    assert state() == [(1, "c"), (2, "a"), (3, "b")]
+    collection.load(spark, path, pts([(4, [0.5, 0.5], "d"), (1, [9.0, 9.0], "x")]))
+    assert state() == [(1, "c"), (2, "a"), (3, "b"), (4, "d")]
+    kinds = [kind for _, kind, _ in collection._parts(spark, path)]
+    assert kinds == ["full", "delta", "delta", "full", "delta"]
