@@ -1,4 +1,4 @@
-"""Text column expressions: clean, template rendering, JSON parse/dump."""
+"""Text column expressions: clean, dates, template rendering, JSON parse/dump."""
 
 from __future__ import annotations
 
@@ -14,6 +14,13 @@ def strip(text: Column) -> Column:
     return F.regexp_replace(text, WS_EDGES, "")
 
 
+def date_text(day: str | Column | None = None) -> Column:
+    """a date as ``YYYY-MM-DD`` text; today when ``day`` is None (pass the
+    day explicitly for a repeatable result)."""
+    d = F.current_date() if day is None else F.to_date(F.lit(day) if isinstance(day, str) else day)
+    return F.date_format(d, "yyyy-MM-dd")
+
+
 def render(template: str | Column, values: dict[str, Column | str | int]) -> Column:
     """F8: replace ``{name}`` placeholders; a value may be a column or a constant."""
     out = F.lit(template) if isinstance(template, str) else template

@@ -356,7 +356,7 @@ def turn_pairs(spark, sf):
 
 # ---------------------------------------------------------------- enrichment
 
-from quiver.functions.text import render  # noqa: E402
+from quiver.functions.text import date_text, render  # noqa: E402
 from quiver.operators import enrich  # noqa: E402
 
 # Session parameters of the evaluation (reference config and
@@ -443,7 +443,7 @@ def merge_enrichments(spark, sf):
 @register
 def render_prompt(spark, sf):
     q = _queries(spark, sf)
-    values = dict(PROMPT_VALUES, query=F.col("query"))
+    values = dict(PROMPT_VALUES, cur_date=date_text(PROMPT_VALUES["cur_date"]), query=F.col("query"))
     return q.select("query_id", render(PROMPT_TEMPLATE, values).alias("prompt"))
 
 
