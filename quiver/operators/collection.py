@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quiver.functions.vectors import check_metric
-from quiver.operators.points import dedupe_by_id, upsert
+from quiver.operators.points import fresh_rows, upsert
 
 POINT_SCHEMA = T.StructType([
     T.StructField("id", T.LongType()),
@@ -108,7 +108,7 @@ def load(spark: SparkSession, path: str, new_points: DataFrame, check_existing:
     existing = current(spark, path)
     new_points = new_points.select(*POINT_SCHEMA.fieldNames())
     if check_existing:
-        fresh = dedupe_by_id(new_points).join(existing.select("id"), on="id", how="left_anti")
+        fresh = fresh_rows(existing, new_points).select(*POINT_SCHEMA.fieldNames())
         fresh.write.mode("overwrite").parquet(f"{path.rstrip('/')}/delta={nxt}")
     else:
         merged = upsert(existing, new_points, mode="overwrite")

@@ -134,27 +134,50 @@ def dedupe_by_id(points: DataFrame, id_col: str = "id", order_col: str | None =
     )
 
 
+# New batches up to this many rows have their ids broadcast (8 bytes each:
+# 32 MiB), so the collection is only scanned, never shuffled, by a load.
+BROADCAST_NEW_ROWS = 4_000_000
+
+
+def fresh_rows(existing: DataFrame, new: DataFrame, id_col: str = "id", order_col: str | None = None,
+               broadcast_new_rows: int = BROADCAST_NEW_ROWS) -> DataFrame:
+    """Rows of ``new`` (one per id, see :func:`dedupe_by_id`) whose id is not
+    in ``existing``.
+
+    A load batch is usually far smaller than the collection: when ``new`` has
+    at most ``broadcast_new_rows`` rows (counted, a narrow job) its ids are
+    broadcast and the collection's id column streams through a map-side semi
+    join – the collection is scanned, never shuffled.  A larger batch uses a
+    shuffle anti join on the id column (AQE splits skewed partitions).
+    """
+    small = new.count() <= broadcast_new_rows
+    new = dedupe_by_id(new, id_col, order_col)
+    if not small:
+        return new.join(existing.select(id_col), on=id_col, how="left_anti")
+    present = existing.select(id_col).join(F.broadcast(new.select(id_col)), on=id_col, how="left_semi")
+    return new.join(F.broadcast(present), on=id_col, how="left_anti")  # present has <= |new| rows
+
+
 def upsert(existing: DataFrame, new: DataFrame, mode: str = "insert_absent",
-           id_col: str = "id", order_col: str | None = None) -> DataFrame:
+           id_col: str = "id", order_col: str | None = None,
+           broadcast_new_rows: int = BROADCAST_NEW_ROWS) -> DataFrame:
     """The collection after loading ``new`` into ``existing``.
 
     * ``insert_absent`` (reference default): existing ids are left unchanged,
-      only new ids are added  ->  ``existing  UNION  (new ANTI JOIN existing)``.
+      only new ids are added  ->  ``existing  UNION  fresh_rows(existing, new)``.
     * ``overwrite``: new rows replace existing ones with the same id
-      ->  ``(existing ANTI JOIN new)  UNION  new``.
-
-    Duplicate ids inside ``new`` are reduced first (see :func:`dedupe_by_id`).
-    Both anti joins shuffle only the id column of the other side; AQE makes
-    them broadcast when that side is small and splits skewed partitions.
+      ->  ``(existing ANTI JOIN new)  UNION  new``; a small batch's ids are
+      broadcast, so the anti join streams the collection without a shuffle.
     """
-    new = dedupe_by_id(new, id_col, order_col).select(*existing.columns)
     if mode == "insert_absent":
-        fresh = new.join(existing.select(id_col), on=id_col, how="left_anti")
-        return existing.unionByName(fresh)
-    if mode == "overwrite":
-        kept = existing.join(new.select(id_col), on=id_col, how="left_anti")
-        return kept.unionByName(new)
-    raise ValueError("mode must be 'insert_absent' or 'overwrite'")
+        fresh = fresh_rows(existing, new, id_col, order_col, broadcast_new_rows)
+        return existing.unionByName(fresh.select(*existing.columns))
+    if mode != "overwrite":
+        raise ValueError("mode must be 'insert_absent' or 'overwrite'")
+    small = new.count() <= broadcast_new_rows
+    new = dedupe_by_id(new, id_col, order_col).select(*existing.columns)
+    ids = F.broadcast(new.select(id_col)) if small else new.select(id_col)
+    return existing.join(ids, on=id_col, how="left_anti").unionByName(new)
 
 
 def scroll(points: DataFrame, limit: int = 1000, with_vectors: bool = True,

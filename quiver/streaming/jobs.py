@@ -1,8 +1,9 @@
 """Structured Streaming twins of the incremental operators.
 
 * :func:`stream_upsert` – points arrive as files; each micro-batch is
-  deduplicated by id and anti-joined against the target collection, then
-  appended (``foreachBatch``).  Re-running a batch after a failure writes
+  deduplicated by id, its ids already stored are found by a map-side semi
+  join against the target (the batch's ids are broadcast, the target is never
+  shuffled), and the fresh rows are appended (``foreachBatch``).  Re-running a batch after a failure writes
   nothing twice, because ids already present are skipped: the sink is
   idempotent by id.
 * :func:`stream_session_state` – events arrive as files in any order;
@@ -25,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState
 
-from quiver.operators.points import dedupe_by_id
+from quiver.operators.points import fresh_rows
 from quiver.session import scratch_path
 
 
@@ -43,9 +44,8 @@ def stream_upsert(spark: SparkSession, source_dir: str, schema: T.StructType, ta
     files, until no file is left (``availableNow``)."""
 
     def load(batch: DataFrame, epoch: int) -> None:
-        new = dedupe_by_id(batch, id_col)
-        existing = batch.sparkSession.read.parquet(target_dir).select(id_col)
-        fresh = new.join(existing, on=id_col, how="left_anti").select(*schema.fieldNames())
+        existing = batch.sparkSession.read.parquet(target_dir)
+        fresh = fresh_rows(existing, batch, id_col).select(*schema.fieldNames())
         fresh.write.mode("append").parquet(target_dir)
 
     q = (

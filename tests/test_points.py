@@ -109,3 +109,17 @@ def test_collection_delta_and_full_versions(spark):
     assert state() == [(1, "c"), (2, "a"), (3, "b"), (4, "d")]
     kinds = [kind for _, kind, _ in collection._parts(spark, path)]
     assert kinds == ["full", "delta", "delta", "full", "delta"]
+
+
+def test_upsert_broadcast_and_shuffle_paths_agree(spark):
+    existing = spark.createDataFrame([(i, f"old{i}") for i in range(0, 60, 2)], "id long, v string")
+    new = spark.createDataFrame(
+        [(i, f"new{i}") for i in range(0, 90, 3)] + [(3, "dup3")], "id long, v string"
+    )
+    for mode in ("insert_absent", "overwrite"):
+        small = sorted(tuple(r) for r in points.upsert(existing, new, mode=mode).collect())
+        big = sorted(tuple(r) for r in points.upsert(existing, new, mode=mode, broadcast_new_rows=0).collect())
+        assert small == big
+        ids = [r[0] for r in small]
+        assert len(ids) == len(set(ids)) == len(set(range(0, 60, 2)) | set(range(0, 90, 3)))
+        assert dict(small)[6] == ("old6" if mode == "insert_absent" else "new6")
