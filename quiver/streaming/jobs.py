@@ -20,6 +20,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -66,59 +67,61 @@ STATE_OUT = T.StructType([
     T.StructField("ts", T.TimestampNTZType()),
     T.StructField("event_id", T.LongType()),
 ])
+# Per session: the winning write of each key, ``ts`` as microseconds.
 STATE_SCHEMA = T.StructType([
     T.StructField("keys", T.ArrayType(T.StringType())),
     T.StructField("values", T.ArrayType(T.DoubleType())),
-    T.StructField("ts", T.ArrayType(T.TimestampNTZType())),
+    T.StructField("ts_us", T.ArrayType(T.LongType())),
     T.StructField("eids", T.ArrayType(T.LongType())),
 ])
-
-
-_FOLD_COLS = ["state_key", "state_value", "ts", "event_id"]
 # A chunk larger than this is first reduced to one row per key (vectorised).
 _REDUCE_ROWS = 512
 
 
-def _latest(df: pd.DataFrame) -> pd.DataFrame:
-    """The last write per key by ``(ts, event_id)``."""
-    return df.sort_values(["state_key", "ts", "event_id"], kind="stable").drop_duplicates(
-        "state_key", keep="last"
-    )
+def _columns(pdf: pd.DataFrame):
+    """``(keys, values, ts µs, event ids)`` of the rows that carry a key."""
+    k = pdf["state_key"].to_numpy(dtype=object)
+    ok = pd.notna(k)
+    v = pdf["state_value"].to_numpy(dtype=np.float64)
+    t = pdf["ts"].to_numpy(dtype="datetime64[us]").view(np.int64)
+    e = pdf["event_id"].to_numpy(dtype=np.int64)
+    if not ok.all():
+        k, v, t, e = k[ok], v[ok], t[ok], e[ok]
+    if len(k) > _REDUCE_ROWS:
+        # last write per key: sort by (key, ts, event_id), keep each key's last row
+        codes, uniq = pd.factorize(k)
+        order = np.lexsort((e, t, codes))
+        last = order[np.r_[np.flatnonzero(np.diff(codes[order])), len(order) - 1]]
+        k, v, t, e = uniq[codes[last]], v[last], t[last], e[last]
+    return k.tolist(), v.tolist(), t.tolist(), e.tolist()
 
 
 def _fold(key: tuple, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """Merge a session's new events into its state.  A large Arrow chunk (a
-    hot session) is reduced to one row per key with pandas before the merge,
-    so the Python steps per chunk are bounded by the key count; memory is
-    bounded by the key count as well."""
+    """Merge a session's new events into its state: a later ``(ts, event_id)``
+    replaces a key's value, an older one (a late file) does not.  A large
+    chunk (a hot session) is reduced to one row per key first, so the Python
+    steps and the memory per chunk are bounded by the session's key count."""
     (session_id,) = key
-    best: dict[str, tuple[float, pd.Timestamp, int]] = {}
+    best: dict[str, tuple[int, int, float]] = {}
     if state.exists:
-        keys, values, ts, eids = state.get
-        for k, v, t, e in zip(keys, values, ts, eids):
-            best[k] = (v, pd.Timestamp(t), int(e))
+        keys, values, ts_us, eids = state.get
+        best = {k: (t, e, v) for k, v, t, e in zip(keys, values, ts_us, eids)}
     for pdf in pdfs:
-        pdf = pdf.loc[pdf["state_key"].notna(), _FOLD_COLS]
-        if len(pdf) > _REDUCE_ROWS:
-            pdf = _latest(pdf)
-        for k, v, t, e in zip(pdf["state_key"], pdf["state_value"], pdf["ts"], pdf["event_id"]):
-            t, e = pd.Timestamp(t), int(e)
+        for k, v, t, e in zip(*_columns(pdf)):
             cur = best.get(k)
-            if cur is None or (t, e) > (cur[1], cur[2]):
-                best[k] = (v, t, e)
+            if cur is None or (t, e) > (cur[0], cur[1]):
+                best[k] = (t, e, v)
     keys = sorted(best)
-    state.update((
-        keys,
-        [float(best[k][0]) for k in keys],
-        [best[k][1].to_pydatetime() for k in keys],
-        [best[k][2] for k in keys],
-    ))
+    ts_us = [best[k][0] for k in keys]
+    eids = [best[k][1] for k in keys]
+    values = [best[k][2] for k in keys]
+    state.update((keys, values, ts_us, eids))
     yield pd.DataFrame({
         "session_id": [session_id] * len(keys),
         "state_key": keys,
-        "state_value": [best[k][0] for k in keys],
-        "ts": [best[k][1] for k in keys],
-        "event_id": [best[k][2] for k in keys],
+        "state_value": np.array(values, dtype=np.float64),
+        "ts": np.array(ts_us, dtype=np.int64).astype("datetime64[us]"),
+        "event_id": np.array(eids, dtype=np.int64),
     })
 
 
