@@ -400,6 +400,8 @@ SELECT CAST(c.c_custkey AS VARCHAR) AS session_id, CAST(coalesce(agg.n, 0) AS BI
        coalesce(agg.keys, '') AS keys, round(coalesce(agg.total, 0.0), 6) AS total
 FROM customer c LEFT JOIN agg ON agg.session_id = CAST(c.c_custkey AS VARCHAR)"""
 
+ORACLE["result_sink"] = ORACLE["pipeline_parallel"]
+
 # K8: the md5-derived synthetic vector of every benchmark item, top 3 embeddings.
 ORACLE["synthetic_vectors"] = """
 WITH q AS (SELECT item_id AS query_id, list_transform(range(1, 65), lambda i:

@@ -604,6 +604,18 @@ def csv_required_column(spark, sf):
     return df.select("query_id", "user_queries")
 
 
+@register
+def result_sink(spark, sf):
+    """The parallel pipeline's results saved by the evaluation sink (CSV,
+    one header, no index column, folder overwritten) and read back."""
+    path = scratch_path(spark, "results-csv")
+    files.write_results(_pipeline(spark, sf, gated=False), path, fmt="csv")
+    schema = {"query_id": T.LongType(), "block": T.BooleanType(), "topic": T.StringType(),
+              "queries": T.StringType(), "group": T.StringType()}
+    df = files.read_csv_required(spark, path, schema)
+    return df.select(*schema)
+
+
 # ---------------------------------------------------------------- composite (not in the reference)
 
 
