@@ -189,10 +189,14 @@ def scroll(points: DataFrame, limit: int = 1000, with_vectors: bool = True,
 
 def retrieve(points: DataFrame, ids: DataFrame, with_payload: bool = True,
              with_vectors: bool = True, id_col: str = "id") -> DataFrame:
-    """Points whose id occurs in ``ids`` (left semi join; duplicates in ids ignored)."""
+    """Points whose id occurs in ``ids`` (left semi join).
+
+    The id list is made distinct first – a partial + final aggregate, so an id
+    repeated across a third of the list collapses on the map side and the
+    join's shuffle carries each id once per task."""
     cols = [id_col] + [c for c in points.columns if c != id_col
                        and (with_payload or c != "payload") and (with_vectors or c != "vectors")]
-    return points.select(*cols).join(ids.select(id_col), on=id_col, how="left_semi")
+    return points.select(*cols).join(ids.select(id_col).distinct(), on=id_col, how="left_semi")
 
 
 def count_points(points: DataFrame, filter: Column | None = None) -> DataFrame:
