@@ -27,3 +27,22 @@ def test_result_sink(spark):
     df = spark.createDataFrame([("a", 1.0)], "query string, latency_seconds double")
     assert files.write_results(df, path + "/nested/out") is True
     assert spark.read.option("header", True).csv(path + "/nested/out").count() == 1
+
+
+def test_spread_only_touches_few_file_inputs(spark):
+    from quiver.sources.tables import input_files, spread, table
+
+    from conftest import SF_SMALL
+
+    docs = table(spark, SF_SMALL, "documents").select("doc_id", "text")
+    assert input_files(docs) == 1
+    spread_docs = spread(docs)
+    assert spread_docs.rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+    assert sorted(r[0] for r in spread_docs.select("doc_id").collect()) == sorted(
+        r[0] for r in docs.select("doc_id").collect()
+    )
+    # a frame read from at least as many files as cores is returned as it is
+    path = scratch_path(spark, "many-files")
+    docs.repartition(spark.sparkContext.defaultParallelism).write.parquet(path)
+    many = spark.read.parquet(path)
+    assert input_files(many) >= spark.sparkContext.defaultParallelism and spread(many) is many
