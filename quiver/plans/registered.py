@@ -217,7 +217,8 @@ def load_collection(spark, sf):
     spec = {"image": (64, "Cosine")}
     collection.create(spark, path, "products", spec, quantized=True)
     good, _ = points.quarantine_bad_rows(point_table(spark, sf), spec)
-    batch = good.select(*collection.POINT_SCHEMA.fieldNames())
+    # the batch is read by both loads (count, join): derive it once
+    batch = good.select(*collection.POINT_SCHEMA.fieldNames()).checkpoint()
     collection.load(spark, path, batch)
     changed = batch.withColumn("payload", F.struct(F.array(F.lit("changed")).alias("group")))
     collection.load(spark, path, changed)
