@@ -135,6 +135,14 @@ r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id
       FROM s WHERE score IS NOT NULL AND NOT isnan(score))
 SELECT query_id, CAST(rnk AS BIGINT) AS rank, id, round(score, 6) AS score FROM r WHERE rnk <= 5"""
 
+ORACLE["knn_payload_filter"] = EXTRACT + """,
+q AS (SELECT vec_id AS query_id, embedding::DOUBLE[] AS v FROM embeddings),
+s AS (SELECT q.query_id, p.id, list_cosine_similarity(p.vector, q.v) AS score
+      FROM pts p, q WHERE list_contains(p.groups, 'men')),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rnk
+      FROM s WHERE score IS NOT NULL AND NOT isnan(score))
+SELECT query_id, CAST(rnk AS BIGINT) AS rank, id, round(score, 6) AS score FROM r WHERE rnk <= 5"""
+
 # ---------------------------------------------------------------- statistics
 
 ORACLE["eval_average_row"] = duckdb_with("latencies") + """

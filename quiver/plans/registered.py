@@ -274,6 +274,18 @@ def knn_filtered(spark, sf):
     return _flat_knn(res)
 
 
+@register
+def knn_payload_filter(spark, sf):
+    """K1 + P7: one payload filter for the whole search (the reference's
+    ``query_filter``): points of group 'men' only, applied before ranking, k=5."""
+    pts = point_table(spark, sf).select(
+        "id", F.col("vectors")["image"].alias("vector"), F.col("payload.group").alias("groups")
+    )
+    res = knn.knn_search(pts, embedding_queries(spark, sf), k=5, metric="Cosine",
+                         filter=F.array_contains("groups", "men"))
+    return _flat_knn(res)
+
+
 # ---------------------------------------------------------------- statistics
 
 from quiver.operators import sessions, stats  # noqa: E402
