@@ -324,7 +324,8 @@ def knn_search(
     ``points`` needs an integral ``id_col`` and an array ``vector_col``;
     ``queries`` an integral ``query_id_col`` and an array ``query_vector_col``
     of one common width.  Points of another width or with NULL vectors are
-    not scored (``validate_vectors`` reports them).
+    not scored (``validate_vectors`` reports them); a query with a NULL
+    vector gets no rows.
 
     ``group_match=(query_col, point_array_col)`` restricts each query to the
     points whose array contains the query's value (a per-query payload
@@ -352,6 +353,8 @@ def knn_search(
     if n and (lo != hi or lo is None or lo <= 0):
         raise ValueError(f"query vectors must share one positive width, got {lo}..{hi}")
     dim = int(lo or 1)
+    # a query without a vector has no answer (and must not shift the block)
+    queries = queries.filter(F.col(query_vector_col).isNotNull())
     if filter is not None:
         points = points.filter(filter)
     points = points.filter(F.col(vector_col).isNotNull() & (F.size(vector_col) == dim))

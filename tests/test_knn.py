@@ -155,3 +155,13 @@ def test_sampled_bound_with_groups_and_vector_functions(spark):
     assert out[1]["c"] is None and out[1]["m"] == pytest.approx(1.0)
     assert out[2]["c"] is None and out[2]["u"] is None
     assert out[3]["e"] is None and out[3]["d"] is None
+
+
+def test_null_query_vector_gets_no_rows(spark):
+    """A query without a vector must not shift the other queries' vectors."""
+    pts = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 1.0])], "id long, vector array<double>")
+    qs = spark.createDataFrame(
+        [(10, None), (11, [0.0, 1.0]), (12, [1.0, 0.0]), (13, None)], "query_id long, vector array<double>"
+    )
+    got = sorted((r["query_id"], r["id"]) for r in knn.knn_search(pts, qs, k=1).collect())
+    assert got == [(11, 2), (12, 1)]
