@@ -165,3 +165,24 @@ def test_null_query_vector_gets_no_rows(spark):
     )
     got = sorted((r["query_id"], r["id"]) for r in knn.knn_search(pts, qs, k=1).collect())
     assert got == [(11, 2), (12, 1)]
+
+
+def test_stored_ivf_equals_in_memory_and_prunes(spark):
+    import contextlib
+    import io
+
+    from quiver.session import scratch_path
+
+    emb = spark.read.parquet(f"{SF_CHECK}/embeddings.parquet")
+    pts = emb.select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
+    qs = emb.filter("vec_id < 20").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
+    index, assigned = ann.build_ivf(pts, nlist=16)
+    mem = sorted(tuple(r) for r in ann.ann_search(index, assigned, qs, k=5, nprobe=1).collect())
+    path = scratch_path(spark, "ivf-test")
+    ann.write_ivf(assigned, path)
+    res = ann.ann_search(index, spark.read.parquet(path), qs, k=5, nprobe=1)
+    assert sorted(tuple(r) for r in res.collect()) == mem
+    buf = io.StringIO()
+    with contextlib.redirect_stdout(buf):
+        res.explain("formatted")
+    assert "PartitionFilters: [" in buf.getvalue() and "bucket" in buf.getvalue()
