@@ -3,7 +3,7 @@
 Everything is DataFrame in, DataFrame out.  Sub-packages:
 
 * ``sources``    – table loaders, derived test views, parameterised SQL, CSV, sinks
-* ``functions``  – column expressions (vector math, text, JSON, templates)
+* ``functions``  – column functions (vector math on Arrow batches, text, dates, JSON, templates)
 * ``operators``  – labelling, points, kNN/ANN, quantization, statistics,
                    enrichment rules, sessions, collections
 * ``plans``      – composed jobs (load job, batch evaluation, retrieval)
