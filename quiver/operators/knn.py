@@ -391,6 +391,120 @@ def knn_search(
     return spark.read.parquet(*paths)
 
 
+def _kth(x: np.ndarray, k: int, largest: bool) -> np.ndarray:
+    """k-th largest (or smallest) finite value per row; -inf (+inf) when a
+    row has fewer than k finite values."""
+    fill = -np.inf if largest else np.inf
+    key = np.where(np.isfinite(x), -x if largest else x, np.inf)
+    if key.shape[1] < k:
+        return np.full(key.shape[0], fill)
+    t = np.partition(key, k - 1, axis=1)[:, k - 1]
+    t = np.where(np.isfinite(t), -t if largest else t, fill)
+    return t
+
+
+def _make_error_scorer(bc, metric: str, k: int, higher: bool, id_col: str, vec_col: str,
+                       err_col: str, dim: int):
+    """Candidates whose score, known up to +-error, may be in the top k.
+
+    A point's score interval is ``[s - e, s + e]`` with ``s`` computed on the
+    approximate vector and ``e = qscale x point error``.  Per query the task
+    keeps a running threshold: the k-th best worst-case score seen so far (a
+    valid bound on the true k-th best score); a point is a candidate while
+    its best-case score can still reach it.  No fixed number of candidates."""
+
+    def scorer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        qids, Q, _, _, _, _ = bc.value
+        qnorm = np.sqrt(np.einsum("ij,ij->i", Q, Q))
+        qscale = qnorm if metric == "Dot" else np.ones(len(qids))
+        thr = np.full(len(qids), -np.inf if higher else np.inf)
+        pend_q, pend_id, pend_best = [], [], []
+        for batch in batches:
+            if batch.num_rows == 0:
+                continue
+            P = batch.column(vec_col).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
+            err = batch.column(err_col).to_numpy(zero_copy_only=False).astype(np.float64)
+            ids = batch.column(id_col).to_numpy(zero_copy_only=False)
+            step = max(1, SCORE_TILE // batch.num_rows)
+            for t0 in range(0, len(qids), step):
+                qt = np.arange(t0, min(t0 + step, len(qids)))
+                S = _scores(metric, P, Q[qt], qnorm[qt])
+                # error in score space, widened for float rounding of S itself
+                E = qscale[qt][:, None] * err[None, :] * (1 + 1e-9) + 1e-6 * (1 + np.nan_to_num(np.abs(S)))
+                if metric == "Cosine":
+                    # approximate vector of zero length: the true cosine is anywhere in [-1, 1]
+                    lost = ~np.isfinite(S) & np.isfinite(err)[None, :]
+                    S[lost], E[lost] = 0.0, 1.0 + 1e-6
+                with np.errstate(invalid="ignore"):
+                    worst, best = (S - E, S + E) if higher else (S + E, S - E)
+                ok = np.isfinite(worst) & np.isfinite(best)
+                worst = np.where(ok, worst, np.nan)
+                t = _kth(worst, k, largest=higher)
+                thr[qt] = np.maximum(thr[qt], t) if higher else np.minimum(thr[qt], t)
+                with np.errstate(invalid="ignore"):
+                    keep = ok & ((best >= thr[qt][:, None]) if higher else (best <= thr[qt][:, None]))
+                r, c = np.nonzero(keep)
+                pend_q.append(qt[r])
+                pend_id.append(ids[c])
+                pend_best.append(best[r, c])
+        if not pend_q:
+            return
+        q, i, b = np.concatenate(pend_q), np.concatenate(pend_id), np.concatenate(pend_best)
+        keep = b >= thr[q] if higher else b <= thr[q]  # the final thresholds are the tightest
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(qids[q[keep]], pa.int64()), pa.array(i[keep], pa.int64())], names=["query_id", id_col]
+        )
+
+    return scorer
+
+
+def candidates_within_error(points: DataFrame, queries: DataFrame, k: int = 10, metric: str = "Cosine",
+                            *, id_col: str = "id", vector_col: str = "vector", error_col: str = "error",
+                            query_id_col: str = "query_id", query_vector_col: str = "vector",
+                            max_broadcast_bytes: int = DEFAULT_MAX_BROADCAST_BYTES) -> DataFrame:
+    """``query_id, id`` of every point that may be in a query's exact top k
+    when ``vector_col`` is only an approximation of the true vector.
+
+    ``error_col`` bounds the approximation per point in score units: for Dot
+    ``|p - p~|_2`` (scaled by ``|q|`` here), for Cosine ``2 |p - p~|_2 / |p|``
+    (cosine against the unit direction of ``p~``), for Euclid ``|p - p~|_2``,
+    for Manhattan ``|p - p~|_1``.  The exact top k
+    of each query is always inside the returned set (re-rank it exactly);
+    the set has no fixed size – it is as large as the error makes necessary.
+    """
+    if k <= 0:
+        raise ValueError("k must be positive")
+    higher = check_metric(metric)
+    stats = queries.agg(
+        F.count(F.lit(1)).alias("n"), F.min(F.size(query_vector_col)).alias("lo"),
+        F.max(F.size(query_vector_col)).alias("hi"),
+    ).first()
+    n, lo, hi = stats["n"], stats["lo"], stats["hi"]
+    if n and (lo != hi or lo is None or lo <= 0):
+        raise ValueError(f"query vectors must share one positive width, got {lo}..{hi}")
+    dim = int(lo or 1)
+    queries = queries.filter(F.col(query_vector_col).isNotNull())
+    pts = points.filter(F.col(vector_col).isNotNull() & (F.size(vector_col) == dim) & F.col(error_col).isNotNull())
+    pts = pts.select(F.col(id_col).cast("long").alias(id_col), vector_col, F.col(error_col).cast("double").alias(error_col))
+    spark = points.sparkSession
+    schema = T.StructType([T.StructField("query_id", T.LongType()), T.StructField(id_col, T.LongType())])
+
+    def run(qs: DataFrame) -> DataFrame:
+        bc = spark.sparkContext.broadcast(_query_block(qs, query_id_col, query_vector_col, dim, None))
+        return pts.mapInArrow(_make_error_scorer(bc, metric, k, higher, id_col, vector_col, error_col, dim), schema)
+
+    if n * dim * 8 <= max_broadcast_bytes:
+        return run(queries)
+    chunks = math.ceil(2 * n * dim * 8 / max_broadcast_bytes)
+    key = F.pmod(F.xxhash64(F.col(query_id_col)), F.lit(chunks))
+    paths = []
+    for c in range(chunks):
+        path = scratch_path(spark, f"knn-cand{c}")
+        run(queries.filter(key == c)).write.mode("overwrite").parquet(path)
+        paths.append(path)
+    return spark.read.parquet(*paths)
+
+
 def search_one(points: DataFrame, vector: Sequence[float], k: int = 10, metric: str = "Cosine",
                **kwargs) -> DataFrame:
     """Search with a single query vector (query_id 0)."""

@@ -6,7 +6,10 @@ component of every vector, values are clamped into the bounds and mapped
 linearly to 0..255.  Bounds are exact (linear interpolation) and computed
 with :func:`quiver.operators.stats.percentiles_inclusive` – distributed, no
 task holds all components.  Codes are stored as ``array<tinyint>`` holding
-``code - 128`` (1 byte per component, 8x narrower than doubles).
+``code - 128`` (1 byte per component, 8x narrower than doubles), next to the
+vector's length and its quantization error.  The error bounds every score
+computed on the codes, so search on codes followed by a re-rank of the
+candidates on the original vectors is exact, without a fixed candidate count.
 """
 
 from __future__ import annotations
@@ -19,8 +22,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from quiver.functions.vectors import check_metric, list_array, lists, score
-from quiver.operators.knn import knn_search
+from quiver.functions.vectors import check_metric, list_array, lists, row_sums, score
+from quiver.operators.knn import candidates_within_error
 from quiver.operators.stats import percentiles_inclusive
 
 
@@ -57,16 +60,37 @@ def codes(vector: F.Column, b: Bounds) -> F.Column:
     return arrow_udf(to_codes, "array<int>")(vector)
 
 
+ERROR_TYPE = "struct<norm:double,l2:double,l1:double>"
+
+
 def quantize(points: DataFrame, vector_col: str = "vector", out_col: str = "codes",
-             bounds: Bounds | None = None, quantile: float = 0.99) -> tuple[DataFrame, Bounds]:
-    """Add ``out_col array<tinyint>`` (code - 128); returns the frame and the bounds."""
+             bounds: Bounds | None = None, quantile: float = 0.99,
+             error_col: str = "qerr") -> tuple[DataFrame, Bounds]:
+    """Add ``out_col array<tinyint>`` (code - 128) and ``error_col`` –
+    ``struct<norm, l2, l1>``: the vector's length and the L2 / L1 length of
+    its quantization error (24 bytes a point), which make search on the codes
+    exact (:func:`knn_quantized`).  Returns the frame and the bounds."""
     b = bounds or fit_bounds(points, vector_col, quantile)
+    span = b.hi - b.lo
 
     def to_stored(v: pa.Array) -> pa.Array:
         x, off, null = lists(v)
         return list_array((_code_values(x, b) - 128).astype(np.int8), off, null, pa.int8())
 
-    return points.withColumn(out_col, arrow_udf(to_stored, "array<tinyint>")(F.col(vector_col))), b
+    def errors(v: pa.Array) -> pa.Array:
+        x, off, null = lists(v)
+        xhat = b.lo + _code_values(x, b).astype(np.float64) / 255 * span
+        d = x - xhat
+        cols = [np.sqrt(row_sums(x * x, off)), np.sqrt(row_sums(d * d, off)), row_sums(np.abs(d), off)]
+        return pa.StructArray.from_arrays(
+            [pa.array(c, pa.float64()) for c in cols], names=["norm", "l2", "l1"], mask=pa.array(null, pa.bool_())
+        )
+
+    out = points.withColumns({
+        out_col: arrow_udf(to_stored, "array<tinyint>")(F.col(vector_col)),
+        error_col: arrow_udf(errors, ERROR_TYPE)(F.col(vector_col)),
+    })
+    return out, b
 
 
 def dequantize(stored: F.Column, b: Bounds) -> F.Column:
@@ -80,28 +104,43 @@ def dequantize(stored: F.Column, b: Bounds) -> F.Column:
     return arrow_udf(decode, "array<double>")(stored)
 
 
+def score_error(metric: str, err: F.Column) -> F.Column:
+    """Per-point bound on |score(q, p) - score(q, p~)| (Dot: times |q|)."""
+    if metric == "Manhattan":
+        return err["l1"]
+    if metric == "Cosine":
+        return F.when(err["norm"] > 0, 2 * err["l2"] / err["norm"])
+    return err["l2"]
+
+
 def knn_quantized(points: DataFrame, queries: DataFrame, b: Bounds, k: int = 10, metric: str = "Cosine",
-                  oversample: int = 4, id_col: str = "id", codes_col: str = "codes",
+                  id_col: str = "id", codes_col: str = "codes", error_col: str = "qerr",
                   vector_col: str = "vector", query_vector_col: str = "vector",
                   max_broadcast_bytes: int = 64 << 20) -> DataFrame:
-    """K5: top ``k * oversample`` per query on dequantized codes (narrow scan),
-    then exact scores on the original vectors of those candidates only.
-
-    The candidate set is bounded by ``queries x k x oversample`` rows; when
-    that bound (16 bytes a row) and the query vectors (8 bytes a component)
-    fit ``max_broadcast_bytes`` they are broadcast, so the originals are
-    fetched by a map-side hash join and the point table is never shuffled.
-    Beyond the bound both joins are ordinary shuffle joins.
+    """K5: search on the int8 codes (narrow scan), exact re-rank on the floats.
+
+    Exact, with no fixed number of candidates: each point's score on its
+    codes is off by at most its stored quantization error (Cauchy-Schwarz /
+    triangle inequality), so a point is kept only while its best possible
+    score can reach the k-th best worst-case score
+    (:func:`quiver.operators.knn.candidates_within_error`).  The candidates
+    (written once to the checkpoint folder) are re-scored on the original
+    vectors; the answer equals the exact search.  The candidates and the
+    query vectors are broadcast when their measured size fits
+    ``max_broadcast_bytes``, so the originals are fetched by a map-side hash
+    join and the point table is never shuffled; beyond that, shuffle joins.
     """
     higher = check_metric(metric)
     shape = queries.agg(F.count(F.lit(1)).alias("n"), F.max(F.size(query_vector_col)).alias("d")).first()
     n, dim = shape["n"] or 0, shape["d"] or 0
-    approx_pts = points.select(id_col, dequantize(F.col(codes_col), b).alias("_dq"))
-    cand = knn_search(approx_pts, queries, k=k * oversample, metric=metric, id_col=id_col,
-                      vector_col="_dq", query_vector_col=query_vector_col)
-    cand = cand.select("query_id", id_col)
+    approx_pts = points.select(
+        id_col, dequantize(F.col(codes_col), b).alias("_dq"), score_error(metric, F.col(error_col)).alias("_err")
+    )
+    cand = candidates_within_error(approx_pts, queries, k=k, metric=metric, id_col=id_col,
+                                   vector_col="_dq", error_col="_err", query_vector_col=query_vector_col)
+    cand = cand.checkpoint()
     qv = queries.select("query_id", F.col(query_vector_col).alias("_qv"))
-    if n * k * oversample * 16 <= max_broadcast_bytes:
+    if cand.count() * 16 <= max_broadcast_bytes:
         cand = F.broadcast(cand)
     if n * dim * 8 <= max_broadcast_bytes:
         qv = F.broadcast(qv)

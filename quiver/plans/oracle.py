@@ -421,20 +421,8 @@ top AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC,
         FROM s WHERE score IS NOT NULL AND NOT isnan(score))
 SELECT query_id, CAST(rnk AS BIGINT) AS rank, id, round(score, 6) AS score FROM top WHERE rnk <= 3"""
 
-# K5: top k*4 on the dequantized codes (code midpoints), exact re-rank on the floats.
-ORACLE["knn_quantized_rerank"] = ORACLE["quantize_int8"].split("SELECT vec_id AS id,")[0].rstrip() + """,
-dq AS (SELECT vec_id AS id, list_transform(v, lambda x: b.lo
-         + CAST(floor((least(greatest(x, b.lo), b.hi) - b.lo) / (b.hi - b.lo) * 255 + 0.5) AS DOUBLE)
-           / 255 * (b.hi - b.lo)) AS dv FROM e, b),
-a AS (SELECT q.vec_id AS query_id, d.id, list_cosine_similarity(d.dv, q.v) AS s FROM dq d, e q),
-cand AS (SELECT query_id, id FROM (
-           SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, id) AS rnk
-           FROM a WHERE s IS NOT NULL AND NOT isnan(s)) WHERE rnk <= 40),
-x AS (SELECT c.query_id, c.id, list_cosine_similarity(p.v, q.v) AS score
-      FROM cand c JOIN e p ON p.vec_id = c.id JOIN e q ON q.vec_id = c.query_id),
-top AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rnk
-        FROM x WHERE score IS NOT NULL AND NOT isnan(score))
-SELECT query_id, CAST(rnk AS BIGINT) AS rank, id, round(score, 6) AS score FROM top WHERE rnk <= 10"""
+# K5: search on the int8 codes with error bounds, exact re-rank: the exact search.
+ORACLE["knn_quantized_rerank"] = ORACLE["knn_cosine"]
 
 # ---------------------------------------------------------------- streaming twins (same answers as batch)
 

@@ -531,7 +531,7 @@ def quantize_int8(spark, sf):
 
 @register
 def knn_quantized_rerank(spark, sf):
-    """K5: search on codes (k x 4 candidates), exact re-rank on the floats."""
+    """K5: search on the int8 codes within their error bounds, exact re-rank on the floats."""
     pts = embedding_points(spark, sf)
     q, b = quantize.quantize(pts, "vector", quantile=QUANTILE)
     res = quantize.knn_quantized(q, embedding_queries(spark, sf), b, k=10, metric="Cosine")

@@ -87,8 +87,9 @@ def test_quantized_rerank_and_ann_recall(spark):
     q, b = quantize.quantize(pts, "vector")
     assert b.lo < 0 < b.hi
     rer = quantize.knn_quantized(q, qs, b, k=10)
-    r1 = ann.recall_at_k(rer, exact).first()["recall"]
-    assert r1 >= 0.99
+    assert sorted(tuple(r) for r in rer.select("query_id", "rank", "id").collect()) == sorted(
+        tuple(r) for r in exact.select("query_id", "rank", "id").collect()
+    )  # search on codes within their error bounds + re-rank is exact
     index, assigned = ann.build_ivf(pts, nlist=16)
     r2 = ann.recall_at_k(ann.ann_search(index, assigned, qs, k=10, nprobe=4), exact).first()["recall"]
     assert r2 >= 0.5  # random unit vectors are the hardest case for bucketing
@@ -186,3 +187,22 @@ def test_stored_ivf_equals_in_memory_and_prunes(spark):
     with contextlib.redirect_stdout(buf):
         res.explain("formatted")
     assert "PartitionFilters: [" in buf.getvalue() and "bucket" in buf.getvalue()
+
+
+@pytest.mark.parametrize("metric", ["Cosine", "Dot", "Euclid", "Manhattan"])
+def test_quantized_search_is_exact(spark, metric):
+    """Codes + stored error bounds + re-rank equal brute force, also with
+    components clamped outside the quantization bounds and near-ties."""
+    rng = np.random.default_rng(7)
+    P = rng.normal(size=(250, 6))
+    P[:5] *= 8  # far outside the central 99 %: clamped, large error
+    P[20] = P[21] + 1e-7  # near tie
+    Q = rng.normal(size=(8, 6))
+    pts = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(P)], "id long, vector array<double>")
+    qs = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(Q)], "query_id long, vector array<double>")
+    q, b = quantize.quantize(pts.repartition(3), "vector")
+    got = {}
+    for r in quantize.knn_quantized(q, qs, b, k=6, metric=metric).collect():
+        got.setdefault(r["query_id"], []).append((r["rank"], r["id"]))
+    want = _brute(P, Q, metric, 6)
+    assert {k: [i for _, i in sorted(v)] for k, v in got.items()} == want
