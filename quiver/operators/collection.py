@@ -8,13 +8,15 @@ A collection is a folder with
 * ``full=<n>/``   a complete set of points (written by create and by
                   overwrite loads);
 * ``delta=<n>/``  the points an insert-if-absent load added (only the fresh
-                  ids, so a load costs O(new rows), not O(collection)).
+                  ids, so a load costs O(new rows), not O(collection));
+* ``_log/``       one row ``version, kind, folder`` per committed part,
+                  appended only after the part's data is written.
 
-The current collection is the newest committed ``full`` version plus every
-later committed ``delta`` (a folder counts once its ``_SUCCESS`` marker
-exists).  A failed or lost write leaves the previous state untouched; ids are
-unique across the parts by construction, and re-running a load is idempotent
-by id.
+The current collection is the newest logged ``full`` part plus every later
+logged ``delta``.  A load that fails before its log row is written leaves the
+previous state untouched (its folder is never read); ids are unique across
+the parts by construction, and re-running a load is idempotent by id.  Only
+``spark.read`` / ``DataFrame.write`` are used, so any filesystem works.
 
 Existence checks, listing and deletion use the Spark catalog / filesystem as
 they are (``spark.catalog``, ``DROP``); they are not rebuilt here.
@@ -25,6 +27,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.utils import AnalysisException
 
 from quiver.functions.vectors import check_metric
 from quiver.operators.points import fresh_rows, upsert
@@ -44,15 +47,31 @@ SPEC_SCHEMA = T.StructType([
 ])
 
 
-def _fs(spark: SparkSession, path: str):
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
+LOG_SCHEMA = T.StructType([
+    T.StructField("version", T.IntegerType()),
+    T.StructField("kind", T.StringType()),
+    T.StructField("folder", T.StringType()),
+])
+
+
+def _read_or_none(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame | None:
+    reader = spark.read.schema(schema) if schema is not None else spark.read
+    try:
+        df = reader.parquet(path)
+        df.limit(1).collect()  # a missing folder raises here at the latest
+        return df
+    except AnalysisException:
+        return None
 
 
 def exists(spark: SparkSession, path: str) -> bool:
-    fs, p = _fs(spark, path.rstrip("/") + "/_spec")
-    return bool(fs.exists(p))
+    return _read_or_none(spark, path.rstrip("/") + "/_spec") is not None
+
+
+def _commit(spark: SparkSession, path: str, version: int, kind: str, folder: str) -> None:
+    """Append the part's log row (after its data write has committed)."""
+    row = spark.createDataFrame([(version, kind, folder)], LOG_SCHEMA)
+    row.coalesce(1).write.mode("append").parquet(path.rstrip("/") + "/_log")
 
 
 def create(spark: SparkSession, path: str, name: str, vectors: dict[str, tuple[int, str]],
@@ -68,7 +87,9 @@ def create(spark: SparkSession, path: str, name: str, vectors: dict[str, tuple[i
         [(name, {k: (s, m) for k, (s, m) in vectors.items()}, quantized)], SPEC_SCHEMA
     )
     spec.coalesce(1).write.mode("ignore").parquet(path.rstrip("/") + "/_spec")
-    spark.createDataFrame([], POINT_SCHEMA).write.mode("ignore").parquet(path.rstrip("/") + "/full=0")
+    folder = path.rstrip("/") + "/full=0"
+    spark.createDataFrame([], POINT_SCHEMA).write.mode("ignore").parquet(folder)
+    _commit(spark, path, 0, "full", folder)
     return True
 
 
@@ -78,15 +99,12 @@ def spec(spark: SparkSession, path: str) -> dict[str, tuple[int, str]]:
 
 
 def _parts(spark: SparkSession, path: str) -> list[tuple[int, str, str]]:
-    """Committed parts ``(n, kind, folder)`` in version order."""
-    fs, p = _fs(spark, path)
-    out = []
-    for st in fs.listStatus(p):
-        name = st.getPath().getName()
-        kind, _, n = name.partition("=")
-        if kind in ("full", "delta") and n.isdigit() and fs.exists(st.getPath().suffix("/_SUCCESS")):
-            out.append((int(n), kind, f"{path.rstrip('/')}/{name}"))
-    return sorted(out)
+    """Committed parts ``(version, kind, folder)`` in version order (one
+    small row per load)."""
+    log = _read_or_none(spark, path.rstrip("/") + "/_log", LOG_SCHEMA)
+    if log is None:
+        raise FileNotFoundError(f"no collection at {path}")
+    return sorted((r["version"], r["kind"], r["folder"]) for r in log.collect())
 
 
 def current(spark: SparkSession, path: str) -> DataFrame:
@@ -108,11 +126,14 @@ def load(spark: SparkSession, path: str, new_points: DataFrame, check_existing:
     existing = current(spark, path)
     new_points = new_points.select(*POINT_SCHEMA.fieldNames())
     if check_existing:
-        fresh = fresh_rows(existing, new_points).select(*POINT_SCHEMA.fieldNames())
-        fresh.write.mode("overwrite").parquet(f"{path.rstrip('/')}/delta={nxt}")
+        kind = "delta"
+        out = fresh_rows(existing, new_points).select(*POINT_SCHEMA.fieldNames())
     else:
-        merged = upsert(existing, new_points, mode="overwrite")
-        merged.write.mode("overwrite").parquet(f"{path.rstrip('/')}/full={nxt}")
+        kind = "full"
+        out = upsert(existing, new_points, mode="overwrite")
+    folder = f"{path.rstrip('/')}/{kind}={nxt}"
+    out.write.mode("overwrite").parquet(folder)
+    _commit(spark, path, nxt, kind, folder)
     return nxt
 
 

@@ -109,6 +109,9 @@ def test_collection_delta_and_full_versions(spark):
     assert state() == [(1, "c"), (2, "a"), (3, "b"), (4, "d")]
     kinds = [kind for _, kind, _ in collection._parts(spark, path)]
     assert kinds == ["full", "delta", "delta", "full", "delta"]
+    # a load that died after writing its data but before its log row is invisible
+    pts([(7, [1.0, 1.0], "lost")]).write.parquet(f"{path}/delta=99")
+    assert state() == [(1, "c"), (2, "a"), (3, "b"), (4, "d")]
 
 
 def test_upsert_broadcast_and_shuffle_paths_agree(spark):
