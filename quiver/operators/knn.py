@@ -22,6 +22,9 @@ Plan shape::
   predicate.
 * Ties are broken by ascending id; a zero-norm vector has no cosine score and
   is never returned.
+* :func:`candidates_within_error` is the same scan for approximate vectors
+  with a per-point error bound: it returns every point that may be in a
+  query's top k (used by the exact search on int8 codes).
 """
 
 from __future__ import annotations
@@ -296,6 +299,18 @@ def _sample_bounds(sample: DataFrame, queries: DataFrame, args: tuple, k: int,
             tbl.column("b").to_numpy(zero_copy_only=False).astype(np.float64))
 
 
+def _query_shape(queries: DataFrame, vector_col: str) -> tuple[int, int]:
+    """``(rows, common vector width)`` of a query set in one aggregate; NULL
+    vectors are ignored, differing widths raise."""
+    stats = queries.agg(
+        F.count(F.lit(1)).alias("n"), F.min(F.size(vector_col)).alias("lo"), F.max(F.size(vector_col)).alias("hi"),
+    ).first()
+    n, lo, hi = stats["n"], stats["lo"], stats["hi"]
+    if n and (lo != hi or lo is None or lo <= 0):
+        raise ValueError(f"query vectors must share one positive width, got {lo}..{hi}")
+    return n, int(lo or 1)
+
+
 def _arrow_field(field: T.StructField) -> pa.Field:
     from pyspark.sql.pandas.types import to_arrow_type
 
@@ -344,15 +359,7 @@ def knn_search(
     if k <= 0:
         raise ValueError("k must be positive")
     higher = check_metric(metric)
-    stats = queries.agg(
-        F.count(F.lit(1)).alias("n"),
-        F.min(F.size(query_vector_col)).alias("lo"),
-        F.max(F.size(query_vector_col)).alias("hi"),
-    ).first()
-    n, lo, hi = stats["n"], stats["lo"], stats["hi"]
-    if n and (lo != hi or lo is None or lo <= 0):
-        raise ValueError(f"query vectors must share one positive width, got {lo}..{hi}")
-    dim = int(lo or 1)
+    n, dim = _query_shape(queries, query_vector_col)
     # a query without a vector has no answer (and must not shift the block)
     queries = queries.filter(F.col(query_vector_col).isNotNull())
     if filter is not None:
@@ -475,14 +482,7 @@ def candidates_within_error(points: DataFrame, queries: DataFrame, k: int = 10,
     if k <= 0:
         raise ValueError("k must be positive")
     higher = check_metric(metric)
-    stats = queries.agg(
-        F.count(F.lit(1)).alias("n"), F.min(F.size(query_vector_col)).alias("lo"),
-        F.max(F.size(query_vector_col)).alias("hi"),
-    ).first()
-    n, lo, hi = stats["n"], stats["lo"], stats["hi"]
-    if n and (lo != hi or lo is None or lo <= 0):
-        raise ValueError(f"query vectors must share one positive width, got {lo}..{hi}")
-    dim = int(lo or 1)
+    n, dim = _query_shape(queries, query_vector_col)
     queries = queries.filter(F.col(query_vector_col).isNotNull())
     pts = points.filter(F.col(vector_col).isNotNull() & (F.size(vector_col) == dim) & F.col(error_col).isNotNull())
     pts = pts.select(F.col(id_col).cast("long").alias(id_col), vector_col, F.col(error_col).cast("double").alias(error_col))
