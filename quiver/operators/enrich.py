@@ -98,13 +98,18 @@ def _lower(text: Column) -> Column:
 
 
 def moderation(text: Column) -> tuple[Column, Column]:
-    """(block, first matching topic).  NULL text is not blocked."""
+    """(block, first matching topic).  NULL text is not blocked.
+
+    One combined pattern decides ``block``; the per-topic patterns run only
+    for the (few) blocked rows to name the first matching topic."""
     q = _lower(text)
+    any_term = _topic_pattern([t for _, terms in MODERATION_LEXICON for t in terms])
+    block = F.coalesce(q.rlike(any_term), F.lit(False))
     topic = None
     for name, terms in MODERATION_LEXICON:
         cond = q.rlike(_topic_pattern(terms))
         topic = F.when(cond, F.lit(name)) if topic is None else topic.when(cond, F.lit(name))
-    return topic.isNotNull(), topic
+    return block, F.when(block, topic)
 
 
 def _band(value: Column, bands: list[tuple[int, str]]) -> Column:
