@@ -206,3 +206,17 @@ def test_quantized_search_is_exact(spark, metric):
         got.setdefault(r["query_id"], []).append((r["rank"], r["id"]))
     want = _brute(P, Q, metric, 6)
     assert {k: [i for _, i in sorted(v)] for k, v in got.items()} == want
+
+
+def test_candidates_within_error_chunked_equals_single(spark):
+    rng = np.random.default_rng(9)
+    pts = spark.createDataFrame(
+        [(i, rng.normal(size=5).tolist(), float(rng.uniform(0, 0.05))) for i in range(150)],
+        "id long, vector array<double>, error double",
+    )
+    qs = spark.createDataFrame([(i, rng.normal(size=5).tolist()) for i in range(30)], "query_id long, vector array<double>")
+    one = sorted(tuple(r) for r in knn.candidates_within_error(pts, qs, k=4, metric="Euclid").collect())
+    many = sorted(tuple(r) for r in knn.candidates_within_error(pts, qs, k=4, metric="Euclid", max_broadcast_bytes=300).collect())
+    assert one == many
+    exact = {(r["query_id"], r["id"]) for r in knn.knn_search(pts, qs, k=4, metric="Euclid").collect()}
+    assert exact <= set(one)  # the exact answer is always inside the candidates
