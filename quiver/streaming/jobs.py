@@ -45,9 +45,15 @@ def stream_upsert(spark: SparkSession, source_dir: str, schema: T.StructType, ta
     files, until no file is left (``availableNow``)."""
 
     def load(batch: DataFrame, epoch: int) -> None:
-        existing = batch.sparkSession.read.parquet(target_dir)
-        fresh = fresh_rows(existing, batch, id_col).select(*schema.fieldNames())
-        fresh.write.mode("append").parquet(target_dir)
+        # the micro-batch is read by the size check, the dedupe and the join:
+        # keep it for this batch only (a lost block is recomputed from its files)
+        batch = batch.persist()
+        try:
+            existing = batch.sparkSession.read.parquet(target_dir)
+            fresh = fresh_rows(existing, batch, id_col).select(*schema.fieldNames())
+            fresh.write.mode("append").parquet(target_dir)
+        finally:
+            batch.unpersist()
 
     q = (
         spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger)
