@@ -220,3 +220,20 @@ def test_candidates_within_error_chunked_equals_single(spark):
     assert one == many
     exact = {(r["query_id"], r["id"]) for r in knn.knn_search(pts, qs, k=4, metric="Euclid").collect()}
     assert exact <= set(one)  # the exact answer is always inside the candidates
+
+
+@pytest.mark.parametrize("metric", ["Cosine", "Euclid", "Dot", "Manhattan"])
+def test_exact_ivf_equals_brute_force(spark, metric):
+    """Probed buckets first, then every bucket the radius bound cannot rule out."""
+    rng = np.random.default_rng(4)
+    centers = rng.normal(size=(6, 5)) * 3
+    P = centers[rng.integers(0, 6, 300)] + rng.normal(size=(300, 5))
+    Q = rng.normal(size=(10, 5)) * 2
+    pts = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(P)], "id long, vector array<double>")
+    qs = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(Q)], "query_id long, vector array<double>")
+    index, assigned = ann.build_ivf(pts, metric=metric, nlist=8, seed=3)
+    got = {}
+    for r in ann.ann_search(index, assigned, qs, k=5, nprobe=1, exact=True).collect():
+        got.setdefault(r["query_id"], []).append((r["rank"], r["id"]))
+    want = _brute(P, Q, metric, 5)
+    assert {q: [i for _, i in sorted(v)] for q, v in got.items()} == want
