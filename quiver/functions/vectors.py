@@ -12,8 +12,6 @@ different widths gives a NULL score.
 
 from __future__ import annotations
 
-from functools import cache
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column
@@ -92,7 +90,9 @@ def _pair_scores(metric: str, a: pa.Array, b: pa.Array) -> pa.Array:
 
 
 # ---------------------------------------------------------------- Column functions
-# The UDF objects are built on first use (building one needs a live session).
+# A UDF object is built per expression: building one needs a live session, and
+# its JVM side belongs to the session that first runs it (so none is cached
+# across sessions).
 
 
 def _norm(v: pa.Array) -> pa.Array:
@@ -107,7 +107,6 @@ def _unit(v: pa.Array) -> pa.Array:
     return list_array(x * np.repeat(inv, np.diff(off)), off, null)
 
 
-@cache
 def _udf(name: str):
     if name == "norm":
         return arrow_udf(_norm, "double")
