@@ -2,10 +2,21 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from quiver.llm.common import documents
+from quiver.llm.common import documents, labels
 from quiver.llm.exact_dedup import exact_dedup
+from quiver.llm.mixing import label_quality, mix_sources
+from quiver.llm.token_files import token_digest
+
+
+def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_sources(documents(spark, sf_dir), label_quality(labels(spark, sf_dir))).drop("text_hash")
+
+
+def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_digest(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
 
 
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -13,10 +24,40 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 REGISTRY = {
+    "op4_mixing": op4_mixing,
+    "op8_token_files": op8_token_files,
     "op9_exact_dedup": op9_exact_dedup,
 }
 
 ORACLE = {
+    "op4_mixing": r"""
+        WITH q AS (
+            SELECT doc_id, CASE WHEN avg(quality) >= 0.5 THEN 2.0::DOUBLE ELSE 0.5::DOUBLE END AS q
+            FROM labels WHERE quality IS NOT NULL GROUP BY doc_id),
+        d AS (
+            SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
+                   -ln((('0x' || substr(md5('0:' || coalesce(doc_id::VARCHAR, '')), 1, 13))::BIGINT::DOUBLE + 0.5) / 4503599627370496.0::DOUBLE)
+                   / coalesce(q.q, 1.0::DOUBLE) AS key
+            FROM documents LEFT JOIN q USING (doc_id)),
+        s AS (
+            SELECT source, sum(size)::BIGINT AS source_size, 3 * sum(size)::BIGINT AS cap,
+                   ((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::DOUBLE AS w
+            FROM d GROUP BY source),
+        l AS (
+            SELECT *, row_number() OVER o AS place,
+                   (sum(source_size) OVER () - coalesce(sum(cap) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::DOUBLE
+                   / sum(w) OVER (o ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level
+            FROM s WINDOW o AS (ORDER BY cap / w, source NULLS LAST)),
+        t AS (
+            SELECT source, source_size,
+                   least(cap::DOUBLE, w * (SELECT arg_min(level, place) FROM l WHERE level <= cap / w)) AS target
+            FROM l),
+        b AS (
+            SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size)::BIGINT ELSE 0 END AS epochs FROM t)
+        SELECT doc_id, size, source_size, target, d.source,
+               (epochs * size + greatest(0, least(size, floor(target)::BIGINT - epochs * source_size - coalesce(sum(size) OVER (
+                   PARTITION BY d.source ORDER BY key, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))))::BIGINT AS taken
+        FROM d JOIN b ON d.source IS NOT DISTINCT FROM b.source""",
     "op9_exact_dedup": r"""
         WITH t AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS norm FROM documents)
         SELECT doc_id, min(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
