@@ -32,6 +32,8 @@ _STATE_SETTINGS = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
     "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "300",
+    # Many small stores: don't reserve disk ahead for each one's logs.
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
 }
 
 
@@ -111,11 +113,10 @@ def exact_dedup(
 
     collided = _collisions(rows, heads)
     per_id = log.groupBy("digest", "text_sha256", "doc_id").agg(F.count(F.lit(1)).alias("copies"))
-    head = heads
     if not collided.isEmpty():
         per_id = per_id.join(collided, "digest", "left_anti")
     same_id = F.col("doc_id").eqNullSafe(F.col("keep_id"))
-    decided = per_id.join(head, "digest", "left").select(
+    decided = per_id.join(heads.hint("merge"), "digest", "left").select(
         "doc_id",
         F.when(F.col("group_size").isNull(), F.col("doc_id")).otherwise(F.col("keep_id")).alias("keep_id"),
         F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"),
@@ -137,11 +138,12 @@ def exact_dedup(
 
 def _collisions(rows: DataFrame, heads: DataFrame) -> DataFrame:
     """Digests under which two texts differ: every copy is compared in full
-    with the row that stays.  Copies of one text are dealt over salts and the
+    with the row that stays.  The join on the digest is a sort-merge join at
+    every size; it moves the text once, and AQE splits a hot digest.  Copies of one text are dealt over salts and the
     staying text is repeated once per salt, so a group of any size spreads."""
     salts = F.ceil(F.col("group_size") / COPIES_PER_SALT).cast("int")
     copies = written(
-        rows.join(heads.select("digest", "keep_id", "keep_locator", "group_size"), "digest").select(
+        rows.join(heads.select("digest", "keep_id", "keep_locator", "group_size").hint("merge"), "digest").select(
             "digest",
             "norm",
             "doc_id",
