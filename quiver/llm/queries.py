@@ -5,6 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from quiver.llm.bpe import bpe_digest
 from quiver.llm.common import documents, labels
 from quiver.llm.exact_dedup import exact_dedup
 from quiver.llm.mixing import label_quality, mix_sources
@@ -15,6 +16,12 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(documents(spark, sf_dir), label_quality(labels(spark, sf_dir))).drop("text_hash")
 
 
+def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe_digest(
+        documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+    )
+
+
 def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_digest(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
 
@@ -25,6 +32,7 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 REGISTRY = {
     "op4_mixing": op4_mixing,
+    "op6_bpe": op6_bpe,
     "op8_token_files": op8_token_files,
     "op9_exact_dedup": op9_exact_dedup,
 }
