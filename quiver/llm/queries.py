@@ -9,13 +9,23 @@ from quiver.llm.bpe import bpe_digest
 from quiver.llm.common import documents, labels
 from quiver.llm.exact_dedup import exact_dedup
 from quiver.llm.mixing import label_quality, mix_sources
+from quiver.llm.quality import quality
 from quiver.llm.token_files import token_digest
+from quiver.llm.toxicity import toxicity
+
+
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(documents(spark, sf_dir), labels(spark, sf_dir))
 
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(documents(spark, sf_dir), label_quality(labels(spark, sf_dir))).drop("text_hash")
 
 
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality(documents(spark, sf_dir), labels(spark, sf_dir))
+
+
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_digest(
         documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
@@ -31,7 +41,9 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 REGISTRY = {
+    "op3_toxicity": op3_toxicity,
     "op4_mixing": op4_mixing,
+    "op5_quality": op5_quality,
     "op6_bpe": op6_bpe,
     "op8_token_files": op8_token_files,
     "op9_exact_dedup": op9_exact_dedup,
