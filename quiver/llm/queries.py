@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from quiver.llm.ann import nearest
 from quiver.llm.bpe import bpe_digest
 from quiver.llm.common import documents, labels
 from quiver.llm.exact_dedup import exact_dedup
@@ -32,6 +34,11 @@ def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    embeddings = spark.read.parquet(f"{sf_dir.rstrip('/')}/embeddings.parquet")
+    return nearest(embeddings, F.col("vec_id") % 20 == 0, k=20)
+
+
 def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_digest(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
 
@@ -45,6 +52,7 @@ REGISTRY = {
     "op4_mixing": op4_mixing,
     "op5_quality": op5_quality,
     "op6_bpe": op6_bpe,
+    "op7_ann": op7_ann,
     "op8_token_files": op8_token_files,
     "op9_exact_dedup": op9_exact_dedup,
 }
