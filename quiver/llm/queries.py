@@ -11,11 +11,16 @@ from quiver.llm.bpe import bpe_digest
 from quiver.llm.common import documents, labels
 from quiver.llm.exact_dedup import exact_dedup
 from quiver.llm.mixing import label_quality, mix_sources
+from quiver.llm.near_dup import jaccard_join
 from quiver.llm.quality import quality
 from quiver.llm.token_files import token_digest
 from quiver.llm.toxicity import toxicity
 
 
+def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join(documents(spark, sf_dir), threshold=0.8, n=5)
+
+
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(documents(spark, sf_dir), labels(spark, sf_dir))
 
@@ -48,6 +53,7 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 REGISTRY = {
+    "op2_jaccard_join": op2_jaccard_join,
     "op3_toxicity": op3_toxicity,
     "op4_mixing": op4_mixing,
     "op5_quality": op5_quality,
@@ -58,6 +64,17 @@ REGISTRY = {
 }
 
 ORACLE = {
+    "op2_jaccard_join": r"""
+        WITH RECURSIVE w AS (
+            SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+        g AS (
+            SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+                   ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END) AS gram FROM w),
+        n AS (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id),
+        c AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM g a JOIN g b USING (gram) WHERE a.doc_id <> b.doc_id GROUP BY ALL),
+        links AS (SELECT a, b FROM c JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 10 * c >= 8 * (x.n + y.n - c)),
+        reach AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT reach.a, links.b FROM reach JOIN links ON reach.b = links.a)
+        SELECT a AS doc_id, min(b) AS class_id, (SELECT count(*) FROM links WHERE links.a = reach.a) AS n_links FROM reach GROUP BY a""",
     "op4_mixing": r"""
         WITH q AS (
             SELECT doc_id, CASE WHEN avg(quality) >= 0.5 THEN 2.0::DOUBLE ELSE 0.5::DOUBLE END AS q
