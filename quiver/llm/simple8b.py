@@ -42,12 +42,14 @@ def encode(values: np.ndarray) -> tuple[bytes, list[tuple[int, int]]]:
         v[at] = 0
     if n == 0:
         return b"", escapes
+    if v.max() < 1 << 32:
+        v = v.astype(np.uint32)
     # The selector of a word that starts at i: the one with the most integers
     # whose next ones all fit; integers after the end count as zeros.
     best = np.full(n, 15, dtype=np.uint8)
     for selector in range(14, -1, -1):
         count, bits = SELECTORS[selector]
-        fits = v < (np.uint64(1) << np.uint64(bits))
+        fits = v < (1 << bits)
         if fits.any():
             best[_all_of_next(fits, count)] = selector
     after = (np.arange(n, dtype=np.int64) + _COUNTS[best]).tolist()
@@ -58,7 +60,7 @@ def encode(values: np.ndarray) -> tuple[bytes, list[tuple[int, int]]]:
         i = after[i]
     starts = np.array(starts, dtype=np.int64)
     chosen = best[starts]
-    padded = np.concatenate([v, np.zeros(240, dtype=np.uint64)])
+    padded = np.concatenate([v, np.zeros(240, dtype=v.dtype)])
     words = chosen.astype(np.uint64) << np.uint64(60)
     for selector in np.unique(chosen):
         count, bits = SELECTORS[selector]
@@ -67,7 +69,7 @@ def encode(values: np.ndarray) -> tuple[bytes, list[tuple[int, int]]]:
         rows = np.flatnonzero(chosen == selector)
         packed = words[rows]
         for k in range(count):
-            packed |= padded[starts[rows] + k] << np.uint64(bits * k)
+            packed |= padded[starts[rows] + k].astype(np.uint64) << np.uint64(bits * k)
         words[rows] = packed
     return words.astype("<u8").tobytes(), escapes
 

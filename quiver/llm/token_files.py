@@ -18,10 +18,10 @@ empty table writes no block.
 
 from __future__ import annotations
 
+import contextlib
 import os
-import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -37,14 +37,16 @@ from quiver.session import scratch_path
 #: A block is closed by the first document that fills it to so many ids.
 BLOCK_IDS = 1 << 18
 #: Distinct pieces that a worker remembers at a time.
-CACHE_PIECES = 400_000
+CACHE_PIECES = 800_000
 #: Distinct pieces sent to the library in one string.
 PIECES_PER_CALL = 2000
 
 BLOCK_SCHEMA = """shard int, block int, first long, n_ids long, doc_ids array<long>, n_tokens array<int>,
     words binary, escape_at array<long>, escape_value array<decimal(20,0)>"""
 
-_UNSAFE = re.compile(r"\s | \s|^ | $")
+_POINTS = ".,"
+#: Key of the cache for "nothing": no piece holds a space.
+_NO_PIECE = " "
 
 
 class PieceEncoder:
@@ -56,38 +58,65 @@ class PieceEncoder:
 
         self.library = Tokenizer.from_file(path)
         self.library.encode_special_tokens = True
-        self.known: dict[str, bytes] = {}
+        self.newline = self.library.encode("\n", add_special_tokens=False).ids[0]
+        self.points = {c: self.whole(c) for c in _POINTS}
+        self.known: dict[str, bytes | None] = {_NO_PIECE: b""}
 
     def whole(self, text: str) -> bytes:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
-    def _learn(self, pieces: list[str]) -> None:
-        """Ids of ``" " + piece`` for pieces that aren't known."""
-        for at in range(0, len(pieces), PIECES_PER_CALL):
-            part = pieces[at : at + PIECES_PER_CALL]
-            encoding = self.library.encode(" " + " ".join(part), add_special_tokens=False)
+    def _learn(self, pieces: Iterable[str]) -> None:
+        """Ids of ``" " + piece``, or None where a piece can't stand alone (it
+        is empty or white space stands at one of its ends)."""
+        known = self.known
+        plain: set[str] = set()
+        pointed, odd = [], []
+        for piece in pieces:
+            if not piece or piece[0].isspace() or piece[-1].isspace():
+                known[piece] = None
+            elif piece[-1] in _POINTS and piece[:-1].isalpha():
+                pointed.append(piece)
+            elif piece.isalpha():
+                plain.add(piece)
+            else:
+                odd.append(piece)
+        plain.update(p[:-1] for p in pointed)
+        todo = [p for p in plain if p not in known]
+        for at in range(0, len(todo), PIECES_PER_CALL):
+            part = todo[at : at + PIECES_PER_CALL]
+            # letters only, so the only newline ids are those between pieces
+            (encoding,) = self.library.encode_batch_fast([" " + "\n ".join(part)], add_special_tokens=False)
             ids = np.array(encoding.ids, dtype="<u4")
-            begins = np.array(encoding.offsets, dtype=np.int64).reshape(-1, 2)[:, 0]
-            lengths = np.array([len(p) + 1 for p in part])
-            cuts = np.searchsorted(begins, np.cumsum(lengths)[:-1])
-            for piece, own in zip(part, np.split(ids, cuts), strict=True):
-                self.known[piece] = own.tobytes()
+            ends = (4 * np.flatnonzero(ids == self.newline)).tolist()
+            raw, begin = ids.tobytes(), 0
+            for piece, end in zip(part, [*ends, len(raw)], strict=True):
+                known[piece] = raw[begin:end]
+                begin = end + 4
+        for piece in pointed:  # letters and a point are always two words
+            known[piece] = known[piece[:-1]] + self.points[piece[-1]]
+        for piece, encoding in zip(
+            odd, self.library.encode_batch_fast([" " + p for p in odd], add_special_tokens=False), strict=True
+        ):
+            known[piece] = np.array(encoding.ids, dtype="<u4").tobytes()
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        split = [None if _UNSAFE.search(t) else t.split(" ") for t in texts]
         if len(self.known) > CACHE_PIECES:
-            self.known.clear()
-        new: set[str] = set()
-        for pieces in split:
-            if pieces:
-                new.update(pieces[1:])
+            self.known = {_NO_PIECE: b""}
+        split = [t.split(" ") for t in texts]
+        new = set().union(*split)
         new.difference_update(self.known)
-        self._learn(list(new))
+        self._learn(new)
         get = self.known.__getitem__
-        return [
-            self.whole(text) if pieces is None else self.whole(pieces[0]) + b"".join(map(get, pieces[1:]))
-            for text, pieces in zip(texts, split, strict=True)
-        ]
+        out = []
+        for text, pieces in zip(texts, split, strict=True):
+            head = pieces[0]
+            ids = None
+            if head and not head[-1].isspace():
+                pieces[0] = _NO_PIECE
+                with contextlib.suppress(TypeError):  # a piece that can't stand alone
+                    ids = self.whole(head) + b"".join(map(get, pieces))
+            out.append(self.whole(text) if ids is None else ids)
+        return out
 
 
 @lru_cache(maxsize=2)
