@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from quiver.llm.ann import nearest
 from quiver.llm.bpe import bpe_digest
 from quiver.llm.common import documents, labels
+from quiver.llm.debruijn import substring_dedup
 from quiver.llm.exact_dedup import exact_dedup
 from quiver.llm.mixing import label_quality, mix_sources
 from quiver.llm.near_dup import jaccard_join
@@ -52,6 +53,10 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(documents(spark, sf_dir)).drop("keep_locator")
 
 
+def op10_debruijn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup(documents(spark, sf_dir), window=20)
+
+
 REGISTRY = {
     "op2_jaccard_join": op2_jaccard_join,
     "op3_toxicity": op3_toxicity,
@@ -61,9 +66,22 @@ REGISTRY = {
     "op7_ann": op7_ann,
     "op8_token_files": op8_token_files,
     "op9_exact_dedup": op9_exact_dedup,
+    "op10_debruijn": op10_debruijn,
 }
 
 ORACLE = {
+    "op10_debruijn": r"""
+        WITH d AS (
+            SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+        k AS (
+            SELECT doc_id, unnest(range(1, len(w) - 18)) AS s, unnest(list_transform(range(1, len(w) - 18), lambda i: array_to_string(w[i:i + 19], ' '))) AS t
+            FROM d WHERE len(w) >= 20),
+        r AS (SELECT doc_id, s FROM k QUALIFY row_number() OVER (PARTITION BY t ORDER BY doc_id, s) > 1),
+        gone AS (SELECT DISTINCT doc_id, unnest(range(s, s + 20)) AS i FROM r),
+        g AS (SELECT doc_id, list(i) AS gone FROM gone GROUP BY doc_id)
+        SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(len(gone), 0)::BIGINT AS n_removed,
+               sha256(array_to_string(list_filter(w, lambda x, i: gone IS NULL OR NOT list_contains(gone, i)), ' ')) AS kept_sha256
+        FROM d LEFT JOIN g USING (doc_id)""",
     "op2_jaccard_join": r"""
         WITH RECURSIVE w AS (
             SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
