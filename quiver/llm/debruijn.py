@@ -26,12 +26,12 @@ from dataclasses import replace
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quiver.llm import repeats
 from quiver.llm.common import SPACE, written
-from quiver.llm.repeats import OPEN, REPEATED, Windows
+from quiver.llm.repeats import OPEN, Windows
 from quiver.llm.tokens import text_slices, words
 
 WINDOW_WORDS, MINIMIZER_WORDS = 20, 6
@@ -43,7 +43,7 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW_WORDS, minimizer: int
     rows = repeats.identified(docs)
     while True:
         texts, spans = _repeated(w, rows)
-        if _verified(w, texts, spans):
+        if repeats.verified(w, texts, spans):
             break
         w = replace(w, seed=w.seed + 1)
     kept = _kept(w, texts, spans)
@@ -62,104 +62,14 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW_WORDS, minimizer: int
 
 
 def _repeated(w: Windows, rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Texts that take part in a repeat or a branch, and the long spans that
-    repeat: ``doc``, ``start``, ``n`` (windows), ``source``, ``source_start``."""
+    """Texts that take part in a repeat or a branch, and the long spans that repeat."""
     settled = written(repeats.settle(w, repeats.paths(w, rows), True), "bruijn-paths")
-    kind = F.col("at").bitwiseAND(3)
-    opened = settled.where(kind == OPEN).groupBy("doc").agg(F.collect_list("at").alias("open"))
-    # sources of repeats are needed for verification
-    sources = settled.where(kind == REPEATED).select(F.col("key").alias("doc"))
-    wanted = settled.select("doc").union(sources).distinct().join(opened, "doc", "left")
-    wanted = written(wanted.withColumn("used", F.lit(1)), "bruijn-wanted").where("used > 0")
-    with repeats.semi_join_filters(rows.sparkSession):
-        texts = written(
-            rows.select("doc", "text").join(wanted.hint("merge"), "doc").dropDuplicates(["doc"]), "bruijn-texts"
-        )
+    opened = settled.where(repeats.kind() == OPEN).groupBy("doc").agg(F.collect_list("at").alias("open"))
+    texts = repeats.affected(w, rows, settled, opened)
     singles = repeats.single_windows(w, texts.where("open is not null").select("doc", "text", "open"))
     single = written(singles, "bruijn-singles")
-    found = settled.where(kind == REPEATED).unionByName(single)
-    pieces = found.select(
-        "doc",
-        F.shiftright("at", 20).alias("start"),
-        F.shiftright("at", 2).bitwiseAND((1 << 18) - 1).alias("n"),
-        F.col("key").alias("source"),
-        F.col("body").alias("source_start"),
-    )
-    return texts, written(_compacted(pieces), "bruijn-spans")
-
-
-def _compacted(pieces: DataFrame) -> DataFrame:
-    """Join paths that continue each other in the text and in their source."""
-    order = Window.partitionBy("doc").orderBy("start", "source", "source_start")
-    goes_on = (
-        (F.lag("source").over(order) == F.col("source"))
-        & (F.lag("start").over(order) + F.lag("n").over(order) == F.col("start"))
-        & (F.lag("source_start").over(order) + F.lag("n").over(order) == F.col("source_start"))
-    )
-    marked = pieces.withColumn("begins", F.when(goes_on, 0).otherwise(1))
-    chained = marked.withColumn("chain", F.sum("begins").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    return (
-        chained.groupBy("doc", "chain")
-        .agg(
-            F.min("start").alias("start"),
-            F.sum("n").alias("n"),
-            F.first("source").alias("source"),
-            F.min("source_start").alias("source_start"),
-        )
-        .drop("chain")
-    )
-
-
-def _digests(w: Windows, texts: DataFrame, spans: DataFrame) -> DataFrame:
-    """SHA-256 of the words of spans ``doc``, ``start``, ``n``, ``id``."""
-
-    def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            spans_of = batch.column("spans")
-            for at, data, offsets in text_slices(batch.column("text")):
-                starts, ends, first = words(data, offsets)
-                ids, shas = [], []
-                for t in range(len(offsets) - 1):
-                    for span in spans_of[at + t].as_py():
-                        a = first[t] + span["start"]
-                        b = a + span["n"] - 1 + w.k
-                        ids.append(span["id"])
-                        shas.append(hashlib.sha256(_joined(data, starts[a:b], ends[a:b])).digest())
-                yield pa.RecordBatch.from_pydict({"id": pa.array(ids, pa.string()), "sha": pa.array(shas, pa.binary())})
-
-    grouped = spans.groupBy("doc").agg(F.collect_list(F.struct("start", "n", "id")).alias("spans"))
-    joined = texts.select("doc", "text").join(grouped.hint("merge"), "doc").select("text", "spans")
-    return joined.mapInArrow(digest, "id string, sha binary")
-
-
-def _verified(w: Windows, texts: DataFrame, spans: DataFrame) -> bool:
-    """Whether the words of every span equal those at its source."""
-    named = spans.withColumn("id", F.concat_ws(":", "doc", "start", "source", "source_start", "n"))
-    copies = _digests(w, texts, named.select("doc", "start", "n", "id"))
-    origins = _digests(w, texts, named.select(F.col("source").alias("doc"), F.col("source_start").alias("start"), "n", "id"))
-    both = copies.unionByName(origins).groupBy("id").agg(F.min("sha").alias("a"), F.max("sha").alias("b"), F.count("sha").alias("c"))
-    return both.where("a <> b or c <> 2").isEmpty()
-
-
-def _joined(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> bytes:
-    """Words joined by one space: where single spaces part them in the text, a
-    plain slice of it."""
-    if not len(starts):
-        return b""
-    if (starts[1:] == ends[:-1] + 1).all():
-        out = data[starts[0] : ends[-1]].copy()
-        out[ends[:-1] - starts[0]] = 0x20
-        return out.tobytes()
-    raw = data.tobytes()
-    return b" ".join(raw[a:b] for a, b in zip(starts.tolist(), ends.tolist(), strict=True))
-
-
-def removed_words(n_words: int, starts: np.ndarray, n: np.ndarray, window: int) -> np.ndarray:
-    """Mask of the words that windows cover."""
-    edge = np.zeros(n_words + 1, dtype=np.int64)
-    np.add.at(edge, starts, 1)
-    np.add.at(edge, starts + n - 1 + window, -1)
-    return np.cumsum(edge[:-1]) > 0
+    found = repeats.pieces(settled).unionByName(repeats.pieces(single))
+    return texts, written(repeats.compacted(found), "bruijn-spans")
 
 
 def _kept(w: Windows, texts: DataFrame, spans: DataFrame) -> DataFrame:
@@ -175,9 +85,9 @@ def _kept(w: Windows, texts: DataFrame, spans: DataFrame) -> DataFrame:
                 for t in range(len(offsets) - 1):
                     own = np.array(spans_of[at + t].as_py(), dtype=np.int64)
                     a, b = first[t], first[t + 1]
-                    gone = removed_words(b - a, own >> 32, own & 0xFFFFFFFF, w.k)
+                    gone = repeats.covered(b - a, own >> 32, own & 0xFFFFFFFF, w.k)
                     counts.append(int(gone.sum()))
-                    shas.append(hashlib.sha256(_joined(data, starts[a:b][~gone], ends[a:b][~gone])).hexdigest())
+                    shas.append(hashlib.sha256(repeats.stretch(data, starts[a:b][~gone], ends[a:b][~gone])).hexdigest())
                 yield pa.RecordBatch.from_pydict(
                     {
                         "doc": pa.array(docs[at : at + len(counts)]),

@@ -14,10 +14,15 @@ from quiver.llm.exact_dedup import exact_dedup
 from quiver.llm.mixing import label_quality, mix_sources
 from quiver.llm.near_dup import jaccard_join
 from quiver.llm.quality import quality
+from quiver.llm.suffix import suffix_dedup
 from quiver.llm.token_files import token_digest
 from quiver.llm.toxicity import toxicity
 
 
+def op1_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup(documents(spark, sf_dir), window=400)
+
+
 def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join(documents(spark, sf_dir), threshold=0.8, n=5)
 
@@ -58,6 +63,7 @@ def op10_debruijn(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 REGISTRY = {
+    "op1_suffix_array": op1_suffix_array,
     "op2_jaccard_join": op2_jaccard_join,
     "op3_toxicity": op3_toxicity,
     "op4_mixing": op4_mixing,

@@ -19,13 +19,14 @@ occurs.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from contextlib import contextmanager
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quiver.llm.common import text_of, written
@@ -36,7 +37,6 @@ COMBINED_ROWS = 1_500_000
 
 PATH, BRANCHING, OPEN, REPEATED = range(4)
 ROWS = "key long, body long, doc long, at long"
-_MASK = (1 << 16) - 1
 
 
 @dataclass(frozen=True)
@@ -145,8 +145,7 @@ def combine(w: Windows, key, body, doc, pos, n, branch: bool) -> Iterator[pa.Rec
 def settle(w: Windows, rows: DataFrame, branch: bool) -> DataFrame:
     """Bring the rows of a key together and decide: repeats (with the place
     they repeat) and open paths remain."""
-    kind = F.col("at").bitwiseAND(3)
-    route = F.when(kind.isin(PATH, BRANCHING), F.col("key")).otherwise(F.xxhash64("doc", "at"))
+    route = F.when(kind().isin(PATH, BRANCHING), F.col("key")).otherwise(F.xxhash64("doc", "at"))
     dealt = rows.withColumn("route", F.xxhash64(route)).repartition("route").drop("route")
 
     def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -277,3 +276,113 @@ def identified(docs: DataFrame) -> DataFrame:
     numbered = written(distinct.withColumn("doc", F.monotonically_increasing_id()), "repeat-numbers")
     same = keyed["doc_id"].eqNullSafe(numbered["doc_id"]) & (keyed["h"] == numbered["h"])
     return keyed.join(numbered, same).select("doc", keyed["doc_id"], "text")
+
+
+def kind() -> Column:
+    return F.col("at").bitwiseAND(3)
+
+
+def affected(w: Windows, rows: DataFrame, settled: DataFrame, opened: DataFrame) -> DataFrame:
+    """Texts that take part in a repeat or a branch, with what ``opened`` says
+    of them (``doc`` and any columns), written to the shared folder."""
+    sources = settled.where(kind() == REPEATED).select(F.col("key").alias("doc"))
+    wanted = settled.select("doc").union(sources).distinct().join(opened, "doc", "left")
+    wanted = written(wanted.withColumn("used", F.lit(1)), "repeat-wanted").where("used > 0").drop("used")
+    with semi_join_filters(rows.sparkSession):
+        found = rows.select("doc", "text").join(wanted.hint("merge"), "doc")
+        return written(found.dropDuplicates(["doc"]), "repeat-texts")
+
+
+def pieces(settled: DataFrame) -> DataFrame:
+    """Repeats as ``doc``, ``start``, ``n`` (windows), ``source``, ``source_start``."""
+    return settled.where(kind() == REPEATED).select(
+        "doc",
+        F.shiftright("at", 20).alias("start"),
+        F.shiftright("at", 2).bitwiseAND((1 << 18) - 1).alias("n"),
+        F.col("key").alias("source"),
+        F.col("body").alias("source_start"),
+    )
+
+
+def compacted(found: DataFrame) -> DataFrame:
+    """Join paths that continue each other in the text and in their source."""
+    order = Window.partitionBy("doc").orderBy("start", "source", "source_start")
+    goes_on = (
+        (F.lag("source").over(order) == F.col("source"))
+        & (F.lag("start").over(order) + F.lag("n").over(order) == F.col("start"))
+        & (F.lag("source_start").over(order) + F.lag("n").over(order) == F.col("source_start"))
+    )
+    marked = found.withColumn("begins", F.when(goes_on, 0).otherwise(1))
+    chained = marked.withColumn("chain", F.sum("begins").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    return (
+        chained.groupBy("doc", "chain")
+        .agg(
+            F.min("start").alias("start"),
+            F.sum("n").alias("n"),
+            F.first("source").alias("source"),
+            F.min("source_start").alias("source_start"),
+        )
+        .drop("chain")
+    )
+
+
+def _digests(w: Windows, texts: DataFrame, spans: DataFrame) -> DataFrame:
+    """SHA-256 of the symbols of spans ``doc``, ``start``, ``n``, ``id``."""
+
+    def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            spans_of = batch.column("spans")
+            for at, data, offsets in text_slices(batch.column("text")):
+                starts, ends, first = bounds(w, data, offsets)
+                ids, shas = [], []
+                for t in range(len(offsets) - 1):
+                    for span in spans_of[at + t].as_py():
+                        a = first[t] + span["start"]
+                        b = a + span["n"] - 1 + w.k
+                        ids.append(span["id"])
+                        shas.append(hashlib.sha256(stretch(data, starts[a:b], ends[a:b])).digest())
+                yield pa.RecordBatch.from_pydict({"id": pa.array(ids, pa.string()), "sha": pa.array(shas, pa.binary())})
+
+    grouped = spans.groupBy("doc").agg(F.collect_list(F.struct("start", "n", "id")).alias("spans"))
+    joined = texts.select("doc", "text").join(grouped.hint("merge"), "doc").select("text", "spans")
+    return joined.mapInArrow(digest, "id string, sha binary")
+
+
+def verified(w: Windows, texts: DataFrame, spans: DataFrame) -> bool:
+    """Whether the symbols of every span equal those at its source."""
+    named = spans.withColumn("id", F.concat_ws(":", "doc", "start", "source", "source_start", "n"))
+    copies = _digests(w, texts, named.select("doc", "start", "n", "id"))
+    origin = named.select(F.col("source").alias("doc"), F.col("source_start").alias("start"), "n", "id")
+    sides = copies.unionByName(_digests(w, texts, origin)).groupBy("id")
+    compared = sides.agg(F.min("sha").alias("a"), F.max("sha").alias("b"), F.count("sha").alias("c"))
+    return compared.where("a <> b or c <> 2").isEmpty()
+
+
+def bounds(w: Windows, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start and end byte of every symbol, and the first symbol of each text."""
+    if w.unit == "bytes":
+        return np.arange(len(data)), np.arange(1, len(data) + 1), offsets
+    return words(data, offsets)
+
+
+def stretch(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> bytes:
+    """Symbols as bytes, joined by one space if they are words; a plain slice
+    of the text where nothing or single spaces part them."""
+    if not len(starts):
+        return b""
+    if (starts[1:] == ends[:-1]).all():
+        return data[starts[0] : ends[-1]].tobytes()
+    if (starts[1:] == ends[:-1] + 1).all():
+        out = data[starts[0] : ends[-1]].copy()
+        out[ends[:-1] - starts[0]] = 0x20
+        return out.tobytes()
+    raw = data.tobytes()
+    return b" ".join(raw[a:b] for a, b in zip(starts.tolist(), ends.tolist(), strict=True))
+
+
+def covered(size: int, starts: np.ndarray, n: np.ndarray, window: int) -> np.ndarray:
+    """Mask of the symbols that windows cover: of the ones at ``starts``, and the ``n - 1`` after each."""
+    edge = np.zeros(size + 1, dtype=np.int64)
+    np.add.at(edge, starts, 1)
+    np.add.at(edge, starts + n - 1 + window, -1)
+    return np.cumsum(edge[:-1]) > 0
