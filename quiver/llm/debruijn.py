@@ -22,7 +22,6 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
-from dataclasses import replace
 
 import numpy as np
 import pyarrow as pa
@@ -41,11 +40,7 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW_WORDS, minimizer: int
     """Per row of ``docs``: ``doc_id``, ``n_words``, ``n_removed``, ``kept_sha256``."""
     w = Windows("words", window, min(minimizer, window), first_stays=True)
     rows = repeats.identified(docs)
-    while True:
-        texts, spans = _repeated(w, rows)
-        if repeats.verified(w, texts, spans):
-            break
-        w = replace(w, seed=w.seed + 1)
+    w, (texts, spans) = repeats.checked(w, lambda w: _repeated(w, rows))
     kept = _kept(w, texts, spans)
     norm = F.trim(F.regexp_replace("text", SPACE, " "))
     plain = rows.select(

@@ -23,7 +23,6 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
-from dataclasses import replace
 
 import numpy as np
 import pyarrow as pa
@@ -226,11 +225,7 @@ def suffix_dedup(docs: DataFrame, window: int = WINDOW_BYTES, minimizer: int = M
     ``n_spans``, ``kept_sha256``."""
     w = Windows("bytes", window, min(minimizer, window), first_stays=False)
     rows = repeats.identified(docs)
-    while True:
-        texts, spans, sourced = _repeated(w, rows)
-        if repeats.verified(w, texts, sourced):
-            break
-        w = replace(w, seed=w.seed + 1)
+    w, (texts, _, spans) = repeats.checked(w, lambda w: _repeated(w, rows))
     kept = _kept(w, texts, spans)
     plain = rows.select(
         "doc", "doc_id", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2("text", 256).alias("plain")
@@ -246,8 +241,8 @@ def suffix_dedup(docs: DataFrame, window: int = WINDOW_BYTES, minimizer: int = M
 
 
 def _repeated(w: Windows, rows: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Affected texts, all repeated spans (``doc``, ``start``, ``n`` windows),
-    and those whose source is still to be verified."""
+    """Affected texts, the spans whose source is still to be verified, and all
+    repeated spans (``doc``, ``start``, ``n`` windows)."""
     settled = written(repeats.settle(w, repeats.paths(w, rows), True), "suffix-paths")
     branch = settled.where(repeats.kind() == OPEN).select("key", "doc", "at")
     crowds = branch.groupBy("key").agg(F.count(F.lit(1)).alias("contexts")).where(F.col("contexts") > CROWD)
@@ -266,7 +261,7 @@ def _repeated(w: Windows, rows: DataFrame) -> tuple[DataFrame, DataFrame, DataFr
     sourced = written(
         repeats.compacted(repeats.pieces(settled).unionByName(repeats.pieces(single))), "suffix-spans"
     )
-    return texts, sourced.select("doc", "start", "n").unionByName(by_order), sourced
+    return texts, sourced, sourced.select("doc", "start", "n").unionByName(by_order)
 
 
 def _kept(w: Windows, texts: DataFrame, spans: DataFrame) -> DataFrame:
