@@ -175,20 +175,20 @@ FROM r"""
 # ---------------------------------------------------------------- sessions
 
 SESS = duckdb_with("session_events") + """,
-lr AS (SELECT session_id, ts AS r_ts, event_id AS r_id FROM (
+lr AS (SELECT app, user_id, session_id, ts AS r_ts, event_id AS r_id FROM (
          SELECT *, row_number() OVER (PARTITION BY app, user_id, session_id ORDER BY ts DESC, event_id DESC) AS k
          FROM session_events WHERE is_reset) WHERE k = 1),
-lc AS (SELECT session_id, ts AS c_ts, event_id AS c_id FROM (
+lc AS (SELECT app, user_id, session_id, ts AS c_ts, event_id AS c_id FROM (
          SELECT *, row_number() OVER (PARTITION BY app, user_id, session_id ORDER BY ts DESC, event_id DESC) AS k
          FROM session_events WHERE is_clear) WHERE k = 1),
-cur AS (SELECT e.* FROM session_events e LEFT JOIN lr USING (session_id)
+cur AS (SELECT e.* FROM session_events e LEFT JOIN lr USING (app, user_id, session_id)
         WHERE lr.r_ts IS NULL OR e.ts > lr.r_ts OR (e.ts = lr.r_ts AND e.event_id >= lr.r_id))
 """
 
 
 def _fold(src: str) -> str:
     return f"""
-SELECT session_id, state_key, round(state_value, 6) AS state_value FROM (
+SELECT user_id, session_id, state_key, round(state_value, 6) AS state_value FROM (
   SELECT *, row_number() OVER (PARTITION BY app, user_id, session_id, state_key
                                ORDER BY ts DESC, event_id DESC) AS k
   FROM {src} WHERE state_key IS NOT NULL) WHERE k = 1"""
@@ -196,11 +196,19 @@ SELECT session_id, state_key, round(state_value, 6) AS state_value FROM (
 
 ORACLE["session_state"] = SESS + _fold("session_events")
 ORACLE["session_reset"] = SESS + _fold("cur")
-ORACLE["session_history"] = SESS + "SELECT session_id, event_id, author FROM cur"
+ORACLE["session_history"] = SESS + "SELECT user_id, session_id, event_id, author FROM cur"
 ORACLE["session_clear_history"] = SESS + """
-SELECT session_id, event_id, author FROM cur LEFT JOIN lc USING (session_id)
+SELECT user_id, session_id, event_id, author FROM cur LEFT JOIN lc USING (app, user_id, session_id)
 WHERE NOT is_clear AND (lc.c_ts IS NULL OR cur.ts > lc.c_ts OR (cur.ts = lc.c_ts AND cur.event_id > lc.c_id))"""
 
+ORACLE["session_run_delta"] = """
+WITH t AS (SELECT CAST(conv_id AS VARCHAR) AS user_id, CAST(conv_id % 40 AS VARCHAR) AS session_id, turn, text
+           FROM conversations WHERE role = 'user'),
+d AS (SELECT user_id, session_id, max(turn) AS turn, arg_max(text, turn) AS text FROM t WHERE turn % 5 <> 4 GROUP BY ALL)
+SELECT user_id, session_id, 'num_queries' AS state_key, CAST(min(turn) + 1 AS VARCHAR) AS state_value FROM t GROUP BY ALL
+UNION ALL SELECT user_id, session_id, 'current_user_query', text FROM d
+UNION ALL SELECT user_id, session_id, unnest(['query_moderator_output', 'query_expander_output', 'query_router_output']), '{}' FROM d"""
+
 ORACLE["turn_pairs"] = """
 WITH u AS (SELECT conv_id, turn, lead(turn) OVER (PARTITION BY conv_id ORDER BY turn) AS nxt
            FROM conversations WHERE role = 'user')
@@ -398,15 +406,15 @@ SELECT id, array_to_string(groups, ',') AS groups, CAST(len(vector) AS BIGINT) A
 
 # Every customer's session state; unknown sessions -> no keys.
 ORACLE["session_lookup"] = SESS + """,
-st AS (SELECT session_id, state_key, state_value FROM (
+st AS (SELECT user_id, session_id, state_key, state_value FROM (
          SELECT *, row_number() OVER (PARTITION BY app, user_id, session_id, state_key
                                       ORDER BY ts DESC, event_id DESC) AS k
          FROM cur WHERE state_key IS NOT NULL) WHERE k = 1),
-agg AS (SELECT session_id, count(*) AS n, string_agg(state_key, ',' ORDER BY state_key) AS keys,
-               sum(state_value) AS total FROM st GROUP BY session_id)
-SELECT CAST(c.c_custkey AS VARCHAR) AS session_id, CAST(coalesce(agg.n, 0) AS BIGINT) AS n_keys,
+agg AS (SELECT user_id, session_id, count(*) AS n, string_agg(state_key, ',' ORDER BY state_key) AS keys,
+               sum(state_value) AS total FROM st GROUP BY user_id, session_id)
+SELECT CAST(c.c_custkey AS VARCHAR) AS user_id, CAST(coalesce(agg.n, 0) AS BIGINT) AS n_keys,
        coalesce(agg.keys, '') AS keys, round(coalesce(agg.total, 0.0), 6) AS total
-FROM customer c LEFT JOIN agg ON agg.session_id = CAST(c.c_custkey AS VARCHAR)"""
+FROM customer c LEFT JOIN agg ON agg.user_id = CAST(c.c_custkey AS VARCHAR) AND agg.session_id = CAST(c.c_custkey % 40 AS VARCHAR)"""
 
 ORACLE["result_sink"] = ORACLE["pipeline_parallel"]
 
@@ -429,7 +437,7 @@ ORACLE["ann_exact"] = ORACLE["knn_cosine"]
 # ---------------------------------------------------------------- streaming twins (same answers as batch)
 
 ORACLE["stream_upsert"] = ORACLE["upsert_insert_absent"]
-ORACLE["stream_session_state"] = ORACLE["session_state"]
+ORACLE["stream_session_state"] = ORACLE["session_reset"]
 
 # ---------------------------------------------------------------- files, composite
 

@@ -313,7 +313,7 @@ def latency_p95_index(spark, sf):
 
 
 def _state_rows(df: DataFrame) -> DataFrame:
-    return df.select("session_id", "state_key", F.round("state_value", 6).alias("state_value"))
+    return df.select("user_id", "session_id", "state_key", F.round("state_value", 6).alias("state_value"))
 
 
 @register
@@ -332,14 +332,31 @@ def session_reset(spark, sf):
 def session_history(spark, sf):
     """History since the last reset, in (ts, event_id) order."""
     h = sessions.session_history(view(spark, sf, "session_events"), honour_clear=False)
-    return h.select("session_id", "event_id", "author")
+    return h.select("user_id", "session_id", "event_id", "author")
 
 
 @register
 def session_clear_history(spark, sf):
     """History after the last clear marker (state untouched)."""
     h = sessions.session_history(view(spark, sf, "session_events"), honour_clear=True)
-    return h.select("session_id", "event_id", "author")
+    return h.select("user_id", "session_id", "event_id", "author")
+
+
+@register
+def session_run_delta(spark, sf):
+    """N1 + N2: every user turn of a conversation is a run (each fifth one a
+    retry); sessions are created once with an initial state, a run sets its
+    query and empties the outputs."""
+    turns = table(spark, sf, "conversations").where("role = 'user'").select(
+        F.lit("shop").alias("app"), F.col("conv_id").cast("string").alias("user_id"),
+        (F.col("conv_id") % 40).cast("string").alias("session_id"),
+        F.timestamp_seconds(F.col("turn")).alias("ts"), F.col("turn").alias("event_id"),
+        F.col("text").alias("query"), (F.col("turn") % 5 == 4).cast("int").alias("attempt"),
+    )
+    initial = F.create_map(F.lit("num_queries"), (F.col("event_id") + 1).cast("string"))
+    created = sessions.create_if_absent(turns.withColumn("initial", initial))
+    state = sessions.session_state(created.unionByName(sessions.run_delta(turns)), honour_reset=False)
+    return state.select("user_id", "session_id", "state_key", "state_value")
 
 
 @register
@@ -349,12 +366,12 @@ def session_lookup(spark, sf):
     asked = table(spark, sf, "customer").select(
         F.lit("shop").alias("app"),
         F.col("c_custkey").cast("string").alias("user_id"),
-        F.col("c_custkey").cast("string").alias("session_id"),
+        (F.col("c_custkey") % 40).cast("string").alias("session_id"),
     )
     state = sessions.session_state(view(spark, sf, "session_events"))
     got = sessions.lookup(asked, state)
     return got.select(
-        "session_id",
+        "user_id",
         F.size("state").cast("long").alias("n_keys"),
         F.array_join(F.array_sort(F.map_keys("state")), ",").alias("keys"),
         F.round(F.aggregate(F.map_values("state"), F.lit(0.0), lambda a, x: a + x), 6).alias("total"),
@@ -587,28 +604,30 @@ def synthetic_vectors(spark, sf):
 
 from quiver.streaming import jobs  # noqa: E402
 
+STREAM_FILE_ROWS, STREAM_FILES = 3_000, 2  # rows of a staged file, files of a micro-batch
+
 
 @register
 def stream_upsert(spark, sf):
-    """The 'new' orders arrive as 4 files, loaded insert-if-absent by a
+    """The 'new' orders arrive as files, loaded insert-if-absent by a
     stream into a collection holding the 'old' orders; equals upsert_insert_absent."""
     old, new = _upsert_inputs(spark, sf)
     target = scratch_path(spark, "stream-target")
     old.write.mode("overwrite").parquet(target)
-    src = jobs.stage_files(new, 4, "stream-source")
-    jobs.stream_upsert(spark, src, new.schema, target, files_per_trigger=1)
+    src = jobs.stage_files(new, STREAM_FILE_ROWS, "stream-source")
+    jobs.stream_upsert(spark, src, new.schema, target, files_per_trigger=STREAM_FILES)
     out = spark.read.parquet(target)
     return out.select("id", "version", F.round("price", 6).alias("price"))
 
 
 @register
 def stream_session_state(spark, sf):
-    """Session events arrive as 4 files in arbitrary order; the streamed
-    state equals the batch fold (session_state)."""
+    """Session events arrive as files in arbitrary order; the streamed
+    state equals the batch fold with resets (session_reset)."""
     ev = view(spark, sf, "session_events")
-    src = jobs.stage_files(ev, 4, "stream-events")
+    src = jobs.stage_files(ev, STREAM_FILE_ROWS, "stream-events")
     out_dir = scratch_path(spark, "stream-state")
-    jobs.stream_session_state(spark, src, ev.schema, out_dir, files_per_trigger=1)
+    jobs.stream_session_state(spark, src, ev.schema, out_dir, files_per_trigger=STREAM_FILES)
     return _state_rows(jobs.read_session_state(spark, out_dir))
 
 

@@ -100,7 +100,7 @@ FROM {{part}}""",
     ),
     "session_events": (
         """SELECT 'shop' AS app, CAST(user_id AS STRING) AS user_id,
-       CAST(user_id AS STRING) AS session_id, ts, event_id,
+       CAST(user_id % 40 AS STRING) AS session_id, ts, event_id,
        event_type AS author, props AS content,
        event_type AS state_key, value AS state_value,
        event_type = 'purchase' AS is_final,

@@ -6,11 +6,10 @@
   shuffled), and the fresh rows are appended (``foreachBatch``).  Re-running a batch after a failure writes
   nothing twice, because ids already present are skipped: the sink is
   idempotent by id.
-* :func:`stream_session_state` – events arrive as files in any order;
-  ``applyInPandasWithState`` keeps, per session, the last value of every
-  state key together with its ``(ts, event_id)`` and replaces a value only by
-  a later write, so late files cannot roll state back.  The state per session
-  is bounded by its number of distinct keys.
+* :func:`stream_session_state` – events arrive as files in any order; a
+  streaming ``max_by`` per (app, user, session, key) replaces a value only by a
+  later write, so late files cannot roll state back.  It is combined map-side
+  before the state store, so a hot session costs one row per key and task.
 
 Both write checkpoints and outputs under the shared checkpoint folder, so a
 restarted query resumes from its last committed batch.
@@ -18,23 +17,21 @@ restarted query resumes from its last committed batch.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming.state import GroupState
 
+from quiver.functions.keys import event_order_key
 from quiver.operators.points import fresh_rows
+from quiver.operators.sessions import KEYS, after_reset, fold_state
 from quiver.session import scratch_path
 
 
-def stage_files(df: DataFrame, files: int, name: str) -> str:
-    """Write ``df`` as ``files`` parquet files (a file source for a stream)."""
+def stage_files(df: DataFrame, rows_per_file: int, name: str) -> str:
+    """Write ``df`` as parquet files of at most ``rows_per_file`` rows (a file
+    source for a stream); their number grows with the rows."""
     path = scratch_path(df.sparkSession, name)
-    df.repartition(files).write.mode("overwrite").parquet(path)
+    df.write.mode("overwrite").option("maxRecordsPerFile", rows_per_file).parquet(path)
     return path
 
 
@@ -66,90 +63,31 @@ def stream_upsert(spark: SparkSession, source_dir: str, schema: T.StructType, ta
     q.awaitTermination()
 
 
-STATE_OUT = T.StructType([
-    T.StructField("session_id", T.StringType()),
-    T.StructField("state_key", T.StringType()),
-    T.StructField("state_value", T.DoubleType()),
-    T.StructField("ts", T.TimestampNTZType()),
-    T.StructField("event_id", T.LongType()),
-])
-# Per session: the winning write of each key, ``ts`` as microseconds.
-STATE_SCHEMA = T.StructType([
-    T.StructField("keys", T.ArrayType(T.StringType())),
-    T.StructField("values", T.ArrayType(T.DoubleType())),
-    T.StructField("ts_us", T.ArrayType(T.LongType())),
-    T.StructField("eids", T.ArrayType(T.LongType())),
-])
-# A chunk larger than this is first reduced to one row per key (vectorised).
-_REDUCE_ROWS = 512
-
-
-def _columns(pdf: pd.DataFrame):
-    """``(keys, values, ts µs, event ids)`` of the rows that carry a key."""
-    k = pdf["state_key"].to_numpy(dtype=object)
-    ok = pd.notna(k)
-    v = pdf["state_value"].to_numpy(dtype=np.float64)
-    t = pdf["ts"].to_numpy(dtype="datetime64[us]").view(np.int64)
-    e = pdf["event_id"].to_numpy(dtype=np.int64)
-    if not ok.all():
-        k, v, t, e = k[ok], v[ok], t[ok], e[ok]
-    if len(k) > _REDUCE_ROWS:
-        # last write per key: sort by (key, ts, event_id), keep each key's last row
-        codes, uniq = pd.factorize(k)
-        order = np.lexsort((e, t, codes))
-        last = order[np.r_[np.flatnonzero(np.diff(codes[order])), len(order) - 1]]
-        k, v, t, e = uniq[codes[last]], v[last], t[last], e[last]
-    return k.tolist(), v.tolist(), t.tolist(), e.tolist()
-
-
-def _fold(key: tuple, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """Merge a session's new events into its state: a later ``(ts, event_id)``
-    replaces a key's value, an older one (a late file) does not.  A large
-    chunk (a hot session) is reduced to one row per key first, so the Python
-    steps and the memory per chunk are bounded by the session's key count."""
-    (session_id,) = key
-    best: dict[str, tuple[int, int, float]] = {}
-    if state.exists:
-        keys, values, ts_us, eids = state.get
-        best = {k: (t, e, v) for k, v, t, e in zip(keys, values, ts_us, eids)}
-    for pdf in pdfs:
-        for k, v, t, e in zip(*_columns(pdf)):
-            cur = best.get(k)
-            if cur is None or (t, e) > (cur[0], cur[1]):
-                best[k] = (t, e, v)
-    keys = sorted(best)
-    ts_us = [best[k][0] for k in keys]
-    eids = [best[k][1] for k in keys]
-    values = [best[k][2] for k in keys]
-    state.update((keys, values, ts_us, eids))
-    yield pd.DataFrame({
-        "session_id": [session_id] * len(keys),
-        "state_key": keys,
-        "state_value": np.array(values, dtype=np.float64),
-        "ts": np.array(ts_us, dtype=np.int64).astype("datetime64[us]"),
-        "event_id": np.array(eids, dtype=np.int64),
-    })
+#: Key of the pseudo entry that carries a session's last reset.
+RESET_KEY = "__reset__"
 
 
 def stream_session_state(spark: SparkSession, source_dir: str, schema: T.StructType, out_dir: str,
                          files_per_trigger: int = 1) -> None:
     """Fold session events arriving as files into per-session state.
 
-    Each micro-batch emits the full state of every session it touched; the
-    rows carry the winning ``(ts, event_id)``, so the final state is the
-    latest emitted row per (session, key) – see :func:`read_session_state`.
+    A native streaming aggregate keeps the last write per (app, user, session,
+    key) and, as one more entry, the last reset; each micro-batch writes the
+    entries it changed under its own batch folder, so a repeated batch replaces
+    its output.  See :func:`read_session_state`.
     """
-    events = (
-        spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger)
-        .parquet(source_dir)
-        .select("session_id", "state_key", "state_value", "ts", "event_id")
-    )
-    folded = events.groupBy("session_id").applyInPandasWithState(
-        _fold, STATE_OUT, STATE_SCHEMA, "update", "NoTimeout"
+    events = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(source_dir)
+    seq = event_order_key(F.col("ts"), F.col("event_id"), schema["ts"].dataType)
+    reset = F.when(F.col("is_reset"), F.lit(RESET_KEY))
+    no_value = F.lit(None).cast(schema["state_value"].dataType)
+    entries = F.array(
+        F.struct(F.col("state_key").alias("state_key"), F.col("state_value").alias("state_value")),
+        F.struct(reset.alias("state_key"), no_value.alias("state_value")),
     )
+    folded = fold_state(events.select(*KEYS, seq.alias("_seq"), F.explode(entries).alias("e")).select(*KEYS, "_seq", "e.*"))
 
     def sink(batch: DataFrame, epoch: int) -> None:
-        batch.withColumn("batch_id", F.lit(epoch)).write.mode("append").parquet(out_dir)
+        batch.write.mode("overwrite").parquet(f"{out_dir}/batch_id={epoch}")
 
     q = (
         folded.writeStream.foreachBatch(sink)
@@ -162,8 +100,8 @@ def stream_session_state(spark: SparkSession, source_dir: str, schema: T.StructT
 
 
 def read_session_state(spark: SparkSession, out_dir: str) -> DataFrame:
-    """Final state from the emitted rows: the latest write per (session, key)."""
-    rows = spark.read.parquet(out_dir)
-    return rows.groupBy("session_id", "state_key").agg(
-        F.max_by("state_value", F.struct("ts", "event_id")).alias("state_value")
-    )
+    """Final state from the emitted entries: the latest write per (session,
+    key), without those older than the session's last reset."""
+    last = fold_state(spark.read.parquet(out_dir))
+    resets = last.filter(F.col("state_key") == RESET_KEY).select(*KEYS, F.col("_seq").alias("last_reset"))
+    return after_reset(last.filter(F.col("state_key") != RESET_KEY), resets).drop("_seq")
