@@ -10,11 +10,11 @@ has two backends behind one signature:
   whole-stage codegen and is checkable by SQL;
 * **model**: a user batch callable run by ``mapInPandas``
   (:func:`run_agent`), with per-row schema validation, bounded retries with
-  feedback, and an ``error`` column instead of a failed job.
+  feedback, schema defaults, and an ``error`` column instead of a failed job.
 
-The rule set is data (patterns, bands, facets); :func:`rules_response` is its
-plain-Python twin, used as the default backend of the batch evaluation and
-tested to agree with the Catalyst form.
+The rule set is data (patterns, bands, facets).  A model pipeline
+(:func:`run_pipeline`) asks a moderator first and the other agents only about
+the texts it lets through; a moderator that fails lets a text through.
 """
 
 from __future__ import annotations
@@ -25,6 +25,8 @@ import time
 from collections.abc import Callable, Iterator
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
+from itertools import combinations
+from typing import Any
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -64,7 +66,6 @@ TEEN = r"\b(?:teen|teens|teenager)\b"
 SIZE_BANDS = [(92, "50_98"), (134, "92_140")]  # size < bound -> band, else 134_170
 AGE_BANDS = [(3, "50_98"), (10, "92_140")]  # age < bound -> band, else 134_170
 TOP_BAND = "134_170"
-DEFAULT_CHILD = "girl_92_140"  # a child without gender, size or age
 DEFAULT_GROUP = "ladies"
 
 # Words removed by the expander (age, size, section) and the
@@ -139,14 +140,22 @@ def route(text: Column) -> Column:
     )
 
 
+def facet_texts(count: int) -> list[str]:
+    """The first ``count`` facet variations: single facets, then pairs and so
+    on; when all combinations are used up they come again with a number."""
+    combined = [" ".join(c) for size in range(1, len(FACETS) + 1) for c in combinations(FACETS, size)]
+    return [combined[i % len(combined)] + (f" {i // len(combined) + 1}" if i >= len(combined) else "") for i in range(count)]
+
+
 def expand(text: Column, num_queries: int = NUM_QUERIES) -> Column:
-    """The cleaned query first, then facet variations; at most ``num_queries``."""
+    """The cleaned query first, then facet variations: exactly
+    ``num_queries`` queries, none for a text that is empty after cleaning."""
     base = _lower(text)
     for p in STRIP_PATTERNS:
         base = F.regexp_replace(base, p, " ")
     base = strip(F.regexp_replace(base, r"\s+", " "))
     # Plain expressions (no lambda): codegen evaluates ``base`` once per row.
-    variants = [F.concat(base, F.lit(" " + f)) for f in FACETS[: max(num_queries - 1, 0)]]
+    variants = [F.concat(base, F.lit(" " + f)) for f in facet_texts(max(num_queries - 1, 0))]
     full = F.array(base, *variants)
     return F.when(base.isNull() | (base == ""), F.array().cast("array<string>")).otherwise(
         F.slice(full, 1, num_queries)
@@ -233,63 +242,39 @@ def merge_branches(base: DataFrame, key: str, *branches: DataFrame) -> DataFrame
     return out
 
 
-# ----------------------------------------------------------------- Python twin
-
-
-_TOPIC_RE = [(name, re.compile(_topic_pattern(terms))) for name, terms in MODERATION_LEXICON]
-
-
-def _py_band(v: int | None, bands: list[tuple[int, str]]) -> str | None:
-    if v is None:
-        return None
-    for bound, band in bands:
-        if v < bound:
-            return band
-    return TOP_BAND
-
-
-def _py_int(pattern: str, q: str) -> int | None:
-    m = re.search(pattern, q)
-    return int(m.group(1)) if m else None
-
-
-def rules_response(text: str | None, num_queries: int = NUM_QUERIES) -> str:
-    """The rule set as one JSON answer (same key order as :func:`enrich`)."""
-    q = (text or "").lower()
-    block = any(r.search(q) for _, r in _TOPIC_RE)
-    word_band = "50_98" if re.search(BABY, q) else TOP_BAND if re.search(TEEN, q) else None
-    band = _py_band(_py_int(SIZE, q), SIZE_BANDS) or _py_band(_py_int(AGE, q), AGE_BANDS) or word_band
-    gender = "boy" if re.search(BOY, q) else "girl" if re.search(GIRL, q) or re.search(KIDS, q) else None
-    if gender:
-        group = f"{gender}_{band or '92_140'}"
-    else:
-        group = "men" if re.search(MEN, q) else DEFAULT_GROUP
-    base = q
-    for p in STRIP_PATTERNS:
-        base = re.sub(p, " ", base)
-    base = re.sub(r"\s+", " ", base).strip()
-    queries = ([base] + [f"{base} {f}" for f in FACETS])[:num_queries] if base else []
-    return json.dumps({"block": block, "queries": queries, "group": group}, separators=(",", ":"))
-
-
 # ----------------------------------------------------------------- model backend
 
 
 @dataclass(frozen=True)
 class Agent:
-    """An answering function with its output schema and enum rules.
+    """An answering function with its instruction, output schema and enum rules.
 
-    ``call(texts, feedback)`` gets a list of texts (and, on retry, the
-    validation message per text) and returns one JSON string per text.
+    ``call(prompts, feedback)`` gets a list of prompts (the instruction
+    template with ``{query}`` filled in; the text itself without one) and, on
+    retry, why the last answer was refused; it returns one JSON text per
+    prompt.  ``output_key`` names the column of the answers, ``defaults`` the
+    values of fields that an answer leaves out.
     """
 
     name: str
     schema: T.StructType
     call: Callable[[list[str], list[str | None]], list[str]]
     enums: tuple[tuple[str, tuple[str, ...]], ...] = ()
+    instruction: str | None = None
+    output_key: str | None = None
+    defaults: tuple[tuple[str, Any], ...] = ()
 
+    @property
+    def column(self) -> str:
+        return self.output_key or self.name
 
-def _check(answer: str, agent: Agent) -> tuple[dict | None, str | None]:
+    def prompt(self, text: str) -> str:
+        return text if self.instruction is None else self.instruction.replace("{query}", text)
+
+
+def _check(answer: str | None, agent: Agent) -> tuple[dict | None, str | None]:
+    if answer is None:
+        return None, "no answer"
     try:
         obj = json.loads(answer)
     except (TypeError, ValueError) as exc:
@@ -310,22 +295,36 @@ def _check(answer: str, agent: Agent) -> tuple[dict | None, str | None]:
     for field, allowed in agent.enums:
         if obj.get(field) is not None and obj[field] not in allowed:
             return None, f"{field} must be one of {list(allowed)}"
-    return {f.name: obj.get(f.name) for f in agent.schema.fields}, None
+    defaults = dict(agent.defaults)
+    values = {f.name: obj.get(f.name) for f in agent.schema.fields}
+    return {k: defaults.get(k) if v is None else v for k, v in values.items()}, None
+
+
+def _ask(agent: Agent, prompts: list[str], feedback: list[str | None]) -> list[tuple[str | None, str | None]]:
+    """One (answer, error) per prompt: a call that fails or answers fewer
+    prompts than asked leaves the rest without an answer."""
+    try:
+        answers = list(agent.call(prompts, feedback))
+    except Exception as exc:  # noqa: BLE001 – recorded per row
+        return [(None, f"call failed: {exc}")] * len(prompts)
+    if len(answers) > len(prompts):
+        return [(None, f"{len(answers)} answers to {len(prompts)} prompts")] * len(prompts)
+    return [(a, None) for a in answers] + [(None, "no answer")] * (len(prompts) - len(answers))
 
 
 def run_agent(df: DataFrame, text_col: str, agent: Agent, max_retries: int = 3) -> DataFrame:
     """E4 with a model backend: answer, validate, retry with feedback.
 
-    Runs in ``mapInPandas``; only rows that failed validation are re-asked
-    (at most ``max_retries`` times, so ``max_retries + 1`` attempts); rows
-    still invalid get ``<name>_error`` instead of failing the job.  A model
-    call is not repeatable, so materialise the result (write or checkpoint)
-    before using it twice.
+    Runs in ``mapInPandas``; only rows without a valid answer are re-asked (at
+    most ``max_retries`` times, so ``max_retries + 1`` attempts); rows still
+    invalid get ``<column>_error`` instead of failing the job.  A model call is
+    not repeatable, so materialise the result (write or checkpoint) before
+    using it twice.
     """
     out_struct = T.StructType([T.StructField(f.name, f.dataType) for f in agent.schema.fields])
     schema = T.StructType(
         list(df.schema.fields)
-        + [T.StructField(agent.name, out_struct), T.StructField(f"{agent.name}_error", T.StringType())]
+        + [T.StructField(agent.column, out_struct), T.StructField(f"{agent.column}_error", T.StringType())]
     )
 
     def fn(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -338,38 +337,68 @@ def run_agent(df: DataFrame, text_col: str, agent: Agent, max_retries: int = 3)
             for _ in range(max_retries + 1):
                 if not todo:
                     break
-                answers = agent.call([texts[i] for i in todo], [feedback[i] for i in todo])
+                answers = _ask(agent, [agent.prompt(texts[i]) for i in todo], [feedback[i] for i in todo])
                 again = []
-                for i, ans in zip(todo, answers):
-                    obj, err = _check(ans, agent)
-                    if err is None:
-                        results[i], errors[i] = obj, None
-                    else:
-                        errors[i] = err
-                        feedback[i] = f"Your previous response failed validation: {err}."
+                for i, (ans, failed) in zip(todo, answers, strict=True):
+                    obj, err = (None, failed) if failed else _check(ans, agent)
+                    results[i], errors[i] = obj, err
+                    if err is not None:
+                        feedback[i] = f"The answer was refused ({err}); answer again in the asked format."
                         again.append(i)
                 todo = again
             pdf = pdf.copy()
-            pdf[agent.name] = results
-            pdf[f"{agent.name}_error"] = errors
+            pdf[agent.column] = results
+            pdf[f"{agent.column}_error"] = errors
             yield pdf
 
     return df.mapInPandas(fn, schema)
 
 
+def run_pipeline(df: DataFrame, text_col: str, moderator: Agent, others: list[Agent], gated: bool = True,
+                 max_retries: int = 3) -> DataFrame:
+    """E5/E6 with model backends: the moderator's answer, then the other
+    agents' and their merged ``response``.
+
+    ``gated``: agents are asked only about texts that the moderator doesn't
+    block; one that it could not answer for passes (the gate fails open).  The
+    moderator's answers are checkpointed, so each text is asked once.
+    """
+    judged = run_agent(df, text_col, moderator, max_retries)
+    if not gated:
+        out = judged
+        for agent in others:
+            out = run_agent(out, text_col, agent, max_retries)
+        return _merged(out, [moderator, *others])
+    judged = judged.checkpoint(eager=True)
+    blocked = F.coalesce(F.col(f"{moderator.column}.block"), F.lit(False))
+    passed = judged.filter(~blocked)
+    for agent in others:
+        passed = run_agent(passed, text_col, agent, max_retries)
+    return _merged(passed.unionByName(judged.filter(blocked), allowMissingColumns=True), [moderator, *others])
+
+
+def _merged(df: DataFrame, agents: list[Agent]) -> DataFrame:
+    """``response``: the agents' fields as one JSON object (absent ones left out)."""
+    fields = [F.col(f"{a.column}.{f.name}").alias(f.name) for a in agents for f in a.schema.fields]
+    return df.withColumn("response", F.to_json(F.struct(*fields)))
+
+
 def evaluate_batch(df: DataFrame, text_col: str,
                    backend: Callable[[str], str] | None = None,
                    concurrency: int = 4) -> DataFrame:
     """Clean -> answer each query (timed) -> parse -> errors -> AVERAGE row.
 
-    ``backend(query) -> JSON text``; default the rule set.  Calls inside a
-    task run on a bounded thread pool (parallelism across the cluster is the
-    partition count).  A failing call becomes ``{"error": "ERROR: ..."}``.
+    Without a backend the rules answer as columns of the same plan; their
+    latency is 0 because no call is made.  ``backend(query) -> JSON text`` is
+    called on a bounded thread pool per task and timed; a failing call becomes
+    ``{"error": "ERROR: ..."}``.
     """
     from quiver.operators.stats import with_average_row
 
-    call = backend or rules_response
     cleaned = clean_queries(df, text_col).select("query")
+    if backend is None:
+        answered = enrich(cleaned, "query").select("query", F.lit(0.0).alias("latency_seconds"), "response")
+        return with_average_row(parse_response(answered).drop("response"))
     schema = T.StructType([
         T.StructField("query", T.StringType()),
         T.StructField("latency_seconds", T.DoubleType()),
@@ -379,7 +408,7 @@ def evaluate_batch(df: DataFrame, text_col: str,
     def timed(q: str) -> tuple[float, str]:
         t0 = time.perf_counter()
         try:
-            ans = call(q)
+            ans = backend(q)
         except Exception as exc:  # noqa: BLE001 – recorded per row like the reference
             ans = json.dumps({"error": f"ERROR: {exc}"})
         return time.perf_counter() - t0, ans

@@ -27,6 +27,14 @@ GROUP_RULES: list[tuple[str, list[str]]] = [
 GROUPS = [label for label, _ in GROUP_RULES]
 
 
+def rules_column(rules: list[tuple[str, list[str]]] = GROUP_RULES) -> Column:
+    """The rules as one array of ``(label, patterns)``, to bind to a SQL text."""
+    return F.array(*[
+        F.struct(F.lit(label).alias("label"), F.array(*map(F.lit, patterns)).alias("patterns"))
+        for label, patterns in rules
+    ])
+
+
 def filter_buyable(
     articles: DataFrame, country: str = "GB", status: int = 1
 ) -> DataFrame:

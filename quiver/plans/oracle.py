@@ -299,7 +299,18 @@ SELECT query_id, topic IS NOT NULL AS block,
        CASE WHEN len(q) > 0 THEN array_to_string(q, '|') END AS queries,
        CASE WHEN topic IS NULL THEN grp END AS "group" FROM e"""
 
-_prompt = "p"
+ORACLE["evaluate_batch"] = _PIPE + """
+SELECT cl.query, true AS timed, topic IS NOT NULL AS block, array_to_string(q, '|') AS queries, grp AS "group",
+       NULL::VARCHAR AS error, NULL::VARCHAR AS raw_response FROM e JOIN cl USING (query_id)
+UNION ALL SELECT 'AVERAGE', true, NULL, NULL, NULL, NULL, NULL"""
+_ROUTED = "CASE WHEN contains(query, 'z') THEN NULL WHEN contains(query, 'men') THEN 'men' ELSE 'ladies' END"
+ORACLE["agent_retry"] = ENRICH + f"""
+SELECT query_id, {_ROUTED} AS "group", contains(query, 'z') AS failed FROM cl"""
+ORACLE["pipeline_gated_model"] = ENRICH + f"""
+SELECT query_id, CASE WHEN contains(query, 'z') THEN NULL ELSE contains(query, 'gun') END AS block,
+       CASE WHEN contains(query, 'z') THEN '{{}}' WHEN contains(query, 'gun') THEN '{{"block":true}}'
+            ELSE '{{"block":false,"group":"' || {_ROUTED} || '"}}' END AS response FROM cl"""
+
 _expr = _lit(PROMPT_TEMPLATE)
 for _k, _v in PROMPT_VALUES.items():
     _expr = f"replace({_expr}, {_lit('{' + _k + '}')}, {_lit(str(_v))})"

@@ -52,7 +52,7 @@ def write_csv(df: DataFrame, path: str) -> None:
 def write_results(df: DataFrame, path: str, fmt: str = "csv") -> bool:
     """Write ``df`` to ``path``; returns False (and writes nothing) when empty."""
     if df.isEmpty():
-        log.warning("No results to save.")
+        log.warning("nothing to write to %s: the result is empty", path)
         return False
     if fmt == "csv":
         write_csv(df, path)

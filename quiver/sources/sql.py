@@ -33,7 +33,7 @@ def load_sql(
     if not path.is_absolute() and not path.exists():
         path = SQL_DIR / path
     if not path.exists():
-        raise FileNotFoundError(f"SQL file not found: {path}")
+        raise FileNotFoundError(f"no SQL text at {path}")
     text = path.read_text(encoding="utf-8")
     missing = placeholders(text) - set(tables)
     if missing:

@@ -39,11 +39,10 @@ def test_expander(spark):
     assert r[0] == "black dress" and len(r) == enrich.NUM_QUERIES and all("girl" not in x for x in r)
 
 
-def test_python_twin_equals_catalyst(spark):
-    uq = view(spark, SF_CHECK, "user_queries")
-    e = enrich.enrich(enrich.clean_queries(uq, "user_queries"), "query")
-    for r in e.select("query", "response").collect():
-        assert json.loads(r["response"]) == json.loads(enrich.rules_response(r["query"]))
+def test_expander_gives_exactly_the_number_asked(spark):
+    for n in (1, 9, 12, 300):
+        e = _q(spark, ["black dress"]).select(enrich.expand(F.col("query"), n).alias("e")).first()["e"]
+        assert len(e) == len(set(e)) == n and e[0] == "black dress"
 
 
 def test_gated_pipeline_keeps_only_block(spark):
@@ -81,6 +80,38 @@ def test_model_backend_retries(spark):
     assert out[2]["router"] is None and "must be one of" in out[2]["router_error"]
 
 
+def test_short_and_failing_answers_are_errors(spark):
+    def short(texts, feedback):
+        return ['{"group": "men"}']
+
+    def failing(texts, feedback):
+        raise RuntimeError("down")
+
+    df = spark.createDataFrame([(1, "a"), (2, "b"), (3, "c")], "id long, q string").coalesce(1)
+    once = enrich.run_agent(df, "q", enrich.Agent("m", ROUTER, short), max_retries=0).orderBy("id").collect()
+    assert [r["m_error"] for r in once] == [None, "no answer", "no answer"]
+    retried = enrich.run_agent(df, "q", enrich.Agent("m", ROUTER, short), max_retries=3).collect()
+    assert all(r["m"]["group"] == "men" and r["m_error"] is None for r in retried)
+    down = enrich.run_agent(df, "q", enrich.Agent("m", ROUTER, failing), max_retries=1).collect()
+    assert all(r["m"] is None and "down" in r["m_error"] for r in down)
+
+
+def test_gate_asks_only_about_passed_texts_and_fails_open(spark):
+    block = T.StructType([T.StructField("block", T.BooleanType())])
+
+    def moderator(texts, feedback):
+        return ["?" if t == "odd" else json.dumps({"block": t == "bad"}) for t in texts]
+
+    def router(texts, feedback):
+        assert "bad" not in texts
+        return ['{"group": "men"}' for _ in texts]
+
+    df = spark.createDataFrame([(1, "good"), (2, "bad"), (3, "odd")], "id long, q string").coalesce(1)
+    agents = enrich.Agent("mod", block, moderator), [enrich.Agent("router", ROUTER, router)]
+    got = {r["id"]: json.loads(r["response"]) for r in enrich.run_pipeline(df, "q", *agents).collect()}
+    assert got == {1: {"block": False, "group": "men"}, 2: {"block": True}, 3: {"group": "men"}}
+
+
 def test_merge_branches_right_wins(spark):
     base = spark.createDataFrame([(1,), (2,)], "k long")
     a = spark.createDataFrame([(1, "x")], "k long, v string")
@@ -95,7 +126,7 @@ def test_evaluate_batch(spark):
     def backend(q):
         if q == "boom":
             raise RuntimeError("model down")
-        return enrich.rules_response(q)
+        return '{"block": false, "queries": [], "group": "ladies"}'
 
     out = enrich.evaluate_batch(df, "user_queries", backend=backend).collect()
     by = {r["query"]: r for r in out}

@@ -68,7 +68,7 @@ def test_extract_join(spark):
 def test_sql_file_equals_dataframe_form(spark):
     arts = _articles(spark)
     feats = spark.createDataFrame([(str(i), [float(i)]) for i in range(1, 20)], "castor string, features array<float>")
-    a = load_sql(spark, "extract_vectors.sql", {"articles": arts, "features": feats})
+    a = load_sql(spark, "labelled_features.sql", {"articles": arts, "features": feats}, {"rules": labels.rules_column(), "country": "GB", "status": 1})
     b = labels.extract_vectors(arts, feats)
     key = lambda df: sorted((r["castor"], tuple(r["groups"])) for r in df.collect())
     assert key(a) == key(b)
@@ -80,4 +80,4 @@ def test_sql_loader_is_strict(spark, tmp_path):
     with pytest.raises(FileNotFoundError):
         load_sql(spark, tmp_path / "nope.sql", {})
     with pytest.raises(KeyError):
-        load_sql(spark, "extract_vectors.sql", {"articles": _articles(spark)})
+        load_sql(spark, "labelled_features.sql", {"articles": _articles(spark)})
