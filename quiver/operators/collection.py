@@ -3,20 +3,14 @@
 A collection is a folder with
 
 * ``_spec/``      one row: ``name, vectors map<string, struct<size, distance>>,
-                  quantized`` – what :func:`quiver.operators.points.validate_vectors`
-                  checks every write against;
-* ``full=<n>/``   a complete set of points (written by create and by
-                  overwrite loads);
-* ``delta=<n>/``  the points an insert-if-absent load added (only the fresh
-                  ids, so a load costs O(new rows), not O(collection));
-* ``_log/``       one row ``version, kind, folder`` per committed part,
-                  appended only after the part's data is written.
-
-The current collection is the newest logged ``full`` part plus every later
-logged ``delta``.  A load that fails before its log row is written leaves the
-previous state untouched (its folder is never read); ids are unique across
-the parts by construction, and re-running a load is idempotent by id.  Only
-``spark.read`` / ``DataFrame.write`` are used, so any filesystem works.
+                  quantized``; every load is checked against it;
+* ``points/``     the points;
+* ``_rejected/``  per load, the points that failed the check, with a reason.
+
+An insert-if-absent load appends the points whose id isn't there yet, so
+running it again adds nothing.  An overwrite load writes the new state to the
+scratch folder first and replaces ``points/`` from there.  Loads of one
+collection are meant to run one after another, as Spark's own writers are.
 
 Existence checks, listing and deletion use the Spark catalog / filesystem as
 they are (``spark.catalog``, ``DROP``); they are not rebuilt here.
@@ -24,13 +18,14 @@ they are (``spark.catalog``, ``DROP``); they are not rebuilt here.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.utils import AnalysisException
 
 from quiver.functions.vectors import check_metric
-from quiver.operators.points import fresh_rows, upsert
+from quiver.operators.points import fresh_rows, point_errors, upsert
+from quiver.session import scratch_path
 
 POINT_SCHEMA = T.StructType([
     T.StructField("id", T.LongType()),
@@ -47,13 +42,6 @@ SPEC_SCHEMA = T.StructType([
 ])
 
 
-LOG_SCHEMA = T.StructType([
-    T.StructField("version", T.IntegerType()),
-    T.StructField("kind", T.StringType()),
-    T.StructField("folder", T.StringType()),
-])
-
-
 def _read_or_none(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame | None:
     reader = spark.read.schema(schema) if schema is not None else spark.read
     try:
@@ -68,12 +56,6 @@ def exists(spark: SparkSession, path: str) -> bool:
     return _read_or_none(spark, path.rstrip("/") + "/_spec") is not None
 
 
-def _commit(spark: SparkSession, path: str, version: int, kind: str, folder: str) -> None:
-    """Append the part's log row (after its data write has committed)."""
-    row = spark.createDataFrame([(version, kind, folder)], LOG_SCHEMA)
-    row.coalesce(1).write.mode("append").parquet(path.rstrip("/") + "/_log")
-
-
 def create(spark: SparkSession, path: str, name: str, vectors: dict[str, tuple[int, str]],
            quantized: bool = True) -> bool:
     """Create the collection if absent (returns True when created)."""
@@ -87,64 +69,85 @@ def create(spark: SparkSession, path: str, name: str, vectors: dict[str, tuple[i
         [(name, {k: (s, m) for k, (s, m) in vectors.items()}, quantized)], SPEC_SCHEMA
     )
     spec.coalesce(1).write.mode("ignore").parquet(path.rstrip("/") + "/_spec")
-    folder = path.rstrip("/") + "/full=0"
-    spark.createDataFrame([], POINT_SCHEMA).write.mode("ignore").parquet(folder)
-    _commit(spark, path, 0, "full", folder)
+    spark.createDataFrame([], POINT_SCHEMA).write.mode("ignore").parquet(_points(path))
     return True
 
 
+def _points(path: str) -> str:
+    return path.rstrip("/") + "/points"
+
+
 def spec(spark: SparkSession, path: str) -> dict[str, tuple[int, str]]:
     row = spark.read.parquet(path.rstrip("/") + "/_spec").first()
     return {k: (v["size"], v["distance"]) for k, v in row["vectors"].items()}
 
 
-def _parts(spark: SparkSession, path: str) -> list[tuple[int, str, str]]:
-    """Committed parts ``(version, kind, folder)`` in version order (one
-    small row per load)."""
-    log = _read_or_none(spark, path.rstrip("/") + "/_log", LOG_SCHEMA)
-    if log is None:
-        raise FileNotFoundError(f"no collection at {path}")
-    return sorted((r["version"], r["kind"], r["folder"]) for r in log.collect())
-
-
 def current(spark: SparkSession, path: str) -> DataFrame:
-    """The newest full version and the deltas written after it."""
-    parts = _parts(spark, path)
-    base = max(i for i, (_, kind, _) in enumerate(parts) if kind == "full")
-    folders = [folder for _, _, folder in parts[base:]]
-    return spark.read.schema(POINT_SCHEMA).parquet(*folders)
-
-
-def load(spark: SparkSession, path: str, new_points: DataFrame, check_existing: bool = True) -> int:
-    """Load ``new_points``; returns the version number written.
-
-    ``check_existing=True`` (insert-if-absent, the reference's default) writes
-    a delta with the ids not yet present – the anti join reads only the id
-    column of the collection.  ``False`` (overwrite by id) writes a full
-    version: the collection with those ids replaced."""
-    nxt = _parts(spark, path)[-1][0] + 1
+    """The points of the collection."""
+    if not exists(spark, path):
+        raise FileNotFoundError(f"no collection at {path}")
+    return spark.read.schema(POINT_SCHEMA).parquet(_points(path))
+
+
+def load(spark: SparkSession, path: str, new_points: DataFrame, check_existing: bool = True,
+         on_error: str = "quarantine") -> DataFrame:
+    """Load ``new_points`` and return those rejected, with their reason.
+
+    Every point is checked against the collection's spec: ``quarantine``
+    writes bad ones to ``_rejected/``, ``fail`` stops before anything is
+    loaded.  ``check_existing=True`` (insert-if-absent, the reference's
+    default) adds the ids not yet present; ``False`` replaces points by id.
+    The batch is written to the scratch folder once, so it is derived once."""
+    schema = T.StructType([*POINT_SCHEMA.fields, T.StructField("reason", T.StringType())])
+    batch_path = scratch_path(spark, "load-batch")
+    points = new_points.select(*POINT_SCHEMA.fieldNames())
+    points.withColumn("reason", point_errors(points, spec(spark, path))).write.parquet(batch_path)
+    batch = spark.read.schema(schema).parquet(batch_path)
+    bad = batch.filter(F.col("reason").isNotNull())
+    if on_error == "fail":
+        first = bad.select("reason").first()
+        if first is not None:
+            raise ValueError(f"point rejected: {first['reason']}")
+    elif on_error != "quarantine":
+        raise ValueError("on_error must be 'quarantine' or 'fail'")
+    bad.write.mode("append").parquet(path.rstrip("/") + "/_rejected")
+    good = batch.filter(F.col("reason").isNull()).drop("reason")
     existing = current(spark, path)
-    new_points = new_points.select(*POINT_SCHEMA.fieldNames())
     if check_existing:
-        kind = "delta"
-        out = fresh_rows(existing, new_points).select(*POINT_SCHEMA.fieldNames())
+        fresh_rows(existing, good).select(*POINT_SCHEMA.fieldNames()).write.mode("append").parquet(_points(path))
     else:
-        kind = "full"
-        out = upsert(existing, new_points, mode="overwrite")
-    folder = f"{path.rstrip('/')}/{kind}={nxt}"
-    out.write.mode("overwrite").parquet(folder)
-    _commit(spark, path, nxt, kind, folder)
-    return nxt
+        state = scratch_path(spark, "load-state")
+        upsert(existing, good, mode="overwrite").write.parquet(state)
+        spark.read.schema(POINT_SCHEMA).parquet(state).write.mode("overwrite").parquet(_points(path))
+    return bad
+
+
+def search(spark: SparkSession, path: str, queries: DataFrame, k: int, vector_name: str = "image",
+           filter: Column | None = None, with_payload: bool = True, with_vectors: bool = True) -> DataFrame:
+    """K1: the ``k`` nearest points of the collection per query (``query_id``,
+    ``vector``) under the metric of the named vector's spec, with the points'
+    payload and vectors."""
+    from quiver.operators.knn import knn_search
+
+    size_metric = spec(spark, path).get(vector_name)
+    if size_metric is None:
+        raise ValueError(f"the collection has no vector {vector_name!r}")
+    points = current(spark, path)
+    points = points if filter is None else points.filter(filter)
+    flat = points.select("id", F.col("vectors")[vector_name].alias("vector"))
+    hits = knn_search(flat, queries, k=k, metric=size_metric[1])
+    asked = [c for c, wanted in (("payload", with_payload), ("vectors", with_vectors)) if wanted]
+    return hits.join(points.select("id", *asked), on="id") if asked else hits
 
 
 def info(points: DataFrame, vector_name: str = "image") -> DataFrame:
     """Count, distinct ids, width range and zero vectors in one aggregate."""
     v = F.col("vectors")[vector_name]
-    sq = F.aggregate(v, F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double"))
+    is_zero = ~F.exists(v, lambda x: x != 0)
     return points.agg(
         F.count(F.lit(1)).alias("points_count"),
         F.countDistinct("id").alias("distinct_ids"),
         F.min(F.size(v)).cast("long").alias("min_dim"),
         F.max(F.size(v)).cast("long").alias("max_dim"),
-        F.count_if(sq == 0).alias("zero_vectors"),
+        F.count_if(is_zero).alias("zero_vectors"),
     )

@@ -12,8 +12,6 @@ from pyspark.sql import types as T
 
 from quiver.functions.vectors import check_metric
 
-POINT_COLUMNS = ["id", "vectors", "payload"]
-
 
 def parse_id(text: Column) -> Column:
     """Integer id from text: surrounding white space allowed, anything else NULL."""
@@ -35,7 +33,7 @@ def point_errors(points: DataFrame, spec: dict[str, tuple[int, str]]) -> Column:
     """Reason a point cannot be stored, or NULL (first failing rule wins).
 
     Rules: id must be an integer; every declared vector must be present with
-    the declared width.  (A declared-but-missing name is only a warning in the
+    the declared width and without null or NaN components.  (A declared-but-missing name is only a warning in the
     reference's first-row probe; a stored point without it could never be
     searched, so here it is reported as ``missing_vector``.)
     """
@@ -45,6 +43,8 @@ def point_errors(points: DataFrame, spec: dict[str, tuple[int, str]]) -> Column:
         v = F.col("vectors").getItem(name)
         checks.append((v.isNull(), F.lit(f"missing_vector:{name}")))
         checks.append((F.size(v) != size, F.lit(f"dimension_mismatch:{name}")))
+        checks.append((F.exists(v, lambda x: x.isNull()), F.lit(f"null_component:{name}")))
+        checks.append((F.exists(v, lambda x: F.isnan(x)), F.lit(f"nan_component:{name}")))
     expr = None
     for cond, reason in checks:
         expr = F.when(cond, reason) if expr is None else expr.when(cond, reason)
@@ -104,80 +104,53 @@ def validate_vectors(points: DataFrame, spec: dict[str, tuple[int, str]]) -> Dat
     return wide.select(F.explode(F.array(*rows)).alias("r")).select("r.*")
 
 
-def _has_map(dtype: T.DataType) -> bool:
-    if isinstance(dtype, T.MapType):
-        return True
-    if isinstance(dtype, T.ArrayType):
-        return _has_map(dtype.elementType)
-    if isinstance(dtype, T.StructType):
-        return any(_has_map(f.dataType) for f in dtype.fields)
-    return False
+def _hashable(field: T.StructField) -> Column:
+    """The column, with a map as its entries in key order (maps can't be hashed)."""
+    column = F.col(field.name)
+    return F.array_sort(F.map_entries(column)) if isinstance(field.dataType, T.MapType) else column
 
 
 def dedupe_by_id(points: DataFrame, id_col: str = "id", order_col: str | None = None) -> DataFrame:
-    """One row per id: the greatest ``order_col`` wins, else the greatest row hash.
+    """One row per id: the greatest ``order_col`` wins, else the greatest hash
+    of all columns, so the winner doesn't depend on the order of the rows.
 
     ``max_by`` is a partial + final aggregate, so a hot id is reduced on the
     map side instead of landing whole in one task.
     """
-    cols = [c for c in points.columns if c != id_col]
-    if not cols:
+    fields = [f for f in points.schema.fields if f.name != id_col]
+    if not fields:
         return points.select(id_col).distinct()
-    hashable = [f.name for f in points.schema.fields if not _has_map(f.dataType)]
-    rank = F.struct(
-        *(([F.col(order_col)] if order_col else []) + [F.xxhash64(*[F.col(c) for c in hashable])])
-    )
+    rank = F.struct(*([F.col(order_col)] if order_col else []), F.xxhash64(*[_hashable(f) for f in fields]))
     return (
         points.groupBy(id_col)
-        .agg(F.max_by(F.struct(*[F.col(c) for c in cols]), rank).alias("_row"))
+        .agg(F.max_by(F.struct(*[F.col(f.name) for f in fields]), rank).alias("_row"))
         .select(id_col, "_row.*")
     )
 
 
-# New batches up to this many rows have their ids broadcast (8 bytes each:
-# 32 MiB), so the collection is only scanned, never shuffled, by a load.
-BROADCAST_NEW_ROWS = 4_000_000
-
-
-def fresh_rows(existing: DataFrame, new: DataFrame, id_col: str = "id", order_col: str | None = None,
-               broadcast_new_rows: int = BROADCAST_NEW_ROWS) -> DataFrame:
+def fresh_rows(existing: DataFrame, new: DataFrame, id_col: str = "id", order_col: str | None = None) -> DataFrame:
     """Rows of ``new`` (one per id, see :func:`dedupe_by_id`) whose id is not
-    in ``existing``.
-
-    A load batch is usually far smaller than the collection: when ``new`` has
-    at most ``broadcast_new_rows`` rows (counted, a narrow job) its ids are
-    broadcast and the collection's id column streams through a map-side semi
-    join – the collection is scanned, never shuffled.  A larger batch uses a
-    shuffle anti join on the id column (AQE splits skewed partitions).
-    """
-    small = new.count() <= broadcast_new_rows
-    new = dedupe_by_id(new, id_col, order_col)
-    if not small:
-        return new.join(existing.select(id_col), on=id_col, how="left_anti")
-    present = existing.select(id_col).join(F.broadcast(new.select(id_col)), on=id_col, how="left_semi")
-    return new.join(F.broadcast(present), on=id_col, how="left_anti")  # present has <= |new| rows
+    in ``existing``: an anti join on the id columns alone; AQE broadcasts a
+    side that proves small and splits a skewed partition."""
+    return dedupe_by_id(new, id_col, order_col).join(existing.select(id_col), on=id_col, how="left_anti")
 
 
 def upsert(existing: DataFrame, new: DataFrame, mode: str = "insert_absent",
-           id_col: str = "id", order_col: str | None = None,
-           broadcast_new_rows: int = BROADCAST_NEW_ROWS) -> DataFrame:
+           id_col: str = "id", order_col: str | None = None) -> DataFrame:
     """The collection after loading ``new`` into ``existing``.
 
     * ``insert_absent`` (reference default): existing ids are left unchanged,
       only new ids are added  ->  ``existing  UNION  fresh_rows(existing, new)``.
     * ``overwrite``: new rows replace existing ones with the same id
-      ->  ``(existing ANTI JOIN new)  UNION  new``; a small batch's ids are
-      broadcast, so the anti join streams the collection without a shuffle.
+      ->  ``(existing ANTI JOIN new)  UNION  new``.
     """
     if mode == "insert_absent":
-        fresh = fresh_rows(existing, new, id_col, order_col, broadcast_new_rows)
+        fresh = fresh_rows(existing, new, id_col, order_col)
         return existing.unionByName(fresh.select(*existing.columns))
     if mode != "overwrite":
         raise ValueError("mode must be 'insert_absent' or 'overwrite'")
-    small = new.count() <= broadcast_new_rows
-    new = dedupe_by_id(new, id_col, order_col).select(*existing.columns)
-    ids = F.broadcast(new.select(id_col)) if small else new.select(id_col)
-    return existing.join(ids, on=id_col, how="left_anti").unionByName(new)
+    last = dedupe_by_id(new, id_col, order_col).select(*existing.columns)
+    return existing.join(new.select(id_col), on=id_col, how="left_anti").unionByName(last)
 
 
 def scroll(points: DataFrame, limit: int = 1000, with_vectors: bool = True,

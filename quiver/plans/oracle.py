@@ -415,6 +415,22 @@ SELECT query_id, query FROM cl ORDER BY md5(CAST(query_id AS VARCHAR) || '-42'),
 ORACLE["load_collection"] = EXTRACT + """
 SELECT id, array_to_string(groups, ',') AS groups, CAST(len(vector) AS BIGINT) AS n_dims FROM pts"""
 
+ORACLE["load_rejects"] = """
+WITH p AS (SELECT vec_id, CASE WHEN vec_id % 7 <> 3 THEN vec_id // 2 END AS id,
+                  CASE WHEN vec_id % 7 = 3 THEN 'id_not_integer' WHEN vec_id % 7 = 1 THEN 'dimension_mismatch:image'
+                       WHEN vec_id % 7 = 2 THEN 'null_component:image' END AS reason FROM embeddings),
+bad AS (SELECT reason, id FROM p WHERE reason IS NOT NULL AND vec_id % 3 = 0
+        UNION ALL SELECT reason, id FROM p WHERE reason IS NOT NULL)
+SELECT 'stored' AS what, count(DISTINCT id) AS n, count(DISTINCT id) AS ids FROM p WHERE reason IS NULL
+UNION ALL SELECT reason, count(*), count(DISTINCT id) FROM bad GROUP BY reason"""
+
+ORACLE["search_collection"] = EXTRACT + """
+, s AS (SELECT q.vec_id AS query_id, p.id, p.groups, len(p.vector) AS n_dims,
+        list_cosine_similarity(q.embedding::DOUBLE[], p.vector::DOUBLE[]) AS score FROM embeddings q, pts p)
+SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS BIGINT) AS rank, id,
+       round(score, 6) AS score, array_to_string(groups, ',') AS groups, CAST(n_dims AS BIGINT) AS n_dims
+FROM s QUALIFY rank <= 5"""
+
 # Every customer's session state; unknown sessions -> no keys.
 ORACLE["session_lookup"] = SESS + """,
 st AS (SELECT user_id, session_id, state_key, state_value FROM (

@@ -218,9 +218,7 @@ def load_collection(spark, sf):
     path = scratch_path(spark, "collection")
     spec = {"image": (64, "Cosine")}
     collection.create(spark, path, "products", spec, quantized=True)
-    good, _ = points.quarantine_bad_rows(point_table(spark, sf), spec)
-    # the batch is read by both loads (count, join): derive it once
-    batch = good.select(*collection.POINT_SCHEMA.fieldNames()).checkpoint()
+    batch = point_table(spark, sf).select(*collection.POINT_SCHEMA.fieldNames())
     collection.load(spark, path, batch)
     changed = batch.withColumn("payload", F.struct(F.array(F.lit("changed")).alias("group")))
     collection.load(spark, path, changed)
@@ -231,6 +229,46 @@ def load_collection(spark, sf):
     )
 
 
+@register
+def load_rejects(spark, sf):
+    """P4/P5 enforced by the load: two loads of embeddings with wrong widths,
+    null ids, null components, repeated ids and fresh ids; the collection and
+    what was rejected, by reason."""
+    path = scratch_path(spark, "collection-rejects")
+    collection.create(spark, path, "checked", {"image": (64, "Cosine")}, quantized=False)
+    v, i = F.col("embedding"), F.col("vec_id")
+    broken = (
+        F.when(i % 7 == 1, F.slice(v, 1, 2))
+        .when(i % 7 == 2, F.concat(F.slice(v, 1, 63), F.array(F.lit(None).cast("float"))))
+        .otherwise(v)
+    )
+    rows = table(spark, sf, "embeddings").select(
+        F.when(i % 7 != 3, F.floor(i / 2).cast("long")).alias("id"),
+        F.create_map(F.lit("image"), broken).alias("vectors"),
+        F.struct(F.array(F.lit("same")).alias("group")).alias("payload"), "vec_id",
+    )
+    fields = collection.POINT_SCHEMA.fieldNames()
+    first = collection.load(spark, path, rows.where("vec_id % 3 = 0").select(*fields))
+    second = collection.load(spark, path, rows.select(*fields))
+    kept = collection.current(spark, path).groupBy(F.lit("stored").alias("what"))
+    counted = kept.agg(F.count("id").alias("n"), F.countDistinct("id").alias("ids"))
+    bad = first.unionByName(second).groupBy(F.col("reason").alias("what"))
+    return counted.unionByName(bad.agg(F.count(F.lit(1)).alias("n"), F.countDistinct("id").alias("ids")))
+
+
+@register
+def search_collection(spark, sf):
+    """K1 on a collection: metric from its spec, payload and vector returned."""
+    path = scratch_path(spark, "collection-search")
+    collection.create(spark, path, "searched", {"image": (64, "Cosine")})
+    collection.load(spark, path, point_table(spark, sf).select(*collection.POINT_SCHEMA.fieldNames()))
+    hits = collection.search(spark, path, embedding_queries(spark, sf).select("query_id", "vector"), k=5)
+    return hits.select(
+        "query_id", "rank", "id", F.round("score", 6).alias("score"),
+        F.array_join("payload.group", ",").alias("groups"), F.size(F.col("vectors")["image"]).cast("long").alias("n_dims"),
+    )
+
+
 # ---------------------------------------------------------------- kNN
 
 

@@ -1,9 +1,8 @@
 """Structured Streaming twins of the incremental operators.
 
 * :func:`stream_upsert` – points arrive as files; each micro-batch is
-  deduplicated by id, its ids already stored are found by a map-side semi
-  join against the target (the batch's ids are broadcast, the target is never
-  shuffled), and the fresh rows are appended (``foreachBatch``).  Re-running a batch after a failure writes
+  deduplicated by id, ids already stored are dropped by an anti join on the id
+  column, and the fresh rows are appended (``foreachBatch``).  Re-running a batch after a failure writes
   nothing twice, because ids already present are skipped: the sink is
   idempotent by id.
 * :func:`stream_session_state` – events arrive as files in any order; a
@@ -42,15 +41,9 @@ def stream_upsert(spark: SparkSession, source_dir: str, schema: T.StructType, ta
     files, until no file is left (``availableNow``)."""
 
     def load(batch: DataFrame, epoch: int) -> None:
-        # the micro-batch is read by the size check, the dedupe and the join:
-        # keep it for this batch only (a lost block is recomputed from its files)
-        batch = batch.persist()
-        try:
-            existing = batch.sparkSession.read.parquet(target_dir)
-            fresh = fresh_rows(existing, batch, id_col).select(*schema.fieldNames())
-            fresh.write.mode("append").parquet(target_dir)
-        finally:
-            batch.unpersist()
+        existing = batch.sparkSession.read.parquet(target_dir)
+        fresh = fresh_rows(existing, batch, id_col).select(*schema.fieldNames())
+        fresh.write.mode("append").parquet(target_dir)
 
     q = (
         spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger)

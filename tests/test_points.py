@@ -87,42 +87,55 @@ def test_collection_lifecycle(spark):
     assert (info["points_count"], info["min_dim"], info["zero_vectors"]) == (1, 2, 0)
 
 
-def test_collection_delta_and_full_versions(spark):
-    """Insert-if-absent loads append only fresh ids (delta); an overwrite load
-    writes a full version; the current view is the last full + later deltas."""
-    path = scratch_path(spark, "coll-versions")
-    collection.create(spark, path, "c", {"image": (2, "Dot")})
+def _pts(spark, rows):
+    return spark.createDataFrame([(i, {"image": v}, ([g],)) for i, v, g in rows], collection.POINT_SCHEMA)
+
 
-    def pts(rows):
-        return spark.createDataFrame([(i, {"image": v}, ([g],)) for i, v, g in rows], collection.POINT_SCHEMA)
+def test_collection_loads(spark):
+    """Insert-if-absent loads add only fresh ids; an overwrite load replaces by id."""
+    path = scratch_path(spark, "coll-loads")
+    collection.create(spark, path, "c", {"image": (2, "Dot")})
 
     def state():
         return sorted((r["id"], r["payload"]["group"][0]) for r in collection.current(spark, path).collect())
 
-    collection.load(spark, path, pts([(1, [1.0, 0.0], "a"), (2, [0.0, 1.0], "a")]))
-    collection.load(spark, path, pts([(2, [5.0, 5.0], "b"), (3, [1.0, 1.0], "b")]))  # 2 kept, 3 added
+    collection.load(spark, path, _pts(spark, [(1, [1.0, 0.0], "a"), (2, [0.0, 1.0], "a")]))
+    collection.load(spark, path, _pts(spark, [(2, [5.0, 5.0], "b"), (3, [1.0, 1.0], "b")]))  # 2 kept, 3 added
     assert state() == [(1, "a"), (2, "a"), (3, "b")]
-    v = collection.load(spark, path, pts([(1, [2.0, 2.0], "c")]), check_existing=False)
-    assert collection._parts(spark, path)[-1][:2] == (v, "full")
+    collection.load(spark, path, _pts(spark, [(1, [2.0, 2.0], "c")]), check_existing=False)
     assert state() == [(1, "c"), (2, "a"), (3, "b")]
-    collection.load(spark, path, pts([(4, [0.5, 0.5], "d"), (1, [9.0, 9.0], "x")]))
-    assert state() == [(1, "c"), (2, "a"), (3, "b"), (4, "d")]
-    kinds = [kind for _, kind, _ in collection._parts(spark, path)]
-    assert kinds == ["full", "delta", "delta", "full", "delta"]
-    # a load that died after writing its data but before its log row is invisible
-    pts([(7, [1.0, 1.0], "lost")]).write.parquet(f"{path}/delta=99")
+    collection.load(spark, path, _pts(spark, [(4, [0.5, 0.5], "d"), (1, [9.0, 9.0], "x")]))
     assert state() == [(1, "c"), (2, "a"), (3, "b"), (4, "d")]
 
 
-def test_upsert_broadcast_and_shuffle_paths_agree(spark):
+def test_loads_enforce_the_spec(spark):
+    path = scratch_path(spark, "coll-spec")
+    collection.create(spark, path, "c", {"image": (2, "Cosine")})
+    rows = [(1, [1.0, 0.0], "ok"), (2, [1.0], "narrow"), (None, [1.0, 0.0], "no id"), (3, [1.0, None], "null"),
+            (4, [1.0, float("nan")], "nan")]
+    bad = collection.load(spark, path, _pts(spark, rows))
+    assert {r["reason"] for r in bad.collect()} == {
+        "dimension_mismatch:image", "id_not_integer", "null_component:image", "nan_component:image"}
+    assert [r["id"] for r in collection.current(spark, path).collect()] == [1]
+    with pytest.raises(ValueError, match="dimension_mismatch"):
+        collection.load(spark, path, _pts(spark, rows[1:2]), on_error="fail")
+
+
+def test_duplicate_ids_have_one_winner_in_any_order(spark):
+    rows = [(1, [1.0, float(i)], "g") for i in range(6)]
+    winners = {
+        tuple(points.dedupe_by_id(_pts(spark, r).coalesce(1)).first()["vectors"]["image"]) for r in (rows, rows[::-1])
+    }
+    assert len(winners) == 1
+
+
+def test_upsert_modes(spark):
     existing = spark.createDataFrame([(i, f"old{i}") for i in range(0, 60, 2)], "id long, v string")
     new = spark.createDataFrame(
         [(i, f"new{i}") for i in range(0, 90, 3)] + [(3, "dup3")], "id long, v string"
     )
     for mode in ("insert_absent", "overwrite"):
-        small = sorted(tuple(r) for r in points.upsert(existing, new, mode=mode).collect())
-        big = sorted(tuple(r) for r in points.upsert(existing, new, mode=mode, broadcast_new_rows=0).collect())
-        assert small == big
-        ids = [r[0] for r in small]
+        got = sorted(tuple(r) for r in points.upsert(existing, new, mode=mode).collect())
+        ids = [r[0] for r in got]
         assert len(ids) == len(set(ids)) == len(set(range(0, 60, 2)) | set(range(0, 90, 3)))
-        assert dict(small)[6] == ("old6" if mode == "insert_absent" else "new6")
+        assert dict(got)[6] == ("old6" if mode == "insert_absent" else "new6")
