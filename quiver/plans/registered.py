@@ -730,14 +730,16 @@ def csv_required_column(spark, sf):
 
 @register
 def result_sink(spark, sf):
-    """The parallel pipeline's results saved by the evaluation sink (CSV,
-    one header, no index column, folder overwritten) and read back."""
+    """The batch evaluation saved by the sink (CSV, folder overwritten,
+    lists as JSON) and read back, the reference's evaluate-then-save path."""
     path = scratch_path(spark, "results-csv")
-    files.write_results(_pipeline(spark, sf, gated=False), path, fmt="csv")
-    schema = {"query_id": T.LongType(), "block": T.BooleanType(), "topic": T.StringType(),
-              "queries": T.StringType(), "group": T.StringType()}
+    results = enrich.evaluate_batch(view(spark, sf, "user_queries"), "user_queries")
+    files.write_results(results.drop("raw_response"), path, fmt="csv")
+    schema = {"query": T.StringType(), "latency_seconds": T.DoubleType(), "block": T.BooleanType(),
+              "queries": T.StringType(), "group": T.StringType(), "error": T.StringType()}
     df = files.read_csv_required(spark, path, schema)
-    return df.select(*schema)
+    queries = F.array_join(F.from_json("queries", "array<string>"), "|").alias("queries")
+    return df.select("query", (F.col("latency_seconds") >= 0).alias("timed"), "block", queries, "group", "error")
 
 
 # ---------------------------------------------------------------- composite (not in the reference)

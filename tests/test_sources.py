@@ -20,6 +20,32 @@ def test_csv_required_column(spark):
         files.read_csv_required(spark, path + "-nope", {"user_queries": T.StringType()})
 
 
+def test_csv_headers_are_checked_and_files_split(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("query_id,user_queries\n1,red dress\n")
+    (tmp_path / "b.csv").write_text("user_queries,query_id\nblue dress,2\n")
+    df = files.read_csv_required(spark, str(tmp_path), {"user_queries": T.StringType()})
+    with pytest.raises(Exception, match="header"):
+        df.collect()
+    big = tmp_path / "big.csv"
+    big.write_text("user_queries\n" + "some query text\n" * 200_000)
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "500k")
+    try:
+        split = files.read_csv_required(spark, str(big), {"user_queries": T.StringType()})
+        assert split.rdd.getNumPartitions() > 1
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    ids = [r["query_id"] for r in files.with_query_ids(split).select("query_id").collect()]
+    assert len(set(ids)) == 200_000
+
+
+def test_nested_results_can_be_saved(spark):
+    path = scratch_path(spark, "nested-results")
+    df = spark.createDataFrame([("a", ["x", "y"])], "query string, queries array<string>")
+    files.write_results(df, path)
+    assert files.read_csv_required(spark, path, {"queries": T.StringType()}).first()["queries"] == '["x","y"]'
+
+
 def test_result_sink(spark):
     path = scratch_path(spark, "results")
     empty = spark.createDataFrame([], "query string")
