@@ -40,13 +40,8 @@ from pyspark.sql import types as T
 
 from quiver.functions.vectors import check_metric
 from quiver.session import scratch_path
-from quiver.sources.tables import input_files
 
 DEFAULT_MAX_BROADCAST_BYTES = 256 << 20
-# Sampled bound: used from this many input files (each at least one scan
-# task) on, with this share of points.
-BOUND_MIN_FILES = 1000
-BOUND_FRACTION = 0.01
 
 
 def _scores(metric: str, P: np.ndarray, Q: np.ndarray, qnorm: np.ndarray) -> np.ndarray:
@@ -263,7 +258,8 @@ def _score_chunk(points: DataFrame, queries: DataFrame, k: int, metric: str, hig
     extra = [F.col(pgroups).alias(_GROUPS)] if qgroup else []
     if qprobe:
         extra.append(F.col(pbucket).cast("int").alias(_BUCKET))
-    src = points.select(F.col(id_col).cast("long").alias(id_col), vec_col, *passthrough, *extra)
+    kept = [c for c in passthrough if c != vec_col]
+    src = points.select(F.col(id_col).cast("long").alias(id_col), vec_col, *kept, *extra)
     fields = [
         T.StructField("query_id", T.LongType()),
         T.StructField(id_col, T.LongType()),
@@ -332,7 +328,7 @@ def knn_search(
     group_match: tuple[str, str] | None = None,
     probe_match: tuple[str, str] | None = None,
     max_broadcast_bytes: int = DEFAULT_MAX_BROADCAST_BYTES,
-    bound_fraction: float | str | None = "auto",
+    bound_fraction: float | None = None,
 ) -> DataFrame:
     """Top-``k`` points per query, best first: ``query_id, rank, id, score, *passthrough``.
 
@@ -353,8 +349,8 @@ def knn_search(
     share of the points; the k-th best sample score of a query is a bound no
     true top-k score can be worse than, so the full pass ships only points
     that beat it – about ``k / fraction`` candidates per query instead of
-    ``k`` per scan task.  Exact.  ``"auto"`` uses 1 % when the points are
-    read from at least ``BOUND_MIN_FILES`` files; ``None`` never samples.
+    ``k`` per scan task.  Exact.  Worth its second scan where the points are
+    read by thousands of tasks (0.01, say); None: no bound.
     """
     if k <= 0:
         raise ValueError("k must be positive")
@@ -365,13 +361,11 @@ def knn_search(
     if filter is not None:
         points = points.filter(filter)
     points = points.filter(F.col(vector_col).isNotNull() & (F.size(vector_col) == dim))
-    passthrough = [c for c in passthrough if c not in (id_col, vector_col)]
+    passthrough = [c for c in passthrough if c != id_col]
     qgroup, pgroups = group_match or (None, None)
     qprobe, pbucket = probe_match or (None, None)
     args = (k, metric, higher, id_col, vector_col, query_id_col, query_vector_col,
             list(passthrough), dim, qgroup, pgroups, qprobe, pbucket)
-    if bound_fraction == "auto":
-        bound_fraction = BOUND_FRACTION if input_files(points) >= BOUND_MIN_FILES else None
 
     def search(qs: DataFrame) -> DataFrame:
         bounds = None
