@@ -33,7 +33,7 @@ from quiver.llm.common import text_of, written
 from quiver.llm.tokens import PrefixHash, mix, text_slices, words
 
 #: Rows that a map task combines at a time.
-COMBINED_ROWS = 1_500_000
+COMBINED_ROWS = 400_000
 
 PATH, BRANCHING, OPEN, REPEATED = range(4)
 ROWS = "key long, body long, doc long, at long"

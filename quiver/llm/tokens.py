@@ -17,7 +17,7 @@ _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _U = np.uint64
 
 
-def text_slices(texts: pa.Array, limit: int = 2 << 20) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+def text_slices(texts: pa.Array, limit: int = 1 << 20) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """Parts of a string column of about ``limit`` bytes (whole texts): first
     row, bytes, and offsets of the texts in them."""
     texts = texts.cast(pa.large_string())
@@ -49,9 +49,13 @@ def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return starts, np.flatnonzero(ends) + 1, np.searchsorted(starts, offsets)
 
 
-@lru_cache(maxsize=8)
-def _powers(size: int, base: int) -> np.ndarray:
-    out = np.full(size, base, dtype=np.uint64)
+#: An odd number, so that it has an inverse mod 2**64.
+_BASE = 0xD1342543DE82EF95
+
+
+@lru_cache(maxsize=4)
+def _powers(size: int, inverse: bool) -> np.ndarray:
+    out = np.full(size, pow(_BASE, -1, 1 << 64) if inverse else _BASE, dtype=np.uint64)
     out[0] = 1
     return np.multiply.accumulate(out)
 
@@ -59,21 +63,19 @@ def _powers(size: int, base: int) -> np.ndarray:
 class PrefixHash:
     """Polynomial hashes (mod 2**64) of any stretch of a sequence of symbols.
 
-    A symbol is mapped to a 64-bit value, so equal stretches have equal
-    hashes wherever they stand."""
+    A symbol is mapped to a 64-bit value that depends on the seed; equal
+    stretches have equal hashes wherever they stand."""
 
     def __init__(self, symbols: np.ndarray, seed: int):
-        rng = np.random.default_rng(seed)
-        base = int(rng.integers(1 << 62, 1 << 63)) * 2 + 1
-        size = 1 << max(10, int(len(symbols)).bit_length())
+        size = 1 << max(20, int(len(symbols)).bit_length())
         if symbols.dtype == np.uint8:
-            table = rng.integers(0, 1 << 63, 256, dtype=np.uint64) * _U(2) + _U(1)
+            table = np.random.default_rng(seed).integers(0, 1 << 63, 256, dtype=np.uint64) * _U(2) + _U(1)
             symbols = table[symbols]
         else:
             symbols = mix(symbols, seed)
         self.prefix = np.zeros(len(symbols) + 1, dtype=np.uint64)
-        np.cumsum(symbols * _powers(size, base)[: len(symbols)], out=self.prefix[1:])
-        self.back = _powers(size, pow(base, -1, 1 << 64))
+        np.cumsum(symbols * _powers(size, False)[: len(symbols)], out=self.prefix[1:])
+        self.back = _powers(size, True)
 
     def of(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         return mix((self.prefix[ends] - self.prefix[starts]) * self.back[starts], 0)
