@@ -167,6 +167,14 @@ def test_words(docs, none):
     assert substring_dedup(none).count() == 0
 
 
+def test_verification_finds_unequal_spans(spark):
+    texts = spark.createDataFrame([(1, "a b c d"), (2, "a b\nc x")], "doc long, text string")
+    kind = "doc long, start long, n long, source long, source_start long"
+    w = repeats.Windows("words", 3, 2, True)
+    assert repeats.verified(w, texts, spark.createDataFrame([(2, 0, 1, 1, 0)], kind))
+    assert not repeats.verified(w, texts, spark.createDataFrame([(2, 1, 1, 1, 1)], kind))
+
+
 def test_suffix_order():
     data = np.frombuffer(b"banana bandana banana", dtype=np.uint8)
     own = suffix.Suffixes(data, 5)
