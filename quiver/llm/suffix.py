@@ -7,8 +7,8 @@ comes here.  Contexts that share a minimizer meet in one task, where the
 suffixes at equal places of the minimizer are put in order by a mergesort; two
 suffixes are compared by prefix polynomial hashes and a binary search for
 their common extension, so a comparison takes logarithmic time.  Neighbours
-that agree on 400 bytes repeat; they are verified byte by byte, and so (by
-SHA-256) is every stretch settled before.
+that agree on 400 bytes repeat and are verified byte by byte; stretches settled
+before are verified against their source by another 128-bit hash.
 
 A minimizer with more than ``CROWD`` contexts isn't brought into one task: its
 windows are told apart by their hash in Spark, combined before the shuffle.
@@ -38,7 +38,7 @@ WINDOW_BYTES, MINIMIZER_BYTES = 400, 128
 #: Contexts of one minimizer that are sorted in one task, at most.
 CROWD = 1024
 #: Suffixes that are sorted together.
-SUFFIXES = 400_000
+SUFFIXES = 150_000
 
 
 class Suffixes:
