@@ -6,8 +6,9 @@ one minimizer, equal ones collapse to a path with its occurrences, and only
 where a minimizer branches into several paths are its edges taken one by one
 (see ``repeats``).  Repeated paths that continue each other, in the text and in
 what they repeat, are compacted into long spans by a Spark window over each
-text's paths; each span is verified against its source coordinates (SHA-256 of
-the words on either side), and a mismatch repeats the work under other hashes.
+text's paths; each span is verified against its source coordinates (another
+128-bit hash of the words' bytes on either side), and a mismatch repeats the
+work under other hashes.
 
 A word goes if a window that covers it also starts earlier: in a document with
 a smaller id, or earlier in the same one.

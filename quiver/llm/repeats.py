@@ -19,7 +19,6 @@ occurs.
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 from dataclasses import dataclass, replace
@@ -327,37 +326,59 @@ def compacted(found: DataFrame) -> DataFrame:
 
 
 def _digests(w: Windows, texts: DataFrame, spans: DataFrame) -> DataFrame:
-    """SHA-256 of the symbols of spans ``doc``, ``start``, ``n``, ``id``."""
+    """``spans`` (``doc``, ``start``, ``n``, ``source``, ``source_start``)
+    without ``doc`` and ``start``, with a 128-bit hash of their bytes: other
+    hash functions, and other symbols for words, than those that found them."""
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            spans_of = batch.column("spans")
+            own = batch.column("spans")
+            counts = np.diff(own.offsets.to_numpy())
+            flat = own.flatten()
+            start, n = (flat.field(c).to_numpy(zero_copy_only=False) for c in ("start", "n"))
+            keys = [flat.field(c) for c in ("source", "source_start", "n")]
+            begin = np.r_[0, np.cumsum(counts)]
             for at, data, offsets in text_slices(batch.column("text")):
-                starts, ends, first = bounds(w, data, offsets)
-                ids, shas = [], []
-                for t in range(len(offsets) - 1):
-                    for span in spans_of[at + t].as_py():
-                        a = first[t] + span["start"]
-                        b = a + span["n"] - 1 + w.k
-                        ids.append(span["id"])
-                        shas.append(hashlib.sha256(stretch(data, starts[a:b], ends[a:b])).digest())
-                yield pa.RecordBatch.from_pydict({"id": pa.array(ids, pa.string()), "sha": pa.array(shas, pa.binary())})
-
-    grouped = spans.groupBy("doc").agg(F.collect_list(F.struct("start", "n", "id")).alias("spans"))
+                lo, hi = begin[at], begin[at + len(offsets) - 1]
+                text = np.repeat(np.arange(len(offsets) - 1), counts[at : at + len(offsets) - 1])
+                body, starts, ends, first = plain_bytes(w, data, offsets)
+                a = first[text] + start[lo:hi]
+                b = a + n[lo:hi] - 2 + w.k
+                hashes = [PrefixHash(body, seed).of(starts[a], ends[b]).view(np.int64) for seed in (71, 81)]
+                columns = [k.slice(lo, hi - lo) for k in keys] + [pa.array(h) for h in hashes]
+                yield pa.RecordBatch.from_arrays(columns, ["source", "source_start", "n", "h1", "h2"])
+
+    grouped = spans.groupBy("doc").agg(F.collect_list(F.struct("start", "n", "source", "source_start")).alias("spans"))
     joined = texts.select("doc", "text").join(grouped.hint("merge"), "doc").select("text", "spans")
-    return joined.mapInArrow(digest, "id string, sha binary")
+    return joined.mapInArrow(digest, "source long, source_start long, n long, h1 long, h2 long")
 
 
 def verified(w: Windows, texts: DataFrame, spans: DataFrame) -> bool:
-    """Whether the symbols of every span equal those at its source."""
+    """Whether the bytes of every span equal those at its source."""
     elsewhere = (F.col("doc") != F.col("source")) | (F.col("start") != F.col("source_start"))
-    named = spans.where(elsewhere).withColumn("id", F.concat_ws(":", "doc", "start", "source", "source_start", "n"))
-    named = named.dropDuplicates(["id"])
-    copies = _digests(w, texts, named.select("doc", "start", "n", "id"))
-    origin = named.select(F.col("source").alias("doc"), F.col("source_start").alias("start"), "n", "id")
-    sides = copies.unionByName(_digests(w, texts, origin)).groupBy("id")
-    compared = sides.agg(F.min("sha").alias("a"), F.max("sha").alias("b"), F.count("sha").alias("c"))
-    return compared.where("a <> b or c <> 2").isEmpty()
+    copies = spans.where(elsewhere)
+    origins = copies.select("source", "source_start", "n").distinct()
+    origins = origins.select(F.col("source").alias("doc"), F.col("source_start").alias("start"), "n", "source", "source_start")
+    sides = _digests(w, texts, copies).unionByName(_digests(w, texts, origins))
+    h = [f(c).alias(f"{f.__name__}_{c}") for c in ("h1", "h2") for f in (F.min, F.max)]
+    compared = sides.groupBy("source", "source_start", "n").agg(*h)
+    return compared.where("min_h1 <> max_h1 or min_h2 <> max_h2").isEmpty()
+
+
+def plain_bytes(w: Windows, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Bytes with one space between the words of a text (as they are, if
+    symbols are bytes), start and end of every symbol in them, and the first
+    symbol of each text."""
+    if w.unit == "bytes":
+        return data, np.arange(len(data)), np.arange(1, len(data) + 1), offsets
+    starts, ends, first = words(data, offsets)
+    length = ends - starts
+    begin = np.cumsum(length + 1) - (length + 1)
+    body = np.full(int((length + 1).sum()), 0x20, dtype=np.uint8)
+    place = np.arange(int(length.sum())) + np.repeat(np.arange(len(length)), length)
+    source = np.arange(int(length.sum())) + np.repeat(starts - (np.cumsum(length) - length), length)
+    body[place] = data[source]
+    return body, begin, begin + length, first
 
 
 def checked(w: Windows, attempt: Callable[[Windows], tuple], tries: int = 3) -> tuple[Windows, tuple]:
@@ -371,13 +392,6 @@ def checked(w: Windows, attempt: Callable[[Windows], tuple], tries: int = 3) ->
     raise RuntimeError(f"repeats could not be verified under {tries} hash seeds")
 
 
-def bounds(w: Windows, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Start and end byte of every symbol, and the first symbol of each text."""
-    if w.unit == "bytes":
-        return np.arange(len(data)), np.arange(1, len(data) + 1), offsets
-    return words(data, offsets)
-
-
 def stretch(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> bytes:
     """Symbols as bytes, joined by one space if they are words; a plain slice
     of the text where nothing or single spaces part them."""
