@@ -34,10 +34,12 @@ from quiver.llm.common import text_of
 from quiver.llm.token_files import slices
 
 #: Distinct pieces (and as many words) that a worker remembers at a time.
-CACHE_PIECES = 300_000
+CACHE_PIECES = 250_000
 #: Words of one recursive query.
-WORDS_PER_QUERY = 20_000
+WORDS_PER_QUERY = 10_000
 LONG_WORD = 128
+#: Ids decoded by one query, about.
+IDS_PER_QUERY = 400_000
 
 _UNSAFE = re.compile(r"\s | \s|^ | $")
 
@@ -112,10 +114,18 @@ class RankCodec:
         self.words: dict[str, bytes] = {}
         self.pieces: dict[str, bytes] = {}
         self.byte = np.array([self.ranks[bytes([b])] for b in range(256)], dtype=np.int32)
-        self.db = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": "700MB", "temp_directory": ""})
-        self._tables()
-
-    def _tables(self) -> None:
+        self.db = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": "400MB", "temp_directory": ""})
+        self.tables: set[str] = set()
+
+    def _need(self, name: str) -> None:
+        """Make a table when it is first used: a worker mostly encodes or decodes."""
+        if name not in self.tables:
+            self.db.register("given", self._merges() if name == "merges" else self._vocabulary())
+            self.db.execute(f"CREATE TABLE {name} AS FROM given")
+            self.db.unregister("given")
+            self.tables.add(name)
+
+    def _merges(self) -> pa.Table:
         pairs = [
             (self.ranks[token[:cut]], self.ranks[token[cut:]], rank)
             for token, rank in self.ranks.items()
@@ -126,22 +136,15 @@ class RankCodec:
         least_with = np.full(max(self.ranks.values()) + 1, np.iinfo(np.int32).max, dtype=np.int32)
         np.minimum.at(least_with, a, made)
         np.minimum.at(least_with, b, made)
-        merges = pa.table({"a": a, "b": b, "key": made.astype(np.int64) << 32, "safe": least_with[made] > made})
-        vocabulary = pa.table(
-            {
-                "id": pa.array(list(self.ranks.values()), pa.int32()),
-                "piece": pa.array([token.decode("latin-1") for token in self.ranks]),  # a character per byte
-            }
-        )
-        self.db.register("given_merges", merges)
-        self.db.register("given_vocabulary", vocabulary)
-        self.db.execute("CREATE TABLE merges AS FROM given_merges")
-        self.db.execute("CREATE TABLE vocabulary AS FROM given_vocabulary")
-        self.db.unregister("given_merges")
-        self.db.unregister("given_vocabulary")
+        return pa.table({"a": a, "b": b, "key": made.astype(np.int64) << 32, "safe": least_with[made] > made})
+
+    def _vocabulary(self) -> pa.Table:
+        pieces = [token.decode("latin-1") for token in self.ranks]  # a character per byte
+        return pa.table({"id": pa.array(list(self.ranks.values()), pa.int32()), "piece": pa.array(pieces)})
 
     def _contract(self, words: list[bytes], long: bool) -> list[bytes]:
         """Packed ids of each word."""
+        self._need("merges")
         lengths = np.array([len(w) for w in words])
         data = np.frombuffer(b"".join(words), dtype=np.uint8)
         word = np.repeat(np.arange(len(words), dtype=np.int32), lengths)
@@ -214,6 +217,7 @@ class RankCodec:
         ]
 
     def decode(self, packed: list[bytes]) -> list[bytes]:
+        self._need("vocabulary")
         lengths = np.array([len(p) // 4 for p in packed], dtype=np.int64)
         ids = np.frombuffer(b"".join(packed), dtype="<u4").astype(np.int32)
         rows = pa.table(
@@ -265,7 +269,7 @@ def bpe_decode(encoded: DataFrame, ranks: str, pattern: str) -> DataFrame:
             at = 0
             while at < len(packed):
                 end, size = at, 0
-                while end < len(packed) and size < 4 << 20:
+                while end < len(packed) and size < IDS_PER_QUERY * 4:
                     size += len(packed[end])
                     end += 1
                 bodies = pa.array(own.decode(packed[at:end]), pa.binary())
