@@ -34,7 +34,7 @@ from quiver.llm.common import text_of
 from quiver.llm.token_files import slices
 
 #: Distinct pieces (and as many words) that a worker remembers at a time.
-CACHE_PIECES = 250_000
+CACHE_PIECES = 150_000
 #: Words of one recursive query.
 WORDS_PER_QUERY = 10_000
 LONG_WORD = 128
@@ -114,7 +114,7 @@ class RankCodec:
         self.words: dict[str, bytes] = {}
         self.pieces: dict[str, bytes] = {}
         self.byte = np.array([self.ranks[bytes([b])] for b in range(256)], dtype=np.int32)
-        self.db = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": "400MB", "temp_directory": ""})
+        self.db = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": "300MB", "temp_directory": ""})
         self.tables: set[str] = set()
 
     def _need(self, name: str) -> None:
@@ -282,11 +282,29 @@ def bpe_decode(encoded: DataFrame, ranks: str, pattern: str) -> DataFrame:
     return encoded.select("doc_id", "ids").mapInArrow(decode, "doc_id long, ids binary, decoded binary")
 
 
+def bpe_round_trip(docs: DataFrame, ranks: str, pattern: str) -> DataFrame:
+    """``doc_id``, ``ids`` and ``decoded`` by encoding and decoding in one
+    Python worker per task instead of two."""
+
+    def both(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = codec(ranks, pattern)
+        for batch in batches:
+            for at, texts in slices(batch.column("text"), 1 << 20):
+                ids = own.encode(texts)
+                bodies = pa.array(own.decode(ids), pa.binary())
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("doc_id").slice(at, len(texts)), pa.array(ids, pa.binary()), bodies],
+                    ["doc_id", "ids", "decoded"],
+                )
+
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
+    return rows.mapInArrow(both, "doc_id long, ids binary, decoded binary")
+
+
 def bpe_digest(docs: DataFrame, ranks: str, pattern: str) -> DataFrame:
     """Encode, decode, and return per document ``doc_id``, ``n_tokens``,
     ``ids_sha256``, ``decoded_sha256``."""
-    back = bpe_decode(bpe_encode(docs, ranks, pattern), ranks, pattern)
-    return back.select(
+    return bpe_round_trip(docs, ranks, pattern).select(
         "doc_id",
         (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
         F.sha2("ids", 256).alias("ids_sha256"),
