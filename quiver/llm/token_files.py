@@ -10,6 +10,8 @@ and any store Spark reaches will do.
 A text is split at single spaces between two other characters, where the
 vocabulary's own splitting pattern always splits too; each distinct piece
 passes the library once per worker and is then taken from a bounded cache.
+The library keeps its defaults, so an added token (``<|endoftext|>``) in a text
+becomes its own id; a text that holds one passes the library as a whole.
 
 Defined results: a null text is empty (only the end id); a null id sorts
 first; repeated rows are separate documents; extra columns are ignored; an
@@ -50,14 +52,18 @@ _NO_PIECE = " "
 
 
 class PieceEncoder:
-    """Texts to packed little-endian 32-bit ids through the tokenizers library."""
+    """Texts to packed little-endian 32-bit ids through the tokenizers library.
+    ``encode_special_tokens`` is the library's switch (its own default is
+    False): with True, special tokens in a text are encoded like other text."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, encode_special_tokens: bool = True):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True
+        self.library.encode_special_tokens = encode_special_tokens
+        added = self.library.get_added_tokens_decoder().values()
+        self.added = [t.content for t in added if not (t.special and encode_special_tokens)]
         self.newline = self.library.encode("\n", add_special_tokens=False).ids[0]
         self.points = {c: self.whole(c) for c in _POINTS}
         self.known: dict[str, bytes | None] = {_NO_PIECE: b""}
@@ -102,14 +108,15 @@ class PieceEncoder:
     def encode(self, texts: list[str]) -> list[bytes]:
         if len(self.known) > CACHE_PIECES:
             self.known = {_NO_PIECE: b""}
-        split = [t.split(" ") for t in texts]
-        new = set().union(*split)
+        added = self.added
+        split = [None if any(a in t for a in added) else t.split(" ") for t in texts]
+        new = set().union(*filter(None, split))
         new.difference_update(self.known)
         self._learn(new)
         get = self.known.__getitem__
         out = []
         for text, pieces in zip(texts, split, strict=True):
-            head = pieces[0]
+            head = pieces[0] if pieces else ""  # no pieces: an added token in the text
             ids = None
             if head and not head[-1].isspace():
                 pieces[0] = _NO_PIECE
@@ -121,7 +128,7 @@ class PieceEncoder:
 
 @lru_cache(maxsize=2)
 def _encoder(path: str) -> PieceEncoder:
-    return PieceEncoder(path)
+    return PieceEncoder(path, encode_special_tokens=False)
 
 
 def slices(texts: pa.Array, limit: int = 4 << 20) -> Iterator[tuple[int, list[str]]]:

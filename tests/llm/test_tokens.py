@@ -98,6 +98,19 @@ def test_token_files(docs, none, library, monkeypatch, block):
     assert token_digest(none, VOCABULARY).count() == 0
 
 
+def test_added_tokens_become_their_ids(spark):
+    default = Tokenizer.from_file(VOCABULARY)  # unmodified
+    texts = ["see <|endoftext|> here", "<|endoftext|>", "a b<|endoftext|>c d", "one two  three", "<|endoftext| > a b", *ODD]
+    given = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    start, expected = 0, []
+    for doc_id, text in enumerate(texts):
+        ids = [*default.encode(text, add_special_tokens=False).ids, 2]
+        expected.append((doc_id, start, len(ids), zlib.crc32(packed(ids))))
+        start += len(ids)
+    assert sorted(map(tuple, token_digest(given, VOCABULARY).collect())) == expected
+    assert 50256 in default.encode(texts[0], add_special_tokens=False).ids
+
+
 def test_blocks_are_readable_alone(spark, docs, library):
     path = scratch_path(spark, "test-tokens")
     write_token_files(docs, VOCABULARY, path, shards=3)
