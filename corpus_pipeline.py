@@ -32,8 +32,8 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sources in the target mixture; a document taken twice is two rows (operator 4)."""
-    return mixing.mixed_documents(docs, mixing.label_quality(labels(spark, sf_dir)))
+    """Sources in the target mixture, whole texts only; a document taken twice is two rows (operator 4)."""
+    return mixing.mixed_documents(docs, mixing.label_quality(labels(spark, sf_dir)), whole=True)
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

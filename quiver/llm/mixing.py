@@ -145,14 +145,21 @@ def label_quality(labels: DataFrame, good: float = 2.0, bad: float = 0.5) -> Dat
     )
 
 
-def mixed_documents(docs: DataFrame, quality: DataFrame | None = None, **options) -> DataFrame:
+def mixed_documents(
+    docs: DataFrame, quality: DataFrame | None = None, whole: bool = False, **options
+) -> DataFrame:
     """The mix itself, with the columns of ``docs``: a document taken ``n``
-    times its size appears ``n`` times, and one taken in part once more with
-    its first words up to the target (at most one document per source;
-    ``n_chars`` follows the text)."""
+    times its size appears ``n`` times.  With ``whole`` every row is an
+    unchanged row of ``docs``: the one document per source that the target
+    falls into stays or goes as a whole, whichever ends nearer the target.
+    Without, it appears once more with its first words up to the target
+    (``n_chars`` follows the text)."""
+    taken = mix_sources(docs, quality, **options)
+    if whole:
+        nearest = F.floor((2 * F.col("taken") + F.col("size")) / (2 * F.col("size"))) * F.col("size")
+        taken = taken.where("size > 0").withColumn("taken", nearest)
     decided = (
-        mix_sources(docs, quality, **options)
-        .where("taken > 0")
+        taken.where("taken > 0")
         .groupBy(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"))
         .agg(F.sum("taken").alias("__taken"), F.max("size").alias("__size"), F.count(F.lit(1)).alias("__rows"))
     )
@@ -161,12 +168,14 @@ def mixed_documents(docs: DataFrame, quality: DataFrame | None = None, **options
     if not decided.where("__rows > 1").isEmpty():  # repeated rows: one stands for all
         keyed = keyed.dropDuplicates(["doc_id", "__hash"])
     same = keyed["doc_id"].eqNullSafe(F.col("__id")) & (keyed["__hash"] == decided["__hash"])
-    whole = F.floor(F.col("__taken") / F.col("__size")).cast("int")
+    full = F.floor(F.col("__taken") / F.col("__size")).cast("int")
     copies = F.ceil(F.col("__taken") / F.col("__size")).cast("int")
-    rows = keyed.join(decided.withColumns({"__whole": whole, "__copies": copies}), same)
+    rows = keyed.join(decided.withColumns({"__full": full, "__copies": copies}), same)
     rows = rows.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies"))))
-    in_part = F.col("__copy") > F.col("__whole")
-    left = (F.col("__taken") - F.col("__whole") * F.col("__size")).cast("int")
+    if whole:
+        return rows.select(*docs.columns)
+    in_part = F.col("__copy") > F.col("__full")
+    left = (F.col("__taken") - F.col("__full") * F.col("__size")).cast("int")
     head = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)), F.lit(1), left), " ")
     rows = rows.withColumn("text", F.when(in_part, head).otherwise(F.col("text")))
     if "n_chars" in docs.columns:

@@ -148,6 +148,36 @@ def test_mixed_documents_hold_the_words_taken(docs):
     assert mixed.agg(F.sum(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")))).first()[0] == taken
 
 
+def test_whole_mix_holds_unchanged_rows_nearest_the_target(spark):
+    rng = np.random.default_rng(3)
+    given = [(i, "  ".join(f"w{i}x{j}" for j in range(n)) + "\n end", f"s{i % 3}") for i, n in enumerate(rng.integers(1, 90, 60))]
+    given += [(100, "\t".join(f"long{j}" for j in range(3000)), "hot"), (101, "one  two", "hot"), (102, None, "hot")]
+    docs = spark.createDataFrame(given, "doc_id long, text string, source string")
+    plan = mixing.mix_sources(docs).collect()
+    got = Counter((r.doc_id, r.text, r.source) for r in mixing.mixed_documents(docs, whole=True).collect())
+    text_of_id = {d: (t, s) for d, t, s in given}
+    assert all(text_of_id[d] == (t, s) for d, t, s in got)
+    expected = Counter()
+    for r in plan:
+        copies, part = divmod(r.taken, r.size) if r.size else (0, 0)
+        copies += 2 * part >= r.size > 0
+        if copies:
+            expected[r.doc_id, *text_of_id[r.doc_id]] = copies
+    assert got == expected
+    assert any(r.size and r.taken % r.size for r in plan)  # some target falls into a document
+
+
+def test_pipeline_mix_keeps_texts_unchanged(spark):
+    from corpus_pipeline import mix
+
+    from quiver.llm.common import documents
+
+    docs = documents(spark, "/root/testdata/sf0.001")
+    out = mix(spark, docs, "/root/testdata/sf0.001")
+    assert out.columns == docs.columns
+    assert out.join(docs, ["doc_id", "text", "n_chars"], "left_anti").count() == 0
+
+
 def neighbours(rows, queries, k):
     out = {}
     for q, v in queries:
