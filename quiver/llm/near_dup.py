@@ -16,9 +16,9 @@ size.  Groups (``class_id``) are the connected components of the links.
 
 Defined results: a text with fewer words than n has one n-gram, all its words;
 a text without words has none and no links; a null id takes part in nothing
-(its ``class_id`` is null, its ``n_links`` 0); rows that share an id are one
-document for ``class_id``; repeated rows are copies of each other; extra
-columns are ignored; an empty table gives no rows.
+(its ``class_id`` is null, its ``n_links`` 0); rows that share an id but not
+their n-grams are separate documents; repeated rows are copies of each other;
+extra columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -29,7 +29,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quiver.llm.common import text_of, written
@@ -94,7 +94,7 @@ def digest(grams: np.ndarray) -> tuple[int, int]:
 
 
 def _signatures(docs: DataFrame, n: int, depth: int) -> DataFrame:
-    """``doc_id``, the 128-bit digest of the n-gram set, and the trie keys."""
+    """``doc_id``, ``text_hash``, the 128-bit digest of the n-gram set, and the trie keys."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -107,22 +107,29 @@ def _signatures(docs: DataFrame, n: int, depth: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column("doc_id").slice(at, len(sets)),
+                        batch.column("text_hash").slice(at, len(sets)),
                         pa.array([d[0] for d in digests], pa.int64()),
                         pa.array([d[1] for d in digests], pa.int64()),
                         pa.array(keys, pa.list_(pa.int64())),
                     ],
-                    ["doc_id", "h1", "h2", "keys"],
+                    ["doc_id", "text_hash", "h1", "h2", "keys"],
                 )
 
-    return docs.mapInArrow(sign, "doc_id long, h1 long, h2 long, keys array<long>")
+    return docs.mapInArrow(sign, "doc_id long, text_hash long, h1 long, h2 long, keys array<long>")
 
 
 def jaccard_join(docs: DataFrame, threshold: float = 0.8, n: int = 5) -> DataFrame:
     """One row per row of ``docs``: ``doc_id``, ``class_id`` (smallest id of
     its group of linked documents), ``n_links`` (other documents at
     ``threshold`` or more)."""
+    return _joined(docs, threshold, n).drop("text_hash")
+
+
+def _joined(docs: DataFrame, threshold: float, n: int) -> DataFrame:
     depth = matched_depth(threshold)
-    given = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
+    given = docs.select(
+        F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"), _text_hash().alias("text_hash")
+    )
     rows = given.where("doc_id is not null")
     signed = written(_signatures(rows, n, depth), "near-signed")
     classes = (
@@ -130,32 +137,53 @@ def jaccard_join(docs: DataFrame, threshold: float = 0.8, n: int = 5) -> DataFra
         .groupBy("h1", "h2")
         .agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("keys").alias("keys"))
     )
-    classes = written(classes, "near-classes")
+    classes, renumbered = _numbered(written(classes, "near-classes"))
     candidates = written(_candidates(classes), "near-candidates")
     sets = _candidate_sets(rows, candidates, n)
     counted = written(_verified(sets, threshold), "near-counted")
-    links = counted.groupBy("rep").agg(F.sum("links").alias("links"))
-    groups = components(counted.select(F.col("rep").alias("a"), F.col("label").alias("b")))
+    links = counted.groupBy("number").agg(F.sum("links").alias("links"))
+    groups = components(counted.select(F.col("number").alias("a"), F.col("label").alias("b")))
+    groups = groups.select("node", F.col("component").alias("least"))
+    if renumbered:
+        ids = classes.select(F.col("number").alias("least"), "rep")
+        groups = groups.join(ids.hint("merge"), "least").select("node", F.col("rep").alias("least"))
     per_class = (
-        classes.select("h1", "h2", "rep", "copies")
-        .join(links.hint("merge"), "rep", "left")
-        .join(groups.hint("merge"), F.col("rep") == F.col("node"), "left")
+        classes.select("h1", "h2", "rep", "number", "copies")
+        .join(links.hint("merge"), "number", "left")
+        .join(groups.hint("merge"), F.col("number") == F.col("node"), "left")
         .select(
             "h1", "h2",
-            F.coalesce("component", "rep").alias("class_id"),
+            F.coalesce("least", "rep").alias("class_id"),
             (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"),
         )
     )
     answered = signed.where("keys is not null").join(per_class.hint("merge"), ["h1", "h2"])
     alone = signed.where("keys is null").unionByName(given.where("doc_id is null"), allowMissingColumns=True)
-    return answered.select("doc_id", "class_id", "n_links").unionByName(
-        alone.select("doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"))
+    return answered.select("doc_id", "class_id", "n_links", "text_hash").unionByName(
+        alone.select("doc_id", "text_hash", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"))
     )
 
 
+def _text_hash() -> Column:
+    return F.xxhash64(text_of())
+
+
+def _numbered(classes: DataFrame) -> tuple[DataFrame, bool]:
+    """``classes`` with a ``number`` of their own that goes up with ``rep``, and
+    whether it is another one than ``rep``.
+
+    Usually it is ``rep``.  Where an id is repeated with another text, several
+    classes can have one ``rep``; then they are numbered in order.
+    """
+    if classes.groupBy("rep").agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty():
+        return classes.withColumn("number", F.col("rep")), False
+    ordered = classes.orderBy("rep", "h1", "h2").withColumn("number", F.monotonically_increasing_id())
+    return written(ordered, "near-numbers"), True
+
+
 def _candidates(classes: DataFrame) -> DataFrame:
     """Representatives with a candidate partner: ``h1``, ``h2``, ``rep``,
-    ``copies``, ``component``, ``blocks``, ``block``."""
+    ``number``, ``copies``, ``component``, ``blocks``, ``block``."""
     nodes = classes.select("h1", F.explode("keys").alias("key"))
     shared = nodes.groupBy("key").agg(F.min("h1").alias("head"), F.count(F.lit(1)).alias("n")).where("n > 1")
     met = nodes.join(shared.hint("merge"), "key").select(F.col("h1").alias("a"), F.col("head").alias("b"))
@@ -163,10 +191,10 @@ def _candidates(classes: DataFrame) -> DataFrame:
     sizes = parts.groupBy("component").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
     placed = parts.join(sizes.hint("merge"), "component")
     return (
-        classes.select("h1", "h2", "rep", "copies")
+        classes.select("h1", "h2", "rep", "number", "copies")
         .join(placed.hint("merge"), F.col("h1") == F.col("node"))
         .select(
-            "h1", "h2", "rep", "copies", "component", "blocks",
+            "h1", "h2", "rep", "number", "copies", "component", "blocks",
             F.pmod(F.xxhash64("h1", "h2"), F.col("blocks")).cast("int").alias("block"),
         )
     )
@@ -174,7 +202,7 @@ def _candidates(classes: DataFrame) -> DataFrame:
 
 def _candidate_sets(rows: DataFrame, candidates: DataFrame, n: int) -> DataFrame:
     """n-gram sets of the candidate representatives, by block."""
-    kept = ["component", "block", "blocks", "rep", "copies", "h1"]
+    kept = ["component", "block", "blocks", "number", "copies"]
 
     def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -189,24 +217,24 @@ def _candidate_sets(rows: DataFrame, candidates: DataFrame, n: int) -> DataFrame
                 yield pa.RecordBatch.from_arrays([*columns, packed], [*kept, "grams"]).filter(own)
 
     wanted = candidates.withColumnRenamed("rep", "doc_id").hint("merge")
-    texts = rows.join(wanted, "doc_id").withColumnRenamed("doc_id", "rep")
-    found = texts.select(*kept, "h2", "text").mapInArrow(
-        grams, "component long, block int, blocks int, rep long, copies long, h1 long, grams binary"
+    texts = rows.join(wanted, "doc_id")
+    found = texts.select(*kept, "h1", "h2", "text").mapInArrow(
+        grams, "component long, block int, blocks int, number long, copies long, grams binary"
     )
     return written(found, "near-sets")
 
 
 def _verified(sets: DataFrame, threshold: float) -> DataFrame:
-    """``rep``, ``links``, ``label`` for every representative with a link, once
+    """``number``, ``links``, ``label`` for every representative with a link, once
     per pair of blocks in which it has one."""
-    kind = "component long, block int, blocks int, reps binary, copies binary, sizes binary, grams binary"
+    kind = "component long, block int, blocks int, numbers binary, copies binary, sizes binary, grams binary"
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         run: list[dict] = []
 
         def packed() -> pa.RecordBatch:
             own = {k: run[0][k] for k in ("component", "block", "blocks")}
-            own["reps"] = np.array([r["rep"] for r in run], "<i8").tobytes()
+            own["numbers"] = np.array([r["number"] for r in run], "<i8").tobytes()
             own["copies"] = np.array([r["copies"] for r in run], "<i8").tobytes()
             own["sizes"] = np.array([len(r["grams"]) // 8 for r in run], "<i8").tobytes()
             own["grams"] = b"".join(r["grams"] for r in run)
@@ -217,7 +245,7 @@ def _verified(sets: DataFrame, threshold: float) -> DataFrame:
                 if run and (row["component"], row["block"]) != (run[0]["component"], run[0]["block"]):
                     yield packed()
                     run = []
-                if not run or (row["rep"], row["h1"]) != (run[-1]["rep"], run[-1]["h1"]):  # else a repeated row
+                if not run or row["number"] != run[-1]["number"]:  # else a repeated row
                     run.append(row)
         if run:
             yield packed()
@@ -233,9 +261,9 @@ def _verified(sets: DataFrame, threshold: float) -> DataFrame:
                 other = {k: row[f"{k}_2"] for k in _PARTS}
                 yield from _counted(*_linked([_unpacked(row), _unpacked(other)], threshold))
 
-    dealt = sets.repartition("component", "block").sortWithinPartitions("component", "block", "rep", "h1")
+    dealt = sets.repartition("component", "block").sortWithinPartitions("component", "block", "number")
     packs = written(dealt.mapInArrow(pack, kind), "near-packs")
-    result = "rep long, links long, label long"
+    result = "number long, links long, label long"
     own = packs.mapInArrow(within, result)
     split = packs.where("blocks > 1")
     others = F.explode(F.sequence(F.col("block") + 1, F.col("blocks")))
@@ -245,7 +273,7 @@ def _verified(sets: DataFrame, threshold: float) -> DataFrame:
     return own.unionByName(across)
 
 
-_PARTS = ("reps", "copies", "sizes", "grams")
+_PARTS = ("numbers", "copies", "sizes", "grams")
 _PACKED = pa.schema(
     [("component", pa.int64()), ("block", pa.int32()), ("blocks", pa.int32())]
     + [(c, pa.binary()) for c in _PARTS]
@@ -253,14 +281,14 @@ _PACKED = pa.schema(
 
 
 def _unpacked(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    return (*(np.frombuffer(row[c], "<i8") for c in ("reps", "copies", "sizes")), np.frombuffer(row["grams"], "<u8"))
+    return (*(np.frombuffer(row[c], "<i8") for c in ("numbers", "copies", "sizes")), np.frombuffer(row["grams"], "<u8"))
 
 
 def _linked(blocks: list, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Ids, copies, and the symmetric matrix of links; between two blocks only
+    """Numbers, copies, and the symmetric matrix of links; between two blocks only
     the links from one to the other."""
-    reps, copies, sizes, grams = (np.concatenate(x) for x in zip(*blocks, strict=True))
-    n, half = len(reps), len(blocks[0][0])
+    numbers, copies, sizes, grams = (np.concatenate(x) for x in zip(*blocks, strict=True))
+    n, half = len(numbers), len(blocks[0][0])
     row = np.repeat(np.arange(n), sizes)
     order = np.argsort(grams, kind="stable")
     fresh = np.r_[True, np.diff(grams[order]) != 0] if len(order) else np.zeros(0, bool)
@@ -280,31 +308,32 @@ def _linked(blocks: list, threshold: float) -> tuple[np.ndarray, np.ndarray, np.
     near = common >= (threshold - 1e-9) * union
     if len(blocks) == 1:
         np.fill_diagonal(near, False)
-        return reps, copies, near
+        return numbers, copies, near
     linked = np.zeros((n, n), dtype=bool)
     linked[:half, half:] = near
     linked[half:, :half] = near.T
-    return reps, copies, linked
+    return numbers, copies, linked
 
 
-def _counted(reps: np.ndarray, copies: np.ndarray, linked: np.ndarray) -> Iterator[pa.RecordBatch]:
+def _counted(numbers: np.ndarray, copies: np.ndarray, linked: np.ndarray) -> Iterator[pa.RecordBatch]:
     has = np.flatnonzero(linked.any(1))
     if not len(has):
         return
-    reps, copies, linked = reps[has], copies[has], linked[np.ix_(has, has)]
-    label = reps.copy()
-    while True:  # smallest id that a representative is linked to, directly or not
+    numbers, copies, linked = numbers[has], copies[has], linked[np.ix_(has, has)]
+    label = numbers.copy()
+    while True:  # smallest number that a representative is linked to, directly or not
         least = np.minimum(label, np.where(linked, label[None, :], np.iinfo(np.int64).max).min(1))
         if (least == label).all():
             break
         label = least
     yield pa.RecordBatch.from_pydict(
-        {"rep": pa.array(reps), "links": pa.array(linked @ copies), "label": pa.array(label)}
+        {"number": pa.array(numbers), "links": pa.array(linked @ copies), "label": pa.array(label)}
     )
 
 
 def one_per_group(docs: DataFrame, threshold: float = 0.8, n: int = 5) -> DataFrame:
-    """``docs`` without the documents whose group holds a smaller id (rows of a null id stay)."""
-    joined = written(jaccard_join(docs, threshold, n), "near-joined")
-    dropped = joined.where("class_id < doc_id").select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(dropped.hint("merge"), F.col("doc_id") == F.col("__id"), "left_anti")
+    """``docs`` without the rows whose own text is in a group that holds a smaller id (rows of a null id stay)."""
+    joined = written(_joined(docs, threshold, n), "near-joined")
+    dropped = joined.where("class_id < doc_id").select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"))
+    same = (F.col("doc_id") == F.col("__id")) & (_text_hash() == F.col("__hash"))
+    return docs.join(dropped.distinct().hint("merge"), same, "left_anti")

@@ -92,6 +92,21 @@ def test_near(docs, none):
     assert one_per_group(docs).columns == docs.columns
 
 
+def test_an_id_on_several_texts_loses_only_the_near_copy(spark):
+    base = [f"w{i}" for i in range(200)]
+    near, other = list(base), [f"v{i}" for i in range(200)]
+    near[9] = "x"
+    second = list(other)
+    second[7] = "y"
+    rows = [(3, base), (7, near), (7, [f"u{i}" for i in range(50)]), (5, other), (7, second), (9, second), (None, base)]
+    rows = [(d, " ".join(t), "s") for d, t in rows]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = Counter((r.doc_id, r.text) for r in one_per_group(docs).collect())
+    assert got == Counter((rows[i][0], rows[i][1]) for i in (0, 2, 3, 6))
+    joined = Counter((r.doc_id, r.class_id, r.n_links) for r in jaccard_join(docs).collect())
+    assert joined == Counter([(3, 3, 1), (7, 3, 1), (7, 7, 0), (5, 5, 2), (7, 5, 2), (9, 5, 2), (None, None, 0)])
+
+
 def test_near_blocks(spark, monkeypatch):
     """A group larger than a block loses no link between blocks."""
     from quiver.llm import near_dup
