@@ -1,17 +1,19 @@
-"""N-gram Jaccard join over a MinHash LSH forest (operator 2).
+"""N-gram Jaccard join over banded MinHash signatures (operator 2).
 
 Texts with equal sets of word n-grams form a class; its representative is the
-row with the smallest id.  A representative's MinHash signature is cut into
-``TREES`` stretches, each the key of a prefix trie.  The matched prefix is
-shortened from ``MAX_DEPTH`` until a pair at the threshold meets in some trie
-with the target probability.  Representatives that share a trie node of that
-depth are candidates; candidates that hang together (connected components over
+row with the smallest id.  A representative's MinHash signature gives one key
+per band (``TREES`` bands; called tries in the code).  The number of values in
+a band is the largest, from ``MAX_DEPTH`` down, at which a pair at the
+threshold meets in some band with the target probability; it depends on the
+threshold only, not on the data.  This stands in place of an LSH forest.
+Representatives that share a key are candidates; candidates that hang together (connected components over
 the nodes) are dealt into blocks, and every pair of a component is verified on
 the exact n-gram sets, block against block.  So all pairs of a component are
 compared once, without a row per pair: a task returns, per representative, the
 number of its links (copies counted) and a label of the part it is linked to.
 
-Links between different texts are all counted; copies are counted by class
+Links between different texts are counted, but for pairs that meet in no band
+(at the threshold one in about 1,500, see README); copies are counted by class
 size.  Groups (``class_id``) are the connected components of the links.
 
 Defined results: a text with fewer words than n has one n-gram, all its words;
