@@ -6,8 +6,8 @@ per band (``TREES`` bands; called tries in the code).  The number of values in
 a band is the largest, from ``MAX_DEPTH`` down, at which a pair at the
 threshold meets in some band with the target probability; it depends on the
 threshold only, not on the data.  This stands in place of an LSH forest.
-Representatives that share a key are candidates; candidates that hang together (connected components over
-the nodes) are dealt into blocks, and every pair of a component is verified on
+Representatives that share a key are candidates; candidates that hang
+together (connected components over the keys) are dealt into blocks, and every pair of a component is verified on
 the exact n-gram sets, block against block.  So all pairs of a component are
 compared once, without a row per pair: a task returns, per representative, the
 number of its links (copies counted) and a label of the part it is linked to.
