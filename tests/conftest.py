@@ -7,9 +7,6 @@ sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
 
 from quiver.session import build_session  # noqa: E402
 
-SF_SMALL = "/root/testdata/sf0.001"
-SF_CHECK = "/root/testdata/sf0.01"
-
 
 @pytest.fixture(scope="session")
 def spark():

@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 from quiver.operators import enrich
 from quiver.sources.views import view
 
-from conftest import SF_CHECK
+from paths import SF_CHECK
 
 
 def _q(spark, texts):

@@ -6,7 +6,7 @@ import io
 
 import __spark_entry__ as entry
 
-from conftest import SF_SMALL
+from paths import SF_SMALL
 
 from quiver.plans.registered import REGISTRY
 

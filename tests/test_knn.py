@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from quiver.operators import ann, knn, quantize
 
-from conftest import SF_CHECK
+from paths import SF_CHECK
 
 
 def test_integration_scenario(spark):

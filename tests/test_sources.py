@@ -58,7 +58,7 @@ def test_result_sink(spark):
 def test_spread_only_touches_few_file_inputs(spark):
     from quiver.sources.tables import input_files, spread, table
 
-    from conftest import SF_SMALL
+    from paths import SF_SMALL
 
     docs = table(spark, SF_SMALL, "documents").select("doc_id", "text")
     assert input_files(docs) == 1
