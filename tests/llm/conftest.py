@@ -1,11 +1,6 @@
-import sys
-from pathlib import Path
-
 import pytest
 
-sys.path[:0] = [str(Path(__file__).resolve().parents[2]), str(Path(__file__).resolve().parent)]
-
-from conftest_llm import corpus  # noqa: E402
+from llm_corpus import corpus
 
 
 @pytest.fixture(scope="session")

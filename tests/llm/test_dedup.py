@@ -6,7 +6,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
-from conftest_llm import corpus
+from llm_corpus import corpus
 from pyspark.sql import functions as F
 
 from quiver.llm import repeats, suffix

@@ -8,7 +8,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 import tiktoken
-from conftest_llm import corpus
+from llm_corpus import corpus
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
