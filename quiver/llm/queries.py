@@ -8,12 +8,15 @@ from pyspark.sql import functions as F
 
 from quiver.llm.ann import nearest
 from quiver.llm.bpe import bpe_digest
+from quiver.llm.chat import formatted_digest, probe_conversation
 from quiver.llm.common import documents, labels
 from quiver.llm.debruijn import substring_dedup
 from quiver.llm.exact_dedup import exact_dedup
 from quiver.llm.mixing import label_quality, mix_sources
 from quiver.llm.near_dup import jaccard_join
+from quiver.llm.phrases import phrases
 from quiver.llm.quality import quality
+from quiver.llm.spelling import spelling_variants
 from quiver.llm.suffix import suffix_dedup
 from quiver.llm.token_files import token_digest
 from quiver.llm.toxicity import toxicity
@@ -62,6 +65,19 @@ def op10_debruijn(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup(documents(spark, sf_dir), window=20)
 
 
+def op11_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases(documents(spark, sf_dir), limit=2000, min_count=30)
+
+
+def op12_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = spark.read.parquet(f"{sf_dir.rstrip('/')}/conversations.parquet").select("conv_id", "turn", "role", "text")
+    return formatted_digest(turns.unionByName(probe_conversation(spark)))
+
+
+def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_variants(documents(spark, sf_dir))
+
+
 REGISTRY = {
     "op1_suffix_array": op1_suffix_array,
     "op2_jaccard_join": op2_jaccard_join,
@@ -73,6 +89,9 @@ REGISTRY = {
     "op8_token_files": op8_token_files,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_debruijn": op10_debruijn,
+    "op11_phrases": op11_phrases,
+    "op12_chat": op12_chat,
+    "op13_spelling": op13_spelling,
 }
 
 ORACLE = {
@@ -88,6 +107,45 @@ ORACLE = {
         SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(len(gone), 0)::BIGINT AS n_removed,
                sha256(array_to_string(list_filter(w, lambda x, i: gone IS NULL OR NOT list_contains(gone, i)), ' ')) AS kept_sha256
         FROM d LEFT JOIN g USING (doc_id)""",
+    "op11_phrases": r"""
+        WITH p AS (
+            SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(
+                   translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+            FROM documents),
+        w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM p),
+        g AS (
+            SELECT lang, k, unnest(list_transform(range(1, len(w) - k + 2), lambda i: w[i:i + k - 1])) AS g
+            FROM w, (SELECT unnest([1, 2, 3, 4]) AS k) WHERE len(w) >= k),
+        f AS MATERIALIZED (SELECT lang, k, g, array_to_string(g, ' ') AS t, count(*) AS f FROM g GROUP BY ALL),
+        n AS (SELECT lang, sum(f)::BIGINT AS n FROM f WHERE k = 1 GROUP BY lang),
+        c AS MATERIALIZED (SELECT * FROM f WHERE k > 1 AND f >= 30),
+        cuts AS (SELECT lang, k, g, t, f, unnest(range(1, k)) AS i FROM c),
+        s AS (
+            SELECT cuts.lang, cuts.k, cuts.t, cuts.f AS a, i, l.f AS l, r.f AS r, (2000000::HUGEINT * cuts.f) // (l.f + r.f) AS score
+            FROM cuts JOIN f l ON l.lang = cuts.lang AND l.k = i AND l.t = array_to_string(cuts.g[1:i], ' ')
+            JOIN f r ON r.lang = cuts.lang AND r.k = cuts.k - i AND r.t = array_to_string(cuts.g[i + 1:], ' ')),
+        best AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, t ORDER BY score, i) = 1),
+        inside AS (
+            SELECT lang, k, f, unnest([array_to_string(g[b:b + m - 1], ' ') FOR b IN range(1, k - m + 2)]) AS t
+            FROM c, (SELECT unnest([2, 3]) AS m) WHERE m < k),
+        cover AS (SELECT lang, t, max(f) AS f FROM inside GROUP BY lang, t),
+        kept AS (
+            SELECT best.* FROM best LEFT JOIN cover USING (lang, t)
+            WHERE cover.f IS NULL OR 100::HUGEINT * cover.f < 80::HUGEINT * best.a),
+        ranked AS (
+            SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, encode(t)) AS rank FROM kept)
+        SELECT lang, rank, t AS phrase, a, l, r, n, score::BIGINT AS score FROM ranked JOIN n USING (lang) WHERE rank <= 2000""",
+    "op12_chat": r"""
+        WITH t AS (
+            SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+            UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]')
+        SELECT conv_id, count(*) AS n_turns,
+               sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, encode(role), encode(text))) AS turns_sha256,
+               coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+               sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, encode(role), encode(text)) FILTER (role = 'assistant'), '')) AS loss_sha256,
+               sum(length(role) + length(text) + 17
+                   + len(regexp_extract_all(role, '\[\\*/?INST\]|<\\*/?s>')) + len(regexp_extract_all(text, '\[\\*/?INST\]|<\\*/?s>')))::BIGINT AS formatted_chars
+        FROM t GROUP BY conv_id""",
     "op2_jaccard_join": r"""
         WITH RECURSIVE w AS (
             SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
