@@ -281,7 +281,7 @@ def phrases(docs: DataFrame, limit: int = 2000, min_count: int = 30, scale: int
         open_langs = written(state.where(~is_settled).select("lang"), "phrases-open")
         if open_langs.isEmpty():
             break
-        reach *= AHEAD
+        reach *= 4
     out = settled[0]
     for more in settled[1:]:
         out = out.unionByName(more)
