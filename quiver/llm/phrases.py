@@ -48,7 +48,7 @@ from quiver.llm.tokens import PrefixHash, mix, text_slices
 #: Bits of a set of phrases that tasks consult (2 MiB), whatever its number of members.
 FILTER_BITS = 1 << 24
 #: Bytes of text that a task cuts into words at a time.
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 19
 #: Phrases per result row that the first floor aims at.
 AHEAD = 4
 LONGEST = 4
