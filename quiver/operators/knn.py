@@ -1,36 +1,39 @@
-"""Exact k-nearest-neighbour search.
-
-Plan shape::
-
-    points --filter(payload)--> mapInArrow(score vs broadcast query block,
-                                           keep local top-k per query)
-           --> Exchange(query_id) --> row_number() <= k
-
-* The query block is collected only after its size (rows x dim x 8 bytes) is
-  checked against ``max_broadcast_bytes``; larger query sets are split into
-  hash chunks that are scored one after another, each chunk's answer written
-  to the shared checkpoint folder (exact, bounded driver memory).
-* No pair table is ever built: each task emits at most ``k`` rows per query
-  (plus exact ties), so the shuffle carries ``queries x k x tasks`` rows no
-  matter how many points there are.  On a scan of many tasks a first pass
-  over a 1 % sample gives each query a score bound that the full pass must
-  beat, which cuts the shuffle to about ``queries x k x 100`` rows (exact).
-* Only (query, point) pairs that can be answers are scored: per payload group
-  and per probed bucket, in tiles of bounded size.
+"""Exact k-nearest-neighbour search (K1, K2, P7, W1) as a join of blocks.
+
+Neither side is collected or broadcast.  Points of a cell are dealt into slabs
+and its queries into chunks, both by a hash of the id and both of at most
+``block_bytes`` of vectors; a chunk is sent to every slab of its cell and the
+other way round, and each (cell, slab, chunk) group is scored by one matrix
+product::
+
+    points  --filter--> cell, slab, chunk ----+
+                                              +--> cogroup: top k per query
+    queries ----------> cell, slab, chunk ----+        --> row_number() <= k
+
+* A cell is what queries and points must agree on: a payload group (P7), a
+  probed bucket (K4), both, or nothing.  Only pairs that can be answers are
+  scored, and only their rows are shuffled.
+* A hot cell, even one with every point, has as many slabs as its points fill,
+  so no task holds more than one slab and one chunk, whatever the table sizes.
+* No pair table is built: a group sends on at most ``k`` rows per query, each
+  task trims its rows again (Catalyst's partial ``WindowGroupLimit``) before the
+  last exchange.  ``bound_fraction`` lets a sample of the points bound each
+  query's k-th score first, which cuts those rows to about ``k / fraction``.
 * The payload filter runs before scoring (a filter after top-k would change
   the answer) and is pushed into the parquet scan when it is a plain
   predicate.
 * Ties are broken by ascending id; a zero-norm vector has no cosine score and
   is never returned.
-* :func:`candidates_within_error` is the same scan for approximate vectors
+* :func:`candidates_within_error` is the same join for approximate vectors
   with a per-point error bound: it returns every point that may be in a
   query's top k (used by the exact search on int8 codes).
+* :func:`search_one` serves a single vector without any join: one scan, one
+  partial top-k per task.
 """
 
 from __future__ import annotations
 
-import math
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -38,18 +41,29 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quiver.functions.vectors import check_metric
+from quiver.functions.vectors import check_metric, score
 from quiver.session import scratch_path
 
-DEFAULT_MAX_BROADCAST_BYTES = 256 << 20
+#: Vector bytes (as doubles) of one side of a scored group.
+BLOCK_BYTES = 32 << 20
+#: Rows of one side of a scored group, for narrow vectors.
+BLOCK_ROWS = 1 << 16
+#: Score entries (queries x points) computed at once in a task: 2^22 doubles = 32 MiB.
+SCORE_TILE = 1 << 22
+
+_CELL, _SLAB, _CHUNK = "__cell", "__slab", "__chunk"
+_KEY = [_CELL, _SLAB, _CHUNK]
+
+
+# ---------------------------------------------------------------- scoring
 
 
 def _scores(metric: str, P: np.ndarray, Q: np.ndarray, qnorm: np.ndarray) -> np.ndarray:
     """Score matrix (queries x points) in double."""
     if metric == "Manhattan":
-        out = np.empty((Q.shape[0], P.shape[0]))
-        for i in range(Q.shape[0]):
-            out[i] = np.abs(P - Q[i]).sum(axis=1)
+        out = np.zeros((Q.shape[0], P.shape[0]))
+        for j in range(Q.shape[1]):
+            out += np.abs(Q[:, j, None] - P[None, :, j])
         return out
     G = Q @ P.T
     if metric == "Dot":
@@ -65,7 +79,7 @@ def _scores(metric: str, P: np.ndarray, Q: np.ndarray, qnorm: np.ndarray) -> np.
     return np.sqrt(np.maximum(d2, 0.0))
 
 
-def _exact_refine(metric: str, P: np.ndarray, Q: np.ndarray, r: np.ndarray, c: np.ndarray):
+def _exact_refine(P: np.ndarray, Q: np.ndarray, r: np.ndarray, c: np.ndarray) -> np.ndarray:
     """Recompute Euclid candidates from differences (no cancellation error)."""
     diff = P[c] - Q[r]
     return np.sqrt(np.einsum("ij,ij->i", diff, diff))
@@ -79,7 +93,8 @@ def _select(S: np.ndarray, k: int, higher: bool) -> tuple[np.ndarray, np.ndarray
     kk = min(k, n)
     if kk < n:
         t = np.partition(key, kk - 1, axis=1)[:, kk - 1 : kk]
-        mask = key <= t
+        # scores of one point pair differ in the last bits from tile to tile
+        mask = key <= t + 1e-9 * (1.0 + np.abs(t))
     else:
         mask = np.ones(key.shape, dtype=bool)
     mask &= np.isfinite(key)
@@ -101,216 +116,146 @@ def reduce_topk(tbl: pa.Table, k: int, higher: bool, id_col: str, qcol: str = "q
     return tbl.take(pa.array(np.sort(keep)))
 
 
-def _group_rows(batch: pa.RecordBatch, groups: list[str]) -> list[np.ndarray]:
-    """For each query group, the rows of the batch whose group list holds it."""
-    import pyarrow.compute as pc
-
-    lists = batch.column(_GROUPS)
-    flat = lists.flatten()
-    parents = pc.list_parent_indices(lists).to_numpy(zero_copy_only=False)
-    out = []
-    for g in groups:
-        hit = pc.fill_null(pc.equal(flat, pa.scalar(g, flat.type)), False)
-        out.append(np.unique(parents[hit.to_numpy(zero_copy_only=False)]))
-    return out
-
-
-_GROUPS = "__point_groups"
-_BUCKET = "__point_bucket"
-# Score entries (queries x points) computed at once in a task: 2^22 doubles = 32 MiB.
-SCORE_TILE = 1 << 22
-
-
-def _blocks(batch: pa.RecordBatch, nq: int, groups, qgroup_idx, probes):
-    """``(query indices, point rows)`` pairs that need scoring in one batch.
-
-    Only pairs that can be answers are scored: a query meets the points of its
-    payload group only (P7) and the points of the buckets it probes only (K4),
-    so filtered and approximate searches do proportionally less work."""
-    row_sets = [(np.arange(nq), np.arange(batch.num_rows))]
-    if probes is not None:
-        bucket = batch.column(_BUCKET).fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
-        order = np.argsort(bucket, kind="stable")
-        cuts = np.flatnonzero(np.diff(bucket[order])) + 1
-        row_sets = []
-        for rows in np.split(order, cuts):
-            b = bucket[rows[0]]
-            if 0 <= b < probes.shape[1]:
-                row_sets.append((np.flatnonzero(probes[:, b]), rows))
-    if groups is None:
-        yield from row_sets
-        return
-    members = _group_rows(batch, groups)
-    for qs, rows in row_sets:
-        qg = qgroup_idx[qs]
-        for gi in range(-1, len(groups)):
-            sel = qs[qg == gi]
-            if len(sel):
-                yield sel, rows if gi < 0 else np.intersect1d(rows, members[gi], assume_unique=True)
-
-
-def _within(score: np.ndarray, bound: np.ndarray, higher: bool) -> np.ndarray:
+def _within(found: np.ndarray, bound: np.ndarray, higher: bool) -> np.ndarray:
     """Candidates that can still be in the query's top k: not worse than the
     k-th best score of a sample of the points (``bound``; NaN = no bound).
     Compared on final scores; a small slack keeps ties up to rounding."""
     slack = 1e-9 * (1.0 + np.abs(bound))
     with np.errstate(invalid="ignore"):
-        worse = score < bound - slack if higher else score > bound + slack
+        worse = found < bound - slack if higher else found > bound + slack
     return ~worse
 
 
-def _make_scorer(bc, metric: str, k: int, higher: bool, id_col: str, vec_col: str,
-                 passthrough: Sequence[str], out_schema: pa.Schema, dim: int):
-    def scorer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        qids, Q, groups, qgroup_idx, probes, bound = bc.value
-        qnorm = np.sqrt(np.einsum("ij,ij->i", Q, Q))
-        pending: list[pa.Table] = []
-        pending_rows = 0
-        for batch in batches:
-            if batch.num_rows == 0:
-                continue
-            flat = batch.column(vec_col).flatten()
-            P = flat.to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
-            hit_q, hit_r, hit_s = [], [], []
-            for qsel, rows in _blocks(batch, len(qids), groups, qgroup_idx, probes):
-                if len(qsel) == 0 or len(rows) == 0:
-                    continue
-                Pb = P[rows]
-                step = max(1, SCORE_TILE // len(rows))
-                for t in range(0, len(qsel), step):
-                    qt = qsel[t : t + step]
-                    S = _scores(metric, Pb, Q[qt], qnorm[qt])
-                    r, c = _select(S, k, higher)
-                    sc = _exact_refine(metric, Pb, Q[qt], r, c) if metric == "Euclid" else S[r, c]
-                    if bound is not None:
-                        keep = _within(sc, bound[qt[r]], higher)
-                        r, c, sc = r[keep], c[keep], sc[keep]
-                    hit_q.append(qt[r])
-                    hit_r.append(rows[c])
-                    hit_s.append(sc)
-            if not hit_q:
-                continue
-            qi, ri = np.concatenate(hit_q), np.concatenate(hit_r)
-            take = pa.array(ri)
-            cols = {
-                "query_id": pa.array(qids[qi], pa.int64()),
-                id_col: batch.column(id_col).take(take),
-                "score": pa.array(np.concatenate(hit_s), pa.float64()),
-            }
-            for name in passthrough:
-                cols[name] = batch.column(name).take(take)
-            pending.append(pa.table(cols, schema=out_schema))
-            pending_rows += len(qi)
-            if pending_rows > 8 * len(qids) * k + 65536:
-                pending = [reduce_topk(pa.concat_tables(pending), k, higher, id_col)]
-                pending_rows = pending[0].num_rows
-        if pending:
-            out = reduce_topk(pa.concat_tables(pending), k, higher, id_col)
-            yield from out.to_batches()
-
-    return scorer
-
-
-def _query_block(queries: DataFrame, qid: str, qvec: str, dim: int, qgroup: str | None,
-                 qprobe: str | None = None, bounds: tuple[np.ndarray, np.ndarray] | None = None):
-    cols = [F.col(qid).cast("long").alias("q"), F.col(qvec).alias("v")]
-    if qgroup:
-        cols.append(F.col(qgroup).cast("string").alias("g"))
-    if qprobe:
-        cols.append(F.col(qprobe).cast("array<int>").alias("p"))
-    tbl = queries.select(*cols).toArrow()
-    qids = tbl.column("q").to_numpy() if tbl.num_rows else np.zeros(0, np.int64)
-    if tbl.num_rows:
-        Q = tbl.column("v").combine_chunks().flatten().to_numpy(zero_copy_only=False)
-        Q = Q.astype(np.float64).reshape(-1, dim)
+def _matrix(tbl: pa.Table, col: str, dim: int) -> np.ndarray:
+    flat = tbl.column(col).combine_chunks().flatten().to_numpy(zero_copy_only=False)
+    return flat.astype(np.float64).reshape(-1, dim)
+
+
+def _floats(tbl: pa.Table, col: str) -> np.ndarray:
+    return tbl.column(col).to_numpy().astype(np.float64)
+
+
+def _tiles(n_queries: int, n_points: int):
+    step = max(1, SCORE_TILE // n_points)
+    for at in range(0, n_queries, step):
+        yield slice(at, min(at + step, n_queries))
+
+
+# ---------------------------------------------------------------- the join
+
+
+def _sized(rows: DataFrame, name: str, per_block: int) -> DataFrame:
+    return rows.groupBy(_CELL).agg(F.ceil(F.count(F.lit(1)) / per_block).cast("int").alias(name))
+
+
+def block_join(points: DataFrame, queries: DataFrame, id_col: str, query_id_col: str, dim: int,
+               kernel: Callable[[pa.Table, pa.Table], pa.Table], schema: T.StructType,
+               block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """Every (query, point) pair of equal ``__cell`` given to ``kernel`` in
+    groups: ``kernel(chunk of queries, slab of points) -> rows of schema``.
+
+    The sizes table has a row per cell that both sides have; it is written
+    first, so Spark broadcasts it only if its real size allows."""
+    per_block = max(1, min(block_bytes // (8 * dim), BLOCK_ROWS))
+    sizes = _sized(points, "__slabs", per_block).join(_sized(queries, "__chunks", per_block), _CELL)
+    path = scratch_path(points.sparkSession, "knn-cells")
+    sizes.write.parquet(path)
+    sizes = points.sparkSession.read.schema(sizes.schema).parquet(path)
+
+    def dealt(rows: DataFrame, key: str, own: str, n_own: str, other: str, n_other: str) -> DataFrame:
+        mine = F.pmod(F.xxhash64(F.col(key)), F.col(n_own)).cast("int")
+        every = F.explode(F.sequence(F.lit(0), F.col(n_other) - 1))
+        return rows.join(sizes, _CELL).withColumn(own, mine).withColumn(other, every).drop("__slabs", "__chunks")
+
+    q = dealt(queries, query_id_col, _CHUNK, "__chunks", _SLAB, "__slabs")
+    p = dealt(points, id_col, _SLAB, "__slabs", _CHUNK, "__chunks")
+
+    def score_group(chunk: pa.Table, slab: pa.Table) -> pa.Table:
+        if chunk.num_rows == 0 or slab.num_rows == 0:
+            return pa.schema([_arrow_field(f) for f in schema.fields]).empty_table()
+        return kernel(chunk, slab)
+
+    return q.groupBy(*_KEY).cogroup(p.groupBy(*_KEY)).applyInArrow(score_group, schema)
+
+
+def _arrow_field(field: T.StructField) -> pa.Field:
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    return pa.field(field.name, to_arrow_type(field.dataType), nullable=True)
+
+
+def _query_shape(queries: DataFrame, vector_col: str, group_col: str | None = None) -> tuple[int, bool]:
+    """``(common vector width, whether a query has no group)`` in one
+    aggregate; NULL vectors are ignored, differing widths raise."""
+    free = F.count_if(F.col(group_col).isNull()) if group_col else F.lit(0)
+    stats = queries.agg(F.min(F.size(vector_col)).alias("lo"), F.max(F.size(vector_col)).alias("hi"), free.alias("free")).first()
+    lo, hi = stats["lo"], stats["hi"]
+    if lo is not None and hi > 0 and (lo if lo > 0 else hi) != hi:
+        raise ValueError(f"query vectors must share one positive width, got {lo}..{hi}")
+    return int(hi or 1), bool(stats["free"])
+
+
+def _in_cells(points: DataFrame, queries: DataFrame, group_match: tuple[str, str] | None,
+              probe_match: tuple[str, str] | None, free: bool) -> tuple[DataFrame, DataFrame]:
+    """Both sides with ``__cell``: one row per cell that a row belongs to.  A
+    query without a group meets all points, in a cell that has them all."""
+    p_cell, q_cell = [F.lit("")], F.lit("")
+    if group_match:
+        grp, member = F.col(group_match[0]).cast("string"), F.col(group_match[1])
+        named = F.transform(F.array_distinct(F.array_compact(member)), lambda g: F.concat(F.lit("="), g.cast("string")))
+        named = F.coalesce(named, F.array().cast("array<string>"))
+        p_cell = [F.concat(named, F.array(F.lit("*"))) if free else named]
+        q_cell = F.coalesce(F.concat(F.lit("="), grp), F.lit("*"))
+        points = points.withColumn(_CELL, F.explode(p_cell[0]))
     else:
-        Q = np.zeros((0, dim))
-    probes = None
-    if qprobe:
-        lists = tbl.column("p").to_pylist()
-        width = 1 + max((max(x) for x in lists if x), default=0)
-        probes = np.zeros((len(lists), width), dtype=bool)
-        for i, x in enumerate(lists):
-            probes[i, [b for b in (x or []) if b >= 0]] = True
-    bound = None
-    if bounds is not None and len(bounds[0]) and len(qids):
-        order = np.argsort(bounds[0])
-        bq, bv = bounds[0][order], bounds[1][order]
-        at = np.minimum(np.searchsorted(bq, qids), len(bq) - 1)
-        bound = np.where(bq[at] == qids, bv[at], np.nan)
-    if not qgroup:
-        return qids, Q, None, None, probes, bound
-    g = tbl.column("g").to_pylist()
-    groups = sorted({x for x in g if x is not None})
-    pos = {x: i for i, x in enumerate(groups)}
-    idx = np.array([pos[x] if x is not None else -1 for x in g], dtype=np.int64)
-    return qids, Q, groups, idx, probes, bound
-
-
-def _score_chunk(points: DataFrame, queries: DataFrame, k: int, metric: str, higher: bool,
-                 id_col: str, vec_col: str, qid: str, qvec: str, passthrough: list[str],
-                 dim: int, qgroup: str | None, pgroups: str | None,
-                 qprobe: str | None = None, pbucket: str | None = None,
-                bounds: tuple[np.ndarray, np.ndarray] | None = None) -> DataFrame:
-    spark = points.sparkSession
-    block = _query_block(queries, qid, qvec, dim, qgroup, qprobe, bounds)
-    bc = spark.sparkContext.broadcast(block)
-    extra = [F.col(pgroups).alias(_GROUPS)] if qgroup else []
-    if qprobe:
-        extra.append(F.col(pbucket).cast("int").alias(_BUCKET))
-    kept = [c for c in passthrough if c != vec_col]
-    src = points.select(F.col(id_col).cast("long").alias(id_col), vec_col, *kept, *extra)
-    fields = [
-        T.StructField("query_id", T.LongType()),
-        T.StructField(id_col, T.LongType()),
-        T.StructField("score", T.DoubleType()),
-    ] + [src.schema[name] for name in passthrough]
-    spark_schema = T.StructType(fields)
-    arrow_schema = pa.schema(
-        [pa.field("query_id", pa.int64()), pa.field(id_col, pa.int64()), pa.field("score", pa.float64())]
-        + [_arrow_field(src.schema[name]) for name in passthrough]
-    )
-    scorer = _make_scorer(bc, metric, k, higher, id_col, vec_col, passthrough, arrow_schema, dim)
-    candidates = src.mapInArrow(scorer, spark_schema)
+        points = points.withColumn(_CELL, p_cell[0])
+    queries = queries.withColumn(_CELL, q_cell)
+    if probe_match:
+        probed = F.explode(F.array_distinct(F.col(probe_match[0]).cast("array<int>")))
+        queries = queries.withColumn("__probe", probed).withColumn(_CELL, F.concat_ws("|", _CELL, F.col("__probe"))).drop("__probe")
+        points = points.withColumn(_CELL, F.concat_ws("|", _CELL, F.col(probe_match[1]).cast("int")))
+    return points, queries
+
+
+def _best(rows: DataFrame, k: int, higher: bool, id_col: str, passthrough: Sequence[str] = ()) -> DataFrame:
     order = F.desc("score") if higher else F.asc("score")
     w = Window.partitionBy("query_id").orderBy(order, F.asc(id_col))
     return (
-        candidates.withColumn("rank", F.row_number().over(w).cast("long"))
+        rows.withColumn("rank", F.row_number().over(w).cast("long"))
         .filter(F.col("rank") <= k)
         .select("query_id", "rank", id_col, "score", *passthrough)
     )
 
 
-def _sample_bounds(sample: DataFrame, queries: DataFrame, args: tuple, k: int,
-                   higher: bool) -> tuple[np.ndarray, np.ndarray]:
-    """``(query ids, k-th best score)`` of the queries that have k answers
-    in ``sample`` (one number per query: bounded like the query block)."""
-    top = _score_chunk(sample, queries, *args)
-    kth = F.min("score") if higher else F.max("score")
-    tbl = (
-        top.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"), kth.alias("b"))
-        .filter(F.col("n") >= k).select("query_id", "b").toArrow()
-    )
-    return (tbl.column("query_id").to_numpy(zero_copy_only=False),
-            tbl.column("b").to_numpy(zero_copy_only=False).astype(np.float64))
-
-
-def _query_shape(queries: DataFrame, vector_col: str) -> tuple[int, int]:
-    """``(rows, common vector width)`` of a query set in one aggregate; NULL
-    vectors are ignored, differing widths raise."""
-    stats = queries.agg(
-        F.count(F.lit(1)).alias("n"), F.min(F.size(vector_col)).alias("lo"), F.max(F.size(vector_col)).alias("hi"),
-    ).first()
-    n, lo, hi = stats["n"], stats["lo"], stats["hi"]
-    if n and (lo != hi or lo is None or lo <= 0):
-        raise ValueError(f"query vectors must share one positive width, got {lo}..{hi}")
-    return n, int(lo or 1)
-
-
-def _arrow_field(field: T.StructField) -> pa.Field:
-    from pyspark.sql.pandas.types import to_arrow_type
-
-    return pa.field(field.name, to_arrow_type(field.dataType), nullable=True)
+def _search(points: DataFrame, queries: DataFrame, k: int, metric: str, id_col: str, vec_col: str,
+            passthrough: list[str], dim: int, block_bytes: int) -> DataFrame:
+    """Top k of ``queries`` (query_id, __q, __cell, optional __bound) among ``points``."""
+    higher = check_metric(metric)
+    bounded = "__bound" in queries.columns
+    fields = [T.StructField("query_id", T.LongType()), T.StructField(id_col, T.LongType()), T.StructField("score", T.DoubleType())]
+    schema = T.StructType(fields + [points.schema[name] for name in passthrough])
+    arrow = pa.schema([_arrow_field(f) for f in schema.fields])
+
+    def kernel(chunk: pa.Table, slab: pa.Table) -> pa.Table:
+        Q, P = _matrix(chunk, "__q", dim), _matrix(slab, vec_col, dim)
+        qids = chunk.column("query_id").to_numpy()
+        qnorm = np.sqrt(np.einsum("ij,ij->i", Q, Q))
+        bound = _floats(chunk, "__bound") if bounded else None
+        kept = []
+        for t in _tiles(len(Q), len(P)):
+            S = _scores(metric, P, Q[t], qnorm[t])
+            r, c = _select(S, k, higher)
+            s = _exact_refine(P, Q[t], r, c) if metric == "Euclid" else S[r, c]
+            if bound is not None:
+                near = _within(s, bound[t][r], higher)
+                r, c, s = r[near], c[near], s[near]
+            took = slab.take(pa.array(c))
+            cols = [pa.array(qids[t][r], pa.int64()), took.column(id_col), pa.array(s, pa.float64())]
+            found = pa.table(cols + [took.column(n) for n in passthrough], schema=arrow)
+            kept.append(reduce_topk(found, k, higher, id_col))
+        return pa.concat_tables(kept)
+
+    return _best(block_join(points, queries, id_col, "query_id", dim, kernel, schema, block_bytes), k, higher, id_col, passthrough)
 
 
 def knn_search(
@@ -327,16 +272,16 @@ def knn_search(
     passthrough: Sequence[str] = (),
     group_match: tuple[str, str] | None = None,
     probe_match: tuple[str, str] | None = None,
-    max_broadcast_bytes: int = DEFAULT_MAX_BROADCAST_BYTES,
+    block_bytes: int = BLOCK_BYTES,
     bound_fraction: float | None = None,
 ) -> DataFrame:
     """Top-``k`` points per query, best first: ``query_id, rank, id, score, *passthrough``.
 
     ``points`` needs an integral ``id_col`` and an array ``vector_col``;
-    ``queries`` an integral ``query_id_col`` and an array ``query_vector_col``
-    of one common width.  Points of another width or with NULL vectors are
-    not scored (``validate_vectors`` reports them); a query with a NULL
-    vector gets no rows.
+    ``queries`` an integral, unique ``query_id_col`` and an array
+    ``query_vector_col`` of one common width.  Points of another width, with
+    NULL vectors or without an id are not scored (``validate_vectors`` reports
+    them); a query with a NULL or empty vector gets no rows.
 
     ``group_match=(query_col, point_array_col)`` restricts each query to the
     points whose array contains the query's value (a per-query payload
@@ -348,121 +293,57 @@ def knn_search(
     ``bound_fraction``: before the full pass, search a seeded sample of this
     share of the points; the k-th best sample score of a query is a bound no
     true top-k score can be worse than, so the full pass ships only points
-    that beat it – about ``k / fraction`` candidates per query instead of
-    ``k`` per scan task.  Exact.  Worth its second scan where the points are
-    read by thousands of tasks (0.01, say); None: no bound.
+    that beat it, about ``k / fraction`` candidates per query instead of
+    ``k`` per slab.  Exact.  Worth its second scan where there are thousands
+    of slabs (0.01, say); None: no bound.
     """
     if k <= 0:
         raise ValueError("k must be positive")
     higher = check_metric(metric)
-    n, dim = _query_shape(queries, query_vector_col)
-    # a query without a vector has no answer (and must not shift the block)
-    queries = queries.filter(F.col(query_vector_col).isNotNull())
+    dim, free = _query_shape(queries, query_vector_col, group_match[0] if group_match else None)
     if filter is not None:
         points = points.filter(filter)
-    points = points.filter(F.col(vector_col).isNotNull() & (F.size(vector_col) == dim))
     passthrough = [c for c in passthrough if c != id_col]
-    qgroup, pgroups = group_match or (None, None)
-    qprobe, pbucket = probe_match or (None, None)
-    args = (k, metric, higher, id_col, vector_col, query_id_col, query_vector_col,
-            list(passthrough), dim, qgroup, pgroups, qprobe, pbucket)
-
-    def search(qs: DataFrame) -> DataFrame:
-        bounds = None
-        if bound_fraction:
-            bounds = _sample_bounds(points.sample(fraction=bound_fraction, seed=17), qs, args, k, higher)
-        return _score_chunk(points, qs, *args, bounds=bounds)
-
-    block_bytes = n * dim * 8
-    if block_bytes <= max_broadcast_bytes:
-        return search(queries)
-    # Exact answer for a query set above the broadcast bound: hash chunks of
-    # bounded size scored in turn; each chunk's result is written to the shared
-    # checkpoint folder so no chunk is held twice and lost executors only redo
-    # their own chunk.
-    spark = points.sparkSession
-    chunks = math.ceil(2 * block_bytes / max_broadcast_bytes)
-    key = F.pmod(F.xxhash64(F.col(query_id_col)), F.lit(chunks))
-    paths = []
-    for c in range(chunks):
-        part = search(queries.filter(key == c))
-        path = scratch_path(spark, f"knn-chunk{c}")
-        part.write.mode("overwrite").parquet(path)
-        paths.append(path)
-    return spark.read.parquet(*paths)
-
-
-def _kth(x: np.ndarray, k: int, largest: bool) -> np.ndarray:
-    """k-th largest (or smallest) finite value per row; -inf (+inf) when a
-    row has fewer than k finite values."""
-    fill = -np.inf if largest else np.inf
-    key = np.where(np.isfinite(x), -x if largest else x, np.inf)
-    if key.shape[1] < k:
-        return np.full(key.shape[0], fill)
-    t = np.partition(key, k - 1, axis=1)[:, k - 1]
-    t = np.where(np.isfinite(t), -t if largest else t, fill)
-    return t
-
-
-def _make_error_scorer(bc, metric: str, k: int, higher: bool, id_col: str, vec_col: str,
-                       err_col: str, dim: int):
-    """Candidates whose score, known up to +-error, may be in the top k.
-
-    A point's score interval is ``[s - e, s + e]`` with ``s`` computed on the
-    approximate vector and ``e = qscale x point error``.  Per query the task
-    keeps a running threshold: the k-th best worst-case score seen so far (a
-    valid bound on the true k-th best score); a point is a candidate while
-    its best-case score can still reach it.  No fixed number of candidates."""
-
-    def scorer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        qids, Q, _, _, _, _ = bc.value
-        qnorm = np.sqrt(np.einsum("ij,ij->i", Q, Q))
-        qscale = qnorm if metric == "Dot" else np.ones(len(qids))
-        thr = np.full(len(qids), -np.inf if higher else np.inf)
-        pend_q, pend_id, pend_best = [], [], []
-        for batch in batches:
-            if batch.num_rows == 0:
-                continue
-            P = batch.column(vec_col).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
-            err = batch.column(err_col).to_numpy(zero_copy_only=False).astype(np.float64)
-            ids = batch.column(id_col).to_numpy(zero_copy_only=False)
-            step = max(1, SCORE_TILE // batch.num_rows)
-            for t0 in range(0, len(qids), step):
-                qt = np.arange(t0, min(t0 + step, len(qids)))
-                S = _scores(metric, P, Q[qt], qnorm[qt])
-                # error in score space, widened for float rounding of S itself
-                E = qscale[qt][:, None] * err[None, :] * (1 + 1e-9) + 1e-6 * (1 + np.nan_to_num(np.abs(S)))
-                if metric == "Cosine":
-                    # approximate vector of zero length: the true cosine is anywhere in [-1, 1]
-                    lost = ~np.isfinite(S) & np.isfinite(err)[None, :]
-                    S[lost], E[lost] = 0.0, 1.0 + 1e-6
-                with np.errstate(invalid="ignore"):
-                    worst, best = (S - E, S + E) if higher else (S + E, S - E)
-                ok = np.isfinite(worst) & np.isfinite(best)
-                worst = np.where(ok, worst, np.nan)
-                t = _kth(worst, k, largest=higher)
-                thr[qt] = np.maximum(thr[qt], t) if higher else np.minimum(thr[qt], t)
-                with np.errstate(invalid="ignore"):
-                    keep = ok & ((best >= thr[qt][:, None]) if higher else (best <= thr[qt][:, None]))
-                r, c = np.nonzero(keep)
-                pend_q.append(qt[r])
-                pend_id.append(ids[c])
-                pend_best.append(best[r, c])
-        if not pend_q:
-            return
-        q, i, b = np.concatenate(pend_q), np.concatenate(pend_id), np.concatenate(pend_best)
-        keep = b >= thr[q] if higher else b <= thr[q]  # the final thresholds are the tightest
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(qids[q[keep]], pa.int64()), pa.array(i[keep], pa.int64())], names=["query_id", id_col]
-        )
-
-    return scorer
+    points = points.filter(F.col(vector_col).isNotNull() & (F.size(vector_col) == dim) & F.col(id_col).isNotNull())
+    queries = queries.filter(F.size(query_vector_col) == dim)
+    points, queries = _in_cells(points, queries, group_match, probe_match, free)
+    kept = [c for c in passthrough if c != vector_col]
+    points = points.select(F.col(id_col).cast("long").alias(id_col), vector_col, *kept, _CELL)
+    queries = queries.select(F.col(query_id_col).cast("long").alias("query_id"), F.col(query_vector_col).alias("__q"), _CELL)
+    if bound_fraction:
+        sample = points.sample(fraction=bound_fraction, seed=17)
+        top = _search(sample, queries, k, metric, id_col, vector_col, [], dim, block_bytes)
+        kth = F.min("score") if higher else F.max("score")
+        bounds = top.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"), kth.alias("b")).filter(F.col("n") >= k)
+        bounds = bounds.select("query_id", F.col("b").alias("__bound"))
+        queries = queries.join(bounds, "query_id", "left").withColumn("__bound", F.coalesce("__bound", F.lit(float("nan"))))
+    return _search(points, queries, k, metric, id_col, vector_col, passthrough, dim, block_bytes)
+
+
+# ---------------------------------------------------------------- approximate vectors with known errors
+
+
+def _intervals(metric: str, P: np.ndarray, err: np.ndarray, Q: np.ndarray, qnorm: np.ndarray):
+    """``(lower, upper)`` ends of each pair's true score, NaN where there is none."""
+    S = _scores(metric, P, Q, qnorm)
+    scale = qnorm if metric == "Dot" else np.ones(len(Q))
+    # error in score space, widened for float rounding of S itself
+    E = scale[:, None] * err[None, :] * (1 + 1e-9) + 1e-6 * (1 + np.nan_to_num(np.abs(S)))
+    if metric == "Cosine":
+        # approximate vector of zero length: the true cosine is anywhere in [-1, 1]
+        lost = ~np.isfinite(S) & np.isfinite(err)[None, :] & (qnorm > 0)[:, None]
+        S[lost], E[lost] = 0.0, 1.0 + 1e-6
+    with np.errstate(invalid="ignore"):
+        low, high = S - E, S + E
+    none = ~(np.isfinite(low) & np.isfinite(high))
+    low[none] = high[none] = np.nan
+    return low, high
 
 
 def candidates_within_error(points: DataFrame, queries: DataFrame, k: int = 10, metric: str = "Cosine",
                             *, id_col: str = "id", vector_col: str = "vector", error_col: str = "error",
                             query_id_col: str = "query_id", query_vector_col: str = "vector",
-                            max_broadcast_bytes: int = DEFAULT_MAX_BROADCAST_BYTES) -> DataFrame:
+                            block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """``query_id, id`` of every point that may be in a query's exact top k
     when ``vector_col`` is only an approximation of the true vector.
 
@@ -471,37 +352,81 @@ def candidates_within_error(points: DataFrame, queries: DataFrame, k: int = 10,
     (cosine against the unit direction of ``p~``), for Euclid ``|p - p~|_2``,
     for Manhattan ``|p - p~|_1``.  The exact top k
     of each query is always inside the returned set (re-rank it exactly);
-    the set has no fixed size – it is as large as the error makes necessary.
+    the set has no fixed size, it is as large as the errors make necessary.
+
+    Two passes: the first finds each query's k-th best worst-case score over
+    all points, which no true k-th best score is worse than; the second
+    returns the points whose best case reaches it.
     """
     if k <= 0:
         raise ValueError("k must be positive")
     higher = check_metric(metric)
-    n, dim = _query_shape(queries, query_vector_col)
-    queries = queries.filter(F.col(query_vector_col).isNotNull())
-    pts = points.filter(F.col(vector_col).isNotNull() & (F.size(vector_col) == dim) & F.col(error_col).isNotNull())
-    pts = pts.select(F.col(id_col).cast("long").alias(id_col), vector_col, F.col(error_col).cast("double").alias(error_col))
-    spark = points.sparkSession
-    schema = T.StructType([T.StructField("query_id", T.LongType()), T.StructField(id_col, T.LongType())])
-
-    def run(qs: DataFrame) -> DataFrame:
-        bc = spark.sparkContext.broadcast(_query_block(qs, query_id_col, query_vector_col, dim, None))
-        return pts.mapInArrow(_make_error_scorer(bc, metric, k, higher, id_col, vector_col, error_col, dim), schema)
-
-    if n * dim * 8 <= max_broadcast_bytes:
-        return run(queries)
-    chunks = math.ceil(2 * n * dim * 8 / max_broadcast_bytes)
-    key = F.pmod(F.xxhash64(F.col(query_id_col)), F.lit(chunks))
-    paths = []
-    for c in range(chunks):
-        path = scratch_path(spark, f"knn-cand{c}")
-        run(queries.filter(key == c)).write.mode("overwrite").parquet(path)
-        paths.append(path)
-    return spark.read.parquet(*paths)
-
-
-def search_one(points: DataFrame, vector: Sequence[float], k: int = 10, metric: str = "Cosine",
-               **kwargs) -> DataFrame:
-    """Search with a single query vector (query_id 0)."""
-    spark = points.sparkSession
-    q = spark.createDataFrame([(0, [float(x) for x in vector])], "query_id long, vector array<double>")
-    return knn_search(points, q, k=k, metric=metric, **kwargs)
+    dim, _ = _query_shape(queries, query_vector_col)
+    usable = F.col(vector_col).isNotNull() & (F.size(vector_col) == dim) & F.col(error_col).isNotNull() & F.col(id_col).isNotNull()
+    pts = points.filter(usable).select(
+        F.col(id_col).cast("long").alias(id_col), vector_col, F.col(error_col).cast("double").alias("__err"), F.lit("").alias(_CELL)
+    )
+    qs = queries.filter(F.size(query_vector_col) == dim).select(
+        F.col(query_id_col).cast("long").alias("query_id"), F.col(query_vector_col).alias("__q"), F.lit("").alias(_CELL)
+    )
+    pair = T.StructType([T.StructField("query_id", T.LongType()), T.StructField(id_col, T.LongType())])
+    scored = T.StructType([*pair.fields, T.StructField("score", T.DoubleType())])
+    bounds_of = lambda chunk, slab, t: _intervals(
+        metric, _matrix(slab, vector_col, dim), _floats(slab, "__err"), chunk["Q"][t], chunk["norm"][t]
+    )
+
+    def unpack(chunk: pa.Table) -> dict[str, np.ndarray]:
+        Q = _matrix(chunk, "__q", dim)
+        return {"Q": Q, "norm": np.sqrt(np.einsum("ij,ij->i", Q, Q)), "id": chunk.column("query_id").to_numpy()}
+
+    def worst_cases(chunk: pa.Table, slab: pa.Table) -> pa.Table:
+        q, ids, kept = unpack(chunk), slab.column(id_col).to_numpy(), []
+        for t in _tiles(len(q["id"]), slab.num_rows):
+            low, high = bounds_of(q, slab, t)
+            worst = low if higher else high
+            r, c = _select(worst, k, higher)
+            found = pa.table({"query_id": q["id"][t][r], id_col: ids[c], "score": worst[r, c]})
+            kept.append(reduce_topk(found, k, higher, id_col))
+        return pa.concat_tables(kept)
+
+    def reaching(chunk: pa.Table, slab: pa.Table) -> pa.Table:
+        q, ids, kept = unpack(chunk), slab.column(id_col).to_numpy(), []
+        limit = _floats(chunk, "__limit")
+        for t in _tiles(len(q["id"]), slab.num_rows):
+            low, high = bounds_of(q, slab, t)
+            with np.errstate(invalid="ignore"):
+                out = high < limit[t][:, None] if higher else low > limit[t][:, None]
+            r, c = np.nonzero(~out & np.isfinite(low))
+            kept.append(pa.table({"query_id": q["id"][t][r], id_col: ids[c]}))
+        return pa.concat_tables(kept)
+
+    worst = _best(block_join(pts, qs, id_col, "query_id", dim, worst_cases, scored, block_bytes), k, higher, id_col)
+    limits = worst.filter(F.col("rank") == k).select("query_id", F.col("score").alias("__limit"))
+    qs = qs.join(limits, "query_id", "left").withColumn("__limit", F.coalesce("__limit", F.lit(float("nan"))))
+    return block_join(pts, qs, id_col, "query_id", dim, reaching, pair, block_bytes)
+
+
+# ---------------------------------------------------------------- a single vector
+
+
+def search_one(points: DataFrame, vector: Sequence[float], k: int = 10, metric: str = "Cosine", *,
+               id_col: str = "id", vector_col: str = "vector", filter: Column | None = None,
+               passthrough: Sequence[str] = ()) -> DataFrame:
+    """Search with a single query vector given by the caller (query_id 0).
+
+    No join and no exchange but the last one of ``k`` rows per task: the vector
+    is a literal of the plan, and ``orderBy.limit`` keeps a top-k per task."""
+    higher = check_metric(metric)
+    if k <= 0:
+        raise ValueError("k must be positive")
+    if filter is not None:
+        points = points.filter(filter)
+    passthrough = [c for c in passthrough if c != id_col]
+    asked = F.array(*[F.lit(float(x)) for x in vector])
+    scored = points.select(
+        F.col(id_col).cast("long").alias(id_col), score(metric, F.col(vector_col), asked).alias("score"), *passthrough
+    ).filter(F.col("score").isNotNull() & ~F.isnan("score") & F.col(id_col).isNotNull())
+    best = scored.orderBy(F.desc("score") if higher else F.asc("score"), F.asc(id_col)).limit(k)
+    w = Window.partitionBy("query_id").orderBy(F.desc("score") if higher else F.asc("score"), F.asc(id_col))
+    ranked = best.withColumn("query_id", F.lit(0).cast("long")).withColumn("rank", F.row_number().over(w).cast("long"))
+    return ranked.select("query_id", "rank", id_col, "score", *passthrough)

@@ -115,8 +115,7 @@ def score_error(metric: str, err: F.Column) -> F.Column:
 
 def knn_quantized(points: DataFrame, queries: DataFrame, b: Bounds, k: int = 10, metric: str = "Cosine",
                   id_col: str = "id", codes_col: str = "codes", error_col: str = "qerr",
-                  vector_col: str = "vector", query_vector_col: str = "vector",
-                  max_broadcast_bytes: int = 64 << 20) -> DataFrame:
+                  vector_col: str = "vector", query_vector_col: str = "vector") -> DataFrame:
     """K5: search on the int8 codes (narrow scan), exact re-rank on the floats.
 
     Exact, with no fixed number of candidates: each point's score on its
@@ -125,14 +124,9 @@ def knn_quantized(points: DataFrame, queries: DataFrame, b: Bounds, k: int = 10,
     score can reach the k-th best worst-case score
     (:func:`quiver.operators.knn.candidates_within_error`).  The candidates
     (written once to the checkpoint folder) are re-scored on the original
-    vectors; the answer equals the exact search.  The candidates and the
-    query vectors are broadcast when their measured size fits
-    ``max_broadcast_bytes``, so the originals are fetched by a map-side hash
-    join and the point table is never shuffled; beyond that, shuffle joins.
+    vectors by joins on the ids; the answer equals the exact search.
     """
     higher = check_metric(metric)
-    shape = queries.agg(F.count(F.lit(1)).alias("n"), F.max(F.size(query_vector_col)).alias("d")).first()
-    n, dim = shape["n"] or 0, shape["d"] or 0
     approx_pts = points.select(
         id_col, dequantize(F.col(codes_col), b).alias("_dq"), score_error(metric, F.col(error_col)).alias("_err")
     )
@@ -140,10 +134,6 @@ def knn_quantized(points: DataFrame, queries: DataFrame, b: Bounds, k: int = 10,
                                    vector_col="_dq", error_col="_err", query_vector_col=query_vector_col)
     cand = cand.checkpoint()
     qv = queries.select("query_id", F.col(query_vector_col).alias("_qv"))
-    if cand.count() * 16 <= max_broadcast_bytes:
-        cand = F.broadcast(cand)
-    if n * dim * 8 <= max_broadcast_bytes:
-        qv = F.broadcast(qv)
     exact = (
         points.select(id_col, vector_col)
         .join(cand, id_col)

@@ -64,7 +64,7 @@ def test_chunked_query_set_equals_single(spark):
     qs = spark.createDataFrame([(i, rng.normal(size=6).tolist()) for i in range(40)], "query_id long, vector array<double>")
     one = sorted(tuple(r) for r in knn.knn_search(pts, qs, k=3).select("query_id", "rank", "id").collect())
     many = sorted(
-        tuple(r) for r in knn.knn_search(pts, qs, k=3, max_broadcast_bytes=400).select("query_id", "rank", "id").collect()
+        tuple(r) for r in knn.knn_search(pts, qs, k=3, block_bytes=400).select("query_id", "rank", "id").collect()
     )
     assert one == many
 
@@ -216,7 +216,7 @@ def test_candidates_within_error_chunked_equals_single(spark):
     )
     qs = spark.createDataFrame([(i, rng.normal(size=5).tolist()) for i in range(30)], "query_id long, vector array<double>")
     one = sorted(tuple(r) for r in knn.candidates_within_error(pts, qs, k=4, metric="Euclid").collect())
-    many = sorted(tuple(r) for r in knn.candidates_within_error(pts, qs, k=4, metric="Euclid", max_broadcast_bytes=300).collect())
+    many = sorted(tuple(r) for r in knn.candidates_within_error(pts, qs, k=4, metric="Euclid", block_bytes=300).collect())
     assert one == many
     exact = {(r["query_id"], r["id"]) for r in knn.knn_search(pts, qs, k=4, metric="Euclid").collect()}
     assert exact <= set(one)  # the exact answer is always inside the candidates
