@@ -192,9 +192,15 @@ def clean_queries(df: DataFrame, text_col: str, out_col: str = "query") -> DataF
 
 
 def parse_response(df: DataFrame, col: str = "response") -> DataFrame:
-    """``block, queries, group, error, raw_response`` from a JSON answer."""
+    """``block, queries, group, error, raw_response`` from a JSON answer,
+    and ``other map<string, string>``: the keys the schema doesn't declare, with
+    their values (nested ones as JSON text); NULL when there are none."""
     parsed = parse_json(F.col(col), OUTPUT_SCHEMA)
+    every = F.from_json(F.col(col), "map<string, string>")
+    undeclared = F.map_filter(every, lambda key, _: ~key.isin(OUTPUT_SCHEMA.fieldNames()))
+    is_object = raw_response(F.col(col), F.col("_p")).isNull()
     return df.withColumn("_p", parsed).withColumns({
+        "other": F.when(is_object & (F.size(undeclared) > 0), undeclared),
         "block": F.col("_p.block"),
         "queries": F.col("_p.queries"),
         "group": F.col("_p.group"),
@@ -383,32 +389,51 @@ def _merged(df: DataFrame, agents: list[Agent]) -> DataFrame:
     return df.withColumn("response", F.to_json(F.struct(*fields)))
 
 
+def run_ids(key: Column, run: str) -> dict[str, Column]:
+    """``user_id`` and ``session_id`` of an evaluation run, one fresh pair
+    per query: version-4-shaped ids made from the run's name and the query's
+    key, so a repeated task names the same session."""
+
+    def uuid(kind: str) -> Column:
+        h = F.md5(F.concat_ws("-", F.lit(run), F.lit(kind), key.cast("string")))
+        cuts = [(1, 8), (9, 4), (13, 4), (17, 4), (21, 12)]
+        return F.concat_ws("-", *[F.substring(h, at, size) for at, size in cuts])
+
+    return {"user_id": F.concat(F.lit("eval-user-"), uuid("user")), "session_id": uuid("session")}
+
+
 def evaluate_batch(df: DataFrame, text_col: str,
                    backend: Callable[[str], str] | None = None,
-                   concurrency: int = 4) -> DataFrame:
+                   concurrency: int = 4, id_col: str | None = None, run: str = "evaluation") -> DataFrame:
     """Clean -> answer each query (timed) -> parse -> errors -> AVERAGE row.
 
-    Without a backend the rules answer as columns of the same plan; their
-    latency is 0 because no call is made.  ``backend(query) -> JSON text`` is
-    called on a bounded thread pool per task and timed; a failing call becomes
-    ``{"error": "ERROR: ..."}``.
+    ``backend(query) -> JSON text`` is called on a bounded thread pool per task
+    and timed; a failing call becomes ``{"error": "ERROR: ..."}``.  Without a
+    backend the rules answer as columns of the same plan; no call is made, so
+    there is no latency to report and it is 0.  With ``id_col`` every query
+    runs as its own user and session (:func:`run_ids`), and a ``backend`` is
+    called with ``(query, user_id, session_id)``.
     """
     from quiver.operators.stats import with_average_row
 
-    cleaned = clean_queries(df, text_col).select("query")
+    cleaned = clean_queries(df, text_col)
+    ids = run_ids(F.col(id_col), run) if id_col else {}
+    called_with = ["query", *ids]
+    kept = ([id_col] if id_col else []) + list(ids)
+    cleaned = cleaned.withColumns(ids).select("query", *kept) if ids else cleaned.select("query")
     if backend is None:
-        answered = enrich(cleaned, "query").select("query", F.lit(0.0).alias("latency_seconds"), "response")
+        answered = enrich(cleaned, "query").select("query", *kept, F.lit(0.0).alias("latency_seconds"), "response")
         return with_average_row(parse_response(answered).drop("response"))
     schema = T.StructType([
-        T.StructField("query", T.StringType()),
+        *cleaned.schema.fields,
         T.StructField("latency_seconds", T.DoubleType()),
         T.StructField("response", T.StringType()),
     ])
 
-    def timed(q: str) -> tuple[float, str]:
+    def timed(args: tuple) -> tuple[float, str]:
         t0 = time.perf_counter()
         try:
-            ans = backend(q)
+            ans = backend(*args)
         except Exception as exc:  # noqa: BLE001 – recorded per row like the reference
             ans = json.dumps({"error": f"ERROR: {exc}"})
         return time.perf_counter() - t0, ans
@@ -416,12 +441,8 @@ def evaluate_batch(df: DataFrame, text_col: str,
     def fn(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         with ThreadPoolExecutor(max_workers=concurrency) as pool:
             for pdf in batches:
-                res = list(pool.map(timed, pdf["query"].tolist()))
-                yield pd.DataFrame({
-                    "query": pdf["query"].tolist(),
-                    "latency_seconds": [r[0] for r in res],
-                    "response": [r[1] for r in res],
-                })
+                res = list(pool.map(timed, pdf[called_with].itertuples(index=False, name=None)))
+                yield pdf.assign(latency_seconds=[r[0] for r in res], response=[r[1] for r in res])
 
     # The answers feed both the rows and the AVERAGE row: write them once to
     # the shared checkpoint folder so the calls (timed, maybe not repeatable)

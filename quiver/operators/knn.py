@@ -211,9 +211,9 @@ def _in_cells(points: DataFrame, queries: DataFrame, group_match: tuple[str, str
         points = points.withColumn(_CELL, p_cell[0])
     queries = queries.withColumn(_CELL, q_cell)
     if probe_match:
-        probed = F.explode(F.array_distinct(F.col(probe_match[0]).cast("array<int>")))
+        probed = F.explode(F.array_distinct(F.col(probe_match[0]).cast("array<long>")))
         queries = queries.withColumn("__probe", probed).withColumn(_CELL, F.concat_ws("|", _CELL, F.col("__probe"))).drop("__probe")
-        points = points.withColumn(_CELL, F.concat_ws("|", _CELL, F.col(probe_match[1]).cast("int")))
+        points = points.withColumn(_CELL, F.concat_ws("|", _CELL, F.col(probe_match[1]).cast("long")))
     return points, queries
 
 

@@ -33,24 +33,34 @@ def point_errors(points: DataFrame, spec: dict[str, tuple[int, str]]) -> Column:
     """Reason a point cannot be stored, or NULL (first failing rule wins).
 
     Rules: id must be an integer; every declared vector must be present with
-    the declared width and without null or NaN components.  (A declared-but-missing name is only a warning in the
+    the declared width and without null, NaN or infinite components.  (A declared-but-missing name is only a warning in the
     reference's first-row probe; a stored point without it could never be
     searched, so here it is reported as ``missing_vector``.)
     """
-    checks = [(F.col("id").isNull(), F.lit("id_not_integer"))]
-    for name, (size, metric) in spec.items():
-        check_metric(metric)
-        v = F.col("vectors").getItem(name)
-        checks.append((v.isNull(), F.lit(f"missing_vector:{name}")))
-        checks.append((F.size(v) != size, F.lit(f"dimension_mismatch:{name}")))
-        checks.append((F.exists(v, lambda x: x.isNull()), F.lit(f"null_component:{name}")))
-        checks.append((F.exists(v, lambda x: F.isnan(x)), F.lit(f"nan_component:{name}")))
     expr = None
-    for cond, reason in checks:
+    for cond, reason in _checks(spec):
         expr = F.when(cond, reason) if expr is None else expr.when(cond, reason)
     return expr
 
 
+def error_reasons(spec: dict[str, tuple[int, str]]) -> list[str]:
+    """Every reason that :func:`point_errors` can give, in its order."""
+    return [reason for _, reason in _checks(spec)]
+
+
+def _checks(spec: dict[str, tuple[int, str]]) -> list[tuple[Column, str]]:
+    checks = [(F.col("id").isNull(), "id_not_integer")]
+    for name, (size, metric) in spec.items():
+        check_metric(metric)
+        v = F.col("vectors").getItem(name)
+        checks.append((v.isNull(), f"missing_vector:{name}"))
+        checks.append((F.size(v) != size, f"dimension_mismatch:{name}"))
+        checks.append((F.exists(v, lambda x: x.isNull()), f"null_component:{name}"))
+        checks.append((F.exists(v, lambda x: F.isnan(x)), f"nan_component:{name}"))
+        checks.append((F.exists(v, lambda x: F.abs(x) == float("inf")), f"infinite_component:{name}"))
+    return checks
+
+
 def quarantine_bad_rows(points: DataFrame, spec: dict[str, tuple[int, str]],
                         on_error: str = "quarantine") -> tuple[DataFrame, DataFrame]:
     """Split into (good points, rejected rows with ``reason``).

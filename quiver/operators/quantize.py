@@ -34,7 +34,8 @@ class Bounds:
 
 
 def fit_bounds(points: DataFrame, vector_col: str = "vector", quantile: float = 0.99) -> Bounds:
-    comps = points.select(F.explode(vector_col).alias("x"))
+    """Bounds of the central ``quantile`` of all finite components."""
+    comps = points.select(F.explode(vector_col).alias("x")).filter(F.abs("x") < float("inf"))
     p_lo = (1 - quantile) / 2
     p_hi = 1 - (1 - quantile) / 2
     got = percentiles_inclusive(comps, "x", [p_lo, p_hi])

@@ -303,6 +303,14 @@ ORACLE["evaluate_batch"] = _PIPE + """
 SELECT cl.query, true AS timed, topic IS NOT NULL AS block, array_to_string(q, '|') AS queries, grp AS "group",
        NULL::VARCHAR AS error, NULL::VARCHAR AS raw_response FROM e JOIN cl USING (query_id)
 UNION ALL SELECT 'AVERAGE', true, NULL, NULL, NULL, NULL, NULL"""
+_ANSWERED = "NOT contains(query, 'z') AND NOT contains(query, 'men')"
+ORACLE["evaluate_batch_timed"] = ENRICH + f"""
+SELECT query_id, query, true AS timed, CASE WHEN {_ANSWERED} THEN contains(query, 'gun') END AS block,
+       CASE WHEN {_ANSWERED} THEN query || '|' || query || ' sale' END AS queries, CASE WHEN {_ANSWERED} THEN 'ladies' END AS "group",
+       CASE WHEN contains(query, 'z') THEN 'ERROR: no answer for ' || length(query) || ' characters' END AS error,
+       CASE WHEN NOT contains(query, 'z') AND contains(query, 'men') THEN 'I would say ' || query END AS raw_response,
+       CASE WHEN {_ANSWERED} THEN '{{"words":"' || len(string_split(query, ' ')) || '","note":"{{\\"own_session\\":true}}"}}' END AS other FROM cl
+UNION ALL SELECT NULL, 'AVERAGE', true, NULL, NULL, NULL, NULL, NULL, NULL"""
 _ROUTED = "CASE WHEN contains(query, 'z') THEN NULL WHEN contains(query, 'men') THEN 'men' ELSE 'ladies' END"
 ORACLE["agent_retry"] = ENRICH + f"""
 SELECT query_id, {_ROUTED} AS "group", contains(query, 'z') AS failed FROM cl"""
@@ -424,6 +432,12 @@ bad AS (SELECT reason, id FROM p WHERE reason IS NOT NULL AND vec_id % 3 = 0
 SELECT 'stored' AS what, count(DISTINCT id) AS n, count(DISTINCT id) AS ids FROM p WHERE reason IS NULL
 UNION ALL SELECT reason, count(*), count(DISTINCT id) FROM bad GROUP BY reason"""
 
+ORACLE["load_counts"] = """
+WITH c AS (SELECT count(*) AS total, count(DISTINCT CASE WHEN vec_id % 5 <> 1 THEN vec_id // 2 END) AS ids,
+                  count(*) FILTER (vec_id % 5 = 1) AS bad FROM embeddings)
+SELECT batch, total, CASE WHEN batch = 'again' THEN 0 ELSE ids END AS loaded,
+       '{"dimension_mismatch:image":' || bad || '}' AS rejected FROM c, (SELECT unnest(['first', 'again', 'over']) AS batch)"""
+
 ORACLE["search_collection"] = EXTRACT + """
 , s AS (SELECT q.vec_id AS query_id, p.id, p.groups, len(p.vector) AS n_dims,
         list_cosine_similarity(q.embedding::DOUBLE[], p.vector::DOUBLE[]) AS score FROM embeddings q, pts p)
@@ -460,6 +474,8 @@ SELECT query_id, CAST(rnk AS BIGINT) AS rank, id, round(score, 6) AS score FROM
 ORACLE["knn_quantized_rerank"] = ORACLE["knn_cosine"]
 # K4 completed by radius bounds: the exact search.
 ORACLE["ann_exact"] = ORACLE["knn_cosine"]
+# K4 at a stated recall: every query has 10 true neighbours, 0.9 of all are found.
+ORACLE["ann_targeted"] = f"SELECT count(*) AS total, true AS reached FROM ({ORACLE['knn_cosine']})"
 
 # ---------------------------------------------------------------- streaming twins (same answers as batch)
 

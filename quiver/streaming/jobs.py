@@ -10,8 +10,9 @@
   later write, so late files cannot roll state back.  It is combined map-side
   before the state store, so a hot session costs one row per key and task.
 
-Both write checkpoints and outputs under the shared checkpoint folder, so a
-restarted query resumes from its last committed batch.
+Both keep their checkpoint in the folder that the caller names (a fresh one in
+the shared checkpoint folder if none is named), so a query that is started
+again with the same folder resumes after its last committed batch.
 """
 
 from __future__ import annotations
@@ -35,7 +36,7 @@ def stage_files(df: DataFrame, rows_per_file: int, name: str) -> str:
 
 
 def stream_upsert(spark: SparkSession, source_dir: str, schema: T.StructType, target_dir: str,
-                  id_col: str = "id", files_per_trigger: int = 1) -> None:
+                  id_col: str = "id", files_per_trigger: int = 1, checkpoint: str | None = None) -> None:
     """Load every file under ``source_dir`` into the collection at
     ``target_dir`` (insert-if-absent), one micro-batch per ``files_per_trigger``
     files, until no file is left (``availableNow``)."""
@@ -49,7 +50,33 @@ def stream_upsert(spark: SparkSession, source_dir: str, schema: T.StructType, ta
         spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger)
         .parquet(source_dir)
         .writeStream.foreachBatch(load)
-        .option("checkpointLocation", scratch_path(spark, "ckpt-upsert"))
+        .option("checkpointLocation", checkpoint or scratch_path(spark, "ckpt-upsert"))
+        .trigger(availableNow=True)
+        .start()
+    )
+    q.awaitTermination()
+
+
+def stream_load(spark: SparkSession, source_dir: str, collection_dir: str, checkpoint: str,
+                files_per_trigger: int = 1) -> None:
+    """T1 on a collection: files of points are loaded insert-if-absent until none
+    is left, checked against the collection's spec, bad points quarantined.
+
+    ``checkpoint`` is the job's stable folder: a job stopped after any batch goes
+    on with the next one when it is started again.  Every part written carries
+    its batch number; a batch that was cut off midway is loaded again as a
+    whole, which adds only what it hadn't added (points by their id, rejected
+    points by replacing the batch's own folder)."""
+    from quiver.operators import collection
+
+    def load(batch: DataFrame, epoch: int) -> None:
+        collection.load(batch.sparkSession, collection_dir, batch, batch_id=epoch)
+
+    q = (
+        spark.readStream.schema(collection.POINT_SCHEMA).option("maxFilesPerTrigger", files_per_trigger)
+        .parquet(source_dir)
+        .writeStream.foreachBatch(load)
+        .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()
     )
@@ -61,7 +88,7 @@ RESET_KEY = "__reset__"
 
 
 def stream_session_state(spark: SparkSession, source_dir: str, schema: T.StructType, out_dir: str,
-                         files_per_trigger: int = 1) -> None:
+                         files_per_trigger: int = 1, checkpoint: str | None = None) -> None:
     """Fold session events arriving as files into per-session state.
 
     A native streaming aggregate keeps the last write per (app, user, session,
@@ -84,7 +111,7 @@ def stream_session_state(spark: SparkSession, source_dir: str, schema: T.StructT
 
     q = (
         folded.writeStream.foreachBatch(sink)
-        .option("checkpointLocation", scratch_path(spark, "ckpt-sessions"))
+        .option("checkpointLocation", checkpoint or scratch_path(spark, "ckpt-sessions"))
         .outputMode("update")
         .trigger(availableNow=True)
         .start()

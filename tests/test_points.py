@@ -139,3 +139,72 @@ def test_upsert_modes(spark):
         ids = [r[0] for r in got]
         assert len(ids) == len(set(ids)) == len(set(range(0, 60, 2)) | set(range(0, 90, 3)))
         assert dict(got)[6] == ("old6" if mode == "insert_absent" else "new6")
+
+
+def test_overwrite_that_fails_midway_leaves_the_collection(spark, monkeypatch):
+    """Until the pointer row is written the old version is the current one."""
+    path = scratch_path(spark, "coll-midway")
+    collection.create(spark, path, "c", {"image": (2, "Dot")})
+    state = lambda: sorted((r["id"], r["payload"]["group"][0]) for r in collection.current(spark, path).collect())
+    old, new = _pts(spark, [(1, [1.0, 0.0], "a"), (2, [1.0, 1.0], "a")]), _pts(spark, [(2, [2.0, 2.0], "b"), (3, [3.0], "bad")])
+    collection.load(spark, path, old)
+
+    def stop(*_):
+        raise RuntimeError("lost")
+
+    with monkeypatch.context() as m:
+        m.setattr(collection, "_make_current", stop)
+        with pytest.raises(RuntimeError):
+            collection.load(spark, path, new, check_existing=False, batch_id=7)
+    assert state() == [(1, "a"), (2, "a")]
+    for _ in range(3):  # run again, and again: same state, rejected rows not doubled
+        collection.load(spark, path, new, check_existing=False, batch_id=7)
+        assert state() == [(1, "a"), (2, "b")]
+    rejected = spark.read.parquet(path + "/_rejected").where("batch = '7'").collect()
+    assert [(r["id"], r["reason"]) for r in rejected] == [(3, "dimension_mismatch:image")]
+
+
+def test_load_counts_with_nothing_to_load(spark):
+    path = scratch_path(spark, "coll-empty")
+    collection.create(spark, path, "c", {"image": (2, "Dot")})
+    some = _pts(spark, [(1, [1.0, 0.0], "a"), (1, [1.0, 0.0], "b"), (2, [float("inf"), 0.0], "a")])
+    collection.load(spark, path, some.limit(0), batch_id="none")
+    collection.load(spark, path, some, batch_id="some")
+    collection.load(spark, path, some.limit(0), check_existing=False, batch_id="over")
+    got = {r["batch"]: (r["total"], r["loaded"], dict(r["rejected"])) for r in collection.loads(spark, path).collect()}
+    assert got == {"none": (0, 0, {}), "some": (3, 1, {"infinite_component:image": 1}), "over": (0, 0, {})}
+    assert collection.current(spark, path).count() == 1
+
+
+def test_stopped_stream_load_goes_on(spark):
+    """A load stopped after its first batch and started again equals one batch load."""
+    from quiver.streaming import jobs
+
+    rows = [(i % 40, [float(i), 1.0] if i % 7 else [1.0], f"g{i}") for i in range(120)]
+    source = jobs.stage_files(_pts(spark, rows).repartition(6), 1000, "load-source")
+    path, checkpoint = scratch_path(spark, "coll-stream"), scratch_path(spark, "load-checkpoint")
+    collection.create(spark, path, "c", {"image": (2, "Dot")})
+    real, seen = collection.load, []
+
+    def once(*args, **how):
+        if seen:
+            raise RuntimeError("stopped")
+        seen.append(how["batch_id"])
+        return real(*args, **how)
+
+    collection.load = once
+    try:
+        with pytest.raises(Exception, match="stopped"):
+            jobs.stream_load(spark, source, path, checkpoint, files_per_trigger=2)
+    finally:
+        collection.load = real
+    after_one = collection.current(spark, path).count()
+    jobs.stream_load(spark, source, path, checkpoint, files_per_trigger=2)
+    whole = scratch_path(spark, "coll-whole")
+    collection.create(spark, whole, "c", {"image": (2, "Dot")})
+    collection.load(spark, whole, _pts(spark, rows))
+    ids = lambda p: sorted(r["id"] for r in collection.current(spark, p).select("id").collect())
+    assert 0 < after_one <= 40 and ids(path) == ids(whole)
+    rejected = lambda p: spark.read.parquet(p + "/_rejected").count()
+    assert rejected(path) == rejected(whole) == sum(i % 7 == 0 for i in range(120))
+    assert [r["batch"] for r in collection.loads(spark, path).orderBy("batch").collect()] == ["0", "1", "2"]
