@@ -237,3 +237,69 @@ def test_exact_ivf_equals_brute_force(spark, metric):
         got.setdefault(r["query_id"], []).append((r["rank"], r["id"]))
     want = _brute(P, Q, metric, 5)
     assert {q: [i for _, i in sorted(v)] for q, v in got.items()} == want
+
+
+@pytest.mark.parametrize("metric", ["Cosine", "Euclid"])
+def test_targeted_search_reaches_its_recall(spark, metric):
+    """Clustered points: the stated recall at a fraction of the pairs; an
+    infinite ratio probes everything and is exact."""
+    rng = np.random.default_rng(6)
+    centers = rng.normal(size=(20, 8)) * 4
+    P = centers[rng.integers(0, 20, 1500)] + rng.normal(size=(1500, 8))
+    Q = centers[rng.integers(0, 20, 60)] + rng.normal(size=(60, 8))
+    pts = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(P)], "id long, vector array<double>")
+    qs = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(Q)], "query_id long, vector array<double>")
+    index = ann.build_leaves(pts.repartition(4), metric=metric, leaf_rows=48)
+    assert index.points.count() == 1500 and index.centroids.count() >= 20
+    exact = knn.knn_search(pts, qs, k=10, metric=metric)
+    found, probed = ann.targeted_search(index, qs, k=10, recall=0.9)
+    assert ann.recall_at_k(found, exact).first()["recall"] >= 0.9
+    assert ann.scored_share(index, probed, qs).first()["share"] < 0.5
+    every, _ = ann.targeted_search(index, qs, k=10, ratio=float("inf"))
+    assert sorted((r["query_id"], r["rank"], r["id"]) for r in every.collect()) == sorted(
+        (r["query_id"], r["rank"], r["id"]) for r in exact.collect())
+
+
+def test_leaves_with_a_hot_point_and_missing_vectors(spark):
+    """A third of the points on one spot, null, empty and zero vectors."""
+    rng = np.random.default_rng(2)
+    rows = [(i, [1.0, 0.0, 0.0] if i % 3 == 0 else rng.normal(size=3).tolist()) for i in range(300)]
+    rows += [(300, None), (301, []), (302, [0.0, 0.0, 0.0])]
+    pts = spark.createDataFrame(rows, "id long, vector array<double>")
+    qs = spark.createDataFrame([(0, [1.0, 0.0, 0.0]), (1, None)], "query_id long, vector array<double>")
+    index = ann.build_leaves(pts, metric="Cosine", leaf_rows=16)
+    found, _ = ann.targeted_search(index, qs, k=5)
+    assert [r["id"] for r in found.orderBy("rank").collect()] == [0, 3, 6, 9, 12]
+    assert index.points.count() == 301
+
+
+@pytest.mark.parametrize("hot", ["men", None])
+def test_hot_group_is_dealt_over_slabs(spark, hot):
+    """A third of the points in one payload group, blocks far smaller than it."""
+    rng = np.random.default_rng(12)
+    rows = [(i, rng.normal(size=4).tolist(), [hot] if i % 3 == 0 else [f"g{i % 7}", "rest"]) for i in range(240)]
+    pts = spark.createDataFrame(rows, "id long, vector array<double>, groups array<string>").repartition(3)
+    qs = spark.createDataFrame([(i, rng.normal(size=4).tolist(), g) for i, g in enumerate(["men", "rest", "g1", "none", None] * 3)],
+                               "query_id long, vector array<double>, grp string")
+    big, small = (
+        sorted((r["query_id"], r["rank"], r["id"]) for r in knn.knn_search(pts, qs, k=6, group_match=("grp", "groups"), block_bytes=b).collect())
+        for b in (1 << 20, 320)
+    )
+    assert big == small and len(big) == 3 * 6 * (3 + (hot is not None))
+
+
+def test_no_query_row_leaves_the_executors(spark, monkeypatch):
+    """Neither collected, nor sent to the driver as Arrow, nor broadcast by hand."""
+    pts = spark.createDataFrame([(i, [float(i), 1.0]) for i in range(50)], "id long, vector array<double>")
+    qs = spark.createDataFrame([(i, [1.0, float(i)]) for i in range(30)], "query_id long, vector array<double>")
+
+    def refuse(*_, **__):
+        raise AssertionError("rows to the driver")
+
+    with monkeypatch.context() as m:
+        frame = type(pts)
+        for name in ("toArrow", "toPandas", "collect", "toLocalIterator"):
+            m.setattr(frame, name, refuse)
+        m.setattr(type(spark.sparkContext), "broadcast", refuse)
+        found = knn.knn_search(pts, qs, k=3, metric="Euclid")
+    assert found.count() == 90
