@@ -474,6 +474,7 @@ SELECT query_id, CAST(rnk AS BIGINT) AS rank, id, round(score, 6) AS score FROM
 ORACLE["knn_quantized_rerank"] = ORACLE["knn_cosine"]
 # K4 completed by radius bounds: the exact search.
 ORACLE["ann_exact"] = ORACLE["knn_cosine"]
+ORACLE["knn_pivots"] = ORACLE["knn_euclid"]
 # K4 at a stated recall: every query has 10 true neighbours, 0.9 of all are found.
 ORACLE["ann_targeted"] = f"SELECT count(*) AS total, true AS reached FROM ({ORACLE['knn_cosine']})"
 
