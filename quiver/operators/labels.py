@@ -87,9 +87,11 @@ def extract_vectors(articles: DataFrame, features: DataFrame) -> DataFrame:
     """Features joined to the labelled articles on ``castor`` (inner).
 
     Articles without labels, NULL keys and unmatched features vanish;
-    duplicate feature rows fan out.  The group side has one row per castor;
-    AQE turns the join into a broadcast join when that side is small at
-    runtime and splits skewed castor partitions otherwise.
+    duplicate feature rows fan out.  The group side has one row per castor, so
+    a hot castor is hot on the feature side only: adaptive execution turns the
+    join into a broadcast join when the group side proves small, and otherwise
+    cuts a skewed partition of features up and repeats its one group row (a
+    test shows that plan).
     """
     groups = aggregate_groups(label_groups(articles))
     return features.select("castor", "features").join(groups, on="castor", how="inner")
