@@ -6,6 +6,9 @@ White space and words follow one rule everywhere: white space is
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -55,3 +58,19 @@ def training_ids(labels_df: DataFrame, label: str, limit: int, id_column: str =
         .orderBy(F.xxhash64("doc_id"), "doc_id")
         .limit(limit)
     )
+
+
+#: Columns of ``documents`` that a stage may read or change.
+DOCUMENT_COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+
+
+def keeps_columns(stage: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """For a stage that returns rows of its input: other columns pass through
+    under plain names of their own, so none can clash with the stage's."""
+
+    @wraps(stage)
+    def run(docs: DataFrame, *args, **options) -> DataFrame:
+        plain = [c if c in DOCUMENT_COLUMNS else f"extra_{i}" for i, c in enumerate(docs.columns)]
+        return stage(docs.toDF(*plain), *args, **options).toDF(*docs.columns)
+
+    return run

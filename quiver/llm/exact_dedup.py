@@ -22,7 +22,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quiver.llm.common import SPACE, text_of, written
+from quiver.llm.common import SPACE, keeps_columns, text_of, written
 from quiver.session import scratch_path
 
 #: Copies compared with one shipped text of the row that stays.
@@ -179,6 +179,7 @@ def _by_text(rows: DataFrame) -> DataFrame:
     )
 
 
+@keeps_columns
 def keep_first(docs: DataFrame) -> DataFrame:
     """``docs`` without the rows that :func:`exact_dedup` drops (all columns)."""
     decided = written(exact_dedup(docs), "exact-decided")

@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quiver.llm.common import WORD, text_of, written
+from quiver.llm.common import WORD, keeps_columns, text_of, written
 
 KEY_BUCKETS = 4096
 
@@ -145,6 +145,7 @@ def label_quality(labels: DataFrame, good: float = 2.0, bad: float = 0.5) -> Dat
     )
 
 
+@keeps_columns
 def mixed_documents(
     docs: DataFrame, quality: DataFrame | None = None, whole: bool = False, **options
 ) -> DataFrame:

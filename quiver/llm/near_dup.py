@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quiver.llm.common import text_of, written
+from quiver.llm.common import keeps_columns, text_of, written
 from quiver.llm.components import components
 from quiver.llm.tokens import PrefixHash, mix, text_slices, words
 
@@ -333,6 +333,7 @@ def _counted(numbers: np.ndarray, copies: np.ndarray, linked: np.ndarray) -> Ite
     )
 
 
+@keeps_columns
 def one_per_group(docs: DataFrame, threshold: float = 0.8, n: int = 5) -> DataFrame:
     """``docs`` without the rows whose own text is in a group that holds a smaller id (rows of a null id stay)."""
     joined = written(_joined(docs, threshold, n), "near-joined")

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quiver.llm import logistic
-from quiver.llm.common import held_out, text_of, training_ids, written
+from quiver.llm.common import held_out, keeps_columns, text_of, training_ids, written
 
 #: Labelled rows that the lexicon and the curve are fitted on, at most.
 TRAINING_ROWS = 20_000
@@ -257,6 +257,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, limit:
     )
 
 
+@keeps_columns
 def without_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, limit: int = TRAINING_ROWS) -> DataFrame:
     """``docs`` (all columns) without the rows scored at ``threshold`` or more.
 
