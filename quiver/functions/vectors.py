@@ -138,3 +138,29 @@ def score(metric: str, a: Column, b: Column) -> Column:
 
 def dot(a: Column, b: Column) -> Column:
     return score("Dot", a, b)
+
+
+def score_against(metric: str, a: Column, vector: list[float]) -> Column:
+    """Score of each vector and one given vector, which travels inside the
+    function instead of being a literal of a thousand components."""
+    check_metric(metric)
+    q = np.asarray(vector, dtype=np.float64)
+
+    def fn(v: pa.Array) -> pa.Array:
+        x, off, null = lists(v)
+        bad = null | (np.diff(off) != len(q))
+        X = np.zeros((len(bad), len(q)))
+        X[~bad] = x[(off[:-1][~bad, None] + np.arange(len(q))).ravel()].reshape(-1, len(q))
+        if metric == "Manhattan":
+            s = np.abs(X - q).sum(axis=1)
+        elif metric == "Euclid":
+            s = np.sqrt(((X - q) ** 2).sum(axis=1))
+        else:
+            s = X @ q
+            if metric == "Cosine":
+                den = np.sqrt(np.einsum("ij,ij->i", X, X) * (q @ q))
+                bad = bad | (den == 0)
+                s = np.divide(s, den, out=np.zeros_like(s), where=den > 0)
+        return pa.array(s, pa.float64(), mask=bad)
+
+    return arrow_udf(fn, "double")(a)

@@ -41,7 +41,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quiver.functions.vectors import check_metric, score
+from quiver.functions.vectors import check_metric, score_against
 from quiver.session import scratch_path
 
 #: Vector bytes (as doubles) of one side of a scored group.
@@ -415,18 +415,17 @@ def search_one(points: DataFrame, vector: Sequence[float], k: int = 10, metric:
     """Search with a single query vector given by the caller (query_id 0).
 
     No join and no exchange but the last one of ``k`` rows per task: the vector
-    is a literal of the plan, and ``orderBy.limit`` keeps a top-k per task."""
+    is part of the scoring function, and ``orderBy.limit`` keeps a top-k per task."""
     higher = check_metric(metric)
     if k <= 0:
         raise ValueError("k must be positive")
     if filter is not None:
         points = points.filter(filter)
     passthrough = [c for c in passthrough if c != id_col]
-    asked = F.array(*[F.lit(float(x)) for x in vector])
     scored = points.select(
-        F.col(id_col).cast("long").alias(id_col), score(metric, F.col(vector_col), asked).alias("score"), *passthrough
+        F.col(id_col).cast("long").alias(id_col), score_against(metric, F.col(vector_col), vector).alias("score"), *passthrough
     ).filter(F.col("score").isNotNull() & ~F.isnan("score") & F.col(id_col).isNotNull())
     best = scored.orderBy(F.desc("score") if higher else F.asc("score"), F.asc(id_col)).limit(k)
-    w = Window.partitionBy("query_id").orderBy(F.desc("score") if higher else F.asc("score"), F.asc(id_col))
-    ranked = best.withColumn("query_id", F.lit(0).cast("long")).withColumn("rank", F.row_number().over(w).cast("long"))
+    # the limited rows are one ordered partition, so their running number is their rank
+    ranked = best.withColumn("rank", F.monotonically_increasing_id() + 1).withColumn("query_id", F.lit(0).cast("long"))
     return ranked.select("query_id", "rank", id_col, "score", *passthrough)

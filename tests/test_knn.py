@@ -310,3 +310,14 @@ def test_no_query_row_leaves_the_executors(spark, monkeypatch):
         m.setattr(type(spark.sparkContext), "broadcast", refuse)
         found = knn.knn_search(pts, qs, k=3, metric="Euclid")
     assert found.count() == 90
+
+
+@pytest.mark.parametrize("metric", ["Cosine", "Dot", "Euclid", "Manhattan"])
+def test_single_vector_equals_the_join(spark, metric):
+    rng = np.random.default_rng(20)
+    rows = [(i, rng.normal(size=6).tolist()) for i in range(200)] + [(200, None), (201, [1.0]), (202, [0.0] * 6), (None, [1.0] * 6)]
+    pts = spark.createDataFrame(rows, "id long, vector array<double>").repartition(3)
+    q = rng.normal(size=6).tolist()
+    one = [(r["rank"], r["id"]) for r in knn.search_one(pts, q, k=9, metric=metric).collect()]
+    qs = spark.createDataFrame([(0, q)], "query_id long, vector array<double>")
+    assert one == sorted((r["rank"], r["id"]) for r in knn.knn_search(pts, qs, k=9, metric=metric).collect())
