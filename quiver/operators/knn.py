@@ -151,21 +151,30 @@ def _sized(rows: DataFrame, name: str, per_block: int) -> DataFrame:
 def block_join(points: DataFrame, queries: DataFrame, id_col: str, query_id_col: str, dim: int,
                kernel: Callable[[pa.Table, pa.Table], pa.Table], schema: T.StructType,
                block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """Every (query, point) pair of equal ``__cell`` given to ``kernel`` in
-    groups: ``kernel(chunk of queries, slab of points) -> rows of schema``.
+    """Every (query, point) pair, of equal ``__cell`` where the sides have one,
+    given to ``kernel`` in groups: ``kernel(chunk of queries, slab of points) ->
+    rows of schema``.
 
-    The sizes table has a row per cell that both sides have; it is written
-    first, so Spark broadcasts it only if its real size allows."""
+    Without cells the two row counts settle the numbers of slabs and chunks.
+    With them a sizes table has a row per cell that both sides have; it is
+    written first, so Spark broadcasts it only if its real size allows."""
     per_block = max(1, min(block_bytes // (8 * dim), BLOCK_ROWS))
-    sizes = _sized(points, "__slabs", per_block).join(_sized(queries, "__chunks", per_block), _CELL)
-    path = scratch_path(points.sparkSession, "knn-cells")
-    sizes.write.parquet(path)
-    sizes = points.sparkSession.read.schema(sizes.schema).parquet(path)
+    if _CELL in points.columns:
+        key = _KEY
+        sizes = _sized(points, "__slabs", per_block).join(_sized(queries, "__chunks", per_block), _CELL)
+        path = scratch_path(points.sparkSession, "knn-cells")
+        sizes.write.parquet(path)
+        sizes = points.sparkSession.read.schema(sizes.schema).parquet(path)
+        points, queries = points.join(sizes, _CELL), queries.join(sizes, _CELL)
+    else:
+        key = _KEY[1:]
+        n = {"__slabs": F.lit(-(-points.count() // per_block)), "__chunks": F.lit(-(-queries.count() // per_block))}
+        points, queries = points.withColumns(n), queries.withColumns(n)
 
-    def dealt(rows: DataFrame, key: str, own: str, n_own: str, other: str, n_other: str) -> DataFrame:
-        mine = F.pmod(F.xxhash64(F.col(key)), F.col(n_own)).cast("int")
-        every = F.explode(F.sequence(F.lit(0), F.col(n_other) - 1))
-        return rows.join(sizes, _CELL).withColumn(own, mine).withColumn(other, every).drop("__slabs", "__chunks")
+    def dealt(rows: DataFrame, by: str, own: str, n_own: str, other: str, n_other: str) -> DataFrame:
+        mine = F.pmod(F.xxhash64(F.col(by)), F.col(n_own)).cast("int")
+        every = F.explode(F.sequence(F.lit(0), F.col(n_other).cast("int") - 1))
+        return rows.where(F.col(n_other) > 0).withColumn(own, mine).withColumn(other, every).drop("__slabs", "__chunks")
 
     q = dealt(queries, query_id_col, _CHUNK, "__chunks", _SLAB, "__slabs")
     p = dealt(points, id_col, _SLAB, "__slabs", _CHUNK, "__chunks")
@@ -175,7 +184,7 @@ def block_join(points: DataFrame, queries: DataFrame, id_col: str, query_id_col:
             return pa.schema([_arrow_field(f) for f in schema.fields]).empty_table()
         return kernel(chunk, slab)
 
-    return q.groupBy(*_KEY).cogroup(p.groupBy(*_KEY)).applyInArrow(score_group, schema)
+    return q.groupBy(*key).cogroup(p.groupBy(*key)).applyInArrow(score_group, schema)
 
 
 def _arrow_field(field: T.StructField) -> pa.Field:
@@ -197,23 +206,20 @@ def _query_shape(queries: DataFrame, vector_col: str, group_col: str | None = No
 
 def _in_cells(points: DataFrame, queries: DataFrame, group_match: tuple[str, str] | None,
               probe_match: tuple[str, str] | None, free: bool) -> tuple[DataFrame, DataFrame]:
-    """Both sides with ``__cell``: one row per cell that a row belongs to.  A
+    """Both sides with ``__cell`` if they must agree on anything: one row per
+    cell that a row belongs to.  A
     query without a group meets all points, in a cell that has them all."""
-    p_cell, q_cell = [F.lit("")], F.lit("")
     if group_match:
         grp, member = F.col(group_match[0]).cast("string"), F.col(group_match[1])
         named = F.transform(F.array_distinct(F.array_compact(member)), lambda g: F.concat(F.lit("="), g.cast("string")))
         named = F.coalesce(named, F.array().cast("array<string>"))
-        p_cell = [F.concat(named, F.array(F.lit("*"))) if free else named]
-        q_cell = F.coalesce(F.concat(F.lit("="), grp), F.lit("*"))
-        points = points.withColumn(_CELL, F.explode(p_cell[0]))
-    else:
-        points = points.withColumn(_CELL, p_cell[0])
-    queries = queries.withColumn(_CELL, q_cell)
+        points = points.withColumn(_CELL, F.explode(F.concat(named, F.array(F.lit("*"))) if free else named))
+        queries = queries.withColumn(_CELL, F.coalesce(F.concat(F.lit("="), grp), F.lit("*")))
     if probe_match:
+        within = [_CELL] if group_match else []
         probed = F.explode(F.array_distinct(F.col(probe_match[0]).cast("array<long>")))
-        queries = queries.withColumn("__probe", probed).withColumn(_CELL, F.concat_ws("|", _CELL, F.col("__probe"))).drop("__probe")
-        points = points.withColumn(_CELL, F.concat_ws("|", _CELL, F.col(probe_match[1]).cast("long")))
+        queries = queries.withColumn("__probe", probed).withColumn(_CELL, F.concat_ws("|", *within, "__probe")).drop("__probe")
+        points = points.withColumn(_CELL, F.concat_ws("|", *within, F.col(probe_match[1]).cast("long")))
     return points, queries
 
 
@@ -229,7 +235,7 @@ def _best(rows: DataFrame, k: int, higher: bool, id_col: str, passthrough: Seque
 
 def _search(points: DataFrame, queries: DataFrame, k: int, metric: str, id_col: str, vec_col: str,
             passthrough: list[str], dim: int, block_bytes: int) -> DataFrame:
-    """Top k of ``queries`` (query_id, __q, __cell, optional __bound) among ``points``."""
+    """Top k of ``queries`` (query_id, __q, optional __cell and __bound) among ``points``."""
     higher = check_metric(metric)
     bounded = "__bound" in queries.columns
     fields = [T.StructField("query_id", T.LongType()), T.StructField(id_col, T.LongType()), T.StructField("score", T.DoubleType())]
@@ -308,8 +314,9 @@ def knn_search(
     queries = queries.filter(F.size(query_vector_col) == dim)
     points, queries = _in_cells(points, queries, group_match, probe_match, free)
     kept = [c for c in passthrough if c != vector_col]
-    points = points.select(F.col(id_col).cast("long").alias(id_col), vector_col, *kept, _CELL)
-    queries = queries.select(F.col(query_id_col).cast("long").alias("query_id"), F.col(query_vector_col).alias("__q"), _CELL)
+    cell = [_CELL] if group_match or probe_match else []
+    points = points.select(F.col(id_col).cast("long").alias(id_col), vector_col, *kept, *cell)
+    queries = queries.select(F.col(query_id_col).cast("long").alias("query_id"), F.col(query_vector_col).alias("__q"), *cell)
     if bound_fraction:
         sample = points.sample(fraction=bound_fraction, seed=17)
         top = _search(sample, queries, k, metric, id_col, vector_col, [], dim, block_bytes)
@@ -364,10 +371,10 @@ def candidates_within_error(points: DataFrame, queries: DataFrame, k: int = 10,
     dim, _ = _query_shape(queries, query_vector_col)
     usable = F.col(vector_col).isNotNull() & (F.size(vector_col) == dim) & F.col(error_col).isNotNull() & F.col(id_col).isNotNull()
     pts = points.filter(usable).select(
-        F.col(id_col).cast("long").alias(id_col), vector_col, F.col(error_col).cast("double").alias("__err"), F.lit("").alias(_CELL)
+        F.col(id_col).cast("long").alias(id_col), vector_col, F.col(error_col).cast("double").alias("__err")
     )
     qs = queries.filter(F.size(query_vector_col) == dim).select(
-        F.col(query_id_col).cast("long").alias("query_id"), F.col(query_vector_col).alias("__q"), F.lit("").alias(_CELL)
+        F.col(query_id_col).cast("long").alias("query_id"), F.col(query_vector_col).alias("__q")
     )
     pair = T.StructType([T.StructField("query_id", T.LongType()), T.StructField(id_col, T.LongType())])
     scored = T.StructType([*pair.fields, T.StructField("score", T.DoubleType())])

@@ -37,7 +37,7 @@ from pyspark.sql import types as T
 from pyspark.sql.functions import arrow_udf
 
 from quiver.functions.vectors import check_metric, l2_normalize, list_array, lists, norm
-from quiver.operators.knn import _CELL, _best, _matrix, _select, _tiles, block_join, knn_search, reduce_topk
+from quiver.operators.knn import _best, _matrix, _select, _tiles, block_join, knn_search, reduce_topk
 from quiver.session import scratch_path
 
 #: Points among which the pivots are chosen.
@@ -168,9 +168,8 @@ def _blocks_of(index: PivotIndex, asked: DataFrame, keep, schema: str) -> DataFr
             keep(ids[t], blocks, _bests(metric, chunk, slab, t, m), limit[t]) for t in _tiles(len(ids), len(blocks))
         ])
 
-    blocks = index.blocks.withColumn(_CELL, F.lit(""))
-    qs = asked.select("query_id", F.col("__d").alias("__q"), "__norm", "limit", F.lit("").alias(_CELL))
-    return block_join(blocks, qs, "block", "query_id", 2 * m, kernel, fields)
+    qs = asked.select("query_id", F.col("__d").alias("__q"), "__norm", "limit")
+    return block_join(index.blocks, qs, "block", "query_id", 2 * m, kernel, fields)
 
 
 def pivot_search(index: PivotIndex, queries: DataFrame, k: int = 10, first: int = 4, query_id_col: str = "query_id",
