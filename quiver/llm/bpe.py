@@ -22,6 +22,7 @@ import base64
 import re
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import duckdb
 import numpy as np
@@ -33,10 +34,10 @@ from pyspark.sql import functions as F
 from quiver.llm.common import text_of
 from quiver.llm.token_files import slices
 
-#: Distinct pieces (and as many words) that a worker remembers at a time.
-CACHE_PIECES = 150_000
-#: Words of one recursive query.
-WORDS_PER_QUERY = 10_000
+#: Distinct pieces (and as many words) of a generation; a worker remembers two.
+CACHE_PIECES = 80_000
+#: Rows that one recursive query may keep: a word of n bytes has at most n (n + 1) / 2.
+ROWS_PER_QUERY = 2_000_000
 LONG_WORD = 128
 #: Ids decoded by one query, about.
 IDS_PER_QUERY = 400_000
@@ -105,14 +106,50 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
 
 
+def _parts(words: list[tuple[str, bytes]], long: bool) -> Iterator[list[tuple[str, bytes]]]:
+    """Words by length (those of one query end after about as many steps), in
+    parts whose queries keep ``ROWS_PER_QUERY`` rows at most, or one word."""
+    words = sorted(words, key=lambda word: len(word[1]))
+    at = rows = 0
+    for end, (_, raw) in enumerate(words):
+        own = len(raw) if long else len(raw) * (len(raw) + 1) // 2
+        if rows + own > ROWS_PER_QUERY and end > at:
+            yield words[at:end]
+            at, rows = end, 0
+        rows += own
+    if words:
+        yield words[at:]
+
+
+class _Recent:
+    """Values of the keys used lately, in two generations: when the younger is
+    full it becomes the older, and what was used in neither is forgotten."""
+
+    def __init__(self, room: int):
+        self.room = room
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def turn(self) -> None:
+        if len(self.young) > self.room:
+            self.old, self.young = self.young, {}
+
+    def missing(self, keys: set[str]) -> set[str]:
+        """The keys without a value; all others are in ``young`` afterwards."""
+        absent = keys.difference(self.young)
+        known = absent.intersection(self.old)
+        self.young.update((key, self.old[key]) for key in known)
+        return absent - known
+
+
 class RankCodec:
     """Encoder and decoder over one rank file, backed by an in-process DuckDB."""
 
     def __init__(self, path: str, pattern: str):
         self.ranks = read_ranks(path)
         self.find = regex.compile(pattern).findall
-        self.words: dict[str, bytes] = {}
-        self.pieces: dict[str, bytes] = {}
+        self.words = _Recent(CACHE_PIECES)
+        self.pieces = _Recent(CACHE_PIECES)
         self.byte = np.array([self.ranks[bytes([b])] for b in range(256)], dtype=np.int32)
         self.db = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": "300MB", "temp_directory": ""})
         self.tables: set[str] = set()
@@ -169,48 +206,60 @@ class RankCodec:
         else:
             rows = self.db.sql(_CONTRACT).to_arrow_table()
         self.db.unregister("start")
-        ids = rows["tok"].to_numpy().astype("<u4")
-        cuts = np.searchsorted(rows["word"].to_numpy(), np.arange(1, len(words)))
-        return [own.tobytes() for own in np.split(ids, cuts)]
+        ids = rows["tok"].to_numpy().astype("<u4").tobytes()
+        cuts = (4 * np.searchsorted(rows["word"].to_numpy(), np.arange(len(words) + 1))).tolist()
+        return [ids[a:b] for a, b in zip(cuts, cuts[1:])]
 
     def _learn(self, words: set[str]) -> None:
         short, long = [], []
+        known = self.words.young
         for word in words:
             raw = word.encode("utf-8", "surrogatepass")
             rank = self.ranks.get(raw)
             if rank is not None:
-                self.words[word] = rank.to_bytes(4, "little")
+                known[word] = rank.to_bytes(4, "little")
             else:
                 (long if len(raw) > LONG_WORD else short).append((word, raw))
         for group, is_long in ((short, False), (long, True)):
-            for at in range(0, len(group), WORDS_PER_QUERY):
-                part = group[at : at + WORDS_PER_QUERY]
+            for part in _parts(group, is_long):
                 for (word, _), ids in zip(part, self._contract([raw for _, raw in part], is_long), strict=True):
-                    self.words[word] = ids
+                    known[word] = ids
+
+    def _cut(self, pieces: set[str]) -> dict[str, list[str]]:
+        """The words of each piece as it stands after a space.
+
+        Pieces hold no space, so in a text of many pieces each word that begins
+        with one begins a piece; one that ends in other white space is cut alone,
+        because the pattern looks at what follows there."""
+        alone = {piece for piece in pieces if piece[-1].isspace()}
+        cut = {piece: self.find(" " + piece) for piece in alone}
+        joined = list(pieces - alone)
+        words = self.find("".join([" " + piece for piece in joined]))
+        begins = [i for i, word in enumerate(words) if word[0] == " "]
+        begins.append(len(words))
+        cut.update((piece, words[a:b]) for piece, a, b in zip(joined, begins[:-1], begins[1:], strict=True))
+        return cut
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Packed little-endian 32-bit ids of each text."""
-        if len(self.pieces) > CACHE_PIECES or len(self.words) > CACHE_PIECES:
-            self.pieces.clear()
-            self.words.clear()
+        self.pieces.turn()
+        self.words.turn()
         # A space between two other characters always begins a word, so a
         # text splits there into pieces that are looked up as a whole.
         split = [[t] if _UNSAFE.search(t) else t.split(" ") for t in texts]
         heads = [self.find(pieces[0]) for pieces in split]
-        new: set[str] = set()
+        used: set[str] = set()
         for pieces in split:
-            new.update(pieces[1:])
-        new.difference_update(self.pieces)
-        tails = {piece: self.find(" " + piece) for piece in new}
-        needed: set[str] = set()
-        for found in (heads, tails.values()):
-            for words in found:
-                needed.update(words)
-        self._learn(needed.difference(self.words))
-        word = self.words.__getitem__
-        for piece, words in tails.items():
-            self.pieces[piece] = b"".join(map(word, words))
-        piece = self.pieces.__getitem__
+            used.update(pieces[1:])
+        tails = self._cut(self.pieces.missing(used))
+        needed = set(chain.from_iterable(heads))
+        needed.update(chain.from_iterable(tails.values()))
+        self._learn(self.words.missing(needed))
+        word = self.words.young.__getitem__
+        self.pieces.young.update(
+            (piece, word(words[0]) if len(words) == 1 else b"".join(map(word, words))) for piece, words in tails.items()
+        )
+        piece = self.pieces.young.__getitem__
         return [
             b"".join(map(word, head)) + b"".join(map(piece, pieces[1:]))
             for head, pieces in zip(heads, split, strict=True)
@@ -259,25 +308,27 @@ def bpe_encode(docs: DataFrame, ranks: str, pattern: str) -> DataFrame:
     return rows.mapInArrow(encode, "doc_id long, ids binary")
 
 
+def _decoded(own: RankCodec, doc_ids: pa.Array, packed: list[bytes]) -> Iterator[pa.RecordBatch]:
+    """``doc_id``, ``ids``, ``decoded``, about ``IDS_PER_QUERY`` ids at a time."""
+    at = 0
+    while at < len(packed):
+        end, size = at, 0
+        while end < len(packed) and size < IDS_PER_QUERY * 4:
+            size += len(packed[end])
+            end += 1
+        part = packed[at:end]
+        columns = [doc_ids.slice(at, end - at), pa.array(part, pa.binary()), pa.array(own.decode(part), pa.binary())]
+        yield pa.RecordBatch.from_arrays(columns, ["doc_id", "ids", "decoded"])
+        at = end
+
+
 def bpe_decode(encoded: DataFrame, ranks: str, pattern: str) -> DataFrame:
     """``encoded`` (``doc_id``, ``ids``) with the bytes its ids stand for: ``decoded``."""
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(ranks, pattern)
         for batch in batches:
-            packed = batch.column("ids").to_pylist()
-            at = 0
-            while at < len(packed):
-                end, size = at, 0
-                while end < len(packed) and size < IDS_PER_QUERY * 4:
-                    size += len(packed[end])
-                    end += 1
-                bodies = pa.array(own.decode(packed[at:end]), pa.binary())
-                part = batch.slice(at, end - at)
-                yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), part.column("ids"), bodies], ["doc_id", "ids", "decoded"]
-                )
-                at = end
+            yield from _decoded(own, batch.column("doc_id"), batch.column("ids").to_pylist())
 
     return encoded.select("doc_id", "ids").mapInArrow(decode, "doc_id long, ids binary, decoded binary")
 
@@ -289,13 +340,8 @@ def bpe_round_trip(docs: DataFrame, ranks: str, pattern: str) -> DataFrame:
     def both(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(ranks, pattern)
         for batch in batches:
-            for at, texts in slices(batch.column("text"), 1 << 20):
-                ids = own.encode(texts)
-                bodies = pa.array(own.decode(ids), pa.binary())
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id").slice(at, len(texts)), pa.array(ids, pa.binary()), bodies],
-                    ["doc_id", "ids", "decoded"],
-                )
+            for at, texts in slices(batch.column("text"), 2 << 20):
+                yield from _decoded(own, batch.column("doc_id").slice(at, len(texts)), own.encode(texts))
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
     return rows.mapInArrow(both, "doc_id long, ids binary, decoded binary")

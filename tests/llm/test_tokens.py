@@ -1,6 +1,7 @@
 """BPE and token files against the libraries; the word-aligned codec."""
 
 import hashlib
+import random
 import zlib
 from collections import Counter
 
@@ -14,7 +15,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from quiver.llm import simple8b, token_files
+from quiver.llm import bpe, simple8b, token_files
 from quiver.llm.bpe import RankCodec, bpe_decode, bpe_digest, bpe_encode, read_ranks
 from quiver.llm.token_files import PieceEncoder, read_token_files, token_digest, write_token_files
 from quiver.llm.tokens import PrefixHash, words
@@ -154,3 +155,26 @@ def test_prefix_hash():
     a, b = np.array([0, 1, 0]), np.array([3, 4, 2])
     assert (h.of(a, b) == h.of(a + 3, b + 3)).all()
     assert h.of(np.array([0]), np.array([3])) != h.of(np.array([1]), np.array([4]))
+
+
+def test_bpe_forgets_and_splits_without_changing_ids(ranked, monkeypatch):
+    monkeypatch.setattr(bpe, "CACHE_PIECES", 1)
+    monkeypatch.setattr(bpe, "ROWS_PER_QUERY", 300)
+    rng = random.Random(3)
+    texts = ["a b's don't 12 34x, end\n", "x\t", "tail   z", "don't don't", "", " ", "q　 r s\x1c"]
+    texts += [" ".join("".join(rng.choice("abé9'.") for _ in range(rng.randint(1, 40))) for _ in range(60)) for _ in range(5)]
+    codec = RankCodec(RANKS, public_tokenizers.PATTERN)
+    for _ in range(3):
+        for text in texts:
+            (ids,) = codec.encode([text])
+            assert np.frombuffer(ids, dtype="<u4").tolist() == ranked.encode_ordinary(text)
+            assert codec.decode([ids]) == [text.encode()]
+
+
+def test_bpe_parts_keep_all_words():
+    words = [("w" * n, b"w" * n) for n in (3, 128, 1, 128, 50)]
+    parts = list(bpe._parts(words, False))
+    assert sorted(w for part in parts for w in part) == sorted(words)
+    many = list(bpe._parts([("w" * 128, b"w" * 128)] * 1000, False))
+    assert max(len(part) for part in many) * 128 * 129 // 2 <= bpe.ROWS_PER_QUERY
+    assert list(bpe._parts([], True)) == []
