@@ -143,6 +143,15 @@ r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id
       FROM s WHERE score IS NOT NULL AND NOT isnan(score))
 SELECT query_id, CAST(rnk AS BIGINT) AS rank, id, round(score, 6) AS score FROM r WHERE rnk <= 5"""
 
+ORACLE["knn_bitmap_filter"] = ORACLE["knn_payload_filter"]
+
+ORACLE["payload_index_match"] = EXTRACT + """
+SELECT 'all' AS "match", id, array_to_string(groups, ',') AS groups FROM pts
+WHERE list_contains(groups, 'boy_92_140') AND list_contains(groups, 'boy_134_170')
+UNION ALL
+SELECT 'any', id, array_to_string(groups, ',') FROM pts
+WHERE list_contains(groups, 'boy_92_140') OR list_contains(groups, 'boy_134_170')"""
+
 # ---------------------------------------------------------------- statistics
 
 ORACLE["eval_average_row"] = duckdb_with("latencies") + """

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quiver.operators import collection, knn, labels, pivots, points
+from quiver.operators import collection, knn, labels, payload_index, pivots, points
 from quiver.session import scratch_path
 from quiver.sources.sql import load_sql
 from quiver.sources.tables import table
@@ -353,6 +353,40 @@ def knn_payload_filter(spark, sf):
     return _flat_knn(res)
 
 
+#: Points of a block of the registered queries' index, so that small tables have several.
+INDEX_BLOCK_ROWS = 256
+
+
+def _payload_index(spark: SparkSession, sf: str) -> str:
+    path = scratch_path(spark, "payload-index")
+    pts = point_table(spark, sf).select(
+        "id", F.col("vectors")["image"].alias("vector"), F.col("payload.group").alias("groups")
+    )
+    payload_index.build(pts, path, rows_per_block=INDEX_BLOCK_ROWS)
+    return path
+
+
+@register
+def knn_bitmap_filter(spark, sf):
+    """P7 by bitmaps: the points of group 'men' are read from the blocks whose
+    bit is set, then ranked; equals knn_payload_filter."""
+    men = payload_index.matching(spark, _payload_index(spark, sf), ["men"])
+    return _flat_knn(knn.knn_search(men, embedding_queries(spark, sf), k=5, metric="Cosine"))
+
+
+@register
+def payload_index_match(spark, sf):
+    """P7 by bitmaps over several labels: ids that carry both boys' groups
+    and ids that carry either, from one index."""
+    path = _payload_index(spark, sf)
+    asked = ["boy_92_140", "boy_134_170"]
+    found = [
+        payload_index.matching(spark, path, asked, match).select(F.lit(match).alias("match"), "id", F.array_join("groups", ",").alias("groups"))
+        for match in ("all", "any")
+    ]
+    return found[0].unionByName(found[1])
+
+
 # ---------------------------------------------------------------- statistics
 
 from quiver.operators import sessions, stats  # noqa: E402
