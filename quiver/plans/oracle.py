@@ -488,6 +488,7 @@ SELECT query_id, CAST(rnk AS BIGINT) AS rank, id, round(score, 6) AS score FROM
 
 # K5: search on the int8 codes with error bounds, exact re-rank: the exact search.
 ORACLE["knn_quantized_rerank"] = ORACLE["knn_cosine"]
+ORACLE["knn_product_codes"] = ORACLE["knn_cosine"]
 # K4 completed by radius bounds: the exact search.
 ORACLE["ann_exact"] = ORACLE["knn_cosine"]
 ORACLE["knn_pivots"] = ORACLE["knn_euclid"]

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quiver.operators import collection, knn, labels, payload_index, pivots, points
+from quiver.operators import collection, knn, labels, payload_index, pivots, points, product_codes
 from quiver.session import scratch_path
 from quiver.sources.sql import load_sql
 from quiver.sources.tables import table
@@ -759,6 +759,15 @@ def knn_quantized_rerank(spark, sf):
     return _flat_knn(res)
 
 
+@register
+def knn_product_codes(spark, sf):
+    """K5: search by table lookups on residual product codes, exact re-rank on the floats."""
+    pts = embedding_points(spark, sf)
+    books = product_codes.fit(pts, "vector")
+    found, _ = product_codes.search(product_codes.encode(pts, books), embedding_queries(spark, sf), books, k=10)
+    return _flat_knn(found)
+
+
 def _ivf(spark, sf):
     pts = embedding_points(spark, sf)
     index, assigned = ann.build_ivf(pts, "vector", metric="Cosine", nlist=16, seed=7)
