@@ -507,6 +507,8 @@ SELECT doc_id, 1408::BIGINT AS dim, coalesce(k, 0) AS n_nonzero, coalesce(total,
 
 ORACLE["stream_upsert"] = ORACLE["upsert_insert_absent"]
 ORACLE["stream_session_state"] = ORACLE["session_reset"]
+ORACLE["stream_sessions_keyed"] = ORACLE["session_reset"]
+ORACLE["stream_history_keyed"] = ORACLE["session_clear_history"]
 
 # ---------------------------------------------------------------- files, composite
 

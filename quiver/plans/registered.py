@@ -826,7 +826,7 @@ def synthetic_vectors(spark, sf):
 
 # ---------------------------------------------------------------- streaming twins
 
-from quiver.streaming import jobs  # noqa: E402
+from quiver.streaming import jobs, keyed_sessions  # noqa: E402
 
 STREAM_FILE_ROWS, STREAM_FILES = 3_000, 2  # rows of a staged file, files of a micro-batch
 
@@ -873,6 +873,31 @@ def stream_session_state(spark, sf):
     return _state_rows(jobs.read_session_state(spark, out_dir))
 
 
+def _keyed_sessions(spark, sf) -> str:
+    """A third of the events is a past batch, the others arrive as files; the job's folder."""
+    ev = view(spark, sf, "session_events")
+    past = F.pmod(F.xxhash64("event_id"), F.lit(3)) == 0
+    src = jobs.stage_files(ev.where(~past), 10 * STREAM_FILE_ROWS, "stream-keyed")
+    checkpoint = scratch_path(spark, "ckpt-keyed")
+    keyed_sessions.stream_sessions(spark, src, ev.schema, checkpoint, initial=ev.where(past), files_per_trigger=STREAM_FILES)
+    return checkpoint
+
+
+@register
+def stream_sessions_keyed(spark, sf):
+    """State kept by a stateful processor that starts from a batch
+    table and deletes on reset; equals the batch fold (session_reset)."""
+    return _state_rows(keyed_sessions.read_state(spark, _keyed_sessions(spark, sf)))
+
+
+@register
+def stream_history_keyed(spark, sf):
+    """History kept by the same processor, without what a reset or a
+    clear has removed; equals session_clear_history."""
+    kept = keyed_sessions.read_history(spark, _keyed_sessions(spark, sf))
+    return kept.select("user_id", "session_id", "event_id", "author")
+
+
 # ---------------------------------------------------------------- files
 
 from quiver.sources import files  # noqa: E402
