@@ -91,6 +91,7 @@ ORACLE["upsert_insert_absent"] = UPSERT + """
 SELECT id, version, round(price, 6) AS price FROM old
 UNION ALL
 SELECT id, version, round(price, 6) FROM new WHERE id NOT IN (SELECT id FROM old)"""
+ORACLE["upsert_id_filter"] = ORACLE["upsert_insert_absent"]
 ORACLE["upsert_overwrite"] = UPSERT + """
 SELECT id, version, round(price, 6) AS price FROM old WHERE id NOT IN (SELECT id FROM new)
 UNION ALL

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quiver.operators import collection, knn, labels, payload_index, pivots, points, product_codes
+from quiver.operators import collection, id_filter, knn, labels, payload_index, pivots, points, product_codes
 from quiver.session import scratch_path
 from quiver.sources.sql import load_sql
 from quiver.sources.tables import table
@@ -179,6 +179,19 @@ def upsert_insert_absent(spark, sf):
     return out.select("id", "version", F.round("price", 6).alias("price"))
 
 
+@register
+def upsert_id_filter(spark, sf):
+    """The same loads behind a persisted Bloom filter; only ids that it
+    can't call new are compared with stored ones."""
+    old, new = _upsert_inputs(spark, sf)
+    path = scratch_path(spark, "filtered-points")
+    id_filter.create(spark, path)
+    id_filter.load(spark, path, old, "old")
+    id_filter.load(spark, path, new.select(*old.columns), "new")
+    out = id_filter.rows(spark, path, old.schema)
+    return out.select("id", "version", F.round("price", 6).alias("price"))
+
+
 @register
 def upsert_overwrite(spark, sf):
     old, new = _upsert_inputs(spark, sf)
