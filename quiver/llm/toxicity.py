@@ -5,7 +5,9 @@ negation, report, other).  Small weighted transducers rewrite it: negation
 weakens the insults that follow it closely, a report weakens what it quotes, a
 target strengthens insults and turns a threat into an attack.  They are
 composed once into a single machine; a matched clause adds its weights.  A
-word outside any clause pattern scores nothing.
+threat scores only as an attack on a target.  An insult scores without a target
+too, though less: half of the labelled toxic texts with an insult have no target
+in its clause (figures in the README).
 
 The word lists below seed the grammar; further insults and their weights are
 learned from labelled training rows.  Evidence for a word is the number of
