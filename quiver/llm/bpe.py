@@ -19,8 +19,12 @@ encoded separately; extra columns are ignored; an empty table gives no rows.
 from __future__ import annotations
 
 import base64
+import ctypes
+import gc
 import re
+import threading
 from collections.abc import Iterator
+from contextlib import contextmanager
 from functools import lru_cache
 from itertools import chain
 
@@ -36,6 +40,8 @@ from quiver.llm.token_files import slices
 
 #: Distinct pieces (and as many words) of a generation; a worker remembers two.
 CACHE_PIECES = 80_000
+#: Seconds without a task until a worker drops what its codecs remember.
+IDLE_SECONDS = 3.0
 #: Rows that one recursive query may keep: a word of n bytes has at most n (n + 1) / 2.
 ROWS_PER_QUERY = 2_000_000
 LONG_WORD = 128
@@ -294,15 +300,59 @@ def codec(path: str, pattern: str) -> RankCodec:
     return RankCodec(path, pattern)
 
 
+class _Lease:
+    """Use of a worker's codecs by its tasks.
+
+    Spark's workers outlive a stage, and what a codec remembers (some hundred MB)
+    would stay with them; it goes when no task has used it for a while."""
+
+    def __init__(self) -> None:
+        self.lock, self.users, self.timer = threading.Lock(), 0, None
+
+    @contextmanager
+    def codec(self, path: str, pattern: str) -> Iterator[RankCodec]:
+        with self.lock:
+            self.users += 1
+            if self.timer:
+                self.timer.cancel()
+        try:
+            yield codec(path, pattern)
+        finally:
+            with self.lock:
+                self.users -= 1
+                self.timer = threading.Timer(IDLE_SECONDS, self.drop)
+                self.timer.daemon = True
+                self.timer.start()
+
+    def drop(self) -> None:
+        with self.lock:
+            if self.users:
+                return
+            codec.cache_clear()
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+            if trim:  # gives freed memory back to the system, where the C library can
+                trim(0)
+
+
+_lease = _Lease()
+
+
+def leased(path: str, pattern: str):
+    """The worker's codec for one task (``with``)."""
+    return _lease.codec(path, pattern)
+
+
 def bpe_encode(docs: DataFrame, ranks: str, pattern: str) -> DataFrame:
     """``doc_id`` and ``ids`` (packed little-endian 32-bit) per document."""
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = codec(ranks, pattern)
-        for batch in batches:
-            for at, texts in slices(batch.column("text"), 2 << 20):
-                ids = pa.array(own.encode(texts), pa.binary())
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(at, len(texts)), ids], ["doc_id", "ids"])
+        with leased(ranks, pattern) as own:
+            for batch in batches:
+                for at, texts in slices(batch.column("text"), 2 << 20):
+                    ids = pa.array(own.encode(texts), pa.binary())
+                    yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(at, len(texts)), ids], ["doc_id", "ids"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
     return rows.mapInArrow(encode, "doc_id long, ids binary")
@@ -326,9 +376,9 @@ def bpe_decode(encoded: DataFrame, ranks: str, pattern: str) -> DataFrame:
     """``encoded`` (``doc_id``, ``ids``) with the bytes its ids stand for: ``decoded``."""
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = codec(ranks, pattern)
-        for batch in batches:
-            yield from _decoded(own, batch.column("doc_id"), batch.column("ids").to_pylist())
+        with leased(ranks, pattern) as own:
+            for batch in batches:
+                yield from _decoded(own, batch.column("doc_id"), batch.column("ids").to_pylist())
 
     return encoded.select("doc_id", "ids").mapInArrow(decode, "doc_id long, ids binary, decoded binary")
 
@@ -338,10 +388,10 @@ def bpe_round_trip(docs: DataFrame, ranks: str, pattern: str) -> DataFrame:
     Python worker per task instead of two."""
 
     def both(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = codec(ranks, pattern)
-        for batch in batches:
-            for at, texts in slices(batch.column("text"), 2 << 20):
-                yield from _decoded(own, batch.column("doc_id").slice(at, len(texts)), own.encode(texts))
+        with leased(ranks, pattern) as own:
+            for batch in batches:
+                for at, texts in slices(batch.column("text"), 2 << 20):
+                    yield from _decoded(own, batch.column("doc_id").slice(at, len(texts)), own.encode(texts))
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
     return rows.mapInArrow(both, "doc_id long, ids binary, decoded binary")
