@@ -91,14 +91,18 @@ def extract_vectors(articles: DataFrame, features: DataFrame) -> DataFrame:
     """Features joined to the labelled articles on ``castor`` (inner).
 
     Articles without labels, NULL keys and unmatched features vanish;
-    duplicate feature rows fan out.  The group side has one narrow row per
-    castor, so a hot castor is hot on the feature side only.  Its rows are dealt
-    over ``JOIN_SALTS`` and each group row is repeated once per salt; as both
-    sides are then exchanged for the join alone (the groups would otherwise
-    come straight from their aggregate), adaptive execution may cut a partition
-    that is still skewed further.  When the group side proves small the join becomes a broadcast join.
+    duplicate feature rows fan out.  Only articles that have features are
+    labelled: a semi join on the distinct castors comes first, so what follows
+    grows with the matches, whatever the number of articles.  The group side
+    has one narrow row per castor, so a hot castor is hot on the feature side
+    only.  Its rows are dealt over ``JOIN_SALTS`` and each group row is repeated
+    once per salt; as both sides are then exchanged for the join alone (the
+    groups would otherwise come straight from their aggregate), adaptive
+    execution may cut a partition that is still skewed further.  When the group
+    side proves small the join becomes a broadcast join.
     """
-    groups = aggregate_groups(label_groups(articles))
+    featured = features.select("castor").distinct()
+    groups = aggregate_groups(label_groups(articles.join(featured, "castor", "left_semi")))
     groups = groups.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(JOIN_SALTS - 1))))
     dealt = features.select("castor", "features", F.pmod(F.xxhash64("features"), F.lit(JOIN_SALTS)).cast("int").alias("_salt"))
     return dealt.join(groups, on=["castor", "_salt"], how="inner").drop("_salt")

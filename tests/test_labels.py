@@ -107,3 +107,23 @@ def test_hot_castor_is_spread(spark):
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     assert sum(tasks) == 12_000 and len(tasks) == 4
     assert max(tasks) < 0.36 * 12_000
+
+
+def test_only_articles_with_features_are_labelled(spark, monkeypatch):
+    """The group side grows with the matches, not with the articles."""
+    grouped = []
+
+    def watched(labelled):
+        grouped.append(aggregate(labelled))
+        return grouped[-1]
+
+    aggregate = labels.aggregate_groups
+    monkeypatch.setattr(labels, "aggregate_groups", watched)
+    arts = spark.range(500).select(
+        F.col("id").cast("string").alias("castor"), F.lit("men").alias("category_code"), F.lit("GB").alias("country_code"),
+        F.lit(1).alias("buyable_status"),
+    )
+    feats = spark.createDataFrame([("7", [1.0]), ("7", [2.0]), ("900", [3.0]), (None, [4.0])], "castor string, features array<float>")
+    out = labels.extract_vectors(arts, feats)
+    assert sorted((r["castor"], r["features"][0], tuple(r["groups"])) for r in out.collect()) == [("7", 1.0, ("men",)), ("7", 2.0, ("men",))]
+    assert [r["castor"] for r in grouped[0].collect()] == ["7"]
