@@ -27,11 +27,19 @@ from quiver.operators.sessions import KEYS, after_reset, fold_state
 from quiver.session import scratch_path
 
 
-def stage_files(df: DataFrame, rows_per_file: int, name: str) -> str:
-    """Write ``df`` as parquet files of at most ``rows_per_file`` rows (a file
-    source for a stream); their number grows with the rows."""
+#: Files that a staged table is cut into, about, however many rows it has.
+STAGED_FILES = 16
+
+
+def stage_files(df: DataFrame, rows_per_file: int, name: str, files: int = STAGED_FILES) -> str:
+    """Write ``df`` as parquet files (a file source for a stream) of at most
+    ``rows_per_file`` rows, or of more rows once that would be over ``files``
+    files: each micro-batch has a fixed cost and compares its rows with all
+    stored ones, so batches of a fixed size would cost the square of the table.
+    At most ``2 * files`` files in any case."""
     path = scratch_path(df.sparkSession, name)
-    df.write.mode("overwrite").option("maxRecordsPerFile", rows_per_file).parquet(path)
+    rows = max(rows_per_file, -(-df.count() // files))
+    df.coalesce(files).write.mode("overwrite").option("maxRecordsPerFile", rows).parquet(path)
     return path
 
 
