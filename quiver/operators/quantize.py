@@ -123,16 +123,18 @@ def knn_quantized(points: DataFrame, queries: DataFrame, b: Bounds, k: int = 10,
     codes is off by at most its stored quantization error (Cauchy-Schwarz /
     triangle inequality), so a point is kept only while its best possible
     score can reach the k-th best worst-case score
-    (:func:`quiver.operators.knn.candidates_within_error`).  The candidates
-    (written once to the checkpoint folder) are re-scored on the original
-    vectors by joins on the ids; the answer equals the exact search.
+    (:func:`quiver.operators.knn.candidates_within_error`).  The candidates are
+    scored on the original vectors where they are found, the ``k`` best per query
+    (written once to the checkpoint folder) are ranked by joins on the ids; the
+    answer equals the exact search.
     """
     higher = check_metric(metric)
     approx_pts = points.select(
-        id_col, dequantize(F.col(codes_col), b).alias("_dq"), score_error(metric, F.col(error_col)).alias("_err")
+        id_col, vector_col, dequantize(F.col(codes_col), b).alias("_dq"), score_error(metric, F.col(error_col)).alias("_err")
     )
     cand = candidates_within_error(approx_pts, queries, k=k, metric=metric, id_col=id_col,
-                                   vector_col="_dq", error_col="_err", query_vector_col=query_vector_col)
+                                   vector_col="_dq", error_col="_err", query_vector_col=query_vector_col,
+                                   exact_col=vector_col)
     cand = cand.checkpoint()
     qv = queries.select("query_id", F.col(query_vector_col).alias("_qv"))
     exact = (
