@@ -29,7 +29,7 @@ finite aren't encoded and never found; a zero vector has no cosine score.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -41,12 +41,18 @@ from pyspark.sql import types as T
 from pyspark.sql.functions import arrow_udf
 
 from quiver.functions.vectors import check_metric, list_array, norm, score
-from quiver.operators.knn import _best, _floats, _matrix, _query_shape, _scores, _select, _tiles, block_join, reduce_topk
+from quiver.operators.knn import (
+    _best, _bound_points, _floats, _matrix, _query_shape, _scores, _select, _tiles, block_join, exact_best, reduce_topk,
+)
 
 #: Codewords of a codebook: a code is one byte.
 CODEWORDS = 256
 #: Points that the codebooks are fitted on, about; every point is encoded.
 SAMPLE_ROWS = 16_384
+#: Vector bytes (as doubles) of one side of a scored group.
+BLOCK_BYTES = 8 << 20
+#: Products (points x queries) that a core's cache holds while codes are looked up.
+LOOKUP_TILE = 1 << 16
 
 
 @dataclass(frozen=True)
@@ -229,6 +235,7 @@ class _Block:
         raw = slab.column("codes").combine_chunks()
         offsets = np.frombuffer(raw.buffers()[1], np.int32, len(raw) + 1, raw.offset * 4)
         self.codes = np.frombuffer(raw.buffers()[2], np.uint8)[offsets[0] : offsets[-1]].reshape(len(raw), -1)
+        self.first_codes = np.ascontiguousarray(self.codes[:, : books.subspaces].T.astype(np.intp))
         self.cell = slab.column("cell").to_numpy()
         two = _matrix(slab, "len2", 2)
         self.len2 = {1: two[:, 0], self.stages: two[:, 1]}
@@ -237,9 +244,6 @@ class _Block:
         self.miss_l1 = _floats(slab, "miss_l1")
         if metric == "Manhattan":
             self.near = books.decode(self.cell, self.codes, self.stages)
-        else:
-            self.by_cell = self.Q @ books.coarse.T
-            self.tables = [[self.Q[:, books.part(s)] @ w.T for s, w in enumerate(stage)] for stage in books.words]
 
     def _ends(self, products: np.ndarray, r, c, stage: int) -> tuple[np.ndarray, np.ndarray]:
         """Lower and upper ends from approximate products; ``r`` and ``c`` index queries and points."""
@@ -262,49 +266,100 @@ class _Block:
             low, high = np.where(none, np.nan, low), np.where(none, np.nan, high)
         return low, high
 
+    def tables(self, t: slice) -> None:
+        """Products of the queries ``t`` with all codewords: a row per codeword, so a
+        code's products with all these queries are looked up together."""
+        self.by_cell = self.books.coarse @ self.Q[t].T
+        self.looked_up = [[w @ self.Q[t, self.books.part(s)].T for s, w in enumerate(stage)] for stage in self.books.words]
+
+    def products(self, t: slice) -> np.ndarray:
+        """Products of the queries ``t`` with all points, by the first stage's tables."""
+        self.tables(t)
+        width, n = self.by_cell.shape[1], len(self.cell)
+        out, step = np.empty((width, n)), max(1, LOOKUP_TILE // max(1, width))
+        found = np.empty((min(step, n), width))
+        for at in range(0, n, step):
+            some = slice(at, min(at + step, n))
+            total, got = self.by_cell[self.cell[some]], found[: some.stop - at]
+            for s, table in enumerate(self.looked_up[0]):
+                np.take(table, self.first_codes[s, some], axis=0, out=got, mode="clip")
+                total += got
+            out[:, some] = total.T
+        return out
+
     def first(self, t: slice) -> tuple[np.ndarray, np.ndarray]:
         """Ends of all pairs of the queries ``t``, by the first stage's tables."""
         if self.metric == "Manhattan":
             S = _scores("Manhattan", self.near, self.Q[t], self.qnorm[t])
             E = self.miss_l1[None, :] * (1 + 1e-9) + 1e-9 * (1 + S)
             return S - E, S + E
-        G = self.by_cell[t][:, self.cell]
-        for s, table in enumerate(self.tables[0]):
-            G += table[t][:, self.codes[:, s]]
         rows, points = np.arange(len(self.Q))[t][:, None], np.arange(len(self.cell))[None, :]
-        return self._ends(G, rows, points, 1)
+        return self._ends(self.products(t), rows, points, 1)
+
+    def not_out(self, t: slice, limit: np.ndarray, higher: bool) -> tuple[np.ndarray, np.ndarray]:
+        """Pairs (counted from ``t``) that the first stage does not rule out."""
+        if self.metric != "Cosine":
+            return np.nonzero(~_ruled_out(*self.first(t), limit[:, None], higher))
+        # best case = product / (|q| |p|) + a term of the point alone; none with a zero vector
+        S, near = self.products(t), np.sqrt(self.len2[1])
+        with np.errstate(divide="ignore", invalid="ignore"):
+            S /= self.norm[None, :]
+            S /= self.qnorm[t][:, None]
+            S += ((self.miss[1] * (1 + 1e-9) + 1e-12 * (near + 2.0 * self.norm)) / self.norm)[None, :]
+            r, c = np.nonzero(S >= np.where(np.isnan(limit), -np.inf, limit - 1e-12)[:, None])
+        good = np.isfinite(S[r, c])
+        return r[good], c[good]
+
+    def full(self, t: slice, r: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ends of the pairs ``(t.start + r, c)``, by the tables of all stages."""
+        g = self.by_cell[self.cell[c], r]
+        for stage, tables in enumerate(self.looked_up):
+            for s, table in enumerate(tables):
+                g += table[self.codes[c, stage * self.books.subspaces + s], r]
+        return self._ends(g, r + t.start, c, self.stages)
+
+
+def _ruled_out(low: np.ndarray, high: np.ndarray, bound: np.ndarray, higher: bool) -> np.ndarray:
+    with np.errstate(invalid="ignore"):
+        return (high < bound if higher else low > bound) | ~np.isfinite(low) | ~np.isfinite(high)
 
-    def full(self, r: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Ends of the pairs ``(r, c)``, by the tables of all stages."""
-        g = self.by_cell[r, self.cell[c]]
-        for t, stage in enumerate(self.tables):
-            for s, table in enumerate(stage):
-                g += table[r, self.codes[c, t * self.books.subspaces + s]]
-        return self._ends(g, r, c, self.stages)
 
+@dataclass(frozen=True)
+class _Asked:
+    """Codes and bounded queries, written once, and what both passes know."""
 
-def candidates(encoded: DataFrame, queries: DataFrame, books: Codebooks, k: int = 10, metric: str = "Cosine", *,
-               id_col: str = "id", codes_col: str = "pq", query_id_col: str = "query_id",
-               query_vector_col: str = "vector", block_bytes: int = 4 << 20) -> DataFrame:
-    """``query_id, id`` of every point that may be in a query's exact top ``k``.
+    points: DataFrame
+    queries: DataFrame
+    books: Codebooks
+    k: int
+    metric: str
+    dim: int
+    id_col: str
+    block_bytes: int
 
-    Two passes over the codes: the first bounds each query's k-th best score
-    by the worst cases of points that look best, the second returns the points
-    whose best case reaches that bound."""
+    def join(self, points: DataFrame, kernel, columns: list[T.StructField]) -> DataFrame:
+        fields = [T.StructField("query_id", T.LongType()), T.StructField(self.id_col, T.LongType()), *columns]
+        return block_join(points, self.queries, self.id_col, "query_id", self.dim, kernel, T.StructType(fields), self.block_bytes)
+
+
+_SCORE = T.StructField("score", T.DoubleType())
+
+
+def _bounded(encoded: DataFrame, queries: DataFrame, books: Codebooks, k: int, metric: str, id_col: str, codes_col: str,
+             query_id_col: str, query_vector_col: str, block_bytes: int, exact_col: str | None) -> _Asked:
+    """The first pass: queries with ``__limit``, a bound of their k-th best score."""
     if k <= 0:
         raise ValueError("k must be positive")
     higher = check_metric(metric)
     dim, _ = _query_shape(queries, query_vector_col)
+    exact = [F.col(exact_col).alias("__exact")] if exact_col else []
     pts = encoded.filter(F.col(codes_col).isNotNull() & F.col(id_col).isNotNull()).select(
-        F.col(id_col).cast("long").alias(id_col), f"{codes_col}.*"
+        F.col(id_col).cast("long").alias(id_col), f"{codes_col}.*", *exact
     )
-    if dim != books.width:
-        pts = pts.limit(0)
+    pts = (pts if dim == books.width else pts.limit(0)).checkpoint()
     qs = queries.filter(F.size(query_vector_col) == dim).select(
         F.col(query_id_col).cast("long").alias("query_id"), F.col(query_vector_col).alias("__q")
     )
-    pair = T.StructType([T.StructField("query_id", T.LongType()), T.StructField(id_col, T.LongType())])
-    scored = T.StructType([*pair.fields, T.StructField("score", T.DoubleType())])
     tabled = metric != "Manhattan"
 
     def worst_cases(chunk: pa.Table, slab: pa.Table) -> pa.Table:
@@ -314,34 +369,57 @@ def candidates(encoded: DataFrame, queries: DataFrame, books: Codebooks, k: int
             low, high = block.first(t)
             r, c = _select((low + high) / 2, 2 * k, higher)
             if tabled:
-                low, high = block.full(r + t.start, c)
+                low, high = block.full(t, r, c)
             else:
                 low, high = low[r, c], high[r, c]
             found = {"query_id": qids[t][r], id_col: ids[c], "score": low if higher else high}
             kept.append(reduce_topk(pa.table(found), k, higher, id_col))
         return pa.concat_tables(kept)
 
+    asked = _Asked(pts, qs, books, k, metric, dim, id_col, block_bytes)
+    worst = _best(asked.join(_bound_points(pts.drop("__exact"), id_col), worst_cases, [_SCORE]), k, higher, id_col)
+    limits = worst.filter(F.col("rank") == k).select("query_id", F.col("score").alias("__limit"))
+    qs = qs.join(limits, "query_id", "left").withColumn("__limit", F.coalesce("__limit", F.lit(float("nan"))))
+    return replace(asked, queries=qs.checkpoint())
+
+
+def _reaching(asked: _Asked, exact: bool) -> DataFrame:
+    """The second pass: all candidates, or the ``k`` best of them by exact scores."""
+    books, k, metric, dim, id_col = asked.books, asked.k, asked.metric, asked.dim, asked.id_col
+    higher, tabled = check_metric(metric), metric != "Manhattan"
+
     def reaching(chunk: pa.Table, slab: pa.Table) -> pa.Table:
         block, kept = _Block(books, metric, chunk, slab, dim), []
         qids, ids = chunk.column("query_id").to_numpy(), slab.column(id_col).to_numpy()
         limit = _floats(chunk, "__limit")  # NaN: fewer than k points, so none is ruled out
-
-        def out(low: np.ndarray, high: np.ndarray, bound: np.ndarray) -> np.ndarray:
-            with np.errstate(invalid="ignore"):
-                return (high < bound if higher else low > bound) | ~np.isfinite(low) | ~np.isfinite(high)
-
+        true = _matrix(slab, "__exact", dim) if exact else None
         for t in _tiles(len(qids), len(ids)):
-            r, c = np.nonzero(~out(*block.first(t), limit[t][:, None]))
+            r, c = block.not_out(t, limit[t], higher)
             if tabled:
-                left = ~out(*block.full(r + t.start, c), limit[t][r])
+                left = ~_ruled_out(*block.full(t, r, c), limit[t][r], higher)
                 r, c = r[left], c[left]
-            kept.append(pa.table({"query_id": qids[t][r], id_col: ids[c]}))
+            if exact:
+                kept.append(exact_best(metric, true, block.Q[t], r, c, qids[t], ids, k, id_col))
+            else:
+                kept.append(pa.table({"query_id": qids[t][r], id_col: ids[c]}))
         return pa.concat_tables(kept)
 
-    worst = _best(block_join(pts, qs, id_col, "query_id", dim, worst_cases, scored, block_bytes), k, higher, id_col)
-    limits = worst.filter(F.col("rank") == k).select("query_id", F.col("score").alias("__limit"))
-    qs = qs.join(limits, "query_id", "left").withColumn("__limit", F.coalesce("__limit", F.lit(float("nan"))))
-    return block_join(pts, qs, id_col, "query_id", dim, reaching, pair, block_bytes)
+    if exact:
+        found = asked.join(asked.points, reaching, [_SCORE])
+        return _best(found, k, higher, id_col).select("query_id", id_col)
+    return asked.join(asked.points.drop("__exact"), reaching, [])
+
+
+def candidates(encoded: DataFrame, queries: DataFrame, books: Codebooks, k: int = 10, metric: str = "Cosine", *,
+               id_col: str = "id", codes_col: str = "pq", query_id_col: str = "query_id",
+               query_vector_col: str = "vector", block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """``query_id, id`` of every point that may be in a query's exact top ``k``.
+
+    Two passes over the codes: the first bounds each query's k-th best score
+    by the worst cases of points that look best (of a share of many points), the
+    second returns the points whose best case reaches that bound."""
+    asked = _bounded(encoded, queries, books, k, metric, id_col, codes_col, query_id_col, query_vector_col, block_bytes, None)
+    return _reaching(asked, exact=False)
 
 
 def search(encoded: DataFrame, queries: DataFrame, books: Codebooks, k: int = 10, metric: str = "Cosine", *,
@@ -349,20 +427,22 @@ def search(encoded: DataFrame, queries: DataFrame, books: Codebooks, k: int = 10
            query_vector_col: str = "vector") -> tuple[DataFrame, DataFrame]:
     """``(query_id, rank, id, score; the candidates that were scored exactly)``.
 
-    The answer equals :func:`quiver.operators.knn.knn_search`; the candidates
-    are written once to the checkpoint folder, and only their ids meet the
-    original vectors."""
+    The answer equals :func:`quiver.operators.knn.knn_search`.  Candidates are
+    scored on the original vectors in the group that finds them and never leave
+    it; the ``k`` best of each query are written once to the checkpoint folder
+    and ranked by joins on the ids.  The second frame lists all candidates and is
+    computed only if it is read."""
     higher = check_metric(metric)
-    cand = candidates(encoded, queries, books, k, metric, id_col=id_col, codes_col=codes_col,
-                      query_vector_col=query_vector_col).checkpoint()
+    asked = _bounded(encoded, queries, books, k, metric, id_col, codes_col, "query_id", query_vector_col, BLOCK_BYTES, vector_col)
+    best = _reaching(asked, exact=True).checkpoint()
     qv = queries.select(F.col("query_id").cast("long").alias("query_id"), F.col(query_vector_col).alias("_qv"))
     exact = (
         encoded.select(F.col(id_col).cast("long").alias(id_col), vector_col)
-        .join(cand, id_col)
+        .join(best, id_col)
         .join(qv, "query_id")
         .withColumn("score", score(metric, F.col(vector_col), F.col("_qv")))
         .filter(F.col("score").isNotNull() & ~F.isnan("score"))
     )
     w = Window.partitionBy("query_id").orderBy(F.desc("score") if higher else F.asc("score"), F.asc(id_col))
     ranked = exact.withColumn("rank", F.row_number().over(w).cast("long")).filter(F.col("rank") <= k)
-    return ranked.select("query_id", "rank", id_col, "score"), cand
+    return ranked.select("query_id", "rank", id_col, "score"), _reaching(asked, exact=False)

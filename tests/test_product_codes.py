@@ -68,3 +68,16 @@ def test_small_and_empty_tables(spark):
         books = product_codes.fit(frame, width=2)
         got, _ = product_codes.search(product_codes.encode(frame, books), qs, books, k=5)
         assert _rows(got) == expected
+
+
+def test_candidates_never_leave_their_group(spark, monkeypatch):
+    """Codes of a few points: many candidates, but k rows a query are sent on."""
+    monkeypatch.setattr(knn, "BOUND_ROWS", 100)
+    rng = np.random.default_rng(5)
+    pts, qs = _frames(spark, rng.normal(size=(300, 4)), rng.normal(size=(7, 4)))
+    books = product_codes.fit(pts, cells=2, stages=1, sample_rows=20)
+    kept, plain = [], product_codes._reaching
+    monkeypatch.setattr(product_codes, "_reaching", lambda asked, exact: kept.append(plain(asked, exact)) or kept[-1])
+    got, cand = product_codes.search(product_codes.encode(pts, books), qs, books, k=6)
+    assert _rows(got) == _rows(knn.knn_search(pts, qs, k=6))
+    assert kept[0].count() == 42 < cand.count()
