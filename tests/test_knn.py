@@ -351,3 +351,50 @@ def test_manhattan_in_tiles(monkeypatch):
     for n_points, n_queries in ((1, 1), (7, 5), (40, 9)):
         P, Q = rng.standard_normal((n_points, 6)), rng.standard_normal((n_queries, 6))
         assert np.allclose(knn._scores("Manhattan", P, Q, None), np.abs(Q[:, None] - P[None]).sum(axis=2), rtol=1e-12)
+
+
+@pytest.mark.parametrize("higher", [True, False])
+def test_select_bounds_a_row_by_a_part_of_it(higher):
+    """The same entries as by ordering each row whole, with ties, NaN and infinities."""
+    rng = np.random.default_rng(2)
+    S = rng.integers(0, 300, size=(40, 900)).astype(float)
+    S[rng.random(S.shape) < 0.05] = np.nan
+    S[rng.random(S.shape) < 0.05] = np.inf
+    S[0], S[1, 4:], S[2] = np.nan, np.nan, 7.0
+    for k in (1, 5, 60, 1000):
+        want = set()
+        for r, row in enumerate(S):
+            good = np.flatnonzero(np.isfinite(row))
+            key = -row[good] if higher else row[good]
+            if len(good):
+                edge = np.sort(key)[min(k, len(key)) - 1]
+                want |= {(r, int(c)) for c in good[key <= edge + 1e-9 * (1 + abs(edge))]}
+        assert set(zip(*map(np.ndarray.tolist, knn._select(S, k, higher)), strict=True)) == want
+
+
+@pytest.mark.parametrize("metric", ["Cosine", "Manhattan"])
+def test_candidates_scored_where_they_are_found(spark, metric, monkeypatch):
+    """Errors that rule nothing out: k rows a query leave the join, not every pair."""
+    monkeypatch.setattr(knn, "BOUND_ROWS", 100)
+    rng = np.random.default_rng(1)
+    pts = spark.createDataFrame([(i, rng.normal(size=4).tolist(), 50.0) for i in range(200)], "id long, v array<double>, error double")
+    qs = spark.createDataFrame([(i, rng.normal(size=4).tolist()) for i in range(9)], "query_id long, vector array<double>")
+    got = knn.candidates_within_error(pts, qs, k=3, metric=metric, vector_col="v", exact_col="v", block_bytes=1000)
+    exact = knn.knn_search(pts, qs, k=3, metric=metric, vector_col="v")
+    assert sorted(map(tuple, got.collect())) == sorted((r["query_id"], r["id"]) for r in exact.collect())
+
+
+def test_probed_leaves_are_settled_where_they_are_scored(spark, monkeypatch):
+    """No row per (query, leaf) is made for the search itself; a hot leaf comes in parts."""
+    monkeypatch.setattr(knn, "GATE_ROWS", 7)
+    rng = np.random.default_rng(6)
+    rows = [(i, rng.normal(size=4).tolist() if i % 2 else [1.0, 2.0, 3.0, 4.0]) for i in range(300)]
+    pts = spark.createDataFrame(rows, "id long, vector array<double>")
+    qs = pts.filter("id < 20").withColumnRenamed("id", "query_id")
+    index = ann.build_leaves(pts, metric="Euclid", leaf_rows=16)
+    matched, plain = [], ann.knn_search
+    monkeypatch.setattr(ann, "knn_search", lambda *a, **b: matched.append(b.get("probe_match")) or plain(*a, **b))
+    found, _ = ann.targeted_search(index, qs, k=5, ratio=float("inf"))
+    exact = plain(pts, qs, k=5, metric="Euclid")
+    key = lambda df: sorted((r["query_id"], r["rank"], r["id"]) for r in df.collect())
+    assert key(found) == key(exact) and matched and not any(matched)
