@@ -51,3 +51,15 @@ def test_fewer_points_than_asked_for(spark):
     assert _rows(got) == [(0, 1, 0), (0, 2, 1)]
     none = pivots.build_pivots(pts.limit(0))
     assert none.blocks.count() == 0
+
+
+def test_reaching_blocks_are_settled_where_they_are_scored(spark, monkeypatch):
+    """Only the first few blocks of a query become rows; where the bounds skip nothing, the others don't."""
+    rng = np.random.default_rng(3)
+    pts, qs = _frames(spark, rng.normal(size=(200, 12)), rng.normal(size=(6, 12)))
+    index = pivots.build_pivots(pts, n_pivots=3, block_rows=5)
+    sent, plain = [], pivots.knn_search
+    monkeypatch.setattr(pivots, "knn_search", lambda points, asked, **b: sent.append(asked.count()) or plain(points, asked, **b))
+    got, scored = pivots.pivot_search(index, qs, k=5, first=2)
+    assert _rows(got) == _rows(knn.knn_search(pts, qs, k=5, metric="Euclid"))
+    assert sent == [12] and scored.count() > 100
