@@ -32,6 +32,8 @@ from quiver.sources.tables import spread
 TOKEN_SPLIT = r"[^\p{L}\p{N}]+"
 TEXT_DIM = 768
 MULTIMODAL_DIM = 1408
+#: Bytes of vectors that a task makes at once.
+BACKEND_BYTES = 4 << 20
 
 
 def tokens(text: Column) -> Column:
@@ -77,36 +79,40 @@ def embed_text(df: DataFrame, text_col: str, dim: int = TEXT_DIM, id_col: str |
     sparse = w.groupBy(id_col).agg(
         F.collect_list("bucket").alias("b"), F.collect_list("w").alias("w")
     )
-    id_field = df.schema[id_col]
-    out_schema = T.StructType([id_field, T.StructField(out_col, T.ArrayType(T.DoubleType()))])
-    dense = sparse.mapInArrow(_densifier(id_col, out_col, dim), out_schema)
-    return df.join(dense, on=id_col, how="left")
+    # joined while sparse: dense rows, mostly zeros, shrink so far in a shuffle that
+    # partitions joined up by their bytes would be many times as large in a sort
+    joined = df.join(sparse.withColumnsRenamed({"b": "__b", "w": "__w"}), on=id_col, how="left")
+    kept = [c for c in joined.columns if c not in ("__b", "__w")]
+    out_schema = T.StructType([*joined.select(kept).schema.fields, T.StructField(out_col, T.ArrayType(T.DoubleType()))])
+    return joined.mapInArrow(_densifier(kept, out_col, dim), out_schema)
 
 
-def _densifier(id_col: str, out_col: str, dim: int):
+def _densifier(kept: list[str], out_col: str, dim: int):
     """Scatter (bucket, weight) lists into unit-length dense rows, one numpy
-    assignment per Arrow batch (a per-element lambda would run interpreted)."""
+    assignment per ``BACKEND_BYTES`` (a per-element lambda would run interpreted);
+    null for a row without lists."""
     import pyarrow as pa
 
+    step = max(1, BACKEND_BYTES // (8 * dim))
+
     def fn(batches):
-        for batch in batches:
-            n = batch.num_rows
-            if n == 0:
-                continue
-            b = batch.column("b")
-            wl = batch.column("w")
-            counts = np.diff(b.offsets.to_numpy())
-            rows = np.repeat(np.arange(n), counts)
-            dense = np.zeros((n, dim))
-            dense[rows, b.flatten().to_numpy(zero_copy_only=False)] = wl.flatten().to_numpy(
-                zero_copy_only=False
-            )
-            dense /= np.sqrt(np.einsum("ij,ij->i", dense, dense))[:, None]
-            values = pa.array(dense.ravel(), pa.float64())
-            offsets = pa.array(np.arange(0, (n + 1) * dim, dim, dtype=np.int32))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(id_col), pa.ListArray.from_arrays(offsets, values)], [id_col, out_col]
-            )
+        for whole in batches:
+            for at in range(0, whole.num_rows, step):
+                batch = whole.slice(at, step)
+                n = batch.num_rows
+                b, wl = batch.column("__b"), batch.column("__w")
+                null = b.is_null().to_numpy(zero_copy_only=False)
+                counts = np.where(null, 0, np.diff(b.offsets.to_numpy()))
+                rows = np.repeat(np.arange(n), counts)
+                dense = np.zeros((n, dim))
+                dense[rows, b.flatten().to_numpy(zero_copy_only=False)] = wl.flatten().to_numpy(
+                    zero_copy_only=False
+                )
+                with np.errstate(invalid="ignore"):
+                    dense /= np.sqrt(np.einsum("ij,ij->i", dense, dense))[:, None]
+                offsets = pa.array(np.arange(0, (n + 1) * dim, dim, dtype=np.int32))
+                vectors = pa.ListArray.from_arrays(offsets, pa.array(dense.ravel(), pa.float64()), mask=pa.array(null))
+                yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in kept], vectors], [*kept, out_col])
 
     return fn
 
@@ -114,15 +120,18 @@ def _densifier(id_col: str, out_col: str, dim: int):
 def _embed_with_backend(df, text_col, dim, out_col, backend):
     schema = T.StructType(list(df.schema.fields) + [T.StructField(out_col, T.ArrayType(T.DoubleType()))])
 
+    rows = max(1, BACKEND_BYTES // (8 * dim))
+
     def fn(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            texts = pdf[text_col].fillna("").tolist()
-            mat = np.asarray(backend(texts), dtype=np.float64)
-            if mat.shape != (len(texts), dim):
-                raise ValueError(f"embedding backend returned {mat.shape}, expected {(len(texts), dim)}")
-            pdf = pdf.copy()
-            pdf[out_col] = [row for row in mat]
-            yield pdf
+        for whole in batches:
+            for at in range(0, len(whole), rows):
+                pdf = whole.iloc[at : at + rows].copy()
+                texts = pdf[text_col].fillna("").tolist()
+                mat = np.asarray(backend(texts), dtype=np.float64)
+                if mat.shape != (len(texts), dim):
+                    raise ValueError(f"embedding backend returned {mat.shape}, expected {(len(texts), dim)}")
+                pdf[out_col] = [row for row in mat]
+                yield pdf
 
     return df.mapInPandas(fn, schema)
 

@@ -50,3 +50,18 @@ def test_synthetic_vectors_repeatable_and_uniform(spark):
         flat = np.array(a).ravel()
         assert len(flat) == 3200 and flat.min() >= -1 and flat.max() < 1
         assert abs(flat.mean()) < 0.05 and len(set(flat.tolist())) == 3200
+
+
+def test_backend_is_given_a_bounded_part_of_a_batch(spark):
+    df = spark.range(1000).selectExpr("id", "'a' as t").coalesce(1)
+    e = embed.embed_text(df, "t", dim=1408, backend=lambda texts: np.full((len(texts), 1408), len(texts)))
+    sizes = [r["n"] for r in e.select(F.col("embedding")[0].alias("n")).collect()]
+    assert len(sizes) == 1000 and max(sizes) * 1408 * 8 <= embed.BACKEND_BYTES
+
+
+def test_rows_are_joined_before_they_are_dense(spark):
+    df = spark.createDataFrame([(1, "a b"), (2, None), (1, "c")], "id long, t string")
+    e = embed.embed_text(df, "t", dim=8, id_col="id")
+    plan = e._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("MapInArrow") < plan.index("Join")
+    assert sorted((r["t"] or "", r["embedding"] is None) for r in e.collect()) == [("", True), ("a b", False), ("c", False)]
