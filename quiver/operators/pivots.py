@@ -218,7 +218,9 @@ def pivot_search(index: PivotIndex, queries: DataFrame, k: int = 10, first: int
         return reach(_bests(metric, chunk, blocks, slice(0, chunk.num_rows), m), chunk.column("limit").to_numpy())
 
     # blocks tried before are looked at again: their best rows come with the others'
-    qs = limited.join(home, "query_id", "left").withColumnRenamed("vector", "__q")
+    # by the query's id, as the first blocks are: rows that share one are asked together
+    vectors = asked.select("query_id", F.col("vector").alias("__q"))
+    qs = limited.drop("vector").join(vectors, "query_id").join(home, "query_id", "left")
     found = gated_search(index.points, index.blocks, qs, k, metric, dim, may_hold, gate_col="block")
     rest = _blocks_of(index, limited, reaching, "pairs").join(tried, ["query_id", "block"], "left_anti")
     return found, tried.unionByName(rest)
