@@ -390,7 +390,7 @@ def test_probed_leaves_are_settled_where_they_are_scored(spark, monkeypatch):
     rng = np.random.default_rng(6)
     rows = [(i, rng.normal(size=4).tolist() if i % 2 else [1.0, 2.0, 3.0, 4.0]) for i in range(300)]
     pts = spark.createDataFrame(rows, "id long, vector array<double>")
-    qs = pts.filter("id < 20").withColumnRenamed("id", "query_id")
+    qs = spark.createDataFrame([(i, rng.normal(size=4).tolist()) for i in range(20)], "query_id long, vector array<double>")
     index = ann.build_leaves(pts, metric="Euclid", leaf_rows=16)
     matched, plain = [], ann.knn_search
     monkeypatch.setattr(ann, "knn_search", lambda *a, **b: matched.append(b.get("probe_match")) or plain(*a, **b))
