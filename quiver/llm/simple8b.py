@@ -15,6 +15,8 @@ SELECTORS = (
     (8, 7), (7, 8), (6, 10), (5, 12), (4, 15), (3, 20), (2, 30), (1, 60),
 )
 _COUNTS = np.array([n for n, _ in SELECTORS], dtype=np.int64)
+#: Halvings of a chain of words.
+LEAPS = 4
 _LIMIT = np.uint64(1) << np.uint64(60)
 
 
@@ -31,6 +33,25 @@ def _all_of_next(fits: np.ndarray, count: int) -> np.ndarray:
     return out
 
 
+def _chain(after: np.ndarray) -> np.ndarray:
+    """0, ``after[0]``, ``after[after[0]]`` and so on, up to the end.
+
+    Leaps of ``1 << LEAPS`` steps are followed one by one, the places between
+    them by halves for all leaps at once."""
+    n = len(after)
+    leaps = [np.append(np.minimum(after, n), n)]
+    for _ in range(LEAPS):
+        leaps.append(leaps[-1][leaps[-1]])
+    far, i, places = leaps.pop(), 0, []
+    while i < n:
+        places.append(i)
+        i = int(far[i])
+    starts = np.array(places, dtype=np.int64)
+    for leap in reversed(leaps):
+        starts = np.stack([starts, leap[starts]], axis=1).ravel()
+    return starts[starts < n]
+
+
 def encode(values: np.ndarray) -> tuple[bytes, list[tuple[int, int]]]:
     """Little-endian words and the escapes of ``values`` (unsigned integers)."""
     v = values.astype(np.uint64)
@@ -52,13 +73,7 @@ def encode(values: np.ndarray) -> tuple[bytes, list[tuple[int, int]]]:
         fits = v < (1 << bits)
         if fits.any():
             best[_all_of_next(fits, count)] = selector
-    after = (np.arange(n, dtype=np.int64) + _COUNTS[best]).tolist()
-    starts = []
-    i = 0
-    while i < n:
-        starts.append(i)
-        i = after[i]
-    starts = np.array(starts, dtype=np.int64)
+    starts = _chain(np.arange(n, dtype=np.int64) + _COUNTS[best])
     chosen = best[starts]
     padded = np.concatenate([v, np.zeros(240, dtype=v.dtype)])
     words = chosen.astype(np.uint64) << np.uint64(60)

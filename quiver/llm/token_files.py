@@ -20,14 +20,17 @@ empty table writes no block.
 
 from __future__ import annotations
 
-import contextlib
+import codecs
 import os
+import string
 import zlib
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -46,15 +49,63 @@ PIECES_PER_CALL = 2000
 BLOCK_SCHEMA = """shard int, block int, first long, n_ids long, doc_ids array<long>, n_tokens array<int>,
     words binary, escape_at array<long>, escape_value array<decimal(20,0)>"""
 
-_POINTS = ".,"
-#: Key of the cache for "nothing": no piece holds a space.
-_NO_PIECE = " "
+#: Marks that are neither letters, digits nor white space.
+_MARKS = string.punctuation
+
+
+def _byte_shown() -> str:
+    """The characters by which a byte-level vocabulary shows the bytes: the printable
+    ones of Latin-1 as they are, the others in order from U+0100 on.  A newline
+    stays, as it parts the words given to the model."""
+    plain = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    others = [b for b in range(256) if b not in plain]
+    shown = {b: chr(256 + i) for i, b in enumerate(others) if b != 0x0A}
+    return "".join([shown.get(b, chr(b)) for b in range(256)])
+
+
+_BYTE_SHOWN = _byte_shown()
+
+
+class SpaceSplit:
+    """Texts split at their single spaces: ``heads`` are the first pieces, one a
+    text, ``distinct`` the different pieces after them."""
+
+    def __init__(self, texts: pa.Array):
+        lists = pc.split_pattern(texts, " ")
+        self.bounds = lists.offsets.to_numpy()
+        flat, first = lists.values, self.bounds[:-1]
+        later = np.ones(len(flat), dtype=bool)
+        later[first] = False
+        coded = flat.filter(pa.array(later)).dictionary_encode()
+        self.heads: list[str] = flat.take(pa.array(first)).to_numpy(zero_copy_only=False).tolist()
+        self.distinct: list[str] = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        #: Number of every piece in ``[*distinct, *heads]``, in order.
+        self.number = np.empty(len(flat), dtype=np.int64)
+        self.number[later] = coded.indices.to_numpy()
+        self.number[first] = len(self.distinct) + np.arange(len(first))
+
+    def joined(self, values: list[bytes | None]) -> list[bytes | None]:
+        """Per text the values (of ``[*distinct, *heads]``) of its pieces, one
+        after the other; None where one of them is None."""
+        taken = pa.array(values, pa.large_binary()).take(pa.array(self.number))
+        lost = np.zeros(len(self.heads), dtype=bool)
+        if taken.null_count:
+            nulls = np.flatnonzero(taken.is_null().to_numpy(zero_copy_only=False))
+            lost[np.searchsorted(self.bounds, nulls, "right") - 1] = True
+        raw = taken.buffers()[2]
+        cuts = np.frombuffer(taken.buffers()[1], dtype=np.int64)[self.bounds].tolist()
+        view = memoryview(raw) if raw is not None else memoryview(b"")
+        return [None if gone else view[a:b].tobytes() for a, b, gone in zip(cuts[:-1], cuts[1:], lost.tolist(), strict=True)]
 
 
 class PieceEncoder:
     """Texts to packed little-endian 32-bit ids through the tokenizers library.
     ``encode_special_tokens`` is the library's switch (its own default is
-    False): with True, special tokens in a text are encoded like other text."""
+    False): with True, special tokens in a text are encoded like other text.
+
+    A piece is remembered by its text if it stands after a space, and by a space
+    and its text if it stands after a newline or begins a text; no piece holds a
+    space, so the two can't be confused."""
 
     def __init__(self, path: str, encode_special_tokens: bool = True):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -65,65 +116,113 @@ class PieceEncoder:
         added = self.library.get_added_tokens_decoder().values()
         self.added = [t.content for t in added if not (t.special and encode_special_tokens)]
         self.newline = self.library.encode("\n", add_special_tokens=False).ids[0]
-        self.points = {c: self.whole(c) for c in _POINTS}
-        self.known: dict[str, bytes | None] = {_NO_PIECE: b""}
+        self._forget()
+
+    def _forget(self) -> None:
+        self.known: dict[str, bytes | None] = {}
+        self.tails: dict[str, bytes] = {}
 
     def whole(self, text: str) -> bytes:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
-    def _learn(self, pieces: Iterable[str]) -> None:
-        """Ids of ``" " + piece``, or None where a piece can't stand alone (it
-        is empty or white space stands at one of its ends)."""
+    def _tail(self, tail: str) -> bytes:
+        if tail not in self.tails:
+            self.tails[tail] = self.whole(tail)
+        return self.tails[tail]
+
+    def _letters(self, keys: list[str]) -> None:
+        """Ids of pieces that are letters only, so one word each: the library's
+        model gets them as its pre-tokenizer would hand them on (a character
+        per byte), without being asked where a word ends."""
+        known, merge = self.known, self.library.model.tokenize
+        for at in range(0, len(keys), PIECES_PER_CALL):
+            part = keys[at : at + PIECES_PER_CALL]
+            text = "\n".join([key[1:] if key[0] == " " else " " + key for key in part])
+            shown, _ = codecs.charmap_decode(text.encode("utf-8", "surrogatepass"), "strict", _BYTE_SHOWN)
+            ids: list[int] = []
+            ends = [0]
+            for word in shown.split("\n"):
+                ids += [token.id for token in merge(word)]
+                ends.append(4 * len(ids))
+            raw = np.array(ids, dtype="<u4").tobytes()
+            known.update(zip(part, [raw[a:b] for a, b in zip(ends, ends[1:])], strict=True))
+
+    def _words(self, keys: list[str]) -> None:
+        """Ids of pieces without white space."""
+        known = self.known
+        for at in range(0, len(keys), PIECES_PER_CALL):
+            part = keys[at : at + PIECES_PER_CALL]
+            # no white space in them, so the only newline ids are those before pieces
+            joined = "".join(["\n" + key[1:] if key[0] == " " else "\n " + key for key in part])
+            (encoding,) = self.library.encode_batch_fast([joined], add_special_tokens=False)
+            ids = np.array(encoding.ids, dtype="<u4")
+            cuts = (4 * np.flatnonzero(ids == self.newline)).tolist()
+            raw = ids.tobytes()
+            known.update(zip(part, [raw[a + 4 : b] for a, b in zip(cuts, [*cuts[1:], len(raw)])], strict=True))
+
+    def _learn(self, keys: set[str]) -> None:
+        """Ids of the pieces, or None where one can't stand alone (it is empty
+        or white space stands at one of its ends).  Letters and the marks after
+        them are always two words, and so is what single newlines part."""
         known = self.known
-        plain: set[str] = set()
-        pointed, odd = [], []
-        for piece in pieces:
+        letters = {key for key in keys if key.isalpha()}
+        todo = list(keys - letters)
+        plain, marked, lines, odd = [], [], [], []
+        for key in todo:  # grows by the lines of a piece
+            body = key.rstrip(_MARKS)
+            if body.isalpha() or body[1:].isalpha() and body[0] == " ":
+                letters.add(body)
+                if body != key:
+                    marked.append((key, body))
+                continue
+            piece = key[1:] if key[:1] == " " else key
             if not piece or piece[0].isspace() or piece[-1].isspace():
-                known[piece] = None
-            elif piece[-1] in _POINTS and piece[:-1].isalpha():
-                pointed.append(piece)
-            elif piece.isalpha():
-                plain.add(piece)
+                known[key] = None
+            elif len(piece.split()) == 1:
+                plain.append(key)
             else:
-                odd.append(piece)
-        plain.update(p[:-1] for p in pointed)
-        todo = [p for p in plain if p not in known]
-        for at in range(0, len(todo), PIECES_PER_CALL):
-            part = todo[at : at + PIECES_PER_CALL]
-            # letters only, so the only newline ids are those between pieces
-            (encoding,) = self.library.encode_batch_fast([" " + "\n ".join(part)], add_special_tokens=False)
-            ids = np.array(encoding.ids, dtype="<u4")
-            ends = (4 * np.flatnonzero(ids == self.newline)).tolist()
-            raw, begin = ids.tobytes(), 0
-            for piece, end in zip(part, [*ends, len(raw)], strict=True):
-                known[piece] = raw[begin:end]
-                begin = end + 4
-        for piece in pointed:  # letters and a point are always two words
-            known[piece] = known[piece[:-1]] + self.points[piece[-1]]
-        for piece, encoding in zip(
-            odd, self.library.encode_batch_fast([" " + p for p in odd], add_special_tokens=False), strict=True
-        ):
-            known[piece] = np.array(encoding.ids, dtype="<u4").tobytes()
+                parts = key.replace("\n", "\n ").split("\n")
+                bare = [parts[0].removeprefix(" "), *[part[1:] for part in parts[1:]]]
+                if len(parts) > 1 and all([p and not p[0].isspace() and not p[-1].isspace() for p in bare]):
+                    lines.append((key, parts))
+                    new = [p for p in parts if p not in known and p not in keys]
+                    keys.update(new)
+                    todo += new
+                else:
+                    odd.append(key)
+        self._letters([key for key in letters if key not in known])
+        self._words(list(dict.fromkeys(plain)))
+        for key, body in marked:
+            known[key] = known[body] + self._tail(key[len(body) :])
+        alone = [key[1:] if key[0] == " " else " " + key for key in odd]
+        for key, encoding in zip(odd, self.library.encode_batch_fast(alone, add_special_tokens=False), strict=True):
+            known[key] = np.array(encoding.ids, dtype="<u4").tobytes()
+        newline = np.array([self.newline], dtype="<u4").tobytes()
+        for key, parts in lines:
+            known[key] = newline.join([known[part] for part in parts])
+
+    def _head(self, piece: str) -> bytes | None:
+        """Ids of what a text begins with, None if it can't stand alone."""
+        ids = self.known[" " + piece]
+        if ids is None and piece and not piece[-1].isspace():
+            return self.whole(piece)
+        return ids
 
     def encode(self, texts: list[str]) -> list[bytes]:
         if len(self.known) > CACHE_PIECES:
-            self.known = {_NO_PIECE: b""}
-        added = self.added
-        split = [None if any(a in t for a in added) else t.split(" ") for t in texts]
-        new = set().union(*filter(None, split))
-        new.difference_update(self.known)
-        self._learn(new)
-        get = self.known.__getitem__
-        out = []
-        for text, pieces in zip(texts, split, strict=True):
-            head = pieces[0] if pieces else ""  # no pieces: an added token in the text
-            ids = None
-            if head and not head[-1].isspace():
-                pieces[0] = _NO_PIECE
-                with contextlib.suppress(TypeError):  # a piece that can't stand alone
-                    ids = self.whole(head) + b"".join(map(get, pieces))
-            out.append(self.whole(text) if ids is None else ids)
-        return out
+            self._forget()
+        column = pa.array(texts, pa.large_string())
+        marked = np.zeros(len(texts), dtype=bool)
+        for token in self.added:
+            marked |= pc.match_substring(column, token).to_numpy(zero_copy_only=False)
+        if marked.any():  # a text with an added token passes the library as a whole
+            column = pc.if_else(pa.array(marked), "", column)
+        split = SpaceSplit(column)
+        known = self.known
+        heads = [" " + piece for piece in split.heads]
+        self._learn({key for key in chain(split.distinct, heads) if key not in known})
+        ids = split.joined([*map(known.__getitem__, split.distinct), *map(self._head, split.heads)])
+        return [self.whole(t) if m or i is None else i for t, m, i in zip(texts, marked.tolist(), ids, strict=True)]
 
 
 @lru_cache(maxsize=2)

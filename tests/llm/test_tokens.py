@@ -7,6 +7,7 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 from llm_corpus import corpus
@@ -178,3 +179,50 @@ def test_bpe_parts_keep_all_words():
     many = list(bpe._parts([("w" * 128, b"w" * 128)] * 1000, False))
     assert max(len(part) for part in many) * 128 * 129 // 2 <= bpe.ROWS_PER_QUERY
     assert list(bpe._parts([], True)) == []
+
+
+class Recorded:
+    """An object that notes the arguments of some of its methods."""
+
+    def __init__(self, own, *names):
+        self.own, self.names, self.given = own, names, []
+
+    def __getattr__(self, name):
+        method = getattr(self.own, name)
+        if name not in self.names:
+            return method
+
+        def call(argument, **options):
+            self.given.append(argument)
+            return method(argument, **options)
+
+        return call
+
+
+def test_letters_pass_the_model_alone(library):
+    own = PieceEncoder(VOCABULARY)
+    own.library = Recorded(own.library, "encode_batch_fast")
+    texts = ["Alpha beta!! gamma\nDelta, épsilon beta", "beta?! Alpha", "Alpha\nbeta.\nx y", "\nAlpha beta", "Alpha beta\n"]
+    assert own.encode(texts) == [packed(library.encode(t, add_special_tokens=False).ids) for t in texts]
+    assert [words for words in own.library.given if words] == []
+    assert own.known["beta"] and own.known[" Alpha"]
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.integers(1, 240), min_size=1, max_size=300))
+def test_chain_of_words(steps):
+    after = np.arange(len(steps)) + np.array(steps)
+    expected, i = [], 0
+    while i < len(steps):
+        expected.append(i)
+        i += steps[i]
+    assert simple8b._chain(after).tolist() == expected
+
+
+def test_space_split():
+    texts = ["a b a", "", "x", " a", "b  b "]
+    split = token_files.SpaceSplit(pa.array(texts, pa.large_string()))
+    values = [*split.distinct, *split.heads]
+    assert split.joined([v.encode() for v in values]) == [t.replace(" ", "").encode() for t in texts]
+    assert split.joined([None if v == "b" else b"1" for v in values]) == [None, b"1", b"1", b"11", None]
+    assert token_files.SpaceSplit(pa.array([], pa.large_string())).joined([]) == []
