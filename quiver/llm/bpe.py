@@ -21,25 +21,24 @@ from __future__ import annotations
 import base64
 import ctypes
 import gc
-import re
 import threading
 from collections.abc import Iterator
 from contextlib import contextmanager
 from functools import lru_cache
-from itertools import chain
 
 import duckdb
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quiver.llm.common import text_of
-from quiver.llm.token_files import slices
+from quiver.llm.token_files import SpaceSplit, slices
 
-#: Distinct pieces (and as many words) of a generation; a worker remembers two.
-CACHE_PIECES = 80_000
+#: Distinct pieces and words of a generation; a worker remembers two.
+CACHE_PIECES = 160_000
 #: Seconds without a task until a worker drops what its codecs remember.
 IDLE_SECONDS = 3.0
 #: Rows that one recursive query may keep: a word of n bytes has at most n (n + 1) / 2.
@@ -48,7 +47,9 @@ LONG_WORD = 128
 #: Ids decoded by one query, about.
 IDS_PER_QUERY = 400_000
 
-_UNSAFE = re.compile(r"\s | \s|^ | $")
+#: White space as Python has it, for the regular expressions of Arrow.
+_WHITE = r"[\x09-\x0D\x1C-\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
+_UNSAFE = f"{_WHITE} | {_WHITE}|^ | $"
 
 # A row is a token of a word: its position (of its first byte), the token after
 # it, and the key (rank, position) of the pair it begins, if that pair merges.
@@ -143,9 +144,17 @@ class _Recent:
     def missing(self, keys: set[str]) -> set[str]:
         """The keys without a value; all others are in ``young`` afterwards."""
         absent = keys.difference(self.young)
-        known = absent.intersection(self.old)
-        self.young.update((key, self.old[key]) for key in known)
-        return absent - known
+        old = self.old
+        known = {key: old[key] for key in absent if key in old}
+        self.young.update(known)
+        return absent.difference(known)
+
+
+def _key(word: str) -> str:
+    """A word's name among the remembered pieces, which hold no space and stand
+    after one: the text after its space, or a space and the word if it has none
+    (or white space alone)."""
+    return word[1:] if word[0] == " " and word[1:2] not in ("", " ") else " " + word
 
 
 class RankCodec:
@@ -154,8 +163,7 @@ class RankCodec:
     def __init__(self, path: str, pattern: str):
         self.ranks = read_ranks(path)
         self.find = regex.compile(pattern).findall
-        self.words = _Recent(CACHE_PIECES)
-        self.pieces = _Recent(CACHE_PIECES)
+        self.known = _Recent(CACHE_PIECES)
         self.byte = np.array([self.ranks[bytes([b])] for b in range(256)], dtype=np.int32)
         self.db = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": "300MB", "temp_directory": ""})
         self.tables: set[str] = set()
@@ -216,22 +224,23 @@ class RankCodec:
         cuts = (4 * np.searchsorted(rows["word"].to_numpy(), np.arange(len(words) + 1))).tolist()
         return [ids[a:b] for a, b in zip(cuts, cuts[1:])]
 
-    def _learn(self, words: set[str]) -> None:
+    def _learn(self, keys: set[str]) -> None:
+        """Packed ids of the words that have these keys."""
         short, long = [], []
-        known = self.words.young
-        for word in words:
-            raw = word.encode("utf-8", "surrogatepass")
+        known = self.known.young
+        for key in keys:
+            raw = (key[1:] if key[0] == " " else " " + key).encode("utf-8", "surrogatepass")
             rank = self.ranks.get(raw)
             if rank is not None:
-                known[word] = rank.to_bytes(4, "little")
+                known[key] = rank.to_bytes(4, "little")
             else:
-                (long if len(raw) > LONG_WORD else short).append((word, raw))
+                (long if len(raw) > LONG_WORD else short).append((key, raw))
         for group, is_long in ((short, False), (long, True)):
             for part in _parts(group, is_long):
-                for (word, _), ids in zip(part, self._contract([raw for _, raw in part], is_long), strict=True):
-                    known[word] = ids
+                for (key, _), ids in zip(part, self._contract([raw for _, raw in part], is_long), strict=True):
+                    known[key] = ids
 
-    def _cut(self, pieces: set[str]) -> dict[str, list[str]]:
+    def _cut(self, pieces: list[str]) -> dict[str, list[str]]:
         """The words of each piece as it stands after a space.
 
         Pieces hold no space, so in a text of many pieces each word that begins
@@ -239,7 +248,7 @@ class RankCodec:
         because the pattern looks at what follows there."""
         alone = {piece for piece in pieces if piece[-1].isspace()}
         cut = {piece: self.find(" " + piece) for piece in alone}
-        joined = list(pieces - alone)
+        joined = [piece for piece in pieces if piece not in alone]
         words = self.find("".join([" " + piece for piece in joined]))
         begins = [i for i, word in enumerate(words) if word[0] == " "]
         begins.append(len(words))
@@ -248,28 +257,22 @@ class RankCodec:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Packed little-endian 32-bit ids of each text."""
-        self.pieces.turn()
-        self.words.turn()
+        self.known.turn()
         # A space between two other characters always begins a word, so a
         # text splits there into pieces that are looked up as a whole.
-        split = [[t] if _UNSAFE.search(t) else t.split(" ") for t in texts]
-        heads = [self.find(pieces[0]) for pieces in split]
-        used: set[str] = set()
-        for pieces in split:
-            used.update(pieces[1:])
-        tails = self._cut(self.pieces.missing(used))
-        needed = set(chain.from_iterable(heads))
-        needed.update(chain.from_iterable(tails.values()))
-        self._learn(self.words.missing(needed))
-        word = self.words.young.__getitem__
-        self.pieces.young.update(
-            (piece, word(words[0]) if len(words) == 1 else b"".join(map(word, words))) for piece, words in tails.items()
-        )
-        piece = self.pieces.young.__getitem__
-        return [
-            b"".join(map(word, head)) + b"".join(map(piece, pieces[1:]))
-            for head, pieces in zip(heads, split, strict=True)
-        ]
+        column = pa.array(texts, pa.large_string())
+        unsafe = pc.match_substring_regex(column, _UNSAFE)
+        split = SpaceSplit(pc.if_else(unsafe, "", column))
+        begins = [text if odd else head for text, odd, head in zip(texts, unsafe.to_pylist(), split.heads, strict=True)]
+        heads = [[_key(word) for word in self.find(text)] for text in begins]
+        missing = self.known.missing(set(split.distinct))
+        cut = self._cut([piece for piece in missing if not piece.isalpha()])  # letters are one word
+        several = {piece: [_key(word) for word in words] for piece, words in cut.items() if len(words) > 1}
+        needed = missing.difference(several).union(*heads, *several.values())
+        self._learn(self.known.missing(needed))
+        word = self.known.young.__getitem__
+        self.known.young.update([(piece, b"".join(map(word, keys))) for piece, keys in several.items()])
+        return split.joined([*map(word, split.distinct), *[b"".join(map(word, keys)) for keys in heads]])
 
     def decode(self, packed: list[bytes]) -> list[bytes]:
         self._need("vocabulary")

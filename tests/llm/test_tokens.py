@@ -208,6 +208,15 @@ def test_letters_pass_the_model_alone(library):
     assert own.known["beta"] and own.known[" Alpha"]
 
 
+def test_bpe_cuts_no_letters(ranked):
+    codec = RankCodec(RANKS, public_tokenizers.PATTERN)
+    codec.find, given = (lambda text, find=codec.find: (given.append(text), find(text))[1]), []
+    text = "Some letters only, qzxv qzxv's qzxv"
+    assert np.frombuffer(codec.encode([text])[0], "<u4").tolist() == ranked.encode_ordinary(text)
+    assert sorted("".join(given).split()) == ["Some", "only,", "qzxv's"]
+    assert set(codec.known.young) >= {"letters", "qzxv", " Some", " ,"}
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.integers(1, 240), min_size=1, max_size=300))
 def test_chain_of_words(steps):
