@@ -398,3 +398,23 @@ def test_probed_leaves_are_settled_where_they_are_scored(spark, monkeypatch):
     exact = plain(pts, qs, k=5, metric="Euclid")
     key = lambda df: sorted((r["query_id"], r["rank"], r["id"]) for r in df.collect())
     assert key(found) == key(exact) and matched and not any(matched)
+
+
+def test_cosines_closer_than_single_precision(spark):
+    """The candidates come from single precision, their order and scores from double."""
+    rng = np.random.default_rng(3)
+    base = rng.normal(size=8)
+    P = np.vstack([base + 1e-5 * rng.normal(size=(40, 8)), rng.normal(size=(40, 8)), np.zeros((1, 8)), [base * 1e150]])
+    Q = np.vstack([base, rng.normal(size=8), np.zeros(8)])
+    pts = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(P)], "id long, vector array<double>")
+    qs = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(Q)], "query_id long, vector array<double>")
+    for points, rows in ((pts, P), (pts.where("id < 81"), P[:81])):  # with and without a length beyond the ordinary
+        found = knn.knn_search(points, qs, k=5, metric="Cosine").collect()
+        for i in (0, 1):
+            mine = sorted((r for r in found if r["query_id"] == i), key=lambda r: r["rank"])
+            with np.errstate(invalid="ignore"):
+                s = (rows @ Q[i]) / (np.linalg.norm(rows, axis=1) * np.linalg.norm(Q[i]))
+            best = np.lexsort((np.arange(len(rows)), -np.nan_to_num(s, nan=-2)))[:5]
+            assert np.allclose([r["score"] for r in mine], s[best], rtol=0, atol=1e-14)
+            assert set(np.round(s[[r["id"] for r in mine]], 13)) == set(np.round(s[best], 13))
+        assert not [r for r in found if r["query_id"] == 2 or r["id"] == 80]

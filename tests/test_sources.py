@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import types as T
 
 from quiver.session import scratch_path
-from quiver.sources import files
+from quiver.sources import files, views
 
 
 def test_csv_required_column(spark):
@@ -72,3 +72,13 @@ def test_spread_only_touches_few_file_inputs(spark):
     docs.repartition(spark.sparkContext.defaultParallelism).write.parquet(path)
     many = spark.read.parquet(path)
     assert input_files(many) >= spark.sparkContext.defaultParallelism and spread(many) is many
+
+
+def test_customers_are_dealt_over_tasks_by_their_number(spark, tmp_path, monkeypatch):
+    """One small file of texts is still worked on by as many tasks as its rows ask for."""
+    spark.range(100).selectExpr("id AS c_custkey").coalesce(1).write.parquet(f"{tmp_path}/customer.parquet")
+    spark.range(50).selectExpr("id AS p_partkey", "'red shirt' AS p_name").write.parquet(f"{tmp_path}/part.parquet")
+    monkeypatch.setattr(views, "TASK_CUSTOMERS", 10)
+    queries = views.view(spark, str(tmp_path), "user_queries")
+    assert queries.rdd.getNumPartitions() == 10
+    assert queries.count() == 100 and queries.where("user_queries LIKE 'red %'").count() == 17
