@@ -86,3 +86,37 @@ def test_no_events(spark):
     empty.write.parquet(src)
     keyed.stream_sessions(spark, src, empty.schema, checkpoint)
     assert keyed.entries(empty).count() == 0 and keyed.initial_entries(empty).count() == 0
+
+
+def test_sessions_share_keys_of_the_store(spark, monkeypatch):
+    """Many sessions cost as many calls as there are parts; chunks of history are filled up after deletes."""
+    monkeypatch.setattr(keyed, "SLICE", 7)
+    rows = [("a", "u", f"s{i % 60}", dt.datetime(2024, 1, 1, 0, 0, i % 60, i), i, "user", f"x{i}", f"k{i % 2}", float(i), False,
+             i % 60 < 20 and i % 23 == 0, i % 60 < 30 and i % 31 == 0) for i in range(900)]
+    events = spark.createDataFrame(rows, EV).checkpoint()
+    src, checkpoint = scratch_path(spark, "many-src"), scratch_path(spark, "many-ckpt")
+    events.repartition(3).write.parquet(src)
+    keyed.stream_sessions(spark, src, events.schema, checkpoint, salts=2, parts=4)
+    assert _kept(spark, checkpoint) == _batch(events)
+    with keyed._settings(spark):
+        store = {n: spark.read.format("statestore").option("stateVarName", n).load(checkpoint) for n in ("marks", "values", "history")}
+    assert store["marks"].count() == store["values"].count() == 4
+    sizes = [(r.part, r.n) for r in store["history"].select("key.part", "user_map_value.n").collect()]
+    assert all(n <= 7 for _, n in sizes) and sum(n < 7 for _, n in sizes) <= 4
+
+
+def test_events_without_a_time(spark):
+    """They are older than all others; a reset without a time counts for nothing."""
+    t, src, checkpoint = dt.datetime(2024, 1, 1), scratch_path(spark, "null-src"), scratch_path(spark, "null-ckpt")
+    batches = [
+        [("a", "u", "s", None, 1, "user", "x", "k", 1.0, False, True, False), ("a", "u", "s", None, 2, "user", "y", "k", 2.0, False, False, False),
+         ("a", "u", "r", None, 3, "user", "x", "k", 3.0, False, False, False)],
+        [("a", "u", "s", t, 4, "user", "z", "k", None, False, False, False), ("a", "u", "r", t, 5, "user", "", None, None, False, True, False)],
+        [("a", "u", "s", None, 6, "user", "w", "k", 6.0, False, False, False), ("a", "u", "r", None, 7, "user", "w", "k", 7.0, False, False, False)],
+    ]
+    for rows in batches:
+        batch = spark.createDataFrame(rows, EV)
+        batch.write.mode("append").parquet(src)
+        keyed.stream_sessions(spark, src, batch.schema, checkpoint, salts=2)
+    assert [(r.session_id, r.state_key, r.state_value) for r in keyed.read_state(spark, checkpoint).collect()] == [("s", "k", None)]
+    assert sorted((r.session_id, r.event_id) for r in keyed.read_history(spark, checkpoint).collect()) == [("r", 5), ("s", 1), ("s", 2), ("s", 4), ("s", 6)]
