@@ -15,7 +15,9 @@ stage the one nearest to what the stages before it leave over.
 * :func:`search` scores pairs from tables: a query's products with all codewords
   are computed once per chunk, a pair's score is a sum of entries.  The first
   stage alone rules out most pairs by its error; only the others look up
-  the remaining stages.  What may still be an answer is scored on the original
+  the tables of all stages.  For cosines the first stage's codewords are looked up
+  once per slab instead and multiplied with many queries at a time, which gives the
+  same sums.  What may still be an answer is scored on the original
   vectors, so the result equals the exact search.  Only codes are shuffled to
   the queries: a byte per subspace and stage in place of 8 per component.
 
@@ -42,7 +44,8 @@ from pyspark.sql.functions import arrow_udf
 
 from quiver.functions.vectors import check_metric, list_array, norm, score
 from quiver.operators.knn import (
-    _best, _bound_points, _floats, _matrix, _query_shape, _scores, _select, _tiles, block_join, exact_best, reduce_topk,
+    EXACT_PAIRS, _best, _bound_points, _floats, _matrix, _ordinary, _query_shape, _scores, _select, _singles, _tiles, block_join,
+    exact_best, reduce_topk,
 )
 
 #: Codewords of a codebook: a code is one byte.
@@ -244,6 +247,24 @@ class _Block:
         self.miss_l1 = _floats(slab, "miss_l1")
         if metric == "Manhattan":
             self.near = books.decode(self.cell, self.codes, self.stages)
+        self.single = metric == "Cosine" and _ordinary(self.norm, self.qnorm)
+        if self.single:
+            self._set_singles(dim)
+
+    def _set_singles(self, dim: int) -> None:
+        """First stage's vectors over the points' lengths, and what they miss as one more
+        component.  A point that they miss by more than its length is never ruled out by
+        them; ``slack`` is what single precision may add."""
+        with np.errstate(divide="ignore", invalid="ignore"):
+            width = (self.miss[1] * (1 + 1e-9) + 1e-12 * (np.sqrt(self.len2[1]) + 2.0 * self.norm)) / self.norm
+            near = self.books.decode(self.cell, self.codes, 1) / self.norm[:, None]
+        far = ~(width <= 1.0)
+        near[far], width[far] = 0.0, 4.0
+        width[self.norm == 0] = -np.inf  # no cosine
+        self.near = near.astype(np.float32)
+        self.width = width.astype(np.float32)
+        self.unit = _singles(self.Q, self.qnorm)
+        self.slack = 5.0 * (dim + 16) * 2.0**-24
 
     def _ends(self, products: np.ndarray, r, c, stage: int) -> tuple[np.ndarray, np.ndarray]:
         """Lower and upper ends from approximate products; ``r`` and ``c`` index queries and points."""
@@ -296,8 +317,27 @@ class _Block:
         rows, points = np.arange(len(self.Q))[t][:, None], np.arange(len(self.cell))[None, :]
         return self._ends(self.products(t), rows, points, 1)
 
+    def likely(self, t: slice, k: int, higher: bool) -> tuple[np.ndarray, np.ndarray]:
+        """Pairs (counted from ``t``) within the ``k`` best of their query by the first stage."""
+        if not self.single:
+            low, high = self.first(t)
+            return _select((low + high) / 2, k, higher)
+        self.tables(t)
+        S = self.unit[t] @ self.near.T
+        S[:, self.norm == 0] = np.nan
+        return _select(S, k, higher)
+
     def not_out(self, t: slice, limit: np.ndarray, higher: bool) -> tuple[np.ndarray, np.ndarray]:
         """Pairs (counted from ``t``) that the first stage does not rule out."""
+        if self.single:
+            self.tables(t)
+            S = self.unit[t] @ self.near.T
+            S += self.width
+            least = np.where(np.isnan(limit), -np.inf, limit - self.slack).astype(np.float32)
+            with np.errstate(invalid="ignore"):
+                r, c = np.divmod(np.flatnonzero(S >= least[:, None]), len(self.cell))
+            some = self.norm[c] > 0
+            return r[some], c[some]
         if self.metric != "Cosine":
             return np.nonzero(~_ruled_out(*self.first(t), limit[:, None], higher))
         # best case = product / (|q| |p|) + a term of the point alone; none with a zero vector
@@ -313,9 +353,12 @@ class _Block:
     def full(self, t: slice, r: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ends of the pairs ``(t.start + r, c)``, by the tables of all stages."""
         g = self.by_cell[self.cell[c], r]
-        for stage, tables in enumerate(self.looked_up):
-            for s, table in enumerate(tables):
-                g += table[self.codes[c, stage * self.books.subspaces + s], r]
+        width = self.by_cell.shape[1]
+        for at in range(0, len(r), EXACT_PAIRS):
+            some = slice(at, at + EXACT_PAIRS)
+            codes, sums = np.ascontiguousarray(self.codes[c[some]].T), g[some]
+            for own, table in zip(codes, (x for tables in self.looked_up for x in tables), strict=True):
+                sums += np.take(table.ravel(), own.astype(np.intp) * width + r[some], mode="clip")
         return self._ends(g, r + t.start, c, self.stages)
 
 
@@ -366,11 +409,13 @@ def _bounded(encoded: DataFrame, queries: DataFrame, books: Codebooks, k: int, m
         block, kept = _Block(books, metric, chunk, slab, dim), []
         qids, ids = chunk.column("query_id").to_numpy(), slab.column(id_col).to_numpy()
         for t in _tiles(len(qids), len(ids)):
-            low, high = block.first(t)
-            r, c = _select((low + high) / 2, 2 * k, higher)
             if tabled:
+                r, c = block.likely(t, 2 * k, higher)
                 low, high = block.full(t, r, c)
+                r, c, low, high = (x[np.isfinite(low)] for x in (r, c, low, high))
             else:
+                low, high = block.first(t)
+                r, c = _select((low + high) / 2, 2 * k, higher)
                 low, high = low[r, c], high[r, c]
             found = {"query_id": qids[t][r], id_col: ids[c], "score": low if higher else high}
             kept.append(reduce_topk(pa.table(found), k, higher, id_col))

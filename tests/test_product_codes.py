@@ -1,6 +1,7 @@
 """Residual product codes: the exact answer from few candidates."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from quiver.operators import knn, product_codes, quantize
@@ -81,3 +82,30 @@ def test_candidates_never_leave_their_group(spark, monkeypatch):
     got, cand = product_codes.search(product_codes.encode(pts, books), qs, books, k=6)
     assert _rows(got) == _rows(knn.knn_search(pts, qs, k=6))
     assert kept[0].count() == 42 < cand.count()
+
+
+def test_first_stage_in_single_precision_rules_out_no_answer(spark):
+    """Zero vectors have no cosine; a far outlier, unlike the sample, stays open."""
+    rng = np.random.default_rng(8)
+    P = np.concatenate([rng.normal(size=(500, 7)), [np.zeros(7), 900.0 * np.arange(7)]])
+    Q = np.concatenate([rng.normal(size=(11, 7)), [np.zeros(7), np.arange(7.0)]])
+    pts, _ = _frames(spark, P, [])
+    books = product_codes.fit(pts.where("id < 500"), cells=4, sample_rows=300, rounds=4)
+    slab = product_codes.encode(pts, books).select("id", "pq.*").toArrow().sort_by("id")
+    chunk = pa.table({"query_id": np.arange(len(Q)), "__q": Q.tolist()})
+    block = product_codes._Block(books, "Cosine", chunk, slab, 7)
+    assert block.single
+    with np.errstate(invalid="ignore"):
+        S = Q @ P.T / (np.linalg.norm(Q, axis=1)[:, None] * np.linalg.norm(P, axis=1))
+    some = ~np.isnan(S)
+    limit = np.where(some.any(axis=1), -np.sort(-np.where(some, S, -2), axis=1)[:, 5], 0.0)
+    for t in (slice(0, 6), slice(6, 13)):
+        r, c = block.not_out(t, limit[t], True)
+        assert set(zip(*np.nonzero(some[t] & (S[t] >= limit[t][:, None])))) <= set(zip(r, c)) and some[t][r, c].all()
+        assert len(r) < some[t].size / 4
+        low, high = block.full(t, r, c)
+        assert (low <= S[t][r, c]).all() and (S[t][r, c] <= high).all()
+        r, c = block.not_out(t, np.full(t.stop - t.start, np.nan), True)
+        assert len(r) == some[t].sum()
+        r, c = block.likely(t, 4, True)
+        assert some[t][r, c].all() and (np.bincount(r, minlength=len(S[t]))[some[t].any(axis=1)] >= 4).all()
