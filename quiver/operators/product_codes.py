@@ -45,7 +45,7 @@ from pyspark.sql.functions import arrow_udf
 from quiver.functions.vectors import check_metric, list_array, norm, score
 from quiver.operators.knn import (
     EXACT_PAIRS, _best, _bound_points, _floats, _matrix, _ordinary, _query_shape, _scores, _select, _singles, _tiles, block_join,
-    exact_best, reduce_topk,
+    exact_best, exact_units, reduce_topk,
 )
 
 #: Codewords of a codebook: a code is one byte.
@@ -438,13 +438,15 @@ def _reaching(asked: _Asked, exact: bool) -> DataFrame:
         qids, ids = chunk.column("query_id").to_numpy(), slab.column(id_col).to_numpy()
         limit = _floats(chunk, "__limit")  # NaN: fewer than k points, so none is ruled out
         true = _matrix(slab, "__exact", dim) if exact else None
+        units = exact_units(metric, true, block.Q) if exact else None
         for t in _tiles(len(qids), len(ids)):
             r, c = block.not_out(t, limit[t], higher)
             if tabled:
                 left = ~_ruled_out(*block.full(t, r, c), limit[t][r], higher)
                 r, c = r[left], c[left]
             if exact:
-                kept.append(exact_best(metric, true, block.Q[t], r, c, qids[t], ids, k, id_col))
+                mine = (units[0], units[1][t]) if units else None
+                kept.append(exact_best(metric, true, block.Q[t], r, c, qids[t], ids, k, id_col, mine))
             else:
                 kept.append(pa.table({"query_id": qids[t][r], id_col: ids[c]}))
         return pa.concat_tables(kept)
